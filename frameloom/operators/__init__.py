@@ -1,0 +1 @@
+"""Operators of the engine, each a plan over Spark DataFrames."""

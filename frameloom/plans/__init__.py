@@ -1,0 +1 @@
+"""Plans of the engine, each a plan over Spark DataFrames."""

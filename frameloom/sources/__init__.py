@@ -1,0 +1 @@
+"""Sources of the engine, each a plan over Spark DataFrames."""

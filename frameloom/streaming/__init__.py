@@ -1,0 +1 @@
+"""Streaming of the engine, each a plan over Spark DataFrames."""
