@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,18 @@ def get_array(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(source.read(), dtype)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Ascending or small integers in few bytes: differences, by byte plane, compressed."""
+    a = np.asarray(values, np.int64)
+    planes = np.diff(a, prepend=0).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
 def keep(df: DataFrame, uri: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again."""
     df.write.mode("overwrite").parquet(uri)
