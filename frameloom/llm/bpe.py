@@ -107,7 +107,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
         flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
 
-    return per_text(docs, f"{ids_col} array<int>", work, text_col, tuple(c for c in docs.columns if c != ids_col))
+    return per_text(docs, f"{ids_col} array<int>", work, text_col)
 
 
 def decode(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -9,9 +9,8 @@ folder under the warehouse is used instead.
 from __future__ import annotations
 
 import atexit
-import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +18,11 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch; texts are of any length, so batches are kept small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 128
 #: Entries of a worker's cache of words; a full cache is emptied.
 CACHE_ENTRIES = 300_000
 
@@ -110,34 +111,24 @@ def keep(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
-def per_text(df: DataFrame, fields: str, work: Callable[[list[str | None]], list[list]], text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
-    """Append columns computed from each text in Python.
+def per_text(df: DataFrame, fields: str, work: Callable[[list], list], text_col: str = "text") -> DataFrame:
+    """df with columns computed from each text in Python; columns named like a new one are replaced.
 
-    work gets the texts of a batch and returns one list of values per new field, in order.
-    carry names the columns that are kept (all if None); new fields replace clashing ones.
+    work gets the texts of a batch and returns one list of values per new field, in order. Only
+    the text goes to the Python worker, and only the new values come back.
     """
-    from pyspark.sql.types import StructType
-
     schema = StructType.fromDDL(fields)
-    new = [f.name for f in schema]
-    names = [c for c in (df.columns if carry is None else carry) if c not in new]
-    source = df.select(*names, F.col(text_col).alias("__text"))
-    out = StructType([source.schema[c] for c in names] + list(schema))
-    arrow = _arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = work(batch.column(len(names)).to_pylist())
-            columns = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, arrow.types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, *new])
-
-    return source.mapInArrow(run, out)
-
+    arrow = to_arrow_schema(schema)
 
-def _arrow_schema(schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def run(texts: pa.Array) -> pa.Array:
+        made = work(texts.to_pylist())
+        columns = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, arrow.types, strict=True)]
+        return pa.StructArray.from_arrays(columns, fields=list(arrow))
 
-    return to_arrow_schema(schema)
+    # Not deterministic for the optimizer, so that a filter on a new column does not compute it twice.
+    made = F.arrow_udf(run, schema).asNondeterministic()
+    names = [c for c in df.columns if c not in schema.names]
+    return df.select(*names, made(F.col(text_col)).alias("__made")).select(*names, "__made.*")
 
 
 def crc_mod(column: str, n: int) -> F.Column:
