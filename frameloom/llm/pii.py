@@ -216,23 +216,20 @@ def replace_spans(text: str, spans: list[Span]) -> str:
 
 def sanitise(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with personal data and revealing terms replaced in the text; null texts stay null, other columns as they are."""
-    names, schema = docs.columns, docs.schema
     spans = find_pii(docs, uri, id_col, text_col).where((F.size("base") > 0) | (F.size("terms") > 0))
     spans = spans.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.concat("base", "terms").alias("__spans"))
     text_hash = F.xxhash64(F.coalesce(F.col(f"d.{text_col}"), F.lit("")))
     same = [F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.doc_id")), text_hash == F.col("s.text_hash")]
     joined = docs.alias("d").join(spans.alias("s"), same, "left").select("d.*", "__spans")
-    at = names.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            rows = zip(texts, batch.column(len(names)).to_pylist(), strict=True)
-            new = [replace_spans(x, [(s["kind"], s["start"], s["end"]) for s in spans]) if x and spans else x for x, spans in rows]
-            columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(names)])]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    def replace(texts: pa.Array, rows: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), rows.to_pylist(), strict=True)
+        return pa.array([None if x is None else replace_spans(x, [(s["kind"], s["start"], s["end"]) for s in spans]) for x, spans in pairs], pa.string())
 
-    return joined.mapInArrow(run, schema)
+    # Only texts with spans go to Python and back.
+    has = F.col("__spans").isNotNull()
+    new = F.arrow_udf(replace, "string").asNondeterministic()(F.when(has, F.col(text_col)), F.col("__spans"))
+    return joined.withColumn("__new", new).withColumn(text_col, F.coalesce("__new", text_col)).select(*docs.columns)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

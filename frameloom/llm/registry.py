@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from frameloom.llm import ann, bpe, kneser_ney, langid, licenses, packing, pii, quality, repeats, simhash
 
+OPERATORS = (
+    packing.op1_packing,
+    licenses.op2_license_scan,
+    simhash.op3_simhash,
+    ann.op4_nearest,
+    repeats.op5_suffix_array,
+    langid.op6_language_id,
+    pii.op7_pii,
+    bpe.op8_byte_bpe,
+    quality.op9_quality,
+    kneser_ney.op10_kneser_ney,
+)
+
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (packing.op1_packing, licenses.op2_license_scan, simhash.op3_simhash, ann.op4_nearest, repeats.op5_suffix_array, langid.op6_language_id, pii.op7_pii, bpe.op8_byte_bpe, quality.op9_quality, kneser_ney.op10_kneser_ney)}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
+    """None: each query has columns that SQL can't express; tests hold them against brute force."""
     return {}

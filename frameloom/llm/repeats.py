@@ -327,7 +327,7 @@ def _cut(uri: str, names: list[str], columns: list[str], text_col: str):
         out = {name: chunk.table.column(name) for name in columns}
         if text_col in out:
             texts = chunk.table.column(text_col).to_pylist()
-            out[text_col] = pa.array([x if x is None or not n else k.decode(errors="ignore") for x, n, k in zip(texts, removed, kept, strict=True)], pa.string())
+            out[text_col] = pa.array([None if x is None else k.decode(errors="ignore") for x, k in zip(texts, kept, strict=True)], pa.string())
         out |= {"n_bytes": pa.array(chunk.ends - chunk.starts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
         return pa.table(out | {"kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
 
