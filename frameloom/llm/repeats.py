@@ -31,7 +31,6 @@ than all others. Columns of docs are carried, those named like a new one are rep
 from __future__ import annotations
 
 import hashlib
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +48,7 @@ LENGTH, GRAM = 50, 16
 #: Rows of a chunk file; bytes whose anchors are looked for at a time.
 CHUNK_ROWS, BLOCK = 4000, 1 << 21
 #: Anchors of a range of hashes in step 2 and of a share in step 4, about.
-RANGE, SHARE = 1_000_000, 40_000
+RANGE, SHARE = 500_000, 20_000
 #: An anchor in so many chunks is frequent.
 FREQUENT = 16
 NO_ID = (1 << 63) - 1
@@ -186,12 +185,15 @@ def _give_spans(uri: str, names: list[str], shares: int):
         size = np.concatenate([chunk.b[some] - chunk.a[some] + LENGTH, np.full(len(single), LENGTH)]).astype(np.int64)
         row = np.concatenate([chunk.row[some], np.repeat(chunk.row[often], count)])
         h = np.concatenate([chunk.h[some], window_hash(chunk.data, single)])
-        order = np.argsort(chunk.ids[row], kind="stable")  # the smallest id comes first
-        text = chunk.data.tobytes()
-        entries: dict[bytes, int] = {}
-        entry = np.fromiter((entries.setdefault(text[a:z], len(entries)) for a, z in zip(first[order].tolist(), (first + size)[order].tolist(), strict=True)), np.int64, len(order))
-        lead = np.zeros(len(entries), np.int64)  # the first place of each entry
-        lead[entry[::-1]] = order[::-1]
+        # Equal spans next to each other, the smallest id first; entry numbers a span's content.
+        content = _mix(_mix(window_hash(chunk.data, first), window_hash(chunk.data, first + size - LENGTH)), size.astype(np.uint64))
+        order = np.lexsort((chunk.ids[row], content))
+        new = np.ones(len(order), bool)
+        new[1:] = content[order[1:]] != content[order[:-1]]
+        leader = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
+        new |= ~_equal_spans(chunk.data, first, size, order, order[leader])  # a hash that means two contents
+        entry = np.cumsum(new) - 1
+        lead = order[new]  # the first place of each entry
         own = chunk.ids[row[order]] == chunk.ids[row[lead[entry]]]
         share = _deal(h[lead], shares)
         by_share = np.argsort(share, kind="stable")
@@ -200,16 +202,25 @@ def _give_spans(uri: str, names: list[str], shares: int):
         asked, sure = order[own], order[~own]
         local = [number[entry[own]], first[asked], size[asked], first[sure], size[sure]]
         put_bytes(f"{uri}/local/{c:08d}", _pack_all(local))
-        spans, rows = list(entries), []
+        text, rows = chunk.data.tobytes(), []
         cuts = np.searchsorted(share[by_share], np.arange(shares + 1))
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
             mine = by_share[cuts[s] : cuts[s + 1]]
-            rows.append((int(s), c, _pack_all([size[lead[mine]], chunk.ids[row[lead[mine]]]], b"".join([spans[i] for i in mine.tolist()]))))
+            rows.append((int(s), c, _pack_all([size[lead[mine]], chunk.ids[row[lead[mine]]]], b"".join([text[a:z] for a, z in zip(first[lead[mine]].tolist(), (first + size)[lead[mine]].tolist(), strict=True)]))))
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["share", "chunk", "spans"])
 
     return run
 
 
+def _equal_spans(data: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the spans a and b (their numbers) hold the same bytes; a span is shorter than two suffixes."""
+    w, same = _words(data), size[a] == size[b]
+    for at in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+        same &= w[first[a] + at] == w[first[b] + at]
+        same &= w[first[a] + size[a] - LENGTH + at] == w[first[b] + size[b] - LENGTH + at]
+    return same
+
+
 def _pack_all(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
     """Arrays and bytes in one compressed block."""
     blobs = [pack(x) for x in arrays] + [zstandard.ZstdCompressor(level=3).compress(tail)]
@@ -316,7 +327,7 @@ def _cut(uri: str, names: list[str], columns: list[str], text_col: str):
             hit = first[masks >> np.uint64(k) & np.uint64(1) == 1] + k
             np.add.at(change, hit, 1)
             np.add.at(change, hit + LENGTH, -1)
-        gone = np.cumsum(change[: len(chunk.data)]) > 0
+        gone = np.cumsum(change[: len(chunk.data)], dtype=np.int32) > 0
         removed, spans, kept = [], [], []
         for a, z in zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True):
             g = gone[a:z]
@@ -359,16 +370,17 @@ def remove_repeats(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col:
     every = spark.range(0, len(names), 1, len(names))
     ranges = max(1, round(size * 2 / (LENGTH - GRAM + 2) / RANGE))
     hashes = every.mapInArrow(_give_hashes(uri, names, ranges), "range long, chunk long, hashes binary")
-    marks = keep(hashes.groupBy("range").applyInArrow(_answer_hashes, "chunk long, range long, marks binary, repeated long"), f"{uri}/marks")
+    marks = keep(hashes.repartition(ranges, "range").groupBy("range").applyInArrow(_answer_hashes, "chunk long, range long, marks binary, repeated long"), f"{uri}/marks")
     repeated = marks.agg(F.sum("repeated")).first()[0] or 0
     # Each chunk has a row of its own, so that chunks without marks or answers are seen as well.
     chunks = every.select(F.col("id").alias("chunk"), F.lit(-1).cast("long").alias("at"), F.lit(b"").alias("blob"))
     marks = marks.select("chunk", F.col("range"), "marks").unionByName(chunks.select("chunk", F.col("at").alias("range"), F.col("blob").alias("marks")))
     shares = max(1, round(repeated / SHARE))
-    spans = marks.groupBy("chunk").applyInArrow(_give_spans(uri, names, shares), "share long, chunk long, spans binary")
-    masks = keep(spans.groupBy("share").applyInArrow(_answer_spans, "chunk long, share long, masks binary"), f"{uri}/masks")
+    # Explicit numbers of partitions: the rows are few bytes but much work, which Spark would put into one task.
+    spans = marks.repartition(len(names), "chunk").groupBy("chunk").applyInArrow(_give_spans(uri, names, shares), "share long, chunk long, spans binary")
+    masks = keep(spans.repartition(min(shares, 8 * len(names)), "share").groupBy("share").applyInArrow(_answer_spans, "chunk long, share long, masks binary"), f"{uri}/masks")
     masks = masks.unionByName(chunks.select("chunk", F.col("at").alias("share"), F.col("blob").alias("masks")))
-    return masks.groupBy("chunk").applyInArrow(_cut(uri, names, columns, text_col), schema)
+    return masks.repartition(len(names), "chunk").groupBy("chunk").applyInArrow(_cut(uri, names, columns, text_col), schema)
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
