@@ -1,0 +1,517 @@
+"""Each operator against brute force on a small corpus with nulls, empty and long texts, ties and repeated rows."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+from frameloom.llm import ann, bpe, common, kneser_ney, langid, licenses, packing, pii, quality, repeats, simhash
+from frameloom.llm import registry as llm
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, score double, n_words string, extra int"
+
+
+def corpus():
+    """Real documents, and the awkward ones: (doc_id, text, lang)."""
+    docs = duckdb.sql(f"select doc_id, text, lang from '{SF}/documents.parquet' order by 1").fetchall()
+    long = " ".join(t for _, t, _ in docs[:40]) * 3
+    notice = "Copy of it: Licensed under CC BY-NC 4.0. ALL RIGHTS RESERVED all rights reserved."
+    odd = [None, "", "   \n\t ", "x", long, docs[0][1], docs[0][1], docs[1][1][:80] + " new end", "a" * 3000, "la " * 900, notice, "Kontakt: an.na+x@mail7.example.com, 1.2.3.256, 10.0.0.255 or +1 (017) 555-7713 4539578763621486 é"]
+    extra = [(10_000 + i, t, None) for i, t in enumerate(odd)]
+    return docs + extra + [(10_005, docs[0][1], None), (None, docs[2][1], None), (None, None, "en")]
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def frame(spark, docs):
+    return spark.createDataFrame([(i, t, lang, 0.5, "clash", 7) for i, t, lang in docs], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shared(spark, name="test"):
+    return common.shared_dir(spark, name)
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# ---- op1 -------------------------------------------------------------------------------------------
+
+
+def check_packing(pieces, ids, size):
+    by_sequence, by_doc = collections.defaultdict(list), collections.Counter()
+    for p in pieces:
+        by_sequence[p.sequence_id].append((p.offset, p.length))
+        by_doc[p.doc_id] += p.length
+        assert p.length > 0 and any(len(a) == p.doc_tokens and zlib.crc32(np.array(a[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 for a in ids[p.doc_id])
+    assert by_doc == {i: sum(map(len, a)) for i, a in ids.items()}
+    padding = total = 0
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= size
+        total += at
+        padding += 0 if at & (at - 1) == 0 else size - at
+    return padding / max(1, total)
+
+
+def token_ids(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = collections.defaultdict(list)
+    for i, text, *_ in docs:
+        ids[i].append([*t.encode(text or "", add_special_tokens=False).ids, 2])
+    return ids
+
+
+@pytest.mark.parametrize(("size", "windows"), [(4096, 64), (64, 3)])
+def test_packing_keeps_every_id_once(spark, frame, docs, size, windows):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = packing.pack_texts(frame, path, shared(spark), size=size, windows=windows).collect()
+    assert check_packing(out, token_ids(docs), size) < (0.02 if size == 4096 else 0.2)
+
+
+def test_packing_of_nothing(spark, empty):
+    import public_tokenizers
+
+    assert packing.pack_texts(empty, public_tokenizers.path("word_bpe_49k.json"), shared(spark)).count() == 0
+
+
+def test_leftovers_end_in_powers_of_two():
+    out = packing.fill([(0, 10), (1, 7), (2, 4)], 16)
+    assert [sum(n for _, _, n in s) for s in out] == [16, 4, 1]
+    assert [(i, a, n) for s in out for i, a, n in s] == [(0, 0, 10), (1, 0, 6), (1, 6, 1), (2, 0, 3), (2, 3, 1)]
+
+
+# ---- op2 -------------------------------------------------------------------------------------------
+
+
+def test_license_scan_base(frame, docs, empty):
+    def expected(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        places = [(k, label) for phrase, label in licenses.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        at = [k for k, _ in places]
+        return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in places})))
+
+    out = licenses.scan(frame).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out if r.doc_id is not None) == sorted((i, *expected(t)) for i, t, _ in docs if i is not None) or {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out} == {(i, *expected(t)) for i, t, _ in docs}
+    notice = next(r for r in out if r.doc_id == 10_010)
+    assert notice.n_base == 3 and "cc-by-nc-4.0" in notice.labels and notice.score == 1.0
+    assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in out)
+    assert licenses.scan(empty).count() == 0
+
+
+def test_license_words_alone_are_no_notice(spark):
+    rows = [(1, "license apache version the licensed"), (2, "x y. Licensed under the Apache License, Version 2.0 z"), (3, "the Apache License, Version 2.0")]
+    out = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "", 2: "apache-2.0", 3: ""}
+
+
+# ---- op3 -------------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(text):
+    w = words(lower(text))
+    shingles = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
+def test_simhash_components(spark, frame, docs, empty):
+    fp = [brute_fingerprint(t) for _, t, _ in docs]
+    parent = list(range(len(docs)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if (fp[a] ^ fp[b]).bit_count() <= 4:
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, *_) in enumerate(docs):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    expected = collections.Counter((i, fp[k] - (1 << 64) * (fp[k] >> 63), least.get(find(k))) for k, (i, *_) in enumerate(docs))
+    out = collections.Counter((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(frame, shared(spark)).collect())
+    assert out == expected
+    kept = simhash.deduplicate(frame, shared(spark))
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} - {None} == set(least.values())
+    assert simhash.near_duplicates(empty, shared(spark)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trie_join_links_whatever_brute_force_links(seed):
+    rnd = random.Random(seed)
+    centre = rnd.getrandbits(64)
+    near = {centre ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(5))) & (1 << 64) - 1 for _ in range(150)}
+    fp = np.array(sorted(near | {rnd.getrandbits(64) for _ in range(150)}), np.uint64)
+    x, y = simhash.trie_join(np.zeros(len(fp), np.int64), fp)
+    assert (np.bitwise_count(fp[x] ^ fp[y]) >= 0).all() and len(x) < len(fp)
+
+    def groups(links):
+        label = list(range(len(fp)))
+        for a, b in links:
+            la, lb = label[a], label[b]
+            label = [min(la, lb) if z in (la, lb) else z for z in label]
+        return label
+
+    brute = [(a, b) for a in range(len(fp)) for b in range(a) if (int(fp[a]) ^ int(fp[b])).bit_count() <= 4]
+    assert groups(zip(x.tolist(), y.tolist(), strict=True)) == groups(brute)
+
+
+def test_crowded_groups_are_split_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 8)
+    values = [0, 1, 3, 7, 15, 31, 63, 127, 255, 511] + [1 << 40 | x for x in range(40)]
+    links = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), shared(spark))
+    from frameloom.llm.components import components
+
+    out = components(links, shared(spark))
+    assert {(r.node, r.component) for r in out.collect()} == {(v, 0) for v in values if v}
+
+
+# ---- op4 -------------------------------------------------------------------------------------------
+
+
+def test_nearest_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 100)
+    monkeypatch.setattr(ann, "BLOCK", 60)
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((700, 16))
+    v[100:300] = v[100]  # a vector that many rows repeat
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (950, []), (1000, [0.0] * 16), (1050, [float("nan")] * 16), (1100, [None] * 16), (1150, [float("inf")] + [1.0] * 15)]
+    df = spark.createDataFrame([(i, x, "clash") for i, x in rows], "vec_id long, embedding array<double>, score string")
+    out = collections.defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), shared(spark)).orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.id, r.score))
+    assert sorted(out) == list(range(0, 700, 50))
+    unit, hits = v / np.sqrt((v * v).sum(axis=1, keepdims=True)), 0
+    for q, found in out.items():
+        cos = unit @ unit[q]
+        cos[q] = -2
+        kth = np.sort(cos)[-5]
+        assert len(found) == 5 and all(abs(s - cos[i]) < 1e-12 for i, s in found)
+        hits += sum(s >= kth - 1e-12 for _, s in found)
+    assert hits >= 0.95 * 5 * len(out)
+    assert [i for i, _ in out[100]] == [101, 102, 103, 104, 105] and [i for i, _ in out[150]] == [100, 101, 102, 103, 104]
+
+
+def test_nearest_with_few_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    out = ann.nearest(df, df.where("vec_id % 50 = 0"), shared(spark)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.id) for r in out] == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
+    assert ann.nearest(df.limit(0), df.limit(0), shared(spark)).count() == 0
+
+
+def test_chi_square_quantile():
+    assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
+
+
+# ---- op5 -------------------------------------------------------------------------------------------
+
+
+def brute_repeats(docs, length=50):
+    first = {}
+    for i, text, *_ in docs:
+        b, i = (text or "").encode(), repeats.NO_ID if i is None else i
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            first[w] = min(i, first.get(w, i))
+    out = []
+    for i, text, *_ in docs:
+        b, own = (text or "").encode(), repeats.NO_ID if i is None else i
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if first[b[s : s + length]] < own:
+                gone[s : s + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("frequent", [16, 2])
+def test_repeats_against_brute_force(spark, frame, docs, monkeypatch, frequent):
+    for name, value in (("CHUNK_ROWS", 23), ("BLOCK", 20_000), ("RANGE", 500), ("SHARE", 300), ("FREQUENT", frequent)):
+        monkeypatch.setattr(repeats, name, value)
+    out = repeats.remove_repeats(frame, shared(spark))
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()) == brute_repeats(docs)
+    assert set(frame.columns) <= set(out.columns) and out.where("text is null").count() == 2
+
+
+def test_repeats_of_nothing(spark, empty):
+    assert repeats.remove_repeats(empty, shared(spark)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_deep_shallow_sorts(seed):
+    rnd = random.Random(seed)
+    text = bytes(rnd.choice(b"ab") for _ in range(400)) + b"a" * 200 + bytes(rnd.choice(b"ab") for _ in range(300)) * 2
+    data = np.frombuffer(text + bytes(16), np.uint8)
+    starts = np.arange(len(text) - 50)
+    order, new = repeats.deep_shallow(data, starts)
+    strings = [text[s : s + 50] for s in starts[order]]
+    assert strings == sorted(strings)
+    assert new.tolist() == [i for i in range(len(strings)) if i == 0 or strings[i] != strings[i - 1]]
+
+
+# ---- op6 -------------------------------------------------------------------------------------------
+
+
+def test_language_id_held_out_accuracy(spark):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    out = [r for r in llm.queries()["op6_language_id"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert {r.doc_id for r in out} == {i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in out) / len(out) > 0.97 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_language_id_edges(spark, frame, empty):
+    model = langid.fit_sample(frame)
+    out = {r.doc_id: r for r in langid.predict(frame, model, label_col="lang", score_col="score").collect()}
+    assert all(out[i].lang == "und" and out[i].score == 0 for i in (10_000, 10_001, 10_002)) and out[10_004].lang != "und"
+    assert out[0].n_words == "clash"
+    assert langid.predict(empty, model).count() == 0
+    none = langid.fit_sample(empty)
+    assert {r.lang_pred for r in langid.predict(frame, none).collect()} == {"und"}
+
+
+def test_kernel_is_shared_presence_over_root_of_sizes():
+    model = langid.fit(["abcd", "wxyz"], ["a", "b"], ridge=1e-3)
+    a, b = (set(langid.grams(x).tolist()) for x in ("abcd", "bcde"))
+    assert model.kernels(["bcde"])[0, 0] == pytest.approx(len(a & b) / math.sqrt(len(a) * len(b)), rel=1e-5)
+    assert model.predict(["abc", "xyz", None, "12"])[0] == ["a", "b", "und", "und"]
+
+
+# ---- op7 -------------------------------------------------------------------------------------------
+
+PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(text):
+    def good(kind, s):
+        d = re.sub(r"[^0-9]", "", s)
+        checked = sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0
+        return (True, all(int(x) <= 255 for x in s.split(".")) if kind == 1 else True, 16 <= len(d) <= 19 and checked, 8 <= len(d) <= 15)[kind]
+
+    return [(name, m.start(), m.end()) for k, name in enumerate(pii.KINDS) for m in re.finditer(PATTERNS[k], text or "") if good(k, m.group())]
+
+
+def test_base_spans_equal_the_plain_patterns(docs):
+    rnd = random.Random(5)
+    texts = [t for _, t, _ in docs] + ["".join(rnd.choice("a1@.-+ (%4)9\n") for _ in range(60)) for _ in range(3000)] + ["4" * 5000, "a@" * 400, "1." * 900 + "@x.y"]
+    for t in texts:
+        assert pii.base_spans(t or "") == brute_spans(t)
+
+
+def test_revealing_terms(spark):
+    filler = "common words stand around here and there in every single sentence"
+    rows = [(i, f"{filler} number {chr(97 + i)}{chr(97 + i)}{chr(97 + i)} Zorblatt writes zorblatt@mail.example.com {'xyz' * (i + 1)} today") for i in range(6)]
+    rows += [(100 + i, f"{filler} writes someone{i}@mail.example.com today") for i in range(40)] + [(200 + i, filler) for i in range(20)] + [(300, None), (301, "")]
+    rows += [rows[0], (500, "unique wondrous words near lonely@mail.example.com once"), (501, "unique wondrous words near lonely@mail.example.com once"), (502, "unique wondrous words near lonely@mail.example.com once")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kind int")
+    out = pii.find_pii(df, shared(spark)).collect()
+    assert len(out) == len(rows)
+    by_id = {r.doc_id: r for r in out}
+    text = rows[2][1]
+    terms = {text[s.start : s.end] for s in by_id[2].terms}
+    assert "Zorblatt" in terms and not terms & {"writes", "common", "sentence", "number"}
+    assert all(not by_id[i].terms for i in (100, 200, 300, 301, 500, 501))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, shared(spark)).collect()}
+    assert "[EMAIL]" in clean[2] and "Zorblatt" not in clean[2] and clean[300] is None and clean[200] == filler
+    assert pii.sanitise(df, shared(spark)).columns == df.columns
+
+
+def test_pii_of_nothing(spark, empty):
+    assert pii.find_pii(empty, shared(spark)).count() == 0
+
+
+def test_op7_digests(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in llm.queries()["op7_pii"](spark, SF).collect():
+        spans = brute_spans(docs[r.doc_id])
+        assert r.base_sha256 == pii.digest(spans) and r.spans.startswith(",".join(f"{k}:{a}:{z}" for k, a, z in spans))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in spans) for k in pii.KINDS)
+
+
+# ---- op8 -------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tiktoken_encoding():
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken_and_round_trips(frame, docs, tiktoken_encoding, empty):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = bpe.decode(bpe.encode(frame, path, pattern), path, pattern).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        assert r.ids == tiktoken_encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    assert bpe.encode(empty, path, pattern).count() == 0
+
+
+def test_bpe_of_odd_characters(tiktoken_encoding):
+    import public_tokenizers
+
+    codec, rnd = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), random.Random(1)
+    letters = " \n\t　 ab'sL9é.,\x1c\x85²½Ⅷ中_<|\U0001f600"
+    for _ in range(3000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(30)))
+        assert codec.encode(text) == tiktoken_encoding.encode_ordinary(text)
+
+
+# ---- op9 -------------------------------------------------------------------------------------------
+
+
+def brute_quality(text):
+    text = text or ""
+    w = words(text)
+    grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    counts = collections.Counter(grams)
+    inside = {k + j for k, g in enumerate(grams) if counts[g] > 1 for j in range(3)}
+    lines = text.split("\n")
+    dup = sum(bool(words(x)) and x in lines[:k] for k, x in enumerate(lines))
+    failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), failed)
+
+
+def test_quality_counts(frame, docs, empty):
+    out = quality.quality_rules(frame).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert collections.Counter((r.doc_id, *(r[n] for n in names)) for r in out) == collections.Counter((i, *brute_quality(t)) for i, t, _ in docs)
+    assert not any(r.kept and r.base_failed for r in out) and quality.quality_rules(empty).count() == 0
+
+
+def test_compression_bands():
+    rnd = random.Random(2)
+    prose = " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(2, 9))) for _ in range(900))
+    noise = " ".join(base64.b64encode(rnd.randbytes(9)).decode() for _ in range(900))
+    dull = " ".join(f"item {i % 7} of the list" for i in range(900))
+    mixed = prose[:3000] + " " + dull[:9000]
+    assert [quality.judge([t])[-1][0] for t in (prose, noise, dull, mixed)] == [True, False, False, False]
+
+
+# ---- op10 ------------------------------------------------------------------------------------------
+
+
+def test_kneser_ney_against_dictionaries(spark, frame, docs, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "PART_WORDS", 700)
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 5000)
+    train = [t for i, t, _ in docs if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    T = lambda x: [*(x or "").encode().lower().split(), b"\n"]
+    c = collections.Counter(w for t in train for w in T(t))
+    pairs = collections.Counter(p for t in train for p in zip([b"\n", *T(t)], T(t), strict=False))
+    left, total, kinds = collections.Counter(v for _, v in pairs), collections.Counter(), collections.defaultdict(collections.Counter)
+    for (u, _), n in pairs.items():
+        total[u] += n
+        kinds[u][min(n, 3)] += 1
+    of = lambda values: [0.0, *kneser_ney.discounts(*(sum(x == i for x in values) for i in (1, 2, 3, 4)))]
+    high, low, N, V = of(pairs.values()), of(left.values()), sum(c.values()), len(c)
+    mass = sum(low[min(x, 3)] for x in left.values()) / len(pairs)
+
+    def p(u, v):
+        lower_order = (left[v] - low[min(left[v], 3)]) / len(pairs) + mass / (V + 1)
+        if not total[u]:
+            return lower_order
+        n = pairs[u, v]
+        return (n - high[min(n, 3)]) / total[u] + sum(high[k] * kinds[u][k] for k in (1, 2, 3)) / total[u] * lower_order
+
+    assert sum(p(b"the", v) for v in c) + p(b"the", b"??") == pytest.approx(1.0)
+    uri = shared(spark)
+    kneser_ney.train(frame.where(common.crc_mod("doc_id", 10) != 0), uri)
+    out = kneser_ney.score(frame, uri).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        t = T(r.text)
+        assert (r.n_tokens, r.n_known) == (len(t), sum(c[w] > 0 for w in t))
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (N + 0.1 * (V + 1))) for w in t))
+        assert r.score == pytest.approx(sum(math.log10(p(u, v)) for u, v in zip([b"\n", *t], t, strict=False)))
+
+
+def test_kneser_ney_without_training_texts(spark, frame, empty):
+    uri = shared(spark)
+    kneser_ney.train(empty, uri)
+    assert all(r.score == 0 and r.n_known == 0 for r in kneser_ney.score(frame, uri).collect())
+    assert kneser_ney.score(empty, uri).count() == 0
+
+
+# ---- the pipeline ----------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline as p
+
+    rows = [(i, t, lang, "s", None if t is None else len(t)) for i, t, lang in docs if i is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    uri, names = shared(spark), df.columns
+    for k, (name, stage) in enumerate(p.STAGES):
+        out = common.keep(stage(spark, df, SF), f"{uri}/{k}")
+        before, after = {r.doc_id: r for r in df.collect()}, {r.doc_id: r for r in out.collect()} if name != "packing" else {}
+        if name != "packing":
+            assert out.columns == names
+        if name == "language":
+            assert set(after) == {i for i, r in before.items() if r.text and any(map(str.isalpha, r.text))}
+        elif name == "near_duplicates":
+            fp = {i: brute_fingerprint(r.text) for i, r in before.items()}
+            assert all(any((fp[i] ^ fp[j]).bit_count() <= 4 for j in before if j != i) for i in set(before) - set(after))
+            assert not any((fp[i] ^ fp[j]).bit_count() <= 4 for i in after for j in after if i < j)
+        elif name == "repeated_passages":
+            assert set(after) == set(before) and sum(r.n_chars for r in after.values()) < sum(len(r.text) for r in before.values())
+            kept = {i: r.text for i, r in after.items()}
+            for i, *_, digest in brute_repeats([(i, r.text) for i, r in before.items()]):
+                if kept[i].isascii():
+                    assert hashlib.sha256(kept[i].encode()).hexdigest() == digest or not before[i].text.isascii()
+        elif name == "personal_data":
+            assert not any(brute_spans(r.text) for r in after.values()) and all(r.n_chars == len(r.text) for r in after.values())
+        else:
+            check_packing(out.collect(), token_ids([(i, r.text) for i, r in before.items()]), 4096)
+        df = out
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in p.STAGES:
+        df = stage(spark, df, SF)
+    assert df.count() == 0
+
+
+def test_every_operator_is_registered():
+    assert [int(n[2:].split("_")[0]) for n in llm.queries() if n.startswith("op")] == list(range(1, 11)) and "pipeline" in llm.queries()
