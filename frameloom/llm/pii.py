@@ -2,7 +2,7 @@
 
 Four kinds of values are found by pattern (email, ip, card, phone). They are the protected
 entities. A term near such a value reveals it as far as knowing the term makes the value more
-likely: with N windows of context in the corpus, of which c hold the entity e, the share of the
+likely: with N distinct windows of context around all entities, of which c are those of the entity e, the share of the
 information -log(c/N) that the term t gives is
 
     disclosure(t, e) = log(P(e | t) / P(e)) / -log P(e),
@@ -169,8 +169,8 @@ def disclosures(found: DataFrame, docs: DataFrame, uri: str, support: int = SUPP
     # Distinct windows first: a window that thousands of copies share is one piece of evidence.
     windows = near.distinct()
     joint = keep(windows.groupBy("entity", "term").agg(F.count("*").alias("joint")).where(F.col("joint") >= support), f"{uri}/joint")
-    per_entity = windows.select("entity", "window").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = windows.select("window").distinct().agg(F.count("*").alias("n")).first()["n"]
+    per_entity = keep(windows.select("entity", "window").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")), f"{uri}/entities")
+    total = per_entity.agg(F.sum("n_entity").alias("n")).first()["n"]
     if joint.isEmpty():
         return joint.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
     counts = document_counts(docs).join(joint.select("term").distinct(), "term", "left_semi")
