@@ -9,10 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that say nothing in an overlap score.
-STOPWORDS = tuple("a an and are as at be by for from in is it its of on or that the to with".split())
-#: Openers that are cut, and words that are banned.
-OPENERS = ("Welcome to", "Step into", "Nestled in")
-BANNED = ("paradise", "hidden gem", "thon", "breathtaking")
+STOPWORDS = tuple(
+    """a also an and are as at be been but by did do does down for from had has have he her his i if in into is it its just
+    me my no not of off on or our she than that the their them then there these they this to up was we were what when where
+    which while who will with you your yours""".split()
+)
+#: Openers that are cut, and words and phrases that are banned.
+OPENERS = ("discover", "imagine")
+BANNED_WORDS = ("bespoke", "delve", "nestled", "tapestry")
+BANNED_PHRASES = ("imagine a place", "where luxury meets")
 
 
 def py_zfill(value: Column, width: int) -> Column:
@@ -47,15 +52,18 @@ def sentences(text: Column) -> Column:
 
 
 def strip_opener(text: Column, openers: tuple[str, ...] = OPENERS) -> Column:
-    """Without an opener at the start; what follows gets a capital, the rest stays as it is."""
-    rest = F.regexp_replace(text, "^(" + "|".join(openers) + ")[ ,]*", "")
-    return F.when(rest == text, text).otherwise(F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, 2, 1 << 30)))
-
-
-def banned_terms(text: Column, banned: tuple[str, ...] = BANNED) -> Column:
-    """Sorted banned terms that the text has as whole words."""
-    hits = [F.when(F.lower(text).rlike(rf"\b{term}\b"), F.lit(term)) for term in sorted(banned)]
-    return F.array_compact(F.array(*hits))
+    """Without its first word if that is an opener; what follows gets a capital, the rest stays as it is."""
+    trimmed = F.trim(text)
+    first = F.regexp_replace(F.lower(F.regexp_extract(trimmed, "^(\\S+)", 1)), "[.,!?;:]+$", "")
+    rest = F.regexp_replace(trimmed, "^\\S+[\\s,;:]*", "")
+    return F.when(first.isin(*openers) & (rest != ""), F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, 2, 1 << 30))).otherwise(text)
+
+
+def banned_terms(text: Column, words: tuple[str, ...] = BANNED_WORDS, phrases: tuple[str, ...] = BANNED_PHRASES) -> Column:
+    """Sorted banned phrases that the text contains and banned words that it has as whole words."""
+    lower = F.lower(text)
+    hits = {p: lower.contains(p) for p in phrases} | {w: lower.rlike(rf"\b{w}\b") for w in words}
+    return F.array_compact(F.array(*(F.when(hits[term], F.lit(term)) for term in sorted(hits))))
 
 
 def trim_sentences(text: Column, least: int, most: int) -> Column:

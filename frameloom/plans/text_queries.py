@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from frameloom.functions import text as T
 from frameloom.sources.media import CTES, segments, table
 
+#: Terms that these invented texts have; the defaults never occur in them.
+WORDS, PHRASES = (*T.BANNED_WORDS, "thon"), (*T.BANNED_PHRASES, "of the")
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
@@ -29,12 +31,12 @@ def norm_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def banned_terms(spark: SparkSession, d: str) -> DataFrame:
-    found = segments(spark, d).select("doc", "segment", F.array_join(T.banned_terms(F.col("text")), ",").alias("banned"))
+    found = segments(spark, d).select("doc", "segment", F.array_join(T.banned_terms(F.col("text"), WORDS, PHRASES), ",").alias("banned"))
     return found.where("banned <> ''")
 
 
 def opener_strip(spark: SparkSession, d: str) -> DataFrame:
-    opened = F.concat(F.when(F.pmod("doc", F.lit(3)) == 0, "Welcome to ").when(F.pmod("doc", F.lit(3)) == 1, "Step into, ").otherwise(""), F.lower("text"))
+    opened = F.concat(F.when(F.pmod("doc", F.lit(3)) == 0, "Imagine ").when(F.pmod("doc", F.lit(3)) == 1, "Discover, ").otherwise(""), F.lower("text"))
     return segments(spark, d).select("doc", "segment", T.strip_opener(opened).alias("text"))
 
 
@@ -93,7 +95,7 @@ CATALOGUE = {
   from documents d join benchmark b on b.item_id = d.doc_id % 40 where lang = 'en')"""),
     "segment_queries": (segment_queries, "select * from (select conv_id doc, turn segment, unnest(string_split(text, chr(10))) query from conversations where role = 'user') where trim(query) <> ''"),
     "norm_dedupe": (norm_dedupe, "select md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as key, min(doc_id) first_id, count(*) n from documents group by 1"),
-    "banned_terms": (banned_terms, "select * from (select conv_id doc, turn segment, concat_ws(',', " + ", ".join(f"case when regexp_matches(lower(text), '\\b{t}\\b') then '{t}' end" for t in sorted(T.BANNED)) + ") banned from conversations) where banned <> ''"),
+    "banned_terms": (banned_terms, "select * from (select conv_id doc, turn segment, concat_ws(',', " + ", ".join(f"case when contains(lower(text), '{t}') then '{t}' end" if t in PHRASES else f"case when regexp_matches(lower(text), '\\b{t}\\b') then '{t}' end" for t in sorted(WORDS + PHRASES)) + ") banned from conversations) where banned <> ''"),
     "opener_strip": (opener_strip, "select conv_id doc, turn segment, case when conv_id % 3 < 2 then upper(substr(t, 1, 1)) || substr(t, 2) else t end as text from (select *, lower(text) t from conversations)"),
     "sentence_trim": (sentence_trim, None),
     "script_gate": (script_gate, """select doc, n_words, n_segments, case when n_segments < 4 then 'segments' when n_words < 145 then 'short' when n_words > 900 then 'long' else 'ok' end verdict from (

@@ -26,8 +26,9 @@ def test_text_rules(spark):
     assert one(spark, T.word_count(F.lit("  a  b "))) == 2
     assert one(spark, T.word_count(F.lit(""))) == 0
     assert one(spark, T.tokenize(F.lit("Don't STOP at the Pool"))) == ["don't", "stop", "pool"]
-    assert one(spark, T.strip_opener(F.lit("Welcome to paradise island"))) == "Paradise island"
-    assert one(spark, T.banned_terms(F.lit("A hidden gem. Paradise!"))) == ["hidden gem", "paradise"]
+    assert one(spark, T.strip_opener(F.lit("Imagine, if you will"))) == "If you will"
+    assert one(spark, T.strip_opener(F.lit("Discover"))) == "Discover"
+    assert one(spark, T.banned_terms(F.lit("Nestled where luxury meets nestledness"))) == ["nestled", "where luxury meets"]
     assert one(spark, T.trim_sentences(F.lit("One two three. Four five six. Seven eight."), 3, 6)) == "One two three. Four five six."
     assert one(spark, T.trim_sentences(F.lit("One two three four five six seven."), 3, 6)) == "One two three four five six seven."
     assert one(spark, T.speak_units(F.lit("$5.50 and 20%"))) == "5.50 dollars and 20 percent"
