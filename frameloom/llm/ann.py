@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from frameloom.llm.common import keep, shared_dir, small_batches, table
 DIMENSIONS, CONFIDENCE, SEED = 8, 0.98, 11
 #: Rows of the sample that shapes the cells; rows of a cell at least, cells at most, rows of a block, queries of a part.
 SAMPLE, CELL, MAX_CELLS, BLOCK, PART = 20_000, 4096, 4096, 4096, 2048
-LEAF = 64
+LEAF = 256
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -49,14 +50,19 @@ def chi_square_quantile(p: float, degrees: int) -> float:
     return high
 
 
+@lru_cache(maxsize=8)
 def directions(length: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.random.default_rng([SEED, length]).standard_normal((length, dimensions))
 
 
-def project(vectors: np.ndarray) -> np.ndarray:
-    """Projections of the vectors, brought to unit length."""
+def unit(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))) @ directions(vectors.shape[1])
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
+def project(vectors: np.ndarray) -> np.ndarray:
+    """Projections of the vectors, brought to unit length; row by row, so equal vectors have equal ones."""
+    return np.einsum("ij,jk->ik", unit(vectors), directions(vectors.shape[1]))
 
 
 def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -67,22 +73,26 @@ def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """A kd-tree over points: leaves of rows, with boxes."""
+    """A kd-tree over vectors by their projections; rows are put in the order of the leaves, so a leaf is a slice."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.nodes = points, []  # (low, high, left, right, rows)
-        self.root = self._build(np.arange(len(points)), leaf) if len(points) else -1
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+        self.points, self.nodes, self.order = project(vectors), [], []  # nodes: low, high, left, right, from, to
+        self.root = self._build(np.arange(len(ids)), leaf, 0) if len(ids) else -1
+        order = np.concatenate(self.order) if self.order else np.empty(0, np.int64)
+        self.points, self.vectors, self.ids = self.points[order], vectors[order], ids[order]
+        self.units = unit(self.vectors)
 
-    def _build(self, rows: np.ndarray, leaf: int) -> int:
+    def _build(self, rows: np.ndarray, leaf: int, start: int) -> int:
         own = self.points[rows]
         low, high = own.min(axis=0), own.max(axis=0)
         if len(rows) <= leaf or not (high > low).any():
-            self.nodes.append((low, high, -1, -1, rows))
+            self.order.append(rows)
+            self.nodes.append((low, high, -1, -1, start, start + len(rows)))
         else:
             axis, half = int(np.argmax(high - low)), len(rows) // 2
             order = rows[np.argpartition(own[:, axis], half)]
-            left, right = self._build(order[:half], leaf), self._build(order[half:], leaf)
-            self.nodes.append((low, high, left, right, None))
+            left, right = self._build(order[:half], leaf, start), self._build(order[half:], leaf, start + half)
+            self.nodes.append((low, high, left, right, start, start + len(rows)))
         return len(self.nodes) - 1
 
     def distance(self, node: int, point: np.ndarray) -> float:
@@ -90,32 +100,41 @@ class Tree:
         gap = np.maximum(low - point, 0) + np.maximum(point - high, 0)
         return float(gap @ gap)
 
-    def nearer(self, point: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """Leaves with their least squared distance, nearest first."""
+    def nearer(self, point: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        """Leaves (least squared distance, from, to), nearest first."""
         heap = [(self.distance(self.root, point), self.root)] if self.root >= 0 else []
         while heap:
             d, node = heapq.heappop(heap)
-            _, _, left, right, rows = self.nodes[node]
-            if rows is not None:
-                yield d, rows
+            _, _, left, right, start, end = self.nodes[node]
+            if left < 0:
+                yield d, start, end
             else:
                 for child in (left, right):
                     heapq.heappush(heap, (self.distance(child, point), child))
 
 
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, point: np.ndarray, query_id: int, k: int, worst: float, factor: float) -> list[tuple[float, int]]:
+#: How far a product of unit vectors may be from the cosine that is reported.
+ROUNDING = 1e-9
+
+
+def search(tree: Tree, query: np.ndarray, query_id: int, k: int, worst: float, factor: float) -> list[tuple[float, int]]:
     """(minus cosine, id) of the k nearest that the test lets through; worst: a known bound of the k-th squared distance."""
     best: list[tuple[float, int]] = []
-    for d, rows in tree.nearer(point):
+    own = query[None, :]
+    point, direction = project(own)[0], unit(own)[0]
+    for d, start, end in tree.nearer(point):
         if d > factor * worst + 1e-12:
             break
-        gap = tree.points[rows] - point
-        rows = rows[np.einsum("ij,ij->i", gap, gap) <= factor * worst + 1e-12]
-        rows = rows[ids[rows] != query_id]
+        gap = tree.points[start:end] - point
+        # Products of unit vectors choose the rows of the leaf that can matter; their cosines are then taken exactly.
+        close = tree.units[start:end] @ direction
+        rows = np.flatnonzero((np.einsum("ij,ij->i", gap, gap) <= factor * worst + 1e-12) & (tree.ids[start:end] != query_id))
+        if len(rows) > k:
+            rows = rows[close[rows] >= max(np.partition(close[rows], len(rows) - k)[len(rows) - k], -best[-1][0] if len(best) == k else -2.0) - ROUNDING]
         if not len(rows):
             continue
-        scores = cosines(vectors[rows], query)
-        best = sorted([*best, *zip((-scores).tolist(), ids[rows].tolist(), strict=True)])[:k]
+        scores = cosines(tree.vectors[start + rows], query)
+        best = sorted([*best, *zip((-scores).tolist(), tree.ids[start + rows].tolist(), strict=True)])[:k]
         if len(best) == k:
             worst = min(worst, max(0.0, 2 + 2 * best[-1][0]) + 1e-12)
     return best
@@ -185,10 +204,10 @@ def _search_blocks(length: int, k: int, factor: float):
             turn = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
             few = np.sort(order[turn <= k])
             ids, vectors = ids[few], vectors[few]
-            tree = Tree(project(vectors))
+            tree = Tree(vectors, ids)
             asked = _matrix(queries.column("v").combine_chunks(), length)
-            for q, query, point, worst in zip(queries.column("query_id").to_pylist(), asked, project(asked), queries.column("worst").to_pylist(), strict=True):
-                found += [(q, i, -s) for s, i in search(tree, vectors, ids, query, point, q, k, worst, factor)]
+            for q, query, worst in zip(queries.column("query_id").to_pylist(), asked, queries.column("worst").to_pylist(), strict=True):
+                found += [(q, i, -s) for s, i in search(tree, query, q, k, worst, factor)]
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "id", "score"])
 
