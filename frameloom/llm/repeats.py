@@ -105,7 +105,8 @@ def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     place = (least[at] & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.empty(0, np.int64)
     last = np.r_[new[1:] - 1, len(at) - 1] if len(at) else new
-    return h[place[new]], at[new], at[last]
+    # Anchors have small hashes, being the least; mixed once more, the hashes deal them out evenly.
+    return _mix(h[place[new]], np.uint64(LENGTH)), at[new], at[last]
 
 
 class Chunk:
