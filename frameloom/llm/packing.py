@@ -17,7 +17,9 @@ input split, so a task that is run again gives the same pieces.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,31 +28,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import CACHE_ENTRIES, id_text, keep, shared_dir, small_batches, table
+from frameloom.llm.common import id_text, keep, shared_dir, small_batches, table
 
-SIZE, WINDOWS, MIN_CUT, MERGE = 4096, 64, 16, 32
+SIZE, WINDOWS, MIN_CUT, MERGE = 4096, 64, 16, 8
+#: Entries of a worker's cache, about 200 bytes each; a full cache is emptied.
+CACHE_ENTRIES = 800_000
+_MARKS = tuple(".,!?;:")
+#: The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 #: The id that closes a document.
 CLOSE = 2
 
 
 class Tokenizer(dict):
-    """Ids (as bytes, 4 each) of runs without blanks; the vocabulary's words never cross white space."""
+    """Ids (as bytes, 4 each) of runs without blanks; the vocabulary's words never cross white space.
+
+    A-Z are lower-cased before the look-up, as the tokenizer does itself later, except in texts that may
+    hold the name of a special token.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Public
 
         self.model = Public.from_file(path)
+        self.merge = self.model.model.tokenize
+
+    def _learn(self, runs: set[str]) -> None:
+        # A mark after a letter is a word of its own, so "word." is learned as "word" and ".".
+        marked = [r for r in runs if r[-1:] in _MARKS and r[-2:-1].lower().isalpha()]
+        plain = {*runs, *(r[:-1] for r in marked), *_MARKS}.difference(self.keys(), marked)
+        # A run of letters is one word to the merges; other runs go through the whole tokenizer.
+        other = []
+        for r in plain:
+            word = r.lower() if r.isascii() else "".join([c.lower() for c in r])
+            if word.isalpha() and unicodedata.is_normalized("NFC", word):
+                self[r] = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:
+                other.append(r)
+        for r, e in zip(other, self.model.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self[r] = array("I", e.ids).tobytes()
+        for r in marked:
+            self[r] = self[r[:-1]] + self[r[-1]]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [x.split(" ") if "\n" not in x else x.replace("\n", " ").split(" ") for x in texts]
-        new = list({r for run in runs for r in run if r not in self})
-        if len(self) + len(new) > CACHE_ENTRIES:
+        if len(self) > CACHE_ENTRIES:
             self.clear()
-            new = list({r for run in runs for r in run})
-        for r, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[r] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, run)), "<u4") for run in runs]
+        runs = [(x if "<|" in x else x.encode().lower().decode()).replace("\n", " ").split(" ") for x in texts]
+        found = [list(map(self.get, run)) for run in runs]
+        new: set[str] = set()
+        for run, ids in zip(runs, found, strict=True):
+            if None in ids:
+                new.update([r for r, x in zip(run, ids, strict=True) if x is None])
+        self._learn(new)
+        whole = ([self[r] if x is None else x for r, x in zip(run, ids, strict=True)] for run, ids in zip(runs, found, strict=True))
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in whole]
 
 
 @lru_cache(maxsize=1)
