@@ -228,7 +228,9 @@ CATALOGUE = {
     "coverage_metric": (coverage_metric, _with('select doc, round((max("end") - min(start)) / 65.0, 6) coverage, min(start) first_start, max("end") last_end from words group by 1', "words")),
     "beat_text": (beat_text, _with("""select w.doc, r.segment, string_agg(word, ' ' order by word_idx) beat_text from words w join (select doc, segment, sum(word_count) over w - word_count f, sum(word_count) over w - 1 l from starts window w as (partition by doc order by segment)) r
   on w.doc = r.doc and word_idx between f and least(l, f + 4) group by 1, 2""", "words", STARTS)),
-    "pause_budget": (pause_budget, None),
+    "pause_budget": (pause_budget, _with("""select doc, segment, (case when need > 0 and w > 0 then least(round_even(round_even(round_even(need * 1000 / 1.1, 0) * w / sw, 0) * 1.1, 0), 3000.0) else 0 end)::bigint pause_ms from (
+  select *, sum(w) over (partition by doc) sw from (select doc, segment, case when pause_weight >= 2 and segment <> max(segment) over (partition by doc) then pause_weight else 0 end w, 400.0::double * 0.9 - sum(wc) over (partition by doc) / 148.0::double * 60 need
+    from (select *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) wc from segments)))""", "segments")),
     "largest_remainder": (largest_remainder, _with("""select doc, segment, (1 + fl + (turn <= lft)::int)::bigint share from (select *, row_number() over (partition by doc order by ex - fl desc, segment) turn from (
   select *, floor(ex) fl, spare - sum(floor(ex)) over (partition by doc) lft from (select doc, segment, greatest(40 - count(*) over (partition by doc), 0) spare,
     greatest(40 - count(*) over (partition by doc), 0) * wc / sum(wc) over (partition by doc) ex from (select *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) wc from segments))))""", "segments")),

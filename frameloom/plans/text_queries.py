@@ -106,6 +106,7 @@ CATALOGUE = {
     "embedding_texts": (embedding_texts, "select p_partkey, case when p_partkey % 9 = 0 then '' else trim(p_name) end || ' | ' || trim(p_type) as text from part"),
     "event_ids": (event_ids, "select l_orderkey, l_linenumber, 'sha256:' || sha256('v1' || chr(10) || 'man_' || l_orderkey || chr(10) || (l_linenumber % 3) || chr(10) || printf('occ_%04d_%06d', l_linenumber % 3, l_linenumber) || chr(10) || 'asset_' || l_partkey) event_id from lineitem"),
     "recipe_fingerprint": (recipe_fingerprint, "select l_orderkey, 'rfp2:' || sha256(string_agg('sha256:' || sha256(l_partkey::varchar), '|' order by l_linenumber, l_partkey, l_suppkey)) fingerprint from lineitem group by 1"),
-    "first_sentences": (first_sentences, None),
+    "first_sentences": (first_sentences, """select doc, coalesce(nullif(regexp_extract(t, '^(.*?[.!?])\\s', 1), ''), t) sentence from (
+  select conv_id doc, trim(replace(text, chr(10), ' ')) t, row_number() over (partition by conv_id order by turn) n from conversations) where n = 1"""),
 }
 assert set(CTES)  # the shared table definitions are used by the other catalogues

@@ -139,6 +139,18 @@ def assignment_audit(spark: SparkSession, d: str) -> DataFrame:
     return picked.groupBy("group").agg((F.count("*") - F.countDistinct("vec_id")).alias("repeated"), F.count_if(F.col("duration_sec") + 0.05 < F.col("span")).alias("short"))
 
 
+#: Folds as recursive queries.
+MAXMIN="""with recursive cosines as (select a.label, a.vec_id a, b.vec_id b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) c from embeddings a join embeddings b on a.label = b.label),
+  picks as (select label, 1 pick, min(vec_id) vec_id, [min(vec_id)] chosen from embeddings group by label
+  union all select label, pick + 1, nxt, list_append(chosen, nxt) from (
+    select label, pick, chosen, arg_min(a, (m, a)) nxt from (select p.label, p.pick, p.chosen, c.a, max(c.c) m from picks p join cosines c on c.label = p.label and list_contains(p.chosen, c.b) and not list_contains(p.chosen, c.a) where p.pick < 10 group by all) group by all))
+  select label, pick::bigint pick, vec_id from picks"""
+KEPT="""with recursive numbered as (select label, vec_id, embedding::double[] v, row_number() over (partition by label order by vec_id) n from embeddings),
+  fold as (select label, n, [v] kept, 0 redundant from numbered where n = 1
+  union all select f.label, x.n, case when near then kept else list_append(kept, x.v) end, redundant + near::int from (
+    select f.*, x.v, x.n xn, list_max(list_transform(f.kept, lambda k: list_cosine_similarity(k, x.v))) >= 0.2 as near from fold f join numbered x on x.label = f.label and x.n = f.n + 1) f join numbered x on x.label = f.label and x.n = f.n + 1)
+  select label, redundant::bigint redundant, len(kept)::bigint kept from fold qualify row_number() over (partition by label order by n desc) = 1"""
+
 CATALOGUE = {
     "cosine_scores": (cosine_scores, f"with {SCORED} select query_id, vec_id, round(score, 6) score from scored"),
     "topk_per_query": (topk_per_query, f"with {SCORED}, {RANKED} select query_id, vec_id, round(score, 6) score, rank from ranked where rank <= 6"),
@@ -158,10 +170,10 @@ CATALOGUE = {
     "near_dup_pairs": (near_dup_pairs, f"select * from (select a.label, a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) where score >= {NEAR}"),
     "diversity_metrics": (diversity_metrics, f"select label, count(*) pairs, count_if(score >= 0.4)::bigint close_pairs, round(max(score), 6) worst from (select a.label, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) where score >= {NEAR} group by 1"),
     "leader_clusters": (leader_clusters, f"select label, count_if(not exists(select 1 from embeddings a where a.label = b.label and a.vec_id < b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= {NEAR}))::bigint clusters from embeddings b group by 1"),
-    "maxmin_select": (maxmin_select, None),
+    "maxmin_select": (maxmin_select, MAXMIN),
     "maxmin_medoid": (maxmin_medoid, None),
     "diverse_selection": (diverse_selection, None),
-    "kept_redundancy": (kept_redundancy, None),
+    "kept_redundancy": (kept_redundancy, KEPT),
     "assignment": (assignment, None),
     "greedy_pack": (greedy_pack, None),
     "assignment_audit": (assignment_audit, "select label \"group\", 0::bigint repeated, 0::bigint short from embeddings join part on vec_id = p_partkey group by 1"),
