@@ -15,7 +15,7 @@ equal places. The steps, each a Spark job whose result is a table in the shared
    answers which of them other chunks have too (a bitmap for each chunk);
 3. each chunk gives the bytes around its repeated anchors (a span, up to 84 bytes, for all suffixes
    of an anchor), equal spans of a chunk once, for their smallest id, dealt by the anchor's hash;
-   an anchor of very many chunks is dealt by its suffixes' own hashes instead, so that no task
+   an anchor with very many spans is dealt by its suffixes' own hashes instead, so that no task
    gets all places of a frequent string;
 4. a task per share of the hashes sorts the suffixes and answers which ones repeat;
 5. each chunk takes the answers and cuts its texts.
@@ -49,8 +49,8 @@ LENGTH, GRAM = 50, 16
 CHUNK_ROWS, BLOCK = 4000, 1 << 21
 #: Anchors of a range of hashes in step 2 and of a share in step 4, about.
 RANGE, SHARE = 500_000, 20_000
-#: An anchor in so many chunks is frequent.
-FREQUENT = 16
+#: An anchor with so many spans, each chunk's different ones counted, is frequent.
+FREQUENT = 2000
 NO_ID = (1 << 63) - 1
 
 
@@ -80,6 +80,11 @@ def window_hash(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return h
 
 
+def span_hash(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of spans, which are at least LENGTH and less than twice LENGTH bytes long."""
+    return _mix(_mix(window_hash(data, first), window_hash(data, first + size - LENGTH)), size.astype(np.uint64))
+
+
 def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts that end at ends: anchor hashes, and the first and last start of the suffixes of each."""
     n = len(data)
@@ -146,10 +151,13 @@ def _give_hashes(uri: str, names: list[str], ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in batch.column(0).to_pylist():
-                h = np.unique(Chunk(uri, names[c]).h)
+                chunk = Chunk(uri, names[c])
+                # Of each anchor the hash, and how many different spans it has here.
+                _, first = np.unique(_mix(chunk.h, span_hash(chunk.data, chunk.a, chunk.b - chunk.a + LENGTH)), return_index=True)
+                h, n = np.unique(chunk.h[first], return_counts=True)
                 cuts = np.searchsorted(_deal(h, ranges), np.arange(ranges + 1))
                 full = np.flatnonzero(cuts[1:] > cuts[:-1])
-                blobs = [pack(h[cuts[r] : cuts[r + 1]].view(np.int64)) for r in full]
+                blobs = [_pack_all([h[cuts[r] : cuts[r + 1]].view(np.int64), n[cuts[r] : cuts[r + 1]]]) for r in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), c)), pa.array(blobs, pa.binary())], names=["range", "chunk", "hashes"])
 
     return run
@@ -157,9 +165,10 @@ def _give_hashes(uri: str, names: list[str], ranges: int):
 
 def _answer_hashes(key: tuple, group: pa.Table) -> pa.Table:
     """Per chunk: 1 for an anchor that another chunk has too, 2 for a frequent one."""
-    hashes = [unpack(x) for x in group.column("hashes").to_pylist()]
+    hashes, spans = zip(*(_unpack_all(x)[0] for x in group.column("hashes").to_pylist()), strict=True)
     _, which, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    mark = ((counts >= 2).astype(np.uint8) + (counts >= FREQUENT))[which]
+    many = np.bincount(which, np.concatenate(spans)) >= FREQUENT
+    mark = ((counts >= 2).astype(np.uint8) + ((counts >= 2) & many))[which]
     parts = np.split(mark, np.cumsum([len(x) for x in hashes])[:-1])
     return pa.table({"chunk": group.column("chunk"), "range": group.column("range"), "marks": pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in parts], pa.binary()), "repeated": pa.array([int((x > 0).sum()) for x in parts], pa.int64())})
 
@@ -187,7 +196,7 @@ def _give_spans(uri: str, names: list[str], shares: int):
         row = np.concatenate([chunk.row[some], np.repeat(chunk.row[often], count)])
         h = np.concatenate([chunk.h[some], window_hash(chunk.data, single)])
         # Equal spans next to each other, the smallest id first; entry numbers a span's content.
-        content = _mix(_mix(window_hash(chunk.data, first), window_hash(chunk.data, first + size - LENGTH)), size.astype(np.uint64))
+        content = span_hash(chunk.data, first, size)
         order = np.lexsort((chunk.ids[row], content))
         new = np.ones(len(order), bool)
         new[1:] = content[order[1:]] != content[order[:-1]]
