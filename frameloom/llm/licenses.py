@@ -1,11 +1,12 @@
 """License scans by a positional index of rare tokens, in DataFrame functions only.
 
-The index holds the words of the notices below with their places. For each file
-the licence words that it has are ranked by their rarity in the corpus (inverse document
-frequency over all files), the rarest LOOKED_UP are looked up with their places in the file, and
-a notice's place in the file follows from each hit: file place less notice place. Where at least
-AGREE hits give the same place for the same notice, the notice is a candidate; it counts if its
-key phrase stands there word by word and at least COVERED of its words stand where they should.
+The index holds the words of the notices below with their places. The licence words are ranked
+by their rarity in the corpus (inverse document frequency over all files), and of each notice so many
+of the rarest are looked up, with all their places in the file, that wherever the notice holds AGREE of
+them stand, whichever words it lacks. A notice's place in the file follows from each hit: file place
+less notice place. Where at least AGREE hits give the same place for the same notice, the notice is a
+candidate; it counts if its key phrase stands there word by word and at least COVERED of its words
+stand where they should. No notice that holds is left out, however many others the file has.
 
 Base phrases are counted beside that, wherever their words stand consecutively. All steps are
 expressions on one row, so nothing is shuffled but the word frequencies, at most one row a
@@ -42,7 +43,7 @@ NOTICES = (
 )
 #: Words of notices that say nothing of licences.
 COMMON = tuple("a and any are as by can code for form forms in into is it of or person published source subject terms that the this to under use with without work you 0 2 3 4".split())
-LOOKED_UP, AGREE, COVERED = 8, 2, 0.8
+AGREE, COVERED = 2, 0.8
 
 #: What separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,7 +52,7 @@ SPAN, BEFORE = 1 << 40, 1 << 20
 
 
 def vocabulary() -> list[str]:
-    """The words that are looked up."""
+    """The licence words: those of notices that are not COMMON."""
     return sorted({w for _, notice, _ in NOTICES for w in notice.split()} - set(COMMON))
 
 
@@ -90,14 +91,31 @@ def word_rarity(files: DataFrame) -> dict[str, float]:
     return {w: float(n + 1) / (1 + df.get(w, 0)) for w in vocabulary()}
 
 
-def _candidates(words: Column, rarity: dict[str, float]) -> Column:
-    """Places that at least AGREE hits of the file's rarest licence words give to the same notice, as numbers."""
-    rarest_first = sorted(vocabulary(), key=lambda w: (-rarity[w], w))
-    # The order of this array is the order of rarity, and array_intersect keeps that of its first argument.
-    looked_up = F.slice(F.array_intersect(_strings(rarest_first), words), 1, LOOKED_UP)
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    hits = _let(looked_up, lambda few: F.filter(placed, lambda h: F.array_contains(few, h["w"])))
-    postings = {w: [(t, q) for t, (_, notice, _) in enumerate(NOTICES) for q, x in enumerate(notice.split()) if x == w] for w in vocabulary()}
+def looked_up(rarity: dict[str, float]) -> list[str]:
+    """Of each notice the fewest of its rarest words of which AGREE places stand wherever the notice holds."""
+    every: set[str] = set()
+    for _, notice, key in NOTICES:
+        words = notice.split()
+        start = len(notice[: notice.index(key)].split())
+        in_key = range(start, start + len(key.split()))  # these places always stand
+        lacking = max(m for m in range(len(words)) if (len(words) - m) / len(words) >= COVERED)
+        chosen: set[str] = set()
+        for word in sorted(set(words) - set(COMMON), key=lambda w: (-rarity[w], w)):
+            chosen.add(word)
+            places = [q for q, w in enumerate(words) if w in chosen]
+            sure = sum(q in in_key for q in places)
+            if sure + max(0, len(places) - sure - lacking) >= AGREE:
+                break
+        else:
+            raise ValueError(f"too few licence words in the notice: {notice}")
+        every |= chosen
+    return sorted(every)
+
+
+def _candidates(words: Column, chosen: list[str]) -> Column:
+    """Places that at least AGREE hits of the chosen licence words give to the same notice, as numbers."""
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(chosen))
+    postings = {w: [(t, q) for t, (_, notice, _) in enumerate(NOTICES) for q, x in enumerate(notice.split()) if x == w] for w in chosen}
     index = F.create_map(*(x for w, places in postings.items() for x in (F.lit(w), F.array(*(F.lit(t * SPAN + BEFORE - q).cast("long") for t, q in places)))))
     numbers = F.array_sort(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: p + h["i"]))))
     return _let(numbers, lambda all_: F.array_distinct(F.filter(all_, lambda x, i: x == F.get(all_, i - (AGREE - 1)))))
@@ -124,15 +142,15 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     names = [c for c in docs.columns if c not in new]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rarity = word_rarity(docs.select(words_of(text).alias("words")))
+    chosen = looked_up(word_rarity(docs.select(words_of(text).alias("words"))))
     files = docs.select(*names, text.alias("__text")).withColumn("__words", words_of(F.col("__text")))
     # Rows without a phrase's or notice's words skip the work on places.
     none = F.expr("cast(array() as array<int>)")
     lower = F.lower("__text")
     places = [F.when(lower.contains(phrase.split()[-1]), _phrase_places(F.col("__words"), phrase)).otherwise(none) for phrase, _ in BASE]
-    has = F.arrays_overlap("__words", _strings(vocabulary()))
+    has = F.arrays_overlap("__words", _strings(chosen))
     no_match = F.expr("cast(array() as array<struct<label: string, covered: double>>)")
-    files = files.select(*names, "__words", *(p.alias(f"__base{i}") for i, p in enumerate(places)), F.when(has, _candidates(F.col("__words"), rarity)).alias("__candidates"))
+    files = files.select(*names, "__words", *(p.alias(f"__base{i}") for i, p in enumerate(places)), F.when(has, _candidates(F.col("__words"), chosen)).alias("__candidates"))
     files = files.withColumn("__matches", F.when(F.size("__candidates") > 0, _matches(F.col("__words"), F.col("__candidates"))).otherwise(no_match))
     every = F.concat(*(f"__base{i}" for i in range(len(BASE))))
     labels = F.array_compact(F.array(*(F.when(F.size(f"__base{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE))))

@@ -135,6 +135,29 @@ def test_license_words_alone_are_no_notice(spark):
     assert out == {1: "", 2: "apache-2.0", 3: ""}
 
 
+NOTICE_BSD = next(notice for label, notice, _ in licenses.NOTICES if label == "bsd")
+
+
+def test_license_notices_do_not_displace_each_other(spark):
+    rows = [(k, f"a {NOTICE_BSD}. And {notice}; so it is") for k, (_, notice, _) in enumerate(licenses.NOTICES)]
+    rows.append((100, " and ".join(notice for _, notice, _ in licenses.NOTICES)))
+    out = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({"bsd", label} <= out[k] for k, (label, _, _) in enumerate(licenses.NOTICES))
+    assert out[100] >= {label for label, _, _ in licenses.NOTICES}
+
+
+def test_license_notices_hold_without_their_rarest_words(spark):
+    cases = []
+    for label, notice, key in licenses.NOTICES:
+        w, start = notice.split(), len(notice[: notice.index(key)].split())
+        lacking = max(m for m in range(len(w)) if (len(w) - m) / len(w) >= licenses.COVERED)
+        free = [q for q in range(len(w)) if not start <= q < start + len(key.split())]
+        free.sort(key=lambda q: (w[q] in licenses.COMMON, w[q]))  # licence words go first
+        cases.append((label, " ".join("x" if q in free[:lacking] else x for q, x in enumerate(w))))
+    out = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert all(label in out[k] for k, (label, _) in enumerate(cases))
+
+
 # ---- op3 -------------------------------------------------------------------------------------------
 
 
