@@ -2,15 +2,16 @@
 
 Four kinds of values are found by pattern (email, ip, card, phone). They are the protected
 entities. A term near such a value reveals it as far as knowing the term makes the value more
-likely: with N distinct windows of context around all entities, of which c are those of the entity e, the share of the
+likely: with N the sum of the rows that each entity has, of which c are those of the entity e, the share of the
 information -log(c/N) that the term t gives is
 
     disclosure(t, e) = log(P(e | t) / P(e)) / -log P(e),
 
 1 if the term occurs with that value only, 0 if it tells nothing. P(e | t) is the number of
-distinct windows of e with t over the number of documents with t in the whole corpus (never less
-than those windows). A term is removed from REMOVE on, generalised from GENERALISE on; it needs SUPPORT
-distinct windows, so copies of one document, and words that occur once, don't count as evidence.
+rows with t near e over the number of rows with t in the whole corpus; both count rows, so copies
+cancel. A term is removed from REMOVE on, generalised from GENERALISE on; it needs SUPPORT
+distinct texts, so copies of one document, and words that occur once, don't count as evidence, while
+a line that different documents share does.
 
 Offsets are code points, ends exclusive. Matches of a kind are leftmost and don't overlap; one that
 fails its check is dropped, without retries. Null and empty texts have no spans. Texts are read
@@ -119,7 +120,7 @@ def _term_hash(term: str) -> int:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, text_hash) as (doc_id, text_hash, base, contexts); contexts: entity, window, term, start, end."""
+    """docs (doc_id, text, text_hash) as (doc_id, text_hash, base, contexts); contexts: entity, term, start, end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,20 +130,19 @@ def find_base(docs: DataFrame) -> DataFrame:
                 contexts = []
                 for kind, start, end in spans:
                     near = context_terms(text, start, end, spans)
-                    window = _term_hash(" ".join(t for t, _, _ in near))
                     entity = _term_hash(f"{kind}:{text[start:end].lower()}")
-                    contexts += [{"entity": entity, "window": window, "term": _term_hash(t), "start": s, "end": e} for t, s, e in near]
+                    contexts += [{"entity": entity, "term": _term_hash(t), "start": s, "end": e} for t, s, e in near]
                 rows.append({"doc_id": doc_id, "text_hash": text_hash, "base": [{"kind": k, "start": s, "end": e} for k, s, e in spans], "contexts": contexts})
             yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, base array<struct<kind string, start int, end int>>, contexts array<struct<entity long, window long, term long, start int, end int>>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, base array<struct<kind string, start int, end int>>, contexts array<struct<entity long, term long, start int, end int>>")
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("contexts", pa.list_(pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("contexts", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
 
 
 def document_counts(texts: DataFrame) -> DataFrame:
-    """In how many documents (distinct rows) each term occurs, over whole texts: term, df."""
+    """In how many rows each term occurs, over whole texts: term, df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -153,7 +153,7 @@ def document_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                counts.update(set(WORD.findall(text.lower())))
+                counts.update({w.lower() for w in set(WORD.findall(text))})
             if len(counts) > 700_000:
                 yield out()
                 counts.clear()
@@ -165,18 +165,20 @@ def document_counts(texts: DataFrame) -> DataFrame:
 
 def disclosures(found: DataFrame, docs: DataFrame, uri: str, support: int = SUPPORT) -> DataFrame:
     """Terms that reveal a value, from the least threshold on: entity, term, disclosure."""
-    near = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.window", "c.term")
-    # Distinct windows first: a window that thousands of copies share is one piece of evidence.
-    windows = near.distinct()
-    joint = keep(windows.groupBy("entity", "term").agg(F.count("*").alias("joint")).where(F.col("joint") >= support), f"{uri}/joint")
-    per_entity = keep(windows.select("entity", "window").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")), f"{uri}/entities")
+    # Rows of a text first: copies count as rows, but are one piece of evidence.
+    pairs = F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"], c["term"])))
+    near = found.select("text_hash", F.explode(pairs).alias("c")).groupBy("c.entity", "c.term", "text_hash").agg(F.count("*").alias("n"))
+    both_in = near.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("texts"))
+    joint = keep(both_in.where(F.col("texts") >= support).drop("texts"), f"{uri}/joint")
+    entities = F.array_distinct(F.transform("contexts", lambda c: c["entity"]))
+    per_entity = keep(found.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), f"{uri}/entities")
     total = per_entity.agg(F.sum("n_entity").alias("n")).first()["n"]
     if joint.isEmpty():
         return joint.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
     counts = document_counts(docs).join(joint.select("term").distinct(), "term", "left_semi")
     both = joint.join(per_entity, "entity").join(counts, "term")
     p_entity = F.col("n_entity") / F.lit(float(total))
-    p_given = F.col("joint") / F.greatest("df", "joint")
+    p_given = F.col("joint") / F.col("df")
     score = F.when(p_entity >= 1, F.lit(0.0)).otherwise(F.log(p_given / p_entity) / -F.log(p_entity))
     return both.select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 

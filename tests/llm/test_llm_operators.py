@@ -373,6 +373,17 @@ def test_revealing_terms(spark):
     assert pii.sanitise(df, shared(spark)).columns == df.columns
 
 
+def test_copies_and_shared_lines_count_alike_in_disclosure(spark):
+    rows = [(10 * k + c, f"page {'abc'[k] * 4} by Quibbleford at quib@mail.example.com {'xyz'[k] * 4}") for k in range(3) for c in range(10)]
+    rows += [(100 + k, f"essay {chr(97 + k) * 5} stands here\nreach Wimbledorf at wim@mail.example.com") for k in range(5)]
+    rows += [(200 + k, f"page by person{k}@mail.example.com") for k in range(40)] + [(300 + k, "lonely Hapaxim at hap@mail.example.com") for k in range(9)]
+    out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), shared(spark)).collect()
+    texts = dict(rows)
+    terms = {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.terms if s.kind == "removed"} for r in out}
+    assert all("Quibbleford" in terms[k] for k in range(30)) and all("Wimbledorf" in terms[100 + k] for k in range(5))
+    assert all(not terms[300 + k] for k in range(9))
+
+
 def test_pii_of_nothing(spark, empty):
     assert pii.find_pii(empty, shared(spark)).count() == 0
 
