@@ -1,15 +1,16 @@
 """PII: personal data by pattern, and terms that give it away by corpus co-occurrence.
 
 Four kinds of values are found by pattern (email, ip, card, phone). They are the protected
-entities. A term near such a value reveals it as far as knowing the term makes the value more
+entities. A term in a text with such a value, wherever it stands, reveals it as far as knowing the term makes the value more
 likely: with N the sum of the rows that each entity has, of which c are those of the entity e, the share of the
 information -log(c/N) that the term t gives is
 
     disclosure(t, e) = log(P(e | t) / P(e)) / -log P(e),
 
 1 if the term occurs with that value only, 0 if it tells nothing. P(e | t) is the number of
-rows with t near e over the number of rows with t in the whole corpus; both count rows, so copies
-cancel. A term is removed from REMOVE on, generalised from GENERALISE on; it needs SUPPORT
+rows with t and e over the number of rows with t in the whole corpus; both count rows, so copies
+cancel. A term is removed from REMOVE on, generalised from GENERALISE on, at all its places in all
+texts, also those without the value, but for words within values; the strongest disclosure counts. It needs SUPPORT
 distinct texts, so copies of one document, and words that occur once, don't count as evidence, while
 a line that different documents share does.
 
@@ -25,14 +26,16 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import id_text, keep, shared_dir, small_batches, table
+from frameloom.llm.common import CACHE_ENTRIES, id_text, keep, open_fs, shared_dir, small_batches, table
 
 #: The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -42,12 +45,14 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
-#: Words of context on each side of a value, and the least letters of a term.
-CONTEXT, TERM_LETTERS = 5, 3
+#: The least letters of a term.
+TERM_LETTERS = 3
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 WORD = re.compile(r"[^\W\d_]{%d,}" % TERM_LETTERS)
-#: Characters that are looked at for the context's words; longer words are no terms.
-REACH = 160
+#: Slots of a worker's table of hashes. It is of this size for any number of them; what shares a slot by chance goes when counts are joined.
+SLOTS = 1 << 24
+#: A slot has the logarithm of a count, in STEP parts of a power of two; 0 is free.
+STEP, MOST = 8, 250
 #: What takes a span's place in the text.
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
@@ -103,16 +108,26 @@ def _join(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def context_terms(text: str, start: int, end: int, taken: list[Span]) -> list[tuple[str, int, int]]:
-    """Lower-cased words of the same line around a value, with their spans; words in other spans are left out."""
-    low = max(text.rfind("\n", 0, start) + 1, start - REACH)
-    line = text.find("\n", end)
-    high = min(line if line >= 0 else len(text), end + REACH)
-    before = list(WORD.finditer(text, low, start))[-CONTEXT:]
-    after = [m for m, _ in zip(WORD.finditer(text, end, high), range(CONTEXT), strict=False)]
-    # A word that the reach has cut is none.
-    words = [m for m in before + after if not (m.start() == low > 0 and text[low - 1].isalpha()) and not (m.end() == high < len(text) and text[high].isalpha())]
-    return [(m.group().lower(), *m.span()) for m in words if all(m.end() <= s or m.start() >= e for _, s, e in taken)]
+def terms_outside(text: str, taken: list[Span]) -> Iterator[re.Match]:
+    """The words of a text that no span overlaps."""
+    spans, k, reach = sorted((s, e) for _, s, e in taken), 0, 0
+    for m in WORD.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][1])
+            k += 1
+        if reach <= m.start():
+            yield m
+
+
+@lru_cache(maxsize=3)
+def _slots(uri: str) -> np.ndarray:
+    """The largest code of the hashes of each slot, from a stored table (hash, code)."""
+    filesystem, path = open_fs(uri)
+    table = np.zeros(SLOTS, np.uint8)
+    for batch in pyarrow.dataset.dataset(path, filesystem=filesystem, format="parquet").to_batches(columns=["hash", "code"]):
+        h, code = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        np.maximum.at(table, h & (SLOTS - 1), code.astype(np.uint8))
+    return table
 
 
 def _term_hash(term: str) -> int:
@@ -120,25 +135,22 @@ def _term_hash(term: str) -> int:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, text_hash) as (doc_id, text_hash, base, contexts); contexts: entity, term, start, end."""
+    """docs (doc_id, text, text_hash) as (doc_id, text_hash, base, entities, terms); terms: the distinct ones of a text with entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 spans = base_spans(text)
-                contexts = []
-                for kind, start, end in spans:
-                    near = context_terms(text, start, end, spans)
-                    entity = _term_hash(f"{kind}:{text[start:end].lower()}")
-                    contexts += [{"entity": entity, "term": _term_hash(t), "start": s, "end": e} for t, s, e in near]
-                rows.append({"doc_id": doc_id, "text_hash": text_hash, "base": [{"kind": k, "start": s, "end": e} for k, s, e in spans], "contexts": contexts})
+                entities = {_term_hash(f"{kind}:{text[start:end].lower()}") for kind, start, end in spans}
+                terms = {m.group().lower() for m in terms_outside(text, spans)} if spans else ()
+                rows.append({"doc_id": doc_id, "text_hash": text_hash, "base": [{"kind": k, "start": s, "end": e} for k, s, e in spans], "entities": list(entities), "terms": [_term_hash(t) for t in terms]})
             yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, base array<struct<kind string, start int, end int>>, contexts array<struct<entity long, term long, start int, end int>>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, base array<struct<kind string, start int, end int>>, entities array<long>, terms array<long>")
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("contexts", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64()))])
 
 
 def document_counts(texts: DataFrame) -> DataFrame:
@@ -163,24 +175,75 @@ def document_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def _pairs(found: DataFrame, entities_uri: str, terms_uri: str) -> DataFrame:
+    """Rows' pairs (entity, term, text_hash) of which the counts allow a disclosure of GENERALISE, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach, rarity = _slots(entities_uri), _slots(terms_uri)
+        for batch in batches:
+            for text_hash, entities, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = np.array(terms, np.int64)
+                code = rarity[t & (SLOTS - 1)].astype(np.int64)
+                t, size = t[code > 0], MOST - code[code > 0]
+                for e in entities:
+                    near = t[size < int(reach[e & (SLOTS - 1)])]
+                    if len(near):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), e)), pa.array(near), pa.array(np.full(len(near), text_hash))], names=["entity", "term", "text_hash"])
+
+    return found.where(F.size("terms") > 0).select("text_hash", "entities", "terms").mapInArrow(run, "entity long, term long, text_hash long")
+
+
 def disclosures(found: DataFrame, docs: DataFrame, uri: str, support: int = SUPPORT) -> DataFrame:
-    """Terms that reveal a value, from the least threshold on: entity, term, disclosure."""
+    """Terms that reveal a value, from the least threshold on, with the largest disclosure: term, disclosure."""
     # Rows of a text first: copies count as rows, but are one piece of evidence.
-    pairs = F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"], c["term"])))
-    near = found.select("text_hash", F.explode(pairs).alias("c")).groupBy("c.entity", "c.term", "text_hash").agg(F.count("*").alias("n"))
+    of_text = found.select("text_hash", F.explode("entities").alias("entity")).groupBy("entity", "text_hash").agg(F.count("*").alias("n"))
+    every = keep(of_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")), f"{uri}/entities")
+    total = float(every.agg(F.sum("n_entity")).first()[0] or 0)
+    # P(e | t) is at most c / df, so a disclosure of GENERALISE needs df <= c * (N / c) ** (1 - GENERALISE).
+    n = F.col("n_entity")
+    step = lambda c: F.floor(F.log2(c) * STEP + 1e-6)
+    most = n * F.pow(F.lit(total) / n, F.lit(1 - GENERALISE))
+    able = every.where((F.col("texts") >= support) & (n < total)).select(F.col("entity").alias("hash"), "n_entity", most.alias("most"))
+    able = keep(able.withColumn("code", F.least(F.lit(255), 1 + step(F.col("most"))).cast("int")), f"{uri}/able")
+    highest = able.agg(F.max("most")).first()[0]
+    if highest is None:
+        return able.select(F.col("hash").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
+    counts = document_counts(docs).where((F.col("df") >= support) & (F.col("df") <= highest + 1))
+    counts = keep(counts.select(F.col("term").alias("hash"), "df", F.greatest(F.lit(1), MOST - step(F.col("df"))).cast("int").alias("code")), f"{uri}/counts")
+    near = _pairs(found, f"{uri}/able", f"{uri}/counts").groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
     both_in = near.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("texts"))
     joint = keep(both_in.where(F.col("texts") >= support).drop("texts"), f"{uri}/joint")
-    entities = F.array_distinct(F.transform("contexts", lambda c: c["entity"]))
-    per_entity = keep(found.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), f"{uri}/entities")
-    total = per_entity.agg(F.sum("n_entity").alias("n")).first()["n"]
-    if joint.isEmpty():
-        return joint.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
-    counts = document_counts(docs).join(joint.select("term").distinct(), "term", "left_semi")
-    both = joint.join(per_entity, "entity").join(counts, "term")
-    p_entity = F.col("n_entity") / F.lit(float(total))
-    p_given = F.col("joint") / F.col("df")
-    score = F.when(p_entity >= 1, F.lit(0.0)).otherwise(F.log(p_given / p_entity) / -F.log(p_entity))
-    return both.select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    both = joint.join(counts.select(F.col("hash").alias("term"), "df"), "term").join(able.select(F.col("hash").alias("entity"), "n_entity"), "entity")
+    p_entity = F.col("n_entity") / F.lit(total)
+    score = F.log(F.col("joint") / F.col("df") / p_entity) / -F.log(p_entity)
+    return both.select("term", score.alias("disclosure")).where(F.col("disclosure") >= GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def places(docs: DataFrame, terms_uri: str) -> DataFrame:
+    """All places of the stored terms in docs (doc_id, text, text_hash), and of few others: doc_id, text_hash, term, start, end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _slots(terms_uri)
+        known: dict[str, bool] = {}
+        for batch in batches:
+            rows = []
+            for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = set(WORD.findall(text))
+                for w in words:
+                    if w not in known:
+                        known[w] = bool(table[_term_hash(w.lower()) & (SLOTS - 1)])
+                if any(map(known.__getitem__, words)):
+                    found = ((m, _term_hash(m.group().lower())) for m in terms_outside(text, base_spans(text)) if known[m.group()])
+                    rows += [{"doc_id": doc_id, "text_hash": text_hash, "term": t, "start": m.start(), "end": m.end()} for m, t in found]
+                if len(known) > CACHE_ENTRIES:
+                    known.clear()
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_PLACES)
+
+    return docs.mapInArrow(run, "doc_id long, text_hash long, term long, start int, end int")
+
+
+_PLACES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def find_pii(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,19 +253,18 @@ def find_pii(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str =
     tables go to the shared folder uri.
     """
     plain = id_text(docs, id_col, text_col)
-    found = keep(find_base(plain.withColumn("text_hash", F.xxhash64("text"))), f"{uri}/found")
-    strong = keep(disclosures(found, plain, uri), f"{uri}/strong")
+    hashed = plain.withColumn("text_hash", F.xxhash64("text"))
+    found = keep(find_base(hashed), f"{uri}/found")
+    strong = keep(disclosures(found, plain, uri).withColumnRenamed("term", "hash").withColumn("code", F.lit(1)), f"{uri}/strong")
+    empty = F.expr("cast(array() as array<struct<kind string, start int, end int>>)")
     if strong.isEmpty():
-        none = F.expr("cast(array() as array<struct<kind string, start int, end int>>)")
-        return found.select("doc_id", "text_hash", "base", none.alias("terms"))
-    # A row is named by its id and text; equal rows have equal spans, so one of them is enough.
-    near = found.where(F.size("contexts") > 0).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.*")
-    hits = near.join(strong, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("d"))
-    kind = F.when(F.col("d") >= REMOVE, "removed").otherwise("term")
-    spans = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "start", "end"))).alias("terms"))
+        return found.select("doc_id", "text_hash", "base", empty.alias("terms"))
+    kind = F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("term")
+    hits = places(hashed, f"{uri}/strong").join(strong.select(F.col("hash").alias("term"), kind.alias("kind")), "term")
+    # A row is named by its id and text; equal rows have equal spans, which the set holds once.
+    spans = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("terms"))
     same = [F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("f.text_hash") == F.col("s.text_hash")]
     joined = found.select("doc_id", "text_hash", "base").alias("f").join(spans.alias("s"), same, "left")
-    empty = F.expr("cast(array() as array<struct<kind string, start int, end int>>)")
     return joined.select("f.doc_id", "f.text_hash", "base", F.coalesce("terms", empty).alias("terms"))
 
 

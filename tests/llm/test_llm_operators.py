@@ -384,6 +384,16 @@ def test_copies_and_shared_lines_count_alike_in_disclosure(spark):
     assert all(not terms[300 + k] for k in range(9))
 
 
+def test_revealing_terms_go_wherever_they_stand(spark):
+    far = " ".join(["common words stand around here"] * 20)
+    rows = [(k, f"Dear Quibbleford\n{far} {'abc'[k % 3] * 4}{'xyz'[k // 3] * 4}\nreach quib@mail.example.com, says QUIBBLEFORD") for k in range(9)]
+    rows += [(20, f"Quibbleford and {far}")] + [(200 + k, f"{far} by person{k}@mail.example.com") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, shared(spark)).collect()}
+    assert not any("quibbleford" in t.lower() for t in clean.values())
+    assert all("common words stand around here" in t for t in clean.values()) and clean[20].endswith(f" and {far}")
+
+
 def test_pii_of_nothing(spark, empty):
     assert pii.find_pii(empty, shared(spark)).count() == 0
 
