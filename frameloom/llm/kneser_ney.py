@@ -1,32 +1,38 @@
-"""Interpolated modified Kneser-Ney bigrams, counted in Spark and stored as sorted arrays.
+"""Interpolated modified Kneser-Ney n-grams of order 1 to 3, counted in Spark, stored as sorted hash arrays.
 
-Counting runs in three Spark jobs, each over all training texts or over what they gave:
+Counting runs in Spark jobs over all training texts or over what an earlier job gave:
 
 1. words: every task counts the 64-bit hashes of its words, Spark adds the counts up and one
    task per range of hashes writes its part of the vocabulary, hashes ascending. A word's id is
    its rank over all parts.
-2. bigrams: every task counts pairs of ids. A pair (u, v) lies at the place
-   ``before[u] + count[u] * before[v] / total`` of 0..total, which grows with (u, v) and is even in
-   tokens, so cutting 0..total into equal shards keeps the order and splits the pairs of a very
-   frequent u. One task per shard adds up, sorts and writes the shard: 8 bytes a key, one byte a
-   count (larger counts aside).
-3. contexts: sums over a first word's pairs and numbers of distinct left neighbours of a second
-   word, added up by id and written as dense arrays.
-
-Scoring tasks memory-map these files and look the tokens of a batch up by binary search. Every
-file is written as a whole and is the same whichever executor writes it, so lost executors cost
-repeated tasks only. With all pairs in the model the size grows with the corpus; nothing is pruned.
+2. grams: every task counts triples of ids (u, v, w). They are dealt out by the place of v in
+   0..total, ``before[v] + count[v] / 2``, so that all triples of v meet in one shard of about
+   SHARD_TOKENS tokens. There the context sums of (u, v) and the left neighbours of (v, w) are
+   complete. A v that has more tokens than a shard is hot: its triples are spread by a hash of
+   (u, w), and its sums are added up by
+3. a job over the hot words' partial sums, dealt out by a hash of (u, v) and of (v, w).
+4. contexts: sums by v, and numbers of distinct left neighbours of w, as dense arrays by id.
+
+A shard is three tables of sorted hashes: the upper bits of a hash name a bucket of about 16
+entries, the next 32 bits are stored, so a gram that was never counted is taken for another with a
+chance of about 4e-9. Contexts that occur once have no entry: their sums follow from the pair.
+Scoring tasks memory-map the tables. Every file is written as a whole and is the same whichever
+executor writes it, so lost executors cost repeated tasks only. Nothing is pruned: the size grows
+with the corpus. Where the shared folder is no mounted one, files are read, and at most READ_BYTES
+of them are kept.
 
 Tokens are runs without ASCII white space, A-Z lower-cased, then one end, which also stands
-before the first word. A null text is empty and scores its end alone. Without training texts
-every probability is that of one unknown word, 1. Long texts are read whole, repeated rows count
-each time. Other columns are ignored, so clashing names don't matter.
+(twice) before the first word; pairs that begin with it keep their plain counts, as nothing can
+stand before them. At order 2 u is left out, at order 1 words stand alone. A null text is empty and
+scores its end alone. Without training texts every probability is that of one unknown word, 1. Long
+texts are read whole, repeated rows count each time; there are no ties. Other columns are carried,
+those named like a new one are replaced.
 """
 
 from __future__ import annotations
 
 import json
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,15 +42,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import crc_mod, get_array, id_text, keep, open_fs, pack, per_text, put_array, put_bytes, shared_dir, small_batches, table, unpack
+from frameloom.llm import deal
+from frameloom.llm.common import crc_mod, get_array, id_text, keep, open_fs, per_text, put_array, put_bytes, shared_dir, small_batches, table
 
 #: The end of a text; no word has white space.
 END = b"\n"
-#: Words of a vocabulary part and tokens of a bigram shard, about.
-PART_WORDS, SHARD_TOKENS = 1 << 18, 1 << 21
-#: Token pairs a task holds before it adds them up.
-FLUSH = 1 << 20
+ORDER = 3
+#: Words of a vocabulary part and tokens of a shard, about.
+PART_WORDS, SHARD_TOKENS = 1 << 20, 1 << 21
+#: Tokens a task holds before it adds them up.
+FLUSH = 1 << 22
 CACHE_WORDS = 200_000
+#: Bytes of files that a worker keeps in memory where the shared folder isn't mounted.
+READ_BYTES = 1 << 28
+#: Texts in one batch of scoring.
+SCORE_ROWS = 512
 ADD = 0.1
 
 
@@ -83,7 +95,8 @@ def _write_words(uri: str):
         order = np.argsort(h)
         put_array(f"{uri}/words-{part:06d}.hash", h[order])
         put_array(f"{uri}/words-{part:06d}.count", n[order])
-        return pa.table({"part": pa.array([part], pa.int32()), "words": pa.array([len(h)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
+        hot = int(n[n > SHARD_TOKENS].sum())
+        return pa.table([pa.array([x], pa.int64()) for x in (part, len(h), int(n.sum()), hot)], names=["part", "words", "tokens", "hot"])
 
     return run
 
@@ -94,21 +107,22 @@ class Vocabulary:
     def __init__(self, uri: str):
         self.meta = _meta(uri, "words")
         parts = self.meta["parts"]
-        self.first = np.cumsum([0, *(n for _, n in parts)])
-        self.hash = [get_array(f"{uri}/words-{p:06d}.hash", np.int64) for p, _ in parts]
-        self.count = [get_array(f"{uri}/words-{p:06d}.count", np.int64) for p, _ in parts]
+        self.first = np.cumsum([0, *(p[1] for p in parts)])
+        self.before = np.cumsum([0, *(p[2] for p in parts)])
+        self.hash = [get_array(f"{uri}/words-{p[0]:06d}.hash", np.int64) for p in parts]
+        self.count = [get_array(f"{uri}/words-{p[0]:06d}.count", np.int64) for p in parts]
         self.lows = np.array([h[0] for h in self.hash], np.int64)
         self.cache: dict[bytes, int] = {}
+        self.end = int(self.ids([END])[0])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of hashes, -1 for unknown ones."""
         out = np.full(len(h), -1, np.int64)
         which = np.searchsorted(self.lows, h, "right") - 1
-        for p in np.unique(which[which >= 0]):
-            own = np.flatnonzero(which == p)
-            at = np.minimum(np.searchsorted(self.hash[p], h[own]), len(self.hash[p]) - 1)
-            hit = self.hash[p][at] == h[own]
-            out[own[hit]] = self.first[p] + at[hit]
+        for p, own in _groups(which):
+            if p >= 0:
+                at = np.minimum(np.searchsorted(self.hash[p], h[own]), len(self.hash[p]) - 1)
+                out[own] = np.where(self.hash[p][at] == h[own], self.first[p] + at, -1)
         return out
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -124,16 +138,28 @@ class Vocabulary:
         return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        return _dense(self.count, self.first, ids)
-
-
-def _dense(parts: list[np.ndarray], first: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Values at ids of arrays that follow each other; 0 at -1."""
-    out = np.zeros(len(ids), parts[0].dtype if parts else np.int64)
-    which = np.searchsorted(first, ids, "right") - 1
-    for p in np.unique(which[ids >= 0]):
-        own = np.flatnonzero((which == p) & (ids >= 0))
-        out[own] = parts[p][ids[own] - first[p]]
+        return dense(self.count, self.first, ids)
+
+
+def _groups(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number with the places where it stands."""
+    if not len(numbers):
+        return
+    low = int(numbers.min())
+    small = (numbers - low).astype(np.uint16) if int(numbers.max()) - low < 1 << 16 else numbers
+    order = np.argsort(small, kind="stable")
+    ends = np.flatnonzero(np.r_[True, np.diff(numbers[order]) != 0, True])
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield int(numbers[order[a]]), order[a:b]
+
+
+def dense(parts: list[np.ndarray], first: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Values (or rows) at ids of arrays that follow each other; 0 at -1."""
+    shape = parts[0].shape[1:] if parts else ()
+    out = np.zeros((len(ids), *shape), parts[0].dtype if parts else np.int64)
+    for p, own in _groups(np.searchsorted(first, ids, "right") - 1):
+        if p >= 0:
+            out[own] = parts[p][ids[own] - first[p]]
     return out
 
 
@@ -149,48 +175,133 @@ def vocabulary(uri: str) -> Vocabulary:
 
 
 def count_words(texts: DataFrame, uri: str) -> dict:
-    """Write the vocabulary of a column of texts; its parts, words and tokens."""
+    """Write the vocabulary of a column of texts; its parts (number, words, tokens), words, tokens, and tokens of hot words."""
     counted = texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counted = keep(counted, f"{uri}/word_counts")
     parts = max(1, -(-counted.count() // PART_WORDS))
     # Hashes are even over 64 bits, so equal ranges of their upper 32 bits hold about as many words each.
     part = ((F.shiftright("h", 32) + F.lit(1 << 31)) * F.lit(parts) / F.lit(1 << 32)).cast("int")
-    written = counted.withColumn("part", part).groupBy("part").applyInArrow(_write_words(uri), "part int, words long, tokens long")
+    written = counted.withColumn("part", part).groupBy("part").applyInArrow(_write_words(uri), "part long, words long, tokens long, hot long")
     rows = sorted(tuple(r) for r in keep(written, f"{uri}/word_parts").collect())
-    meta = {"parts": [r[:2] for r in rows], "words": sum(r[1] for r in rows), "tokens": sum(r[2] for r in rows)}
+    words, seen, hot = (sum(r[i] for r in rows) for i in (1, 2, 3))
+    if words >= 1 << 31:
+        raise ValueError("more than 2**31 words")
+    meta = {"parts": [r[:3] for r in rows], "words": words, "tokens": seen, "hot": hot}
     put_bytes(f"{uri}/words.json", json.dumps(meta).encode())
     return meta
 
 
-# ---- bigrams --------------------------------------------------------------------------------
+# ---- tables of hashes -----------------------------------------------------------------------
+
+
+def gram_hash(*ids: np.ndarray) -> np.ndarray:
+    h = np.uint64(0x9E3779B97F4A7C15)
+    for x in ids:
+        h = (h ^ x.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x165667B19E3779F9)
+        h = h ^ h >> np.uint64(29)
+    return h
+
+
+def put_table(base: str, h: np.ndarray, values: np.ndarray) -> None:
+    """Rows of small counts by hash: bucket bounds, 32 bits of each hash, counts of one byte, and the larger counts."""
+    order = np.argsort(h)
+    h, values = h[order], values[order]
+    bits = max(1, len(h).bit_length() - 4)
+    flat = np.ascontiguousarray(values, np.int64).ravel()
+    many = np.flatnonzero(flat >= 255)
+    put_array(f"{base}.bounds", np.searchsorted(h >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64)).astype(np.uint32))
+    put_array(f"{base}.hash", (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32))
+    put_array(f"{base}.count", np.minimum(flat, 255).astype(np.uint8))
+    put_array(f"{base}.many", np.stack([many, flat[many]]))
+
+
+class Table:
+    """A stored table of hashes."""
+
+    def __init__(self, base: str, width: int):
+        self.bounds, self.hash = (get_array(f"{base}.{name}", np.uint32) for name in ("bounds", "hash"))
+        self.count = get_array(f"{base}.count", np.uint8).reshape(-1, width)
+        self.many = get_array(f"{base}.many", np.int64).reshape(2, -1)
+        self.bits, self.width = max(1, (len(self.bounds) - 1).bit_length() - 1), width
+        self.steps = int(np.diff(self.bounds.astype(np.int64)).max(initial=0)).bit_length()
+        self.bytes = sum(0 if isinstance(a, np.memmap) else a.nbytes for a in (self.bounds, self.hash, self.count, self.many))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The counts of each hash, 0 where it has none."""
+        out = np.zeros((len(h), self.width), np.int64)
+        if not len(self.hash):
+            return out
+        bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        want = (h << np.uint64(self.bits) >> np.uint64(32)).astype(np.uint32)
+        low, end = self.bounds[bucket].astype(np.int64), self.bounds[bucket + 1].astype(np.int64)
+        high = end
+        for _ in range(self.steps):
+            mid = (low + high) >> 1
+            less = (low < high) & (self.hash[np.minimum(mid, len(self.hash) - 1)] < want)
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+        at = np.minimum(low, len(self.hash) - 1)
+        hit = np.flatnonzero((low < end) & (self.hash[at] == want))
+        own = self.count[at[hit]].astype(np.int64)
+        rows, columns = np.nonzero(own == 255)
+        if len(rows):
+            own[rows, columns] = self.many[1][np.searchsorted(self.many[0], at[hit][rows] * self.width + columns)]
+        out[hit] = own
+        return out
+
+
+class Tables:
+    """The tables of a model by name and shard; those that had to be read are kept up to READ_BYTES."""
+
+    def __init__(self, uri: str):
+        self.uri, self.open, self.bytes = uri, OrderedDict(), 0
+
+    def find(self, name: str, shard: int, h: np.ndarray, width: int) -> np.ndarray:
+        key = (name, shard)
+        if key not in self.open:
+            base = f"{self.uri}/{name}-{shard:07d}"
+            filesystem, path = open_fs(f"{base}.bounds")
+            self.open[key] = Table(base, width) if filesystem.get_file_info(path).is_file else None
+            self.bytes += self.open[key].bytes if self.open[key] else 0
+        self.open.move_to_end(key)
+        while self.bytes > READ_BYTES and len(self.open) > 1:
+            old = self.open.popitem(last=False)[1]
+            self.bytes -= old.bytes if old else 0
+        found = self.open[key]
+        return found.find(h) if found else np.zeros((len(h), width), np.int64)
+
+
+# ---- counting grams -------------------------------------------------------------------------
 
 
 class Layout:
-    """Where a pair of ids is stored."""
+    """Which shard a triple of ids, and a hot word's sums, are stored in."""
 
     def __init__(self, words: Vocabulary):
-        self.words = words
-        self.total = words.meta["tokens"]
+        self.words, self.total = words, words.meta["tokens"]
         self.shards = max(1, -(-self.total // SHARD_TOKENS))
-        sums = np.cumsum([0, *(int(np.sum(c)) for c in words.count)])
-        # Tokens before each word; 8 bytes a word, kept by part and only for parts that are used.
-        self.before = [None] * len(words.count)
-        self.sums = sums
-
-    def _before(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.float64)
-        which = np.searchsorted(self.words.first, ids, "right") - 1
-        for p in np.unique(which):
-            if self.before[p] is None:
-                c = self.words.count[p]
-                self.before[p] = np.cumsum(c) - c + self.sums[p]
-            own = np.flatnonzero(which == p)
-            out[own] = self.before[p][ids[own] - self.words.first[p]]
-        return out
-
-    def shard(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        place = self._before(u) + self.words.counts(u) * (self._before(v) / self.total)
-        return np.minimum(place * (self.shards / self.total), self.shards - 1).astype(np.int32)
+        self.hot_shards = max(1, -(-words.meta["hot"] // SHARD_TOKENS))
+        self.known: dict[int, np.ndarray] = {}
+
+    def _tokens(self, p: int) -> np.ndarray:
+        """Of the words of a part the tokens before each, and its own; computed once a worker and part."""
+        if p not in self.known:
+            c = self.words.count[p]
+            self.known[p] = np.stack([np.cumsum(c) - c + self.words.before[p], c], axis=1).astype(np.float64)
+        return self.known[p]
+
+    def shard(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shard of each triple, and whether v is hot."""
+        place = np.zeros((len(v), 2))
+        for p, own in _groups(np.searchsorted(self.words.first, v, "right") - 1):
+            place[own] = self._tokens(p)[v[own] - self.words.first[p]]
+        hot, share = place[:, 1] > SHARD_TOKENS, np.full(len(v), 0.5)
+        share[hot] = gram_hash(u[hot], w[hot]) / 2.0**64
+        at = (place[:, 0] + place[:, 1] * share) * (self.shards / self.total)
+        return np.minimum(at, self.shards - 1).astype(np.int64), hot
+
+    def hot_shard(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) * np.uint64(self.hot_shards) >> np.uint64(32)).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -198,25 +309,55 @@ def layout(uri: str) -> Layout:
     return Layout(vocabulary(uri))
 
 
-def _count_pairs(uri: str):
+def _added(first: np.ndarray, second: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (first, second) below 2**32 each, once each in ascending order, with the sums of their values."""
+    key = first << 32 | second
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    sums = [np.add.reduceat(x[order], new) if len(new) else x[:0] for x in values]
+    return [key[new] >> 32, key[new] & 0xFFFFFFFF, *sums]
+
+
+def _kinds(n: np.ndarray, weight: np.ndarray | None = None) -> list[np.ndarray]:
+    """Of counts: themselves, and whether they are 1, 2, 3 or more."""
+    return [n, *(x.astype(np.int64) for x in (n == 1, n == 2, n >= 3))]
+
+
+def _by(ids: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of values by id."""
+    return [x for i, x in enumerate(_added(np.zeros_like(ids), ids, values)) if i > 0]
+
+
+def _add_triples(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Triples once each, ordered by v and u, with their counts; and the number of their context (u, v)."""
+    key = v << 32 | u
+    contexts, at = np.unique(key, return_inverse=True)
+    at, w, n = _added(at.astype(np.int64), w, [n])
+    return [contexts[at] & 0xFFFFFFFF, contexts[at] >> 32, w, n, at]
+
+
+def _count_grams(uri: str, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, places = vocabulary(uri), layout(uri)
+        wide = deal.width(places.shards)
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            shard = places.shard((keys >> 32).astype(np.int64), (keys & 0xFFFFFFFF).astype(np.int64))
-            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])  # shards ascend with the keys
-            blobs = [(pack(keys[a:b]), pack(n[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), pa.array([k for k, _ in blobs], pa.binary()), pa.array([c for _, c in blobs], pa.binary())], names=["shard", "keys", "counts"])
+            u, v, w = np.concatenate(held, axis=1)
+            u, v, w, n, _ = _add_triples(u, v, w, np.ones(len(u), np.int64))
+            return deal.batch(*deal.cut(places.shard(u, v, w)[0], [v, u, w, n], wide))
 
         for batch in batches:
-            flat = [END]
+            flat: list[bytes] = []
+            lengths = []
             for text in batch.column(0).to_pylist():
-                flat += tokens(text)
-            a = words.ids(flat)
-            held.append(a[:-1] << 32 | a[1:])  # the end of the text before stands before the first word
-            if sum(map(len, held)) > FLUSH:
+                one = tokens(text)
+                flat += one
+                lengths.append(len(one))
+            if flat:
+                held.append(np.stack(_triples(words.ids(flat), np.array(lengths), words.end, order)))
+            if sum(x.shape[1] for x in held) > FLUSH:
                 yield out()
                 held.clear()
         if held:
@@ -225,47 +366,111 @@ def _count_pairs(uri: str):
     return run
 
 
-def _write_shard(uri: str):
+def _triples(w: np.ndarray, lengths: np.ndarray, end: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, w) of every token of texts that follow each other; what the order leaves out is the end."""
+    starts = np.cumsum(lengths) - lengths
+    v = np.r_[end, w[:-1]]
+    v[starts] = end
+    u = np.r_[end, v[:-1]]
+    u[starts] = end
+    return (np.full(len(w), end), v, w) if order == 2 else (u, v, w)
+
+
+#: Rows of the counting jobs: kind 0 has numbers of counts 1 to 4 (grams', then pairs'); 1 and 2 are hot words' partial sums of contexts
+#: and pairs, dealt out to hot shards; 3 and 4 are sums by v and left neighbours by w, dealt out to parts of the vocabulary.
+_ROWS = "kind int, key long, block binary"
+
+
+class _Out:
+    """Collects the rows of a counting task."""
+
+    def __init__(self, places: Layout):
+        self.places, self.kind, self.key, self.block = places, [], [], []
+
+    def add(self, kind: int, targets: np.ndarray, columns: list[np.ndarray], n: int) -> None:
+        keys, blocks = deal.cut(targets, columns, deal.width(n))
+        self.kind += [kind] * len(keys)
+        self.key += keys
+        self.block += blocks
+
+    def lower(self, v: np.ndarray, w: np.ndarray, left: np.ndarray) -> None:
+        """Complete pairs: their sums by v, and left neighbours by w."""
+        first, parts = self.places.words.first, len(self.places.words.hash)
+        part = lambda ids: np.searchsorted(first, ids, "right") - 1
+        by_v, *sums = _by(v, _kinds(left))
+        self.add(3, part(by_v), [by_v, *sums], parts)
+        by_w, n = _by(w, [np.ones(len(w), np.int64)])
+        self.add(4, part(by_w), [by_w, n], parts)
+
+    def numbers(self, grams: np.ndarray, pairs: np.ndarray) -> None:
+        self.kind.append(0)
+        self.key.append(0)
+        self.block.append(np.array([int((x == i).sum()) for x in (grams, pairs) for i in (1, 2, 3, 4)], np.int64).tobytes())
+
+    def table(self) -> pa.Table:
+        return pa.table([pa.array(self.kind, pa.int32()), pa.array(self.key, pa.int64()), pa.array(self.block, pa.binary())], names=["kind", "key", "block"])
+
+
+def _put_sums(base: str, u: np.ndarray, v: np.ndarray, sums: list[np.ndarray]) -> None:
+    """Store the sums of contexts; those that occur once are left out."""
+    more = sums[0] > 1
+    put_table(base, gram_hash(v[more], u[more]), np.stack([x[more] for x in sums], axis=1))
+
+
+def _write_grams(uri: str, order: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        k, n = (np.concatenate([unpack(x) for x in group.column(c).to_pylist()]) for c in ("keys", "counts"))
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        k, n = k[first], np.add.reduceat(n.astype(np.int64), first)
-        many = np.flatnonzero(n >= 255)
-        put_array(f"{uri}/pairs-{shard:06d}.key", k)
-        put_array(f"{uri}/pairs-{shard:06d}.count", np.minimum(n, 255).astype(np.uint8))
-        put_array(f"{uri}/pairs-{shard:06d}.many", np.stack([many, n[many]]))
-        u, v = k >> 32, k & 0xFFFFFFFF
-        # kind 0: of a first word its tokens and its pairs with counts 1, 2, 3 or more; 1: pairs of a second word; 2: pairs with counts 1 to 4.
-        starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-        sums = [np.add.reduceat(x.astype(np.int64), starts) for x in (n, n == 1, n == 2, n >= 3)]
-        seconds, left = np.unique(v, return_counts=True)
-        zeros = np.zeros(len(seconds), np.int64)
-        all_counts = [[int((n == i).sum())] for i in (1, 2, 3, 4)]
-        columns = [np.concatenate(x) for x in zip([u[starts], *sums], [seconds, left.astype(np.int64), zeros, zeros, zeros], [[0], *all_counts], strict=True)]
-        kind = np.repeat(np.array([0, 1, 2], np.int8), [len(starts), len(seconds), 1])
-        return pa.table([pa.array(kind), *map(pa.array, columns)], names=["kind", "id", "a", "b", "c", "d"])
+        shard, places = key[0].as_py(), layout(uri)
+        v, u, w, n = deal.gather(group.column("block").to_pylist())
+        u, v, w, n, at = _add_triples(u, v, w, n)
+        put_table(f"{uri}/grams-{shard:07d}", gram_hash(u, v, w), n)
+        out, hot = _Out(places), places.shard(u, v, w)[1]
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        sums = [np.add.reduceat(x, new) for x in _kinds(n)]
+        cu, cv, often = u[new], v[new], hot[new]
+        _put_sums(f"{uri}/contexts-{shard:07d}", cu[~often], cv[~often], [x[~often] for x in sums])
+        out.add(1, places.hot_shard(gram_hash(cv[often], cu[often])), [cv[often], cu[often], *(x[often] for x in sums)], places.hot_shards)
+        # A pair that begins with the end keeps its count; any other counts what stands before it.
+        pv, pw, left = _added(v, w, [np.where(v == places.words.end, n, 1)])
+        often = np.isin(pv, v[hot])
+        if order == 3:
+            put_table(f"{uri}/pairs-{shard:07d}", gram_hash(pv[~often], pw[~often]), left[~often])
+        out.lower(pv[~often], pw[~often], left[~often])
+        out.add(2, places.hot_shard(gram_hash(pv[often], pw[often])), [pv[often], pw[often], left[often]], places.hot_shards)
+        out.numbers(n, left[~often])
+        return out.table()
+
+    return run
+
+
+def _write_hot(uri: str, order: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        pairs, shard, places = key[0].as_py() == 2, key[1].as_py(), layout(uri)
+        v, x, *sums = deal.gather(group.column("block").to_pylist())
+        v, x, *sums = _added(v, x, sums)
+        out = _Out(places)
+        if pairs:
+            if order == 3:
+                put_table(f"{uri}/hot_pairs-{shard:07d}", gram_hash(v, x), sums[0])
+            out.lower(v, x, sums[0])
+            out.numbers(sums[0][:0], sums[0])
+        else:
+            _put_sums(f"{uri}/hot_contexts-{shard:07d}", x, v, sums)
+        return out.table()
 
     return run
 
 
 def _write_contexts(uri: str, first: list[int]):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        part = key[0].as_py()
+        lefts, part = key[0].as_py() == 4, key[1].as_py()
         low, size = first[part], first[part + 1] - first[part]
-        kind, ids = group.column("kind").to_numpy(), group.column("id").to_numpy() - low
-        of = kind == 0
-        for name, column in (("tokens", "a"), ("ones", "b"), ("twos", "c"), ("more", "d")):
-            dense = np.zeros(size, np.int64)
-            dense[ids[of]] = group.column(column).to_numpy()[of]
-            put_array(f"{uri}/first-{part:06d}.{name}", dense)
-        left = np.zeros(size, np.int64)
-        left[ids[~of]] = group.column("a").to_numpy()[~of]
-        put_array(f"{uri}/second-{part:06d}.left", left)
-        numbers = [int((left == i).sum()) for i in (1, 2, 3, 4)]
-        return pa.table([pa.array([x]) for x in (int(left.sum()), *numbers)], names=["pairs", "n1", "n2", "n3", "n4"])
+        ids, *sums = deal.gather(group.column("block").to_pylist())
+        rows = np.zeros((size, len(sums)), np.int64)
+        for k, x in enumerate(sums):
+            np.add.at(rows[:, k], ids - low, x)
+        put_array(f"{uri}/{'lefts' if lefts else 'sums'}-{part:06d}", rows)
+        numbers = [int(rows.sum()), *(int((rows == i).sum()) for i in (1, 2, 3, 4))] if lefts else [0] * 5
+        return pa.table([pa.array([x], pa.int64()) for x in numbers], names=["pairs", "n1", "n2", "n3", "n4"])
 
     return run
 
@@ -278,93 +483,135 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(d, 0.05), c - 0.05) for c, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def train(docs: DataFrame, uri: str, text_col: str = "text") -> None:
-    """Count the texts of docs and store the model in the shared folder uri."""
+def train(docs: DataFrame, uri: str, text_col: str = "text", order: int = ORDER) -> None:
+    """Count the texts of docs and store the model of that order in the shared folder uri."""
+    if order not in (1, 2, 3):
+        raise ValueError("the order is 1, 2 or 3")
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     meta = count_words(texts, uri)
-    first = [int(x) for x in np.cumsum([0, *(n for _, n in meta["parts"])])]
-    model = {"pairs": 0, "high": discounts(0, 0, 0, 0), "low": discounts(0, 0, 0, 0), "one": 0, "two": 0, "three": 0}
+    model = {"order": order, "pairs": 0, "grams": discounts(0, 0, 0, 0), "pair": discounts(0, 0, 0, 0), "low": discounts(0, 0, 0, 0), "one": 0, "two": 0}
     if meta["tokens"]:
-        counted = texts.mapInArrow(_count_pairs(uri), "shard int, keys binary, counts binary")
-        stats = keep(counted.groupBy("shard").applyInArrow(_write_shard(uri), "kind byte, id long, a long, b long, c long, d long"), f"{uri}/stats")
-        total = stats.where("kind = 2").agg(*(F.sum(c).alias(c) for c in "abcd")).first()
-        summed = stats.where("kind < 2").groupBy("kind", "id").agg(*(F.sum(c).alias(c) for c in "abcd"))
-        bounds = F.array(*(F.lit(x) for x in first[1:]))
-        summed = summed.withColumn("part", F.size(F.filter(bounds, lambda x: x <= F.col("id"))))
-        contexts = summed.groupBy("part").applyInArrow(_write_contexts(uri, first), "pairs long, n1 long, n2 long, n3 long, n4 long")
-        left = keep(contexts, f"{uri}/contexts").agg(*(F.sum(c).alias(c) for c in ("pairs", "n1", "n2", "n3", "n4"))).first()
-        model = {"pairs": left["pairs"], "high": discounts(*total), "low": discounts(*list(left)[1:]), "one": left["n1"], "two": left["n2"]}
+        lowest, high = (_unigrams if order == 1 else _grams)(texts, uri, meta, order)
+        model |= {"pairs": lowest[0], "low": discounts(*lowest[1:]), "one": lowest[1], "two": lowest[2], "grams": discounts(*high[:4]), "pair": discounts(*high[4:])}
     put_bytes(f"{uri}/model.json", json.dumps(model).encode())
 
 
+def _unigrams(texts: DataFrame, uri: str, meta: dict, order: int) -> tuple[list[int], list[int]]:
+    """Sum of the words' counts, and how many are 1 to 4."""
+    n = F.col("n")
+    row = texts.sparkSession.read.parquet(f"{uri}/word_counts").agg(F.sum(n), *(F.count_if(n == i) for i in (1, 2, 3, 4))).first()
+    return list(row), [0] * 8
+
+
+def _dealt(rows: DataFrame, kind: int, n: int) -> DataFrame:
+    """The blocks of a kind, dealt out to n targets."""
+    return deal.deal(rows.where(F.col("kind") == kind).select("key", "block"), n).withColumn("kind", F.lit(kind))
+
+
+def _grams(texts: DataFrame, uri: str, meta: dict, order: int) -> tuple[list[int], list[int]]:
+    """Write the tables; number of pairs and how many words have 1 to 4 left neighbours; numbers of counts 1 to 4 of grams and pairs."""
+    shards = max(1, -(-meta["tokens"] // SHARD_TOKENS))
+    hot_shards = max(1, -(-meta["hot"] // SHARD_TOKENS))
+    first = [int(x) for x in np.cumsum([0, *(p[1] for p in meta["parts"])])]
+    dealt = deal.deal(texts.mapInArrow(_count_grams(uri, order), deal.SCHEMA), shards)
+    rows = keep(dealt.groupBy("key").applyInArrow(_write_grams(uri, order), _ROWS), f"{uri}/counted")
+    if meta["hot"]:
+        hot = _dealt(rows, 1, hot_shards).unionByName(_dealt(rows, 2, hot_shards))
+        rows = rows.unionByName(keep(hot.groupBy("kind", "key").applyInArrow(_write_hot(uri, order), _ROWS), f"{uri}/counted_hot"))
+    lower = _dealt(rows, 3, len(meta["parts"])).unionByName(_dealt(rows, 4, len(meta["parts"])))
+    written = keep(lower.groupBy("kind", "key").applyInArrow(_write_contexts(uri, first), "pairs long, n1 long, n2 long, n3 long, n4 long"), f"{uri}/lower")
+    lowest = written.agg(*(F.sum(c) for c in written.columns)).first()
+
+    def numbers(blocks: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(b, np.int64).tolist() for b in blocks.to_pylist()], pa.list_(pa.int64()))
+
+    counts = rows.where("kind = 0").select(F.arrow_udf(numbers, "array<long>")("block").alias("c"))
+    high = counts.agg(*(F.sum(F.get("c", F.lit(i))) for i in range(8))).first()
+    return list(lowest), list(high)
+
+
+# ---- scoring --------------------------------------------------------------------------------
+
+
 class Model:
     """The stored model, mapped by a worker."""
 
     def __init__(self, uri: str):
-        self.uri, self.words = uri, vocabulary(uri)
-        self.meta = _meta(uri, "model")
-        self.layout = layout(uri)
-        parts = range(len(self.words.hash)) if self.meta["pairs"] else ()
-        self.first = {name: [get_array(f"{uri}/first-{p:06d}.{name}", np.int64) for p in parts] for name in ("tokens", "ones", "twos", "more")}
-        self.left = [get_array(f"{uri}/second-{p:06d}.left", np.int64) for p in parts]
-        self.shards: dict[int, tuple] = {}
-        m = self.meta
+        self.uri, self.words, self.meta = uri, vocabulary(uri), _meta(uri, "model")
+        self.layout, self.tables = layout(uri), Tables(uri)
+        m, n = self.meta, self.words.meta["words"]
+        parts = range(len(self.words.hash)) if m["pairs"] and m["order"] > 1 else ()
+        self.sums = [get_array(f"{uri}/sums-{p:06d}", np.int64).reshape(-1, 4) for p in parts]
+        self.lefts = [get_array(f"{uri}/lefts-{p:06d}", np.int64) for p in parts] if m["order"] > 1 else self.words.count
         d = m["low"]
-        more = self.words.meta["words"]
-        # Words that only start a corpus have no pair before them; every word follows another or an end here.
-        self.low_mass = (d[0] * m.get("one", 0) + d[1] * m.get("two", 0) + d[2] * max(0, more - m.get("one", 0) - m.get("two", 0))) / m["pairs"] if m["pairs"] else 1.0
-
-    def pair_counts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Counts of pairs of known ids."""
-        keys, back = np.unique(u << 32 | v, return_inverse=True)
-        out = np.zeros(len(keys), np.int64)
-        shard = self.layout.shard(keys >> 32, keys & 0xFFFFFFFF)
-        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(keys) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            s = int(shard[a])
-            if s not in self.shards:
-                base = f"{self.uri}/pairs-{s:06d}"
-                filesystem, path = open_fs(f"{base}.key")
-                there = filesystem.get_file_info(path).size > 0
-                self.shards[s] = (get_array(f"{base}.key", np.int64), get_array(f"{base}.count", np.uint8), get_array(f"{base}.many", np.int64).reshape(2, -1)) if there else None
-            if self.shards[s] is None:
-                continue
-            stored, counts, many = self.shards[s]
-            at = np.minimum(np.searchsorted(stored, keys[a:b]), len(stored) - 1)
-            n = np.where(stored[at] == keys[a:b], counts[at], 0).astype(np.int64)
-            large = np.flatnonzero(n == 255)
-            n[large] = many[1][np.searchsorted(many[0], at[large])]
-            out[a:b] = n
-        return out[back]
+        self.low_mass = (d[0] * m["one"] + d[1] * m["two"] + d[2] * (n - m["one"] - m["two"])) / m["pairs"] if m["pairs"] else 1.0
 
     def score(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text: tokens, known tokens, log10 of the base and of the model's probability."""
         rows = [tokens(x) for x in texts]
         lengths = np.array([len(r) for r in rows])
-        v = self.words.ids([w for r in rows for w in r])
+        w = self.words.ids([x for r in rows for x in r])
         starts = np.cumsum(lengths) - lengths
-        u = np.r_[-1, v[:-1]]
-        u[starts] = self.words.ids([END])[0]
-        c = self.words.counts(v)
+        c = self.words.counts(w)
         base = np.log10((c + ADD) / (self.words.meta["tokens"] + ADD * (self.words.meta["words"] + 1)))
-        logs = np.log10(self._probability(u, v))
+        logs = np.log10(self._probability(w, lengths))
         add = lambda x: np.add.reduceat(x, starts)
         return [lengths, add((c > 0).astype(np.int64)), add(base), add(logs)]
 
-    def _probability(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def _probability(self, w: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         m, uniform = self.meta, 1 / (self.words.meta["words"] + 1)
         if not m["pairs"]:
-            return np.full(len(v), uniform)
-        of = np.array([0.0, *m["low"]])
-        left = _dense(self.left, self.words.first, v)
-        low = (left - of[np.minimum(left, 3)]) / m["pairs"] + self.low_mass * uniform
-        total, ones, twos, more = (_dense(self.first[k], self.words.first, u).astype(np.float64) for k in ("tokens", "ones", "twos", "more"))
-        seen, both = total > 0, np.flatnonzero((u >= 0) & (v >= 0))
-        n = np.zeros(len(v), np.int64)
-        n[both] = self.pair_counts(u[both], v[both])
-        high, (d1, d2, d3) = np.array([0.0, *m["high"]]), m["high"]
-        total = np.where(seen, total, 1.0)
-        return np.where(seen, (n - high[np.minimum(n, 3)]) / total + (d1 * ones + d2 * twos + d3 * more) / total * low, low)
+            return np.full(len(w), uniform)
+        left = dense(self.lefts, self.words.first, w)
+        p = (left - np.array([0.0, *m["low"]])[np.minimum(left, 3)]) / m["pairs"] + self.low_mass * uniform
+        if m["order"] == 1:
+            return p
+        u, v, w = _triples(w, lengths, self.words.end, m["order"])
+        n, sums, pairs = self._look_up(u, v, w)
+        seen = v >= 0
+        if m["order"] == 3:
+            p = self._interpolate(pairs, dense(self.sums, self.words.first, v), m["pair"], p)
+            # The pair (u, v) is that of the token before; the first token of a text follows two ends.
+            seen = np.r_[True, pairs[:-1] > 0]
+            seen[np.cumsum(lengths) - lengths] = True
+        once = seen & (sums[:, 0] == 0)
+        sums[once, :2] = 1
+        return self._interpolate(n, sums, m["grams"], p)
+
+    @staticmethod
+    def _interpolate(n: np.ndarray, sums: np.ndarray, d: list[float], lower: np.ndarray) -> np.ndarray:
+        """The counts' discounted share of their context, and the lower order for what is left; the lower order where the context is new."""
+        total = sums[:, 0].astype(np.float64)
+        known = total > 0
+        total[~known] = 1.0
+        high = (n - np.array([0.0, *d])[np.minimum(n, 3)]) / total + (sums[:, 1:] @ np.array(d)) / total * lower
+        return np.where(known, high, lower)
+
+    def _look_up(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of triples, sums of their contexts (0 for what occurs once), left neighbours of pairs."""
+        n, sums, pairs = np.zeros(len(w), np.int64), np.zeros((len(w), 4), np.int64), np.zeros(len(w), np.int64)
+        both = np.flatnonzero((v >= 0) & (w >= 0))
+        context = np.flatnonzero((u >= 0) & (v >= 0))
+        every = np.flatnonzero(v >= 0)
+        shard, hot = np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+        shard[every], hot[every] = self.layout.shard(u[every], v[every], w[every])
+        whole = both[u[both] >= 0]
+        self._each("grams", shard[whole], gram_hash(u[whole], v[whole], w[whole]), n, whole)
+        for rare in (True, False):
+            own = context[hot[context] != rare]
+            h = gram_hash(v[own], u[own])
+            self._each("contexts" if rare else "hot_contexts", shard[own] if rare else self.layout.hot_shard(h), h, sums, own)
+            if self.meta["order"] == 3:
+                own = both[hot[both] != rare]
+                h = gram_hash(v[own], w[own])
+                self._each("pairs" if rare else "hot_pairs", shard[own] if rare else self.layout.hot_shard(h), h, pairs, own)
+        return n, sums, pairs
+
+    def _each(self, name: str, shard: np.ndarray, h: np.ndarray, out: np.ndarray, rows: np.ndarray) -> None:
+        """Put what the table of that name has for hashes into rows of out, shard by shard."""
+        for s, own in _groups(shard):
+            found = self.tables.find(name, s, h[own], 1 if out.ndim == 1 else out.shape[1])
+            out[rows[own]] = found[:, 0] if out.ndim == 1 else found
 
 
 @lru_cache(maxsize=1)
@@ -383,7 +630,7 @@ def score(docs: DataFrame, uri: str, text_col: str = "text") -> DataFrame:
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability, learned from the nine tenths that aren't held out."""
-    small_batches(spark)
+    small_batches(spark, SCORE_ROWS)
     docs = id_text(table(spark, sf_dir, "documents")).withColumn("held_out", crc_mod("doc_id", 10) == 0)
     uri = shared_dir(spark, "kneser-ney")
     train(docs.where(~F.col("held_out")), uri)

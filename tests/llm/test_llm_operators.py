@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from frameloom.llm import ann, bpe, common, kneser_ney, langid, licenses, packing, pii, quality, repeats, simhash
+from frameloom.llm import ann, bpe, common, deal, kneser_ney, langid, licenses, packing, pii, quality, repeats, simhash
 from frameloom.llm import registry as llm
 
 SF = "/root/testdata/sf0.001"
@@ -474,38 +474,93 @@ def test_compression_bands():
 # ---- op10 ------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_against_dictionaries(spark, frame, docs, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "PART_WORDS", 700)
-    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 5000)
-    train = [t for i, t, _ in docs if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
-    T = lambda x: [*(x or "").encode().lower().split(), b"\n"]
+def brute_kneser_ney(train, order, end=b"\n"):
+    """p(u, v, w) by dictionaries."""
+    T = lambda x: [*(x or "").encode().lower().split(), end]
+    triples = collections.Counter((u, v, w) for t in train for u, v, w in zip([end, end, *T(t)], [end, *T(t)], T(t), strict=False))
     c = collections.Counter(w for t in train for w in T(t))
-    pairs = collections.Counter(p for t in train for p in zip([b"\n", *T(t)], T(t), strict=False))
-    left, total, kinds = collections.Counter(v for _, v in pairs), collections.Counter(), collections.defaultdict(collections.Counter)
-    for (u, _), n in pairs.items():
-        total[u] += n
-        kinds[u][min(n, 3)] += 1
+    if order < 3:
+        grams = collections.Counter()
+        for (_, v, w), n in triples.items():
+            grams[(end, v, w)] += n
+        triples = grams
+    pairs = collections.Counter()
+    for (_, v, w), n in triples.items():
+        pairs[v, w] += n if v == end else 1
+    left = collections.Counter(w for _, w in pairs) if order > 1 else c
     of = lambda values: [0.0, *kneser_ney.discounts(*(sum(x == i for x in values) for i in (1, 2, 3, 4)))]
-    high, low, N, V = of(pairs.values()), of(left.values()), sum(c.values()), len(c)
-    mass = sum(low[min(x, 3)] for x in left.values()) / len(pairs)
-
-    def p(u, v):
-        lower_order = (left[v] - low[min(left[v], 3)]) / len(pairs) + mass / (V + 1)
-        if not total[u]:
-            return lower_order
-        n = pairs[u, v]
-        return (n - high[min(n, 3)]) / total[u] + sum(high[k] * kinds[u][k] for k in (1, 2, 3)) / total[u] * lower_order
-
-    assert sum(p(b"the", v) for v in c) + p(b"the", b"??") == pytest.approx(1.0)
+    high, mid, low, V, every = of(triples.values()), of(pairs.values()), of(left.values()), len(c), sum(left.values())
+    mass = sum(low[min(x, 3)] for x in left.values()) / every
+
+    def contexts(grams):
+        total, kinds = collections.Counter(), collections.defaultdict(collections.Counter)
+        for g, n in grams.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]][min(n, 3)] += 1
+        return total, kinds
+
+    of_two, of_one = contexts(triples), contexts(pairs)
+
+    def mixed(n, d, context, sums, lower):
+        total, kinds = sums
+        if not total[context]:
+            return lower
+        return (n - d[min(n, 3)]) / total[context] + sum(d[k] * kinds[context][k] for k in (1, 2, 3)) / total[context] * lower
+
+    def p(u, v, w):
+        out = (left[w] - low[min(left[w], 3)]) / every + mass / (V + 1)
+        if order == 3:
+            out = mixed(pairs[v, w], mid, (v,), of_one, out)
+        return mixed(triples[u, v, w], high, (u, v), of_two, out) if order > 1 else out
+
+    return c, p, T
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_kneser_ney_against_dictionaries(spark, frame, docs, monkeypatch, order):
+    for name, value in (("PART_WORDS", 700), ("SHARD_TOKENS", 700)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    monkeypatch.setattr(deal, "FAN", 3)
+    train = [t for i, t, _ in docs if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    c, p, T = brute_kneser_ney(train, order)
+    N, V, end = sum(c.values()), len(c), b"\n"
+    assert max(c.values()) > 700  # some words are hot
+    seen = (end, T(train[0])[0])
+    for u, v in ((end, end), seen if order == 3 else (end, seen[1])):
+        assert sum(p(u, v, w) for w in c) + p(u, v, b"??") == pytest.approx(1.0)
     uri = shared(spark)
-    kneser_ney.train(frame.where(common.crc_mod("doc_id", 10) != 0), uri)
+    kneser_ney.train(frame.where(common.crc_mod("doc_id", 10) != 0), uri, order=order)
     out = kneser_ney.score(frame, uri).collect()
     assert len(out) == len(docs)
     for r in out:
         t = T(r.text)
         assert (r.n_tokens, r.n_known) == (len(t), sum(c[w] > 0 for w in t))
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (N + 0.1 * (V + 1))) for w in t))
-        assert r.score == pytest.approx(sum(math.log10(p(u, v)) for u, v in zip([b"\n", *t], t, strict=False)))
+        before = [end, *t], [end, end, *t]
+        assert r.score == pytest.approx(sum(math.log10(p(end if order == 2 else u, v, w)) for u, v, w in zip(before[1], before[0], t, strict=False)))
+
+
+def test_entries_are_dealt_out_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(deal, "FAN", 3)
+    rnd = np.random.default_rng(1)
+    targets, values = rnd.integers(0, 40, 500), rnd.integers(0, 1 << 40, 500)
+    rows = [x for k in range(5) for x in zip(*deal.cut(targets[k::5], [values[k::5]], deal.width(40)), strict=True)]
+    out = deal.deal(spark.createDataFrame(rows, deal.SCHEMA), 40).collect()
+    found = sorted((r.key, v) for r in out for v in deal.gather([bytes(r.block)])[0].tolist())
+    assert found == sorted(zip(targets.tolist(), values.tolist(), strict=True))
+
+
+def test_tables_that_are_read_are_let_go(spark, monkeypatch):
+    uri, h = shared(spark), np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(3):
+        kneser_ney.put_table(f"{uri}/t-{k:07d}", h, np.arange(1, 200) + 1000 * k)
+    plain = kneser_ney.get_array
+    monkeypatch.setattr(kneser_ney, "get_array", lambda path, dtype: np.array(plain(path, dtype)))
+    monkeypatch.setattr(kneser_ney, "READ_BYTES", 100)
+    tables = kneser_ney.Tables(uri)
+    for k in (0, 1, 2, 1, 0):
+        assert (tables.find("t", k, h, 1)[:, 0] == np.arange(1, 200) + 1000 * k).all() and len(tables.open) == 1
+    assert not tables.find("t", 9, h, 1).any() and not tables.find("t", 0, h ^ np.uint64(1 << 40), 1).any()
 
 
 def test_kneser_ney_without_training_texts(spark, frame, empty):
