@@ -88,7 +88,7 @@ def get_array(uri: str, dtype) -> np.ndarray:
     if size == 0:
         return np.empty(0, dtype)
     if isinstance(filesystem, fs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r")
+        return np.asarray(np.memmap(path, dtype=dtype, mode="r"))  # a plain view: the class costs time at each access
     with filesystem.open_input_file(path) as source:
         return np.frombuffer(source.read(), dtype)
 
@@ -111,17 +111,17 @@ def keep(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
-def per_text(df: DataFrame, fields: str, work: Callable[[list], list], text_col: str = "text") -> DataFrame:
+def per_text(df: DataFrame, fields: str, work: Callable[[list], list], text_col: str = "text", arrow_texts: bool = False) -> DataFrame:
     """df with columns computed from each text in Python; columns named like a new one are replaced.
 
-    work gets the texts of a batch and returns one list of values per new field, in order. Only
-    the text goes to the Python worker, and only the new values come back.
+    work gets the texts of a batch, as a list or as an Arrow array, and returns one list of values
+    per new field, in order. Only the text goes to the Python worker, and only the new values come back.
     """
     schema = StructType.fromDDL(fields)
     arrow = to_arrow_schema(schema)
 
     def run(texts: pa.Array) -> pa.Array:
-        made = work(texts.to_pylist())
+        made = work(texts if arrow_texts else texts.to_pylist())
         columns = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, arrow.types, strict=True)]
         return pa.StructArray.from_arrays(columns, fields=list(arrow))
 

@@ -32,27 +32,25 @@ those named like a new one are replaced.
 from __future__ import annotations
 
 import json
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import deal
 from frameloom.llm.common import crc_mod, get_array, id_text, keep, open_fs, per_text, put_array, put_bytes, shared_dir, small_batches, table
 
-#: The end of a text; no word has white space.
-END = b"\n"
 ORDER = 3
 #: Words of a vocabulary part and tokens of a shard, about.
 PART_WORDS, SHARD_TOKENS = 1 << 20, 1 << 21
 #: Tokens a task holds before it adds them up.
-FLUSH = 1 << 22
-CACHE_WORDS = 200_000
+FLUSH = 1 << 21
+#: Bytes of words that are hashed at a time.
+WORD_BYTES = 1 << 22
 #: Bytes of files that a worker keeps in memory where the shared folder isn't mounted.
 READ_BYTES = 1 << 28
 #: Texts in one batch of scoring.
@@ -60,32 +58,100 @@ SCORE_ROWS = 512
 ADD = 0.1
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END]
+# ---- tokens ---------------------------------------------------------------------------------
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_ROOT = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    """1, r, r**2, .. modulo 2**64, n at least."""
+    if len(_POWERS[0]) < n:
+        _POWERS[0] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _ROOT, np.uint64)])
+    return _POWERS[0]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each word, A-Z lower-cased: a polynomial of its bytes, mixed with its size."""
+    h, total = np.empty(len(starts), np.uint64), np.cumsum(sizes)
+    a = 0
+    while a < len(starts):  # so many words at a time that their bytes take few MB; a longer word is by itself
+        z = max(a + 1, int(np.searchsorted(total, total[a] - sizes[a] + WORD_BYTES, "right")))
+        first = total[a:z] - sizes[a:z] - (total[a] - sizes[a])
+        place = np.arange(int(sizes[a:z].sum())) - np.repeat(first, sizes[a:z])
+        letters = _LOWER[data[place + np.repeat(starts[a:z], sizes[a:z])]]
+        h[a:z] = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * _powers(int(sizes[a:z].max()))[place], first)
+        a = z
+    return gram_hash(h, sizes).view(np.int64)
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of texts that follow each other, ends included; and how many each text has."""
+    texts = texts.cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    source = texts.buffers()[2]
+    data = np.frombuffer(source, np.uint8)[: bounds[-1]] if source and bounds[-1] else np.empty(0, np.uint8)
+    word = ~_SPACE[data]
+    word[: bounds[0]] = False
+    start, end = word.copy(), word.copy()
+    start[1:] &= ~word[:-1]
+    end[:-1] &= ~word[1:]
+    # A text's first byte starts a word, and its last ends one, whatever stands beside them.
+    full = bounds[1:] > bounds[:-1]
+    low, high = bounds[:-1][full], bounds[1:][full] - 1
+    start[low] |= word[low]
+    end[high] |= word[high]
+    starts = np.flatnonzero(start)
+    counts = np.searchsorted(starts, bounds[1:]) - np.searchsorted(starts, bounds[:-1])
+    h = np.full(len(starts) + len(counts), END_HASH)
+    place = np.ones(len(h), bool)
+    place[np.cumsum(counts + 1) - 1] = False
+    h[place] = word_hashes(data, starts, np.flatnonzero(end) - starts + 1)
+    return h, counts + 1
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 7)
+def gram_hash(*ids: np.ndarray) -> np.ndarray:
+    h = np.uint64(0x9E3779B97F4A7C15)
+    for x in ids:
+        h = (h ^ x.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x165667B19E3779F9)
+        h = h ^ h >> np.uint64(29)
+    return h
+
+
+#: The hash of the end of a text, which is no word's: words have one byte at least.
+END_HASH = gram_hash(np.zeros(1, np.uint64), np.zeros(1, np.int64)).view(np.int64)[0]
 
 
 # ---- the vocabulary -------------------------------------------------------------------------
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add() -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(h)
+        new = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+        return h[order][new], np.add.reduceat(n[order], new)
 
-    def out() -> pa.RecordBatch:
-        h = np.fromiter(map(word_hash, counts), np.uint64, len(counts))
-        return pa.RecordBatch.from_arrays([pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["h", "n"])
+    def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens(text))
-        if len(counts) > 1_000_000:
-            yield out()
-            counts.clear()
-    if counts:
-        yield out()
+        if batch.num_rows:
+            held.append(np.unique(token_hashes(batch.column(0))[0], return_counts=True))
+        if sum(len(h) for h, _ in held) > FLUSH:
+            h, n = add()
+            if len(h) > FLUSH // 2:
+                yield out(h, n)
+            else:
+                held.append((h, n))
+    if held:
+        yield out(*add())
 
 
 def _write_words(uri: str):
@@ -112,8 +178,7 @@ class Vocabulary:
         self.hash = [get_array(f"{uri}/words-{p[0]:06d}.hash", np.int64) for p in parts]
         self.count = [get_array(f"{uri}/words-{p[0]:06d}.count", np.int64) for p in parts]
         self.lows = np.array([h[0] for h in self.hash], np.int64)
-        self.cache: dict[bytes, int] = {}
-        self.end = int(self.ids([END])[0])
+        self.end = int(self.find(np.array([END_HASH]))[0])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of hashes, -1 for unknown ones."""
@@ -125,17 +190,12 @@ class Vocabulary:
                 out[own] = np.where(self.hash[p][at] == h[own], self.first[p] + at, -1)
         return out
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of words by way of a bounded cache."""
-        cache = self.cache
-        new = list({w for w in words if w not in cache})
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            h = (np.fromiter(map(word_hash, new), np.uint64, len(new)) ^ np.uint64(1 << 63)).view(np.int64)
-            cache.update(zip(new, self.find(h).tolist(), strict=True))
-        return np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of the hashes of tokens."""
+        if not len(hashes):
+            return np.empty(0, np.int64)
+        new, which = np.unique(hashes, return_inverse=True)
+        return self.find(new)[which]
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         return dense(self.count, self.first, ids)
@@ -194,15 +254,6 @@ def count_words(texts: DataFrame, uri: str) -> dict:
 # ---- tables of hashes -----------------------------------------------------------------------
 
 
-def gram_hash(*ids: np.ndarray) -> np.ndarray:
-    h = np.uint64(0x9E3779B97F4A7C15)
-    for x in ids:
-        h = (h ^ x.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = (h ^ h >> np.uint64(31)) * np.uint64(0x165667B19E3779F9)
-        h = h ^ h >> np.uint64(29)
-    return h
-
-
 def put_table(base: str, h: np.ndarray, values: np.ndarray) -> None:
     """Rows of small counts by hash: bucket bounds, 32 bits of each hash, counts of one byte, and the larger counts."""
     order = np.argsort(h)
@@ -225,7 +276,7 @@ class Table:
         self.many = get_array(f"{base}.many", np.int64).reshape(2, -1)
         self.bits, self.width = max(1, (len(self.bounds) - 1).bit_length() - 1), width
         self.steps = int(np.diff(self.bounds.astype(np.int64)).max(initial=0)).bit_length()
-        self.bytes = sum(0 if isinstance(a, np.memmap) else a.nbytes for a in (self.bounds, self.hash, self.count, self.many))
+        self.bytes = sum(0 if isinstance(a.base, np.memmap) else a.nbytes for a in (self.bounds, self.hash, self.count, self.many))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The counts of each hash, 0 where it has none."""
@@ -319,7 +370,7 @@ def _added(first: np.ndarray, second: np.ndarray, values: list[np.ndarray]) -> l
     return [key[new] >> 32, key[new] & 0xFFFFFFFF, *sums]
 
 
-def _kinds(n: np.ndarray, weight: np.ndarray | None = None) -> list[np.ndarray]:
+def _kinds(n: np.ndarray) -> list[np.ndarray]:
     """Of counts: themselves, and whether they are 1, 2, 3 or more."""
     return [n, *(x.astype(np.int64) for x in (n == 1, n == 2, n >= 3))]
 
@@ -341,25 +392,20 @@ def _count_grams(uri: str, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, places = vocabulary(uri), layout(uri)
         wide = deal.width(places.shards)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            u, v, w = np.concatenate(held, axis=1)
-            u, v, w, n, _ = _add_triples(u, v, w, np.ones(len(u), np.int64))
+            ids, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            u, v, w, n, _ = _add_triples(*_triples(ids, lengths, words.end, order), np.ones(len(ids), np.int64))
             return deal.batch(*deal.cut(places.shard(u, v, w)[0], [v, u, w, n], wide))
 
         for batch in batches:
-            flat: list[bytes] = []
-            lengths = []
-            for text in batch.column(0).to_pylist():
-                one = tokens(text)
-                flat += one
-                lengths.append(len(one))
-            if flat:
-                held.append(np.stack(_triples(words.ids(flat), np.array(lengths), words.end, order)))
-            if sum(x.shape[1] for x in held) > FLUSH:
+            if batch.num_rows:
+                hashes, lengths = token_hashes(batch.column(0))
+                held.append((words.ids(hashes), lengths))
+            if sum(len(x) for x, _ in held) > FLUSH:
                 yield out()
-                held.clear()
         if held:
             yield out()
 
@@ -546,11 +592,10 @@ class Model:
         d = m["low"]
         self.low_mass = (d[0] * m["one"] + d[1] * m["two"] + d[2] * (n - m["one"] - m["two"])) / m["pairs"] if m["pairs"] else 1.0
 
-    def score(self, texts: list[str | None]) -> list[np.ndarray]:
+    def score(self, texts: pa.Array) -> list[np.ndarray]:
         """Per text: tokens, known tokens, log10 of the base and of the model's probability."""
-        rows = [tokens(x) for x in texts]
-        lengths = np.array([len(r) for r in rows])
-        w = self.words.ids([x for r in rows for x in r])
+        hashes, lengths = token_hashes(texts)
+        w = self.words.ids(hashes)
         starts = np.cumsum(lengths) - lengths
         c = self.words.counts(w)
         base = np.log10((c + ADD) / (self.words.meta["tokens"] + ADD * (self.words.meta["words"] + 1)))
@@ -622,10 +667,10 @@ def model(uri: str) -> Model:
 def score(docs: DataFrame, uri: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, n_known, base_score and score by the stored model."""
 
-    def work(texts: list[str | None]) -> list:
-        return [pa.array(x) for x in model(uri).score(texts)] if texts else [[], [], [], []]
+    def work(texts: pa.Array) -> list:
+        return [pa.array(x) for x in model(uri).score(texts)] if len(texts) else [[], [], [], []]
 
-    return per_text(docs, "n_tokens long, n_known long, base_score double, score double", work, text_col)
+    return per_text(docs, "n_tokens long, n_known long, base_score double, score double", work, text_col, arrow_texts=True)
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
