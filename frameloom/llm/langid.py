@@ -7,9 +7,13 @@ texts and landmarks, one-versus-rest ridge regression solves (K_nm' K_nm + r n K
 A batch of texts is scored by two matrix products, presence x landmarks and kernels x A.
 
 The model is fitted on a bounded sample: per label the PER_LABEL rows with the smallest hash of
-their id among the labelled rows with a text of at most TRAIN_CHARS characters. Prediction reads
+id and text among the labelled rows with a text of at most TRAIN_CHARS characters; with many labels so few a label
+that SAMPLE_ROWS are left, but one at least. No label is left out. Landmarks are taken from all labels in turn, as many as
+LANDMARK_CELLS of the matrix of their n-grams allow. Prediction reads
 whole texts only. Null texts and texts without a letter get ``und`` and score 0, as does every
-text if no row is labelled. With one label only, every other text gets that label.
+text if no row is labelled. With one label only, every other text gets that label. Among equal scores
+the first label by name wins. Rows that repeat id, label and text count once in the sample and are
+predicted alike. Columns named like the two new ones are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from frameloom.llm.common import crc_mod, per_text, small_batches, table
 ORDER = 3
 #: Bits of an n-gram's hash; the table of columns has 2**BITS entries.
 BITS = 19
-#: Bounds of the fitting sample: labels, rows of each, their characters, and landmarks of each.
-MAX_LABELS, PER_LABEL, TRAIN_CHARS, LANDMARKS = 200, 400, 20_000, 32
+#: Bounds of the fitting sample: rows of a label, rows of all, their characters, landmarks of a label, and cells of their matrix (4 bytes each).
+PER_LABEL, SAMPLE_ROWS, TRAIN_CHARS, LANDMARKS, LANDMARK_CELLS = 400, 8000, 20_000, 32, 1 << 24
 RIDGE = 1e-4
 UNKNOWN = "und"
 #: Texts go through the matrix products in blocks of so many.
@@ -94,13 +98,20 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     names = sorted(set(labels))
     if not names:
         return Model([], np.full(1 << BITS, -1, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    chosen, counts = [], dict.fromkeys(names, 0)
+    turns, counts = [], dict.fromkeys(names, 0)
     for i, label in enumerate(labels):
-        if counts[label] < landmarks:
-            counts[label] += 1
-            chosen.append(i)
-    found = [np.unique(grams(texts[i])) for i in chosen]
-    used = np.unique(np.concatenate(found))
+        counts[label] += 1
+        if counts[label] <= landmarks:
+            turns.append((counts[label], label, i))
+    chosen, found, seen = [], [], np.zeros(1 << BITS, bool)
+    for _, _, i in sorted(turns):  # the first text of each label, then the second, ..
+        own = np.unique(grams(texts[i]), return_counts=True)[0]
+        seen[own] = True
+        if chosen and int(seen.sum()) * (len(chosen) + 1) > LANDMARK_CELLS:
+            break
+        chosen.append(i)
+        found.append(own)
+    used = np.unique(np.concatenate(found), return_counts=True)[0]
     columns = np.full(1 << BITS, -1, np.int32)
     columns[used] = np.arange(len(used))
     marks = np.zeros((len(used), len(chosen)), np.float32)
@@ -117,15 +128,20 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """fit() on the bounded sample of docs that the module describes."""
-    rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h"))
+    rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col, text_col).alias("h"))
     rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= TRAIN_CHARS))
-    # The hashes alone are ranked first (Spark cuts each task's ranks before the shuffle); texts are read for the rows below a label's bound.
-    rank = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*by))).where(F.col("rank") <= PER_LABEL)
-    bounds = rank(rows.select("label", "h"), "h").groupBy("label").agg(F.max("h").alias("bound"), F.count("*").alias("n"))
-    bounds = bounds.orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()
-    below = docs.sparkSession.createDataFrame([(r["label"], r["bound"]) for r in bounds], "label string, bound long")
-    picked = rows.join(F.broadcast(below), "label").where(F.col("h") <= F.col("bound"))
-    sample = rank(picked, "h", "text").select("label", "h", "text").collect()
+    # A row's level is the number of leading zero bits of its hash; each level has about half the rows of the one below. The counts by label
+    # and level tell from which level on a label has enough rows, so only about twice as many as are wanted are ranked.
+    level = 63 - F.floor(F.log2(F.greatest(F.lit(1.0), F.shiftrightunsigned("h", 1).cast("double") * 2))).cast("int")
+    counts = rows.groupBy("label", level.alias("level")).agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("label").orderBy(F.desc("level")))  # at most 64 rows a label
+    start = counts.withColumn("above", above).groupBy("label").agg(F.coalesce(F.max(F.when(F.col("above") >= PER_LABEL, F.col("level"))), F.lit(0)).alias("from"))
+    starts = start.collect()  # a row a label
+    most = max(1, min(PER_LABEL, SAMPLE_ROWS // max(1, len(starts))))
+    bounds = docs.sparkSession.createDataFrame([(r["label"], r["from"]) for r in starts], "label string, `from` int")
+    picked = rows.withColumn("level", level).join(bounds, "label").where(F.col("level") >= F.col("from")).dropDuplicates(["label", "h"])
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.shiftrightunsigned("h", 1), "h"))
+    sample = picked.withColumn("place", place).where(F.col("place") <= most).select("label", "h", "text").collect()
     sample.sort(key=lambda r: (r["h"], r["label"], r["text"]))
     return fit([r["text"] for r in sample], [r["label"] for r in sample])
 
