@@ -3,10 +3,12 @@
 A text compresses to some share of its bytes. Repetitive texts fall below, incompressible ones
 rise above what prose of that length does, so each length has its own band of allowed ratios,
 for the whole text and for each of its fixed chunks. Single odd chunks are normal in clean
-text (a table, a quotation); a text goes when its odd chunks hold more than a given share.
+text (a table, a quotation); a text goes when its odd chunks hold more than a given share of its bytes.
+The last chunk, which may be shorter, is judged by the band of its own length.
 
 Null and empty texts have no words and fail the base rules. Words are runs without ASCII white
-space. Long texts are read whole. Repeated rows are judged alike.
+space. Long texts are read whole. Repeated rows are judged alike; there are no ties. An empty table
+stays empty. Columns named like a new one are replaced, others are carried.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ SPACES = " \t\n\v\f\r"
 #: (bytes from, least ratio, largest ratio) of whole texts; zstandard at LEVEL.
 BANDS = ((0, 0.0, 9.9), (100, 0.30, 1.15), (200, 0.30, 0.95), (500, 0.25, 0.85), (1000, 0.20, 0.80), (2000, 0.18, 0.75), (5000, 0.15, 0.70), (20000, 0.12, 0.70))
 LEVEL = 3
-#: Bytes of a chunk; a shorter last chunk counts to the whole text only.
+#: Bytes of a chunk.
 CHUNK = 2000
-#: A text fails when more than this share of its chunks lies outside the band of their length.
+#: A text fails when more than this share of its bytes lies in chunks outside the band of their length.
 ODD_CHUNKS = 0.5
 
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, zstd_ratio double, odd_chunk_share double, base_failed boolean, kept boolean"
@@ -71,13 +73,15 @@ def band(size: int) -> tuple[float, float]:
 
 
 def compression(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole text; share of whole chunks outside their band. An empty text has 1 and 0."""
+    """Ratio of the whole text; share of its bytes in chunks outside their band. An empty text has 1 and 0."""
     if not data:
         return 1.0, 0.0
-    low, high = band(CHUNK)
-    chunks = [data[i : i + CHUNK] for i in range(0, len(data) - CHUNK + 1, CHUNK)]
-    odd = sum(not low <= len(compressor.compress(c)) / CHUNK <= high for c in chunks)
-    return len(compressor.compress(data)) / len(data), odd / max(1, len(chunks))
+    odd = 0
+    for at in range(0, len(data), CHUNK):
+        chunk = data[at : at + CHUNK]
+        low, high = band(len(chunk))
+        odd += 0 if low <= len(compressor.compress(chunk)) / len(chunk) <= high else len(chunk)
+    return len(compressor.compress(data)) / len(data), odd / len(data)
 
 
 def judge(texts: list[str | None]) -> list[list]:
