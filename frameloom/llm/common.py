@@ -111,6 +111,15 @@ def keep(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+#: Rows of a few columns that may be sent to every task; larger sides are joined by a shuffle.
+SMALL_ROWS = 300_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, a written table of few narrow columns, with a broadcast hint if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def per_text(df: DataFrame, fields: str, work: Callable[[list], list], text_col: str = "text", arrow_texts: bool = False) -> DataFrame:
     """df with columns computed from each text in Python; columns named like a new one are replaced.
 

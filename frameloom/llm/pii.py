@@ -17,7 +17,9 @@ a line that different documents share does.
 Offsets are code points, ends exclusive. Matches of a kind are leftmost and don't overlap; one that
 fails its check is dropped, without retries. Null and empty texts have no spans. Texts are read
 whole. Repeated rows get the same spans each; rows are told apart
-by document id and text hash.
+by document id and text hash. Of overlapping spans the first, and of those that start together the
+longest, takes the place of all. An empty table has no spans. Other columns are carried by sanitise() and
+ignored by find_pii(), whatever their names.
 """
 
 from __future__ import annotations
@@ -278,22 +280,46 @@ def replace_spans(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
+def strong_terms(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored table (hash, disclosure, code) of the terms that reveal a value."""
+    plain = id_text(docs, id_col, text_col)
+    found = keep(find_base(plain.withColumn("text_hash", F.xxhash64("text"))).drop("base"), f"{uri}/found")
+    return keep(disclosures(found, plain, uri).withColumnRenamed("term", "hash").withColumn("code", F.lit(1)), f"{uri}/strong")
+
+
+@lru_cache(maxsize=2)
+def _strong(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the stored terms, sorted, and whether each is removed: 9 bytes a term."""
+    filesystem, path = open_fs(uri)
+    table = pyarrow.dataset.dataset(path, filesystem=filesystem, format="parquet").to_table(columns=["hash", "disclosure"]).sort_by("hash")
+    return table.column("hash").to_numpy(), table.column("disclosure").to_numpy() >= REMOVE
+
+
+def term_spans(text: str, base: list[Span], terms_uri: str) -> list[Span]:
+    """The places of the stored terms in a text."""
+    hashes, removed = _strong(terms_uri)
+    if not len(hashes):
+        return []
+    words = list(terms_outside(text, base))
+    h = np.array([_term_hash(m.group().lower()) for m in words], np.int64)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return [("removed" if removed[at[i]] else "term", *words[i].span()) for i in np.flatnonzero(hashes[at] == h).tolist()]
+
+
 def sanitise(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with personal data and revealing terms replaced in the text; null texts stay null, other columns as they are."""
-    spans = find_pii(docs, uri, id_col, text_col).where((F.size("base") > 0) | (F.size("terms") > 0))
-    spans = spans.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.concat("base", "terms").alias("__spans"))
-    text_hash = F.xxhash64(F.coalesce(F.col(f"d.{text_col}"), F.lit("")))
-    same = [F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.doc_id")), text_hash == F.col("s.text_hash")]
-    joined = docs.alias("d").join(spans.alias("s"), same, "left").select("d.*", "__spans")
-
-    def replace(texts: pa.Array, rows: pa.Array) -> pa.Array:
-        pairs = zip(texts.to_pylist(), rows.to_pylist(), strict=True)
-        return pa.array([None if x is None else replace_spans(x, [(s["kind"], s["start"], s["end"]) for s in spans]) for x, spans in pairs], pa.string())
-
-    # Only texts with spans go to Python and back.
-    has = F.col("__spans").isNotNull()
-    new = F.arrow_udf(replace, "string").asNondeterministic()(F.when(has, F.col(text_col)), F.col("__spans"))
-    return joined.withColumn("__new", new).withColumn(text_col, F.coalesce("__new", text_col)).select(*docs.columns)
+    """docs with personal data and revealing terms replaced in the text; null texts stay null, other columns as they are. No text is shuffled."""
+    strong_terms(docs, uri, id_col, text_col)
+    terms_uri = f"{uri}/strong"
+
+    def replace(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts.to_pylist():
+            base = base_spans(x or "")
+            spans = base + term_spans(x or "", base, terms_uri)
+            out.append(x if x is None or not spans else replace_spans(x, spans))
+        return pa.array(out, pa.string())
+
+    return docs.withColumn(text_col, F.arrow_udf(replace, "string").asNondeterministic()(F.col(text_col).cast("string"))).select(*docs.columns)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

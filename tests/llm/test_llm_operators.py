@@ -188,11 +188,57 @@ def test_simhash_components(spark, frame, docs, empty):
     expected = collections.Counter((i, fp[k] - (1 << 64) * (fp[k] >> 63), least.get(find(k))) for k, (i, *_) in enumerate(docs))
     out = collections.Counter((r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicates(frame, shared(spark)).collect())
     assert out == expected
-    kept = simhash.deduplicate(frame, shared(spark))
-    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} - {None} == set(least.values())
     assert simhash.near_duplicates(empty, shared(spark)).count() == 0
 
 
+def shingles(text, n=5):
+    w = words(lower(text))
+    return {" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else {""}
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def changed(text, rnd, share):
+    """text with words replaced so that about that share of its 5-word shingles goes."""
+    w = text.split()
+    for _ in range(max(1, round(share * len(w) / 5))):
+        w[rnd.randrange(len(w))] = f"new{rnd.random()}"
+    return " ".join(w)
+
+
+def test_similar_texts(spark, frame, docs, empty):
+    kept = simhash.deduplicate(frame, shared(spark))
+    assert kept.columns == frame.columns and simhash.deduplicate(empty, shared(spark)).count() == 0
+    rows, out = [(i, t) for i, t, _ in docs], kept.collect()
+    assert sum(r.doc_id is None for r in out) == sum(i is None for i, _ in rows)
+    stay = {r.doc_id for r in out} - {None}
+    texts = collections.defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t)
+    for i in {i for i, _ in rows if i is not None} - stay:  # each has a similar text with another id
+        assert all(any(similarity(x, y) >= 0.8 for j, ys in texts.items() if j is not None and j != i for y in ys) for x in texts[i])
+    distinct = {i: texts[i][0] for i in stay if len(texts[i]) == 1}
+    near = [(i, j) for i in distinct for j in distinct if i < j and similarity(distinct[i], distinct[j]) >= 0.9]
+    assert not near
+
+
+@pytest.mark.parametrize(("share", "least", "low", "high"), [(0.04, 0.9, 0.97, 1.0), (0.09, 0.8, 0.8, 1.0), (0.5, 0.0, 0.0, 0.0)])
+def test_recall_of_similar_texts(spark, share, least, low, high):
+    rnd = random.Random(8)
+    base = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(rnd.randrange(200, 600))) for _ in range(150)]
+    pairs = [(t, changed(t, rnd, share)) for t in base]
+    rows = [(2 * k + j, p[j]) for k, p in enumerate(pairs) for j in (0, 1)]
+    stay = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), shared(spark)).collect()}
+    wanted = [k for k, (a, b) in enumerate(pairs) if similarity(a, b) >= least]
+    caught = [k for k in wanted if 2 * k + 1 not in stay]
+    assert all(2 * k in stay for k in range(len(pairs))) and len(wanted) > 100
+    assert low <= len(caught) / len(wanted) <= high
+    assert all(similarity(*pairs[k]) >= 0.8 for k in range(len(pairs)) if 2 * k + 1 not in stay)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_trie_join_links_whatever_brute_force_links(seed):
     rnd = random.Random(seed)
@@ -381,6 +427,33 @@ def test_language_id_edges(spark, frame, empty):
     assert {r.lang_pred for r in langid.predict(frame, none).collect()} == {"und"}
 
 
+def test_ridge_on_landmarks_solves_the_kernel_equations():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdef" if k % 2 else "defghi") for _ in range(30)) for k in range(20)]
+    labels = ["x" if k % 2 else "y" for k in range(20)]
+    model = langid.fit(texts, labels, ridge=1e-2)  # every text is a landmark
+    sets = [set(langid.grams(t).tolist()) for t in texts]
+    K = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    Y = np.array([[1.0 if t == n else -1.0 for n in ("x", "y")] for t in labels])
+    alpha = np.linalg.solve(K + 1e-2 * 20 * np.eye(20), Y)  # plain kernel ridge regression
+    assert np.abs(model.kernels(texts) @ model.weights - K @ alpha).max() < 1e-3
+
+
+def test_no_label_is_left_out(spark, monkeypatch):
+    rows = [(k, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 4} " * 5, f"l{k:03d}") for k in range(260) for _ in range(2)]
+    df = spark.createDataFrame(rows + [(None, "zz zz", "l000")] * 3, "doc_id long, text string, lang string")
+    assert len(langid.fit_sample(df).labels) == 260
+    monkeypatch.setattr(langid, "LANDMARK_CELLS", 2000)
+    small = langid.fit_sample(df)
+    assert len(small.labels) == 260 and small.landmarks.size <= 2000 and len(small.predict(["aaaaaaa"])[0]) == 1
+
+
+def test_the_sample_is_the_same_rows_whatever_the_split(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = langid.fit_sample(df.repartition(1)), langid.fit_sample(df.repartition(7))
+    assert a.labels == b.labels and np.array_equal(a.weights, b.weights)
+
+
 def test_kernel_is_shared_presence_over_root_of_sizes():
     model = langid.fit(["abcd", "wxyz"], ["a", "b"], ridge=1e-3)
     a, b = (set(langid.grams(x).tolist()) for x in ("abcd", "bcde"))
@@ -641,9 +714,8 @@ def test_pipeline_stages(spark, docs):
         if name == "language":
             assert set(after) == {i for i, r in before.items() if r.text and any(map(str.isalpha, r.text))}
         elif name == "near_duplicates":
-            fp = {i: brute_fingerprint(r.text) for i, r in before.items()}
-            assert all(any((fp[i] ^ fp[j]).bit_count() <= 4 for j in before if j != i) for i in set(before) - set(after))
-            assert not any((fp[i] ^ fp[j]).bit_count() <= 4 for i in after for j in after if i < j)
+            assert all(any(similarity(before[i].text, before[j].text) >= 0.8 for j in before if j != i) for i in set(before) - set(after))
+            assert not any(similarity(after[i].text, after[j].text) >= 0.9 for i in after for j in after if i < j)
         elif name == "repeated_passages":
             assert set(after) == set(before) and sum(r.n_chars for r in after.values()) < sum(len(r.text) for r in before.values())
             kept = {i: r.text for i, r in after.items()}
