@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import crc_mod, per_text, small_batches, table
+from frameloom.llm.common import SMALL_ROWS, crc_mod, per_text, small_batches, table
 
 ORDER = 3
 #: Bits of an n-gram's hash; the table of columns has 2**BITS entries.
@@ -139,6 +139,7 @@ def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = start.collect()  # a row a label
     most = max(1, min(PER_LABEL, SAMPLE_ROWS // max(1, len(starts))))
     bounds = docs.sparkSession.createDataFrame([(r["label"], r["from"]) for r in starts], "label string, `from` int")
+    bounds = F.broadcast(bounds) if len(starts) <= SMALL_ROWS else bounds
     picked = rows.withColumn("level", level).join(bounds, "label").where(F.col("level") >= F.col("from")).dropDuplicates(["label", "h"])
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.shiftrightunsigned("h", 1), "h"))
     sample = picked.withColumn("place", place).where(F.col("place") <= most).select("label", "h", "text").collect()
