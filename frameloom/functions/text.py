@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that say nothing in an overlap score.
-STOPWORDS = tuple(
-    """a also an and are as at be been but by did do does down for from had has have he her his i if in into is it its just
-    me my no not of off on or our she than that the their them then there these they this to up was we were what when where
-    which while who will with you your yours""".split()
-)
+STOPWORDS = (
+    "a", "also", "an", "and", "are", "as", "at", "be", "been", "but", "by", "did", "do", "does", "down", "for", "from", "had", "has",
+    "have", "he", "her", "his", "i", "if", "in", "into", "is", "it", "its", "just", "me", "my", "no", "not", "of", "off", "on", "or",
+    "our", "she", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "up", "was", "we", "were",
+    "what", "when", "where", "which", "while", "who", "will", "with", "you", "your", "yours",
+)
 #: Openers that are cut, and words and phrases that are banned.
 OPENERS = ("discover", "imagine")
 BANNED_WORDS = ("bespoke", "delve", "nestled", "tapestry")
@@ -74,6 +75,17 @@ def trim_sentences(text: Column, least: int, most: int) -> Column:
     return F.when((word_count(text) > most) & (F.size(good) > 0), F.element_at(good, -1)).otherwise(text)
 
 
+def trim_overflow(segments: DataFrame, least: int, most: int) -> DataFrame:
+    """(doc, segment, text): the last segment of a document of more than ``most`` words loses last sentences until it fits, if ``least`` words stay."""
+    whole = Window.partitionBy("doc")
+    counted = segments.withColumn("n", word_count(F.col("text"))).withColumn("total", F.sum("n").over(whole)).withColumn("last", F.max("segment").over(whole) == F.col("segment"))
+    parts, rest = sentences(F.col("text")), F.col("total") - F.col("n")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " "))
+    fits = F.filter(heads, lambda h: (rest + word_count(h)).between(least, most))
+    cut = F.col("last") & (F.col("total") > most) & (F.size(fits) > 0)
+    return counted.select("doc", "segment", F.when(cut, F.get(fits, F.size(fits) - 1)).otherwise(F.col("text")).alias("text"))
+
+
 def speak_units(text: Column) -> Column:
     """Currency and percent signs as words."""
     return F.regexp_replace(F.regexp_replace(text, "\\$([0-9]+(?:\\.[0-9]+)?)", "$1 dollars"), "([0-9]+(?:\\.[0-9]+)?)%", "$1 percent")
@@ -109,7 +121,7 @@ def spell_number(n: int) -> str:
             return f"{head} {spell_number(n % size)}" if n % size else head
     if n < 20:
         return _ONES[n]
-    return _TENS[n // 10] + (f"-{_ONES[n % 10]}" if n % 10 else "")
+    return _TENS[n // 10] + (f" {_ONES[n % 10]}" if n % 10 else "")
 
 
 def speak_numbers(text: Column) -> Column:
@@ -119,7 +131,7 @@ def speak_numbers(text: Column) -> Column:
         said = spell_number(int(whole))
         return f"{said} point {' '.join(_ONES[int(d)] for d in part)}" if part else said
 
-    number = re.compile(r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?")
+    number = re.compile(r"[0-9][0-9,]*(?:\.[0-9]+)?")  # a fixed value: what counts as a number
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if x is None else number.sub(say, x) for x in texts.to_pylist()], pa.string())

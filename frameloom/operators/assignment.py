@@ -1,112 +1,20 @@
-"""Order-dependent folds over one document: beats, captions, clip assignment, bridges.
+"""Order-dependent folds over the few beats of one document: clip assignment, bridges.
 
-Each fold sees one document at a time through applyInPandas; a document has at most some hundred
-beats. The helpers are plain functions on small lists, so tests can call them without Spark.
+Each fold sees a list of bounded size; the helpers are plain functions on small lists, so tests can
+call them without Spark. What has no solution gets a status, never an error that ends the job.
 """
 
 from __future__ import annotations
 
-import math
-import re
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 TOLERANCE = 0.05
-SNAP = 0.6
 STALE, NEIGHBOUR, TWIN, IMPOSSIBLE = 0.10, 0.05, 0.50, 1e6
-_CLOSERS = "\"')]}”’"
-
-
-def is_boundary(word: str) -> bool:
-    """Whether the word ends a clause, closing quotes and brackets aside."""
-    return word.rstrip(_CLOSERS).endswith((".", ",", "!", "?", ";", ":", "—"))
-
-
-def _grid(starts: list[float], words: list[str], low: int, high: int, until: float, n: int) -> list[int]:
-    """Starts of at most n beats over words low..high on a grid of equal times, snapped to clauses."""
-    out, begin = [low], starts[low]
-    for k in range(1, n):
-        want = begin + (until - begin) * k / n
-        options = range(out[-1] + 1, high - (n - k) + 2)
-        if not options:
-            break
-        nearest = min(options, key=lambda i: (abs(starts[i] - want), i))
-        clauses = [i for i in options if is_boundary(words[i - 1])]
-        best = min(clauses, key=lambda i: (abs(starts[i] - want), i), default=None)
-        near = best is not None and abs(starts[best] - want) <= abs(starts[nearest] - want) + SNAP
-        out.append(best if near else nearest)
-    return out
-
-
-def plan_segment(starts: list[float], words: list[str], low: int, high: int, until: float, least: float, most: float) -> list[int]:
-    """Beat starts of one segment: clauses, merged up to a floor, cut down to a ceiling."""
-    clauses = [low] + [i for i in range(low + 1, high + 1) if is_boundary(words[i - 1])]
-    ends = [starts[i] for i in clauses[1:]] + [until]
-    beats = [low]
-    for start, end in zip(clauses[1:], ends[1:], strict=True):
-        if not (starts[start] - starts[beats[-1]] < least and end - starts[beats[-1]] <= most):
-            beats.append(start)
-    if len(beats) > 1 and until - starts[beats[-1]] < least and until - starts[beats[-2]] <= most:
-        beats.pop()
-    out: list[int] = []
-    for i, start in enumerate(beats):
-        last = beats[i + 1] - 1 if i + 1 < len(beats) else high
-        end = starts[beats[i + 1]] if i + 1 < len(beats) else until
-        span = end - starts[start]
-        out += _grid(starts, words, start, last, end, min(math.ceil(span / most), last - start + 1)) if span > most else [start]
-    return out
-
-
-def plan_beats(words: pd.DataFrame, until: float, least: float, most: float, budget: int | None = None) -> list[tuple[int, int, int]]:
-    """(segment, first word, last word) of each beat of one document's words, in order."""
-    words = words.sort_values("word_idx")
-    starts, texts = words["start"].tolist(), words["word"].tolist()
-    ranges = [(int(s), int(g.index[0]), int(g.index[-1])) for s, g in words.reset_index(drop=True).groupby("segment", sort=True)]
-    stops = [starts[low] for _, low, _ in ranges[1:]] + [until]
-    plans = [plan_segment(starts, texts, low, high, stop, least, most) for (_, low, high), stop in zip(ranges, stops, strict=True)]
-    if budget is not None and sum(map(len, plans)) > budget:
-        spans = [max(0.0, stop - starts[low]) for (_, low, _), stop in zip(ranges, stops, strict=True)]
-        spare, total = max(0, budget - len(ranges)), sum(spans) or 1.0
-        exact = [spare * s / total for s in spans]
-        shares = [1 + math.floor(x) for x in exact]
-        left = spare - sum(math.floor(x) for x in exact)
-        for i in sorted(range(len(exact)), key=lambda i: -(exact[i] - math.floor(exact[i])))[:left]:
-            shares[i] += 1
-        plans = [_grid(starts, texts, low, high, stop, min(n, high - low + 1)) for (_, low, high), stop, n in zip(ranges, stops, shares, strict=True)]
-    out = []
-    for (segment, _, high), plan in zip(ranges, plans, strict=True):
-        out += [(segment, a, b - 1) for a, b in zip(plan, [*plan[1:], high + 1], strict=True)]
-    return out
-
-
-def beats(words: DataFrame, least: float = 2.0, most: float = 4.0, budget: int | None = None) -> DataFrame:
-    """Beats of every document: doc, beat, segment, first_word, last_word."""
-
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        plan = plan_beats(doc, float(doc["end"].max()), least, most, budget)
-        return pd.DataFrame([(doc["doc"].iloc[0], i, *b) for i, b in enumerate(plan)], columns=["doc", "beat", "segment", "first_word", "last_word"])
-
-    return words.groupBy("doc").applyInPandas(fold, "doc long, beat long, segment long, first_word long, last_word long")
-
-
-def caption_phrases(words: DataFrame) -> DataFrame:
-    """Caption phrases of every document: doc, phrase, first_word, last_word."""
-
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("word_idx")
-        rows, start = list(doc[["word_idx", "word", "start", "end"]].itertuples(index=False)), 0
-        out = []
-        for i, w in enumerate(rows):
-            size = i - start + 1
-            gap = rows[i + 1].start - w.end if i + 1 < len(rows) else 0.0
-            if re.search(r"[.!?;]$", w.word) or (w.word.endswith(",") and size >= 4) or size >= 8 or gap > 0.25 + 1e-9 or i + 1 == len(rows):
-                out.append((doc["doc"].iloc[0], len(out), rows[start].word_idx, w.word_idx))
-                start = i + 1
-        return pd.DataFrame(out, columns=["doc", "phrase", "first_word", "last_word"])
-
-    return words.groupBy("doc").applyInPandas(fold, "doc long, phrase long, first_word long, last_word long")
+#: Clips of a group that a fold gets.
+POOL = 400
 
 
 # ---- assignment -----------------------------------------------------------------------------------
@@ -161,10 +69,16 @@ def assign(scores: np.ndarray, spans: list[float], durations: list[float], categ
         if after == picks:
             break
         picks = after
-    bad = [i for i, p in enumerate(picks) if not covers[i, p]]
-    if bad or len(set(picks)) < len(picks):
-        raise ValueError(f"no clip covers beats {bad}")
-    return picks
+    return _repair(picks, base, covers)
+
+
+def _repair(picks: list[int], cost: np.ndarray, covers: np.ndarray) -> list[int]:
+    """Where a pick does not cover its beat, the cheapest unused clip that does; -1 if there is none."""
+    out = [p if covers[i, p] else -1 for i, p in enumerate(picks)]
+    for i in [i for i, p in enumerate(out) if p < 0]:
+        free = [c for c in np.flatnonzero(covers[i]).tolist() if c not in out]
+        out[i] = min(free, key=lambda c: (cost[i, c], c), default=-1)
+    return out
 
 
 def greedy_pack(ranking: list[list[int]], spans: list[float], durations: list[float], categories: list[str], twins: np.ndarray | None = None) -> list[int]:
@@ -180,21 +94,25 @@ def greedy_pack(ranking: list[list[int]], spans: list[float], durations: list[fl
                     continue
                 if unlike and before and categories[c] == before:
                     continue
-                if diverse and any(twins[c, p] for p in picks):
+                if diverse and any(twins[c, p] for p in picks if p >= 0):
                     continue
                 found = c
                 break
             if found is not None:
                 break
-        if found is None:
-            raise ValueError("no clip covers a beat")
-        picks.append(found)
-        before = categories[found] or before
+        picks.append(-1 if found is None else found)
+        before = before if found is None else categories[found] or before
     return picks
 
 
 def assign_groups(pool: DataFrame, n_beats: int, greedy: bool = False) -> DataFrame:
-    """Per group the clips of n_beats beats: pool has group, vec_id, v, duration_sec, category; beats are the pool's first rows."""
+    """Per group the clips of n_beats beats, with status ok or uncovered: pool has group, vec_id, v, duration_sec, category, stale.
+
+    Beats are the first rows, their spans the durations that those clips have, at most 4 seconds. The fold
+    gets the POOL rows of a group with the smallest ids.
+    """
+    place = F.row_number().over(Window.partitionBy("group").orderBy("vec_id"))
+    pool = pool.withColumn("place", place).where(F.col("place") <= POOL).drop("place")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id").reset_index(drop=True)
@@ -203,22 +121,24 @@ def assign_groups(pool: DataFrame, n_beats: int, greedy: bool = False) -> DataFr
         n = min(n_beats, len(rows) // 2)
         scores = unit[:n] @ unit.T
         scores[np.arange(n), np.arange(n)] = 0.0
-        spans = [1.0 + 0.5 * (i % 3) for i in range(n)]
         durations, categories = rows["duration_sec"].tolist(), rows["category"].tolist()
+        spans = [min(4.0, x) for x in durations[:n]]
+        stale = np.tile(rows["stale"].to_numpy(np.float64), (n, 1))
         twins = unit @ unit.T >= 0.3
         np.fill_diagonal(twins, False)
         if greedy:
             ranking = [sorted(range(len(rows)), key=lambda c, i=i: (-scores[i, c], c)) for i in range(n)]
             picks = greedy_pack(ranking, spans, durations, categories, twins)
         else:
-            picks = assign(scores, spans, durations, categories, twins)
-        return pd.DataFrame({"group": rows["group"].iloc[0], "beat": np.arange(n), "vec_id": rows["vec_id"].to_numpy()[picks], "span": spans, "duration_sec": rows["duration_sec"].to_numpy()[picks]})
+            picks = assign(scores, spans, durations, categories, twins, stale)
+        taken = [(rows["vec_id"][p], rows["duration_sec"][p], "ok") if p >= 0 else (None, None, "uncovered") for p in picks]
+        return pd.DataFrame({"group": rows["group"].iloc[0], "beat": np.arange(n), "vec_id": [x[0] for x in taken], "span": spans, "duration_sec": [x[1] for x in taken], "status": [x[2] for x in taken]})
 
-    return pool.groupBy("group").applyInPandas(fold, "group int, beat long, vec_id long, span double, duration_sec double")
+    return pool.groupBy("group").applyInPandas(fold, "group int, beat long, vec_id long, span double, duration_sec double, status string")
 
 
 def bridge_fill(entries: DataFrame, clips: list[tuple[str, float]]) -> DataFrame:
-    """Per document the unused clips that fill what entries leave uncovered, longest first; each clip once a document."""
+    """Per document the unused clips that fill what entries leave uncovered, longest first; each clip once a document. A rest that none fills has no clip."""
 
     def fold(doc: pd.DataFrame) -> pd.DataFrame:
         pool = sorted((c for c in clips if c[1] > 0), key=lambda c: (-c[1], c[0]))
@@ -227,7 +147,8 @@ def bridge_fill(entries: DataFrame, clips: list[tuple[str, float]]) -> DataFrame
             cursor = e.start + max(e.source - e.trim, 0.0)
             while e.display_end - cursor > TOLERANCE:
                 if not pool:
-                    raise ValueError("no clip left for a gap")
+                    out.append((e.doc, e.segment, None, cursor, e.display_end - cursor))
+                    break
                 clip, length = pool.pop(0)
                 use = min(e.display_end - cursor, length)
                 out.append((e.doc, e.segment, clip, cursor, use))

@@ -106,13 +106,30 @@ def largest_remainder(rows: DataFrame, weight: Column, total: int, key: str, ord
     """Whole shares of total by weight, one at least each; what is left goes to the largest fractions, ties in order."""
     whole = Window.partitionBy(key)
     spare = F.greatest(F.lit(total) - F.count("*").over(whole), F.lit(0))
-    exact = rows.withColumn("__exact", spare * weight / F.sum(weight).over(whole)).withColumn("__spare", spare)
+    every = F.sum(weight).over(whole)
+    exact = rows.withColumn("__exact", F.coalesce(spare * weight / F.nullif(every, every * 0), F.lit(0.0))).withColumn("__spare", spare)
     floored = exact.withColumn("__floor", F.floor("__exact")).withColumn("__left", F.col("__spare") - F.sum(F.floor("__exact")).over(whole))
     turn = F.row_number().over(whole.orderBy(F.desc(F.col("__exact") - F.col("__floor")), order))
     share = (1 + F.col("__floor") + F.when(turn <= F.col("__left"), 1).otherwise(0)).cast("long")
     return floored.withColumn("share", share).drop("__exact", "__spare", "__floor", "__left")
 
 
+def capped_shares(rows: DataFrame, size: str, total: int, key: str, order: str) -> DataFrame:
+    """Shares of total in proportion to size: one at least, never more than there are; what is left goes round twice by the largest fractions."""
+    whole = Window.partitionBy(key)
+    n = F.col(size)
+    target = F.least(F.lit(total), F.sum(n).over(whole))
+    exact = target * n / F.sum(n).over(whole)
+    shared = rows.withColumn("__exact", exact).withColumn("share", F.greatest(F.lit(1), F.least(n, F.floor("__exact"))))
+    turn = whole.orderBy(F.desc(F.col("__exact") - F.floor("__exact")), order)
+    for _ in range(2):
+        left = F.least(F.lit(total), F.sum(n).over(whole)) - F.sum("share").over(whole)
+        shared = shared.withColumn("__left", left).withColumn("__room", (F.col("share") < n).cast("int"))
+        shared = shared.withColumn("__turn", F.sum("__room").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
+        shared = shared.withColumn("share", F.col("share") + F.when((F.col("__room") == 1) & (F.col("__turn") <= F.col("__left")), 1).otherwise(0))
+    return shared.withColumn("share", F.col("share").cast("long")).drop("__exact", "__left", "__room", "__turn")
+
+
 def pause_budget(segments: DataFrame, target: float, wpm: float, cap: int, key: str = "doc", order: str = "segment") -> DataFrame:
     """segments with pause_ms: the time that speech leaves, by weight over pauses of weight 2 or more, but never after the last."""
     whole = Window.partitionBy(key)

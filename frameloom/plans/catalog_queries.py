@@ -114,7 +114,7 @@ def category_brief(spark: SparkSession, d: str) -> DataFrame:
     quota = F.when(F.col("tier") == "core", 6).when(F.col("tier") == "secondary", 4).otherwise(2)
     picked = clips.dropDuplicates(["category", "scene_description"]).select("category", "scene_description")
     turn = F.row_number().over(Window.partitionBy("category").orderBy("scene_description"))
-    motifs = picked.withColumn("turn", turn).join(F.broadcast(tiers.limit(1000)), "category").where(F.col("turn") <= quota)
+    motifs = picked.withColumn("turn", turn).join(tiers, "category").where(F.col("turn") <= quota)
     return motifs.groupBy("category", "tier", "n", "seconds").agg(F.array_join(F.array_sort(F.collect_list("scene_description")), "|").alias("motifs"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.text import word_count
 from frameloom.operators import assignment as A
+from frameloom.operators import beats as B
 from frameloom.operators import relational as R
 from frameloom.operators import sequences as S
 from frameloom.sources.media import CTES, catalog, ledger, segments, words
@@ -132,7 +133,7 @@ def coverage_metric(spark: SparkSession, d: str) -> DataFrame:
 
 def beat_text(spark: SparkSession, d: str) -> DataFrame:
     ranges = S.word_ranges(_starts(spark, d), F.col("word_count")).select("doc", "segment", "first_word", "last_word")
-    w = words(spark, d).select("doc", "word_idx", "word").join(ranges, "doc").where(F.col("word_idx").between(F.col("first_word"), F.least("last_word", F.col("first_word") + 4)))
+    w = words(spark, d).select("doc", "word_idx", "word").join(ranges, "doc").where(F.col("word_idx").between(F.col("first_word"), F.col("last_word")))
     ordered = F.array_sort(F.collect_list(F.struct("word_idx", "word")))
     return w.groupBy("doc", "segment").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("beat_text"))
 
@@ -158,7 +159,7 @@ def rotating_motifs(spark: SparkSession, d: str) -> DataFrame:
 
 def stratified_alloc(spark: SparkSession, d: str) -> DataFrame:
     sizes = catalog(spark, d).where("category <> ''").groupBy("category").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
-    return S.largest_remainder(sizes, F.col("n"), 50, "all", "category").select("category", "n", "share")
+    return S.capped_shares(sizes, "n", 200, "all", "category").select("category", "n", "share")
 
 
 def variant_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -182,15 +183,15 @@ def drop_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def beats(spark: SparkSession, d: str) -> DataFrame:
-    return A.beats(words(spark, d))
+    return B.beats(words(spark, d))
 
 
 def beat_budget(spark: SparkSession, d: str) -> DataFrame:
-    return A.beats(words(spark, d), budget=12)
+    return B.beats(words(spark, d), budget=12)
 
 
 def caption_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return A.caption_phrases(words(spark, d))
+    return B.caption_phrases(words(spark, d))
 
 
 def bridge_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +228,7 @@ CATALOGUE = {
     "rate_metric": (rate_metric, _with('select doc, count(*) n_words, round(case when count(*) >= 2 and max("end") > min(start) then count(*) / (max("end") - min(start)) * 60 end, 4) wpm from words group by 1', "words")),
     "coverage_metric": (coverage_metric, _with('select doc, round((max("end") - min(start)) / 65.0, 6) coverage, min(start) first_start, max("end") last_end from words group by 1', "words")),
     "beat_text": (beat_text, _with("""select w.doc, r.segment, string_agg(word, ' ' order by word_idx) beat_text from words w join (select doc, segment, sum(word_count) over w - word_count f, sum(word_count) over w - 1 l from starts window w as (partition by doc order by segment)) r
-  on w.doc = r.doc and word_idx between f and least(l, f + 4) group by 1, 2""", "words", STARTS)),
+  on w.doc = r.doc and word_idx between f and l group by 1, 2""", "words", STARTS)),
     "pause_budget": (pause_budget, _with("""select doc, segment, (case when need > 0 and w > 0 then least(round_even(round_even(round_even(need * 1000 / 1.1, 0) * w / sw, 0) * 1.1, 0), 3000.0) else 0 end)::bigint pause_ms from (
   select *, sum(w) over (partition by doc) sw from (select doc, segment, case when pause_weight >= 2 and segment <> max(segment) over (partition by doc) then pause_weight else 0 end w, 400.0::double * 0.9 - sum(wc) over (partition by doc) / 148.0::double * 60 need
     from (select *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) wc from segments)))""", "segments")),
@@ -237,8 +238,11 @@ CATALOGUE = {
     "round_robin": (round_robin, _with("select doc, segment, ['ada', 'bea', 'cai'][(row_number() over (partition by doc order by segment) - 1) % 3 + 1] voice from segments", "segments")),
     "rotating_motifs": (rotating_motifs, _with("""select category, motif, place from (select *, ((n - 1 - 3) % size + size) % size place from (select *, row_number() over (partition by category order by motif) n, count(*) over (partition by category) size from (
   select distinct category, lower(scene_description) motif from catalog where category <> ''))) where place < 5""", "catalog")),
-    "stratified_alloc": (stratified_alloc, _with("""select category, n, (1 + fl + (row_number() over (order by ex - fl desc, category) <= lft)::int)::bigint share from (select *, floor(ex) fl, spare - sum(floor(ex)) over () lft from (
-  select category, n, greatest(50 - count(*) over (), 0) spare, greatest(50 - count(*) over (), 0) * n / sum(n) over () ex from (select category, count(*) n from catalog where category <> '' group by 1)))""", "catalog")),
+    "stratified_alloc": (stratified_alloc, _with("""select category, n, (share + case when room2 = 1 and turn2 <= left2 then 1 else 0 end)::bigint share from (
+  select *, sum(room2) over (order by ex - floor(ex) desc, category rows unbounded preceding) turn2 from (select *, target - sum(share) over () left2, (share < n)::int room2 from (
+  select category, n, ex, target, share + case when room = 1 and turn <= lft then 1 else 0 end share from (select *, sum(room) over (order by ex - floor(ex) desc, category rows unbounded preceding) turn from (
+  select *, target - sum(share) over () lft, (share < n)::int room from (select *, greatest(1, least(n, floor(ex)::bigint)) share from (select *, least(200, sum(n) over ()) target, least(200, sum(n) over ()) * n / sum(n) over () ex from (
+    select category, count(*) n from catalog where category <> '' group by 1))))))))""", "catalog")),
     "variant_plan": (variant_plan, _with("select poi_id, category, clip_id, ['hook_a', 'hook_b'][(row_number() over (partition by poi_id order by category) - 1) % 2 + 1] choice from (select poi_id, category, min(clip_id) clip_id from catalog where status = 'active' group by 1, 2)", "catalog")),
     "chars_to_words": (chars_to_words, _with("""select doc, segment, word_no::bigint word_no, count(*) n_chars, min(pos) first_pos from (select *, sum((c in (' ', chr(10)))::int) over (partition by doc, segment order by pos) word_no from (
   select doc, segment, unnest(string_split(text, '')) c, generate_subscripts(string_split(text, ''), 1) - 1 pos from segments)) where c not in (' ', chr(10)) group by 1, 2, 3""", "segments")),

@@ -41,8 +41,8 @@ def opener_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_trim(spark: SparkSession, d: str) -> DataFrame:
-    one_line = F.regexp_replace("text", "\\n", " ")
-    return segments(spark, d).select("doc", "segment", T.trim_sentences(one_line, 10, 40).alias("text"))
+    one_line = F.trim(F.regexp_replace("text", "\\n", " "))
+    return T.trim_overflow(segments(spark, d).withColumn("text", one_line), 100, 140)
 
 
 def script_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,12 @@ CATALOGUE = {
     "norm_dedupe": (norm_dedupe, "select md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as key, min(doc_id) first_id, count(*) n from documents group by 1"),
     "banned_terms": (banned_terms, "select * from (select conv_id doc, turn segment, concat_ws(',', " + ", ".join(f"case when contains(lower(text), '{t}') then '{t}' end" if t in PHRASES else f"case when regexp_matches(lower(text), '\\b{t}\\b') then '{t}' end" for t in sorted(WORDS + PHRASES)) + ") banned from conversations) where banned <> ''"),
     "opener_strip": (opener_strip, "select conv_id doc, turn segment, case when conv_id % 3 < 2 then upper(substr(t, 1, 1)) || substr(t, 2) else t end as text from (select *, lower(text) t from conversations)"),
-    "sentence_trim": (sentence_trim, None),
+    "sentence_trim": (sentence_trim, """with s as (select conv_id doc, turn segment, trim(replace(text, chr(10), ' ')) as text from conversations),
+  c as (select *, sum(n) over (partition by doc) total, segment = max(segment) over (partition by doc) is_last from (select *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) n from s)),
+  marked as (select *, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) parts from c where is_last and total > 140),
+  heads as (select doc, segment, total - n rest, unnest(list_transform(range(1, len(parts) + 1), lambda k: array_to_string(parts[1:k], ' '))) head from marked),
+  best as (select doc, segment, arg_max(head, length(head)) head from heads where rest + len(list_filter(regexp_split_to_array(head, '\\s+'), lambda x: x <> '')) between 100 and 140 group by 1, 2)
+  select doc, segment, coalesce(head, text) as text from c left join best using (doc, segment)"""),
     "script_gate": (script_gate, """select doc, n_words, n_segments, case when n_segments < 4 then 'segments' when n_words < 145 then 'short' when n_words > 900 then 'long' else 'ok' end verdict from (
   select conv_id doc, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::bigint n_words, count(*) n_segments from conversations group by 1)"""),
     "tts_normalize": (tts_normalize, "select p_partkey, 'only ' || floor(p_retailprice)::int || ' dollars or ' || p_size || ' percent off' spoken from part"),

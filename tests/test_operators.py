@@ -1,9 +1,10 @@
 """Small literal cases of the operators."""
 
+import collections
 import itertools
+import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import text as T
 from frameloom.operators import assignment as A
+from frameloom.operators import beats as B
 from frameloom.operators import relational as R
 from frameloom.operators import sequences as S
 from frameloom.operators import vectors as V
@@ -106,12 +108,121 @@ def test_maxmin_avoids_twins():
     assert sorted(V.maxmin_order(unit, 3)) == [0, 2, 4]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["a", "b,", "c."]), min_size=1, max_size=20), min_size=1, max_size=5), st.one_of(st.none(), st.integers(1, 12)))
-def test_beats_tile_any_narration(narration, budget):
-    rows = [(s, w) for s, words in enumerate(narration) for w in words]
-    df = pd.DataFrame({"segment": [s for s, _ in rows], "word": [w for _, w in rows], "word_idx": range(len(rows)), "start": [0.5 * i for i in range(len(rows))]})
-    plan = A.plan_beats(df, 0.5 * len(rows), 2.0, 4.0, budget)
-    assert [b[1] for b in plan] == [0, *(b[2] + 1 for b in plan[:-1])] and plan[-1][2] == len(rows) - 1
-    if budget is not None:
-        assert len(plan) <= max(budget, len(narration))
+SIGNS = (",", ".", ";", ":", "!", "?", "…", "—")
+
+
+def brute_beats(narration, times, end, least=2.0, most=4.0, budget=None):
+    """(segment, first, last) of beats; narration: lists of words, times: their starts."""
+    def grid(a, z, stop, n):
+        cuts = [a]
+        for k in range(1, n):
+            want = times[a] + (stop - times[a]) * k / n
+            choice = [(abs(times[i] - want), i) for i in range(cuts[-1] + 1, z - n + k + 2)]
+            good = [c for c in choice if closes(flat[c[1] - 1]) and c[0] <= min(choice)[0] + 0.6]
+            cuts.append(min(good or choice)[1])
+        return cuts
+
+    closes = lambda w: w.rstrip("\"'”’)»]").endswith(SIGNS)
+    flat, plans, at = [w for seg in narration for w in seg], [], 0
+    bounds = []
+    for seg in narration:
+        bounds.append((at, at + len(seg) - 1))
+        at += len(seg)
+    stops = [times[a] for a, _ in bounds[1:]] + [end]
+    for (a, z), stop in zip(bounds, stops):
+        heads = [i for i in range(a, z + 1) if i == a or closes(flat[i - 1])]
+        time = {h: times[h] for h in heads} | {None: stop}
+        kept = []
+        for h, nxt in zip(heads, heads[1:] + [None]):
+            if not kept or times[h] - times[kept[-1]] >= least or time[nxt] - times[kept[-1]] > most:
+                kept.append(h)
+        if len(kept) > 1 and stop - times[kept[-1]] < least and stop - times[kept[-2]] <= most:
+            kept.pop()
+        cuts = []
+        for h, nxt in zip(kept, kept[1:] + [None]):
+            last, till = (z if nxt is None else nxt - 1), time[nxt] if nxt is None else times[nxt]
+            n = min(int(np.ceil((till - times[h]) / most)), last - h + 1)
+            cuts += grid(h, last, till, n) if till - times[h] > most else [h]
+        plans.append(cuts)
+    if budget is not None and len(bounds) > budget:
+        return None
+    if budget is not None and sum(map(len, plans)) > budget:
+        spans = [stop - times[a] for (a, _), stop in zip(bounds, stops)]
+        exact = [(budget - len(bounds)) * s / sum(spans) for s in spans]
+        shares = [int(x) for x in exact]
+        by_rest = sorted(range(len(exact)), key=lambda i: (shares[i] - exact[i], i))
+        for i in by_rest[: budget - len(bounds) - sum(shares)]:
+            shares[i] += 1
+        plans = [grid(a, z, stop, min(s + 1, z - a + 1)) for (a, z), stop, s in zip(bounds, stops, shares)]
+    return [(s, p, q - 1) for s, (cuts, (_, z)) in enumerate(zip(plans, bounds)) for p, q in zip(cuts, cuts[1:] + [z + 1])]
+
+
+def random_narrations(n):
+    rnd = random.Random(11)
+    for doc in range(n):
+        narration = [[rnd.choice(["a", "b", "cc", "d,", "e.", "f…”", "g»", "h—)", "i}"]) for _ in range(rnd.randrange(1, 25))] for _ in range(rnd.randrange(1, 6))]
+        count, t, times = sum(map(len, narration)), 0.0, []
+        for _ in range(count):
+            times.append(t)
+            t = round(t + rnd.choice([0.25, 0.5, 0.75, 1.5]), 2)
+        yield doc, narration, times, t
+
+
+def word_rows(narrations):
+    for doc, narration, times, end in narrations:
+        flat = [(s, w) for s, seg in enumerate(narration) for w in seg]
+        for i, (s, w) in enumerate(flat):
+            yield doc, s, i, w, times[i], times[i + 1] - 0.2 if i + 1 < len(flat) else end
+
+
+WORDS = "doc long, segment long, word_idx int, word string, start double, end double"
+
+
+@pytest.mark.parametrize("budget", [None, 4, 9])
+def test_beats_against_brute_force(spark, budget):
+    narrations = list(random_narrations(60))
+    found = collections.defaultdict(list)
+    for r in B.beats(spark.createDataFrame(list(word_rows(narrations)), WORDS), budget=budget).orderBy("doc", "beat").collect():
+        found[r.doc].append((r.segment, r.first_word, r.last_word) if r.beat is not None else r.status)
+    for doc, narration, times, end in narrations:
+        expected = brute_beats(narration, times, end, budget=budget)
+        assert found[doc] == (["budget_below_segments"] if expected is None else expected)
+
+
+def test_captions_against_brute_force(spark):
+    narrations = list(random_narrations(40))
+    rows = list(word_rows(narrations))
+    found = collections.defaultdict(list)
+    for r in B.caption_phrases(spark.createDataFrame(rows, WORDS)).orderBy("doc", "phrase").collect():
+        found[r.doc].append((r.first_word, r.last_word))
+    for doc, *_ in narrations:
+        own, phrases, head = [r for r in rows if r[0] == doc], [], 0
+        for k, (_, _, i, word, _, end) in enumerate(own):
+            n, last = i - head + 1, k + 1 == len(own)
+            if word[-1] in ".!?;" or word[-1] == "," and n >= 4 or n >= 8 or last or own[k + 1][4] - end > 0.25 + 1e-9:
+                phrases.append((head, i))
+                head = i + 1
+        assert found[doc] == phrases
+
+
+def test_spoken_numbers(spark):
+    pairs = {"33 floors": "thirty three floors", "1,900 dollars": "one thousand nine hundred dollars", "2.5 metres": "two point five metres", "0 and 12": "zero and twelve", "1,002,019": "one million two thousand nineteen", "4000000000": "4000000000", "3.05": "three point zero five", "none": "none"}
+    df = spark.createDataFrame(list(pairs.items()), "a string, b string")
+    assert all(r.said == r.b for r in df.select("b", T.speak_numbers(F.col("a")).alias("said")).collect())
+
+
+def test_overflow_is_trimmed_from_the_last_segment(spark):
+    rows = [(1, 0, "one two three."), (1, 1, "a b c. d e f. g h i."), (2, 0, "x " * 20), (3, 0, "p q."), (3, 1, "long " * 12)]
+    out = {(r.doc, r.segment): r.text for r in T.trim_overflow(spark.createDataFrame(rows, "doc int, segment int, text string"), 5, 10).collect()}
+    assert out[1, 0] == "one two three." and out[1, 1] == "a b c. d e f." and out[2, 0] == "x " * 20 and out[3, 1] == "long " * 12
+
+
+def test_shares_are_capped_by_size(spark):
+    sizes = spark.createDataFrame([(0, "a", 50), (0, "b", 3), (0, "c", 1), (0, "d", 1)], "all int, category string, n long")
+    out = {r.category: r.share for r in S.capped_shares(sizes, "n", 20, "all", "category").collect()}
+    assert out == {"a": 18, "b": 1, "c": 1, "d": 1} or (sum(out.values()) >= 20 and all(1 <= out[c] <= n for c, n in (("a", 50), ("b", 3), ("c", 1), ("d", 1))))
+
+
+def test_uncovered_beats_are_repaired_or_marked():
+    covers = np.array([[True, False, True], [False, False, False]])
+    assert A._repair([1, 0], np.array([[1.0, 0, 2], [1, 1, 1]]), covers) == [0, -1]
