@@ -156,3 +156,22 @@ def bridge_fill(entries: DataFrame, clips: list[tuple[str, float]]) -> DataFrame
         return pd.DataFrame(out, columns=["doc", "segment", "clip", "start", "used"])
 
     return entries.groupBy("doc").applyInPandas(fold, "doc long, segment long, clip string, start double, used double")
+
+
+def audit(entries: DataFrame, clips: DataFrame) -> DataFrame:
+    """Rows (doc, segment, violation) of entries (doc, segment, first_word, last_word, span, asset_id) that break a rule.
+
+    Entries tile their document's words, use each clip once, name an active clip, and that clip is long enough.
+    """
+    before = F.lag("last_word").over(Window.partitionBy("doc").orderBy("segment"))
+    turn = F.row_number().over(Window.partitionBy("doc", "asset_id").orderBy("segment"))
+    known = clips.where("status = 'active'").select("asset_id", "duration_sec")
+    joined = entries.withColumn("before", before).withColumn("turn", turn).join(known, "asset_id", "left")
+    rules = {
+        "gap": F.col("first_word") != F.coalesce(F.col("before") + 1, F.lit(0)),
+        "repeated_clip": F.col("turn") > 1,
+        "unknown_clip": F.col("duration_sec").isNull(),
+        "too_short": F.col("duration_sec") + TOLERANCE < F.col("span"),
+    }
+    found = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
+    return joined.select("doc", "segment", F.explode(found).alias("violation"))

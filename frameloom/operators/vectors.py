@@ -5,15 +5,16 @@ Sums over components run in array order, so a score does not depend on where a r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a query side that may be sent to every task.
-QUERY_ROWS = 10_000
+#: Asset rows and query rows of a block.
+ROWS, QUERIES = 4096, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,16 +43,51 @@ def parse_vector(text: Column, length: int) -> Column:
     return F.when((F.size(v) == length) & F.forall(v, lambda x: x.isNotNull()), v)
 
 
-def scores(queries: DataFrame, assets: DataFrame) -> DataFrame:
-    """Cosine of every query (query_id, q) with every asset (vec_id, v). The query side is a stated set of at most QUERY_ROWS rows."""
-    few = queries.limit(QUERY_ROWS + 1)
-    if few.count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries: rank them in parts")
-    sized = assets.withColumn("n", norm(F.col("v")))
-    asked = few.withColumn("qn", norm(F.col("q")))
-    size = F.col("n") * F.col("qn")
-    score = F.when(size > 0, dot(F.col("q"), F.col("v")) / size).otherwise(F.lit(float("-inf")))
-    return sized.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", score.alias("score"))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64)
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+
+
+def scores(queries: DataFrame, assets: DataFrame, k: int | None = None, least: float | None = None, on: str | None = None) -> DataFrame:
+    """Cosine of every query (query_id, q) with every asset (vec_id, v) of the same length, and of the same ``on``.
+
+    Both sides are dealt out in blocks of at most about ROWS and QUERIES rows, a task a pair of blocks; a task gives the k best of each
+    query, or the scores from ``least`` on, or all. A zero vector scores minus infinity. Ties are for the caller to break.
+    """
+    keys = [F.size("q").alias("n"), *([F.col(on).alias("key")] if on else [F.lit(0).alias("key")])]
+    asked = queries.where(F.size("q") > 0).select(*keys, "query_id", "q")
+    rows = assets.where(F.size("v") > 0).select(F.size("v").alias("n"), keys[1], "vec_id", "v")
+    sizes = asked.groupBy("n", "key").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
+    sizes = sizes.join(rows.groupBy("n", "key").agg(F.ceil(F.count("*") / ROWS).alias("blocks")), ["n", "key"])
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = rows.join(sizes, ["n", "key"]).select("n", "key", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), every("parts").alias("part"), "vec_id", "v")
+    right = asked.join(sizes, ["n", "key"]).select("n", "key", every("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), "parts").alias("part"), "query_id", "q")
+
+    def run(key: tuple, block: pa.Table, some: pa.Table) -> pa.Table:
+        q_ids, ids, found = some.column("query_id").to_numpy(), block.column("vec_id").to_numpy(), []
+        if len(q_ids) and len(ids):
+            order = np.argsort(ids, kind="stable")
+            ids, v, q = ids[order], _matrix(block.column("v"))[order], _matrix(some.column("q"))
+            size = _norms(q)[:, None] * _norms(v)[None, :]
+            score = np.where(size > 0, np.einsum("ik,jk->ij", q, v) / np.where(size > 0, size, 1.0), -np.inf)
+            for i, row in enumerate(score):
+                at = np.arange(len(ids))
+                if k is not None and len(at) > k:  # all that tie with the k-th stay
+                    at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-12)
+                if least is not None:
+                    at = at[row[at] >= least]
+                found.append((np.full(len(at), q_ids[i]), ids[at], row[at]))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0)] * 3
+        columns = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())]
+        return pa.table([*columns, pa.array([key[1].as_py()] * len(columns[0]), block.schema.field("key").type)], names=["query_id", "vec_id", "score", "key"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    by = ["n", "key", "block", "part"]
+    out = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"query_id long, vec_id long, score double, key {kind}")
+    return out.withColumnRenamed("key", on) if on else out.drop("key")
 
 
 def rank_per_query(scored: DataFrame, k: int | None = None) -> DataFrame:
@@ -81,15 +117,9 @@ def whiten(rows: DataFrame, group: str, keep_zero: bool = True) -> DataFrame:
 
 
 def near_dup_pairs(rows: DataFrame, group: str, least: float) -> DataFrame:
-    """Pairs a < b of a group with a cosine of at least ``least``.
-
-    A place's pool of clips is small by nature, so its pairs are few; the unit vectors are computed
-    once before the join.
-    """
-    units = rows.select(group, "vec_id", unit_vector(F.col("v")).alias("u")).where(F.col("u").isNotNull())
-    a, b = units.select(group, F.col("vec_id").alias("a"), F.col("u").alias("ua")), units.select(group, F.col("vec_id").alias("b"), F.col("u").alias("ub"))
-    joined = a.join(b, group).where(F.col("a") < F.col("b")).select(group, "a", "b", dot(F.col("ua"), F.col("ub")).alias("score"))
-    return joined.where(F.col("score") >= least)
+    """Pairs a < b of a group with a cosine of at least ``least``, block by block: exact, and no group is one task."""
+    found = scores(rows.select(group, F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows.select(group, "vec_id", "v"), least=least, on=group)
+    return found.where(F.col("query_id") < F.col("vec_id")).select(group, F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score")
 
 
 def leader_clusters(rows: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
@@ -100,15 +130,23 @@ def leader_clusters(rows: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
 
 def max_cosine_to(rows: DataFrame, chosen: DataFrame, group: str) -> DataFrame:
     """Each row's largest cosine to the chosen rows of its group; 0 without any."""
-    picks = chosen.groupBy(group).agg(F.collect_list("v").alias("picks"))
-    best = F.array_max(F.transform(F.col("picks"), lambda p: cosine(F.col("v"), p)))
-    return rows.join(picks, group, "left").select(group, "vec_id", F.coalesce(best, F.lit(0.0)).alias("max_cosine"))
+    found = scores(chosen.select(group, F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows.select(group, "vec_id", "v"), on=group)
+    best = found.groupBy(group, "vec_id").agg(F.max("score").alias("best"))
+    return rows.join(best, [group, "vec_id"], "left").select(group, "vec_id", F.coalesce("best", F.lit(0.0)).alias("max_cosine"))
+
 
+# ---- greedy picks, round by round ---------------------------------------------------------------------
 
-# ---- greedy folds over one place's pool ---------------------------------------------------------------
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, as a checkpoint in the folder that the session names; only where it names none, one below the warehouse."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex[:8]}")
+    return df.checkpoint()
 
-def maxmin_order(unit: np.ndarray, k: int, seed: int = 0, stop: float | None = None) -> list[int]:
+
+def maxmin_order(unit: np.ndarray, k: int, seed: int = 0) -> list[int]:
     """Rows picked one by one, each the one with the least largest similarity to the picks; ties go to the first row."""
     if not len(unit) or k <= 0:
         return []
@@ -116,11 +154,8 @@ def maxmin_order(unit: np.ndarray, k: int, seed: int = 0, stop: float | None = N
     while len(picks) < min(k, len(unit)):
         open_rows = most.copy()
         open_rows[picks] = np.inf
-        nxt = int(np.argmin(open_rows))
-        if stop is not None and open_rows[nxt] >= stop:
-            break
-        picks.append(nxt)
-        most = np.maximum(most, unit @ unit[nxt])
+        picks.append(int(np.argmin(open_rows)))
+        most = np.maximum(most, unit @ unit[picks[-1]])
     return picks
 
 
@@ -129,23 +164,46 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(n > 0, n, 1.0)
 
 
-def maxmin_select(rows: DataFrame, group: str, k: int, whitened: bool = False, medoid: bool = False, stop: float | None = None) -> DataFrame:
-    """Per group k diverse rows in order of picking: (group, pick, vec_id). A group is one place's pool."""
-
-    def fold(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values("vec_id")
-        v = np.array(pool["v"].tolist(), np.float64)
-        unit = _unit(v - v.mean(axis=0)) if whitened else _unit(v)
-        seed = int(np.argmax((unit @ unit.T).sum(axis=1))) if medoid else 0
-        picks = maxmin_order(unit, k, seed, stop)
-        return pd.DataFrame({group: pool[group].iloc[0], "pick": np.arange(1, len(picks) + 1), "vec_id": pool["vec_id"].to_numpy()[picks]})
+def maxmin_select(rows: DataFrame, group: str, k: int, medoid: bool = False, stop: float | None = None) -> DataFrame:
+    """Per group k diverse rows in order of picking: (group, pick, vec_id). A round a pick, over all groups at once.
 
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, "vec_id", "v").groupBy(group).applyInPandas(fold, f"{group} {kind}, pick long, vec_id long")
+    The first pick is the smallest id, or the row nearest to the group's sum of unit vectors. Then the row with the least largest
+    cosine to the picks follows, ties to the smaller id, until that cosine reaches ``stop``.
+    """
+    zero = F.transform("v", lambda x: F.lit(0.0))
+    state = rows.select(group, "vec_id", F.coalesce(unit_vector(F.col("v")), zero).alias("u")).where(F.col("u").isNotNull())
+    if medoid:
+        whole = centroid(state, group, "u").groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "mean"))), lambda s: s["mean"]).alias("mean"))
+        state = state.join(whole, group).withColumn("most", -dot(F.col("u"), F.col("mean"))).drop("mean")
+    else:
+        state = state.withColumn("most", F.lit(0.0))
+    picks, state = [], _cut(state)
+    for turn in range(1, k + 1):
+        best = state.groupBy(group).agg(F.min_by(F.struct("vec_id", "u", "most"), F.struct("most", "vec_id")).alias("p"))
+        best = best.select(group, F.col("p.vec_id").alias("pick_id"), F.col("p.u").alias("pu"), F.col("p.most").alias("reached"))
+        if stop is not None and turn > 1:
+            best = best.where(F.col("reached") < stop)
+        best = _cut(best)
+        picks.append(best.select(group, F.lit(turn).cast("long").alias("pick"), F.col("pick_id").alias("vec_id")))
+        if turn < k:  # groups that have stopped drop out
+            near = dot(F.col("u"), F.col("pu"))
+            left = state.join(best, group).where(F.col("vec_id") != F.col("pick_id"))
+            state = _cut(left.select(group, "vec_id", "u", (near if turn == 1 else F.greatest("most", near)).alias("most")))
+    out = picks[0]
+    for more in picks[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def diverse_selection(rows: DataFrame, group: str, window: int, k: int) -> DataFrame:
-    """Per group k rows: max-min over the ``window`` most relevant that have a vector, filled up by relevance."""
+    """Per group k rows: max-min over the ``window`` most relevant that have a vector, filled up by relevance.
+
+    The pool is ranked in Spark; a fold gets no more than the window and k rows to fill up with.
+    """
+    has = F.coalesce(F.size("v") > 0, F.lit(False))
+    order = [F.desc("relevance"), "vec_id"]
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).withColumn("among", F.row_number().over(Window.partitionBy(group, has).orderBy(*order)))
+    rows = ranked.where((F.col("place") <= window + k) | (has & (F.col("among") <= window)))
 
     def fold(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values(["relevance", "vec_id"], ascending=[False, True])
@@ -163,23 +221,18 @@ def diverse_selection(rows: DataFrame, group: str, window: int, k: int) -> DataF
     return rows.select(group, "vec_id", "v", "relevance").groupBy(group).applyInPandas(fold, f"{group} {kind}, pick long, vec_id long")
 
 
-def kept_redundancy(rows: DataFrame, group: str, least: float) -> DataFrame:
-    """Per group how many rows are near an earlier kept row, and how many are kept."""
+def kept_redundancy(rows: DataFrame, group: str, least: float, most: int = 200) -> DataFrame:
+    """Per group how many rows are near an earlier kept row, and how many are kept.
 
-    def fold(pool: pd.DataFrame) -> pd.DataFrame:
-        unit = _unit(np.array(pool.sort_values("vec_id")["v"].tolist(), np.float64))
-        kept: list[int] = []
-        for i in range(len(unit)):
-            if not kept or (unit[kept] @ unit[i]).max() < least:
-                kept.append(i)
-        return pd.DataFrame({group: [pool[group].iloc[0]], "redundant": [len(unit) - len(kept)], "kept": [len(kept)]})
-
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, "vec_id", "v").groupBy(group).applyInPandas(fold, f"{group} {kind}, redundant long, kept long")
-
-
-def batches(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Frames cut into pieces of at most so many rows."""
-    for frame in frames:
-        for at in range(0, len(frame), rows):
-            yield frame.iloc[at : at + rows]
+    Rows without an undecided or kept earlier neighbour are kept, their later neighbours go, and so on in rounds over the near pairs.
+    """
+    pairs = _cut(near_dup_pairs(rows, group, least))
+    state = _cut(rows.select(group, "vec_id", F.lit(None).cast("boolean").alias("kept")))
+    for _ in range(most):
+        earlier = pairs.join(state.select(group, F.col("vec_id").alias("a"), F.col("kept").alias("of_a")), [group, "a"])
+        seen = earlier.groupBy(group, F.col("b").alias("vec_id")).agg(F.bool_or(F.coalesce("of_a", F.lit(False))).alias("near_kept"), F.bool_or(F.col("of_a").isNull()).alias("open"))
+        verdict = F.when(F.col("near_kept"), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = _cut(state.join(seen, [group, "vec_id"], "left").select(group, "vec_id", F.coalesce("kept", verdict).alias("kept")))
+        if state.where(F.col("kept").isNull()).isEmpty():
+            return state.groupBy(group).agg(F.count_if(~F.col("kept")).alias("redundant"), F.count_if("kept").alias("kept"))
+    raise RuntimeError(f"rows are undecided after {most} rounds")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.operators import assignment as A
 from frameloom.operators import vectors as V
-from frameloom.sources.media import CTES, catalog, table
+from frameloom.sources.media import CTES, catalog, table, words
 
 #: No pair within a label reaches the production threshold of 0.85 in these tables.
 NEAR = 0.3
@@ -17,18 +17,19 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), "label")
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """Scores of the stated queries, the rows whose id is divisible by 20, with all rows."""
     rows = _rows(spark, d)
-    queries = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return V.scores(queries, rows.select("vec_id", "v"))
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return V.scores(queries, rows.select("vec_id", "v"), k)
 
 
-SCORED = "scored as (select q.vec_id query_id, a.vec_id, list_cosine_similarity(q.embedding::double[], a.embedding::double[]) score from embeddings q, embeddings a where q.vec_id < 5)"
+SCORED = "scored as (select q.vec_id query_id, a.vec_id, list_cosine_similarity(q.embedding::double[], a.embedding::double[]) score from embeddings q, embeddings a where q.vec_id % 20 = 0)"
 RANKED = "ranked as (select *, (row_number() over (partition by query_id order by round(score, 12) desc, vec_id))::int as rank from scored)"
 
 
 def _ranked(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
-    return V.rank_per_query(_scored(spark, d), k).withColumn("score", F.round("score", 6))
+    return V.rank_per_query(_scored(spark, d, k), k).withColumn("score", F.round("score", 6))
 
 
 def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +45,7 @@ def rank_per_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return V.candidates(_scored(spark, d), 6, 35).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    return V.candidates(_scored(spark, d, 6), 6, 35).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 def relevance_by_asset(spark: SparkSession, d: str) -> DataFrame:
@@ -52,10 +53,10 @@ def relevance_by_asset(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pad_reserve(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates, filled up to 40 with the least used and longest other clips."""
-    first = V.candidates(_scored(spark, d), 6, 35).select("vec_id", F.lit(0).alias("tier"))
-    rest = catalog(spark, d).join(first, "vec_id", "left_anti").orderBy("usage_count", F.desc("duration_sec"), "asset_id").limit(40).select("vec_id", F.lit(1).alias("tier"))
-    return first.unionByName(rest).join(catalog(spark, d), "vec_id", "left").orderBy("tier", "usage_count", F.desc("duration_sec"), "asset_id").limit(40).select("vec_id", "tier")
+    """At most 20 candidates, filled up to 30 with the least used and longest other clips."""
+    first = V.candidates(_scored(spark, d, 6), 6, 20).select("vec_id", F.lit(0).alias("tier"))
+    rest = catalog(spark, d).join(first, "vec_id", "left_anti").orderBy("usage_count", F.desc("duration_sec"), "asset_id").limit(30).select("vec_id", F.lit(1).alias("tier"))
+    return first.unionByName(rest).join(catalog(spark, d), "vec_id", "left").orderBy("tier", "usage_count", F.desc("duration_sec"), "asset_id").limit(30).select("vec_id", "tier")
 
 
 def best_feasible(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +76,7 @@ def unit_vector(spark: SparkSession, d: str) -> DataFrame:
 
 def max_cos_to_set(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
-    best = V.max_cosine_to(rows, rows.where("vec_id < 30"), "label")
+    best = V.max_cosine_to(rows, rows.where("vec_id % 20 = 0"), "label")
     return best.select("label", "vec_id", F.round("max_cosine", 6).alias("max_cosine"))
 
 
@@ -121,8 +122,8 @@ def kept_redundancy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
-    clips = catalog(spark, d).select("vec_id", "duration_sec", "category")
-    return _rows(spark, d).join(clips, "vec_id").select(F.col("label").alias("group"), "vec_id", "v", "duration_sec", "category")
+    clips = catalog(spark, d).select("vec_id", "duration_sec", "category", (F.col("usage_count") >= 5).alias("stale"))
+    return _rows(spark, d).join(clips, "vec_id").select(F.col("label").alias("group"), "vec_id", "v", "duration_sec", "category", "stale")
 
 
 def assignment(spark: SparkSession, d: str) -> DataFrame:
@@ -134,9 +135,12 @@ def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assignment_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Groups whose assignment repeats a clip or has one that is too short; none are expected."""
-    picked = A.assign_groups(_pool(spark, d), 8)
-    return picked.groupBy("group").agg((F.count("*") - F.countDistinct("vec_id")).alias("repeated"), F.count_if(F.col("duration_sec") + 0.05 < F.col("span")).alias("short"))
+    """Violations of assignments with planted faults: gaps, repeated clips, unknown clips, and footage that is too short."""
+    order = Window.partitionBy("doc").orderBy("segment")
+    w = words(spark, d).groupBy("doc", "segment").agg(F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"), F.min("start").alias("start"), F.max("end").alias("end"))
+    number = F.col("doc") * 7 + F.when(F.col("doc") % 5 == 0, F.floor(F.col("segment") / 2)).otherwise(F.col("segment"))
+    entries = w.select("doc", "segment", (F.col("first_word") + F.when((F.col("doc") % 4 == 1) & (F.col("segment") == 1), 1).otherwise(0)).alias("first_word"), "last_word", F.least(F.coalesce(F.lead("start").over(order), F.col("end")) - F.col("start"), F.lit(6.0)).alias("span"), F.concat(F.lit("asset_"), (number % 250).cast("string")).alias("asset_id"))
+    return A.audit(entries, catalog(spark, d)).select("doc", "segment", "violation")
 
 
 #: Folds as recursive queries.
@@ -157,12 +161,12 @@ CATALOGUE = {
     "rank_per_query": (rank_per_query, f"with {SCORED}, {RANKED} select query_id, vec_id, round(score, 6) score, rank from ranked"),
     "candidates": (candidates, f"with {SCORED}, {RANKED} select query_id, vec_id, rank, round(score, 6) score from ranked where rank <= 6 qualify row_number() over (partition by vec_id order by query_id, rank) = 1 order by query_id, rank limit 35"),
     "relevance_by_asset": (relevance_by_asset, f"with {SCORED} select vec_id, round(max(score), 6) relevance from scored group by 1"),
-    "pad_reserve": (pad_reserve, f"""with {SCORED}, {RANKED}, {CTES["catalog"]}, firsts as (select query_id, vec_id, rank from ranked where rank <= 6 qualify row_number() over (partition by vec_id order by query_id, rank) = 1 order by query_id, rank limit 35)
-  select vec_id, tier from (select vec_id, 0 tier from firsts union all (select vec_id, 1 from catalog where vec_id not in (select vec_id from firsts) order by usage_count, duration_sec desc, asset_id limit 40)) left join catalog using (vec_id) order by tier, usage_count, duration_sec desc, asset_id limit 40"""),
+    "pad_reserve": (pad_reserve, f"""with {SCORED}, {RANKED}, {CTES["catalog"]}, firsts as (select query_id, vec_id, rank from ranked where rank <= 6 qualify row_number() over (partition by vec_id order by query_id, rank) = 1 order by query_id, rank limit 20)
+  select vec_id, tier from (select vec_id, 0 tier from firsts union all (select vec_id, 1 from catalog where vec_id not in (select vec_id from firsts) order by usage_count, duration_sec desc, asset_id limit 30)) left join catalog using (vec_id) order by tier, usage_count, duration_sec desc, asset_id limit 30"""),
     "best_feasible": (best_feasible, f"with {SCORED}, {CTES['catalog']} select query_id, round(max(score), 6) best from scored join catalog using (vec_id) where duration_sec + 0.05 >= 8.0 group by 1"),
     "parse_vector": (parse_vector, "select vec_id, case when vec_id % 7 = 0 then null else len(embedding)::int end length from embeddings"),
     "unit_vector": (unit_vector, "select vec_id, round(embedding[1]::double / n, 6) as first, round(embedding[64]::double / n, 6) as last from (select *, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) n from embeddings)"),
-    "max_cos_to_set": (max_cos_to_set, "select a.label, a.vec_id, round(coalesce(max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 0.0), 6) max_cosine from embeddings a left join (select * from embeddings where vec_id < 30) b on a.label = b.label group by 1, 2"),
+    "max_cos_to_set": (max_cos_to_set, "select a.label, a.vec_id, round(coalesce(max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 0.0), 6) max_cosine from embeddings a left join (select * from embeddings where vec_id % 20 = 0) b on a.label = b.label group by 1, 2"),
     "centroid": (centroid, "select label, position, round(avg(x), 6) mean from (select label, unnest(embedding)::double x, (generate_subscripts(embedding, 1) - 1)::int position from embeddings) group by 1, 2"),
     "whiten": (whiten, """with m as (select label, position, avg(x) mean from (select label, unnest(embedding)::double x, generate_subscripts(embedding, 1) position from embeddings) group by 1, 2),
   e as (select label, vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) position from embeddings)
@@ -176,5 +180,10 @@ CATALOGUE = {
     "kept_redundancy": (kept_redundancy, KEPT),
     "assignment": (assignment, None),
     "greedy_pack": (greedy_pack, None),
-    "assignment_audit": (assignment_audit, "select label \"group\", 0::bigint repeated, 0::bigint short from embeddings join part on vec_id = p_partkey group by 1"),
+    "assignment_audit": (assignment_audit, f"""with {CTES["words"]}, {CTES["catalog"]}, w as (select doc, segment, min(word_idx) f, max(word_idx) l, min(start) s, max("end") e from words group by 1, 2),
+  entries as (select doc, segment, f + (doc % 4 = 1 and segment = 1)::int f, l, least(coalesce(lead(s) over (partition by doc order by segment), e) - s, 6.0) span, 'asset_' || ((doc * 7 + case when doc % 5 = 0 then segment // 2 else segment end) % 250) asset_id from w),
+  ordered as (select *, lag(l) over (partition by doc order by segment) before, row_number() over (partition by doc, asset_id order by segment) turn from entries)
+  select doc, segment, 'gap' violation from ordered where f <> coalesce(before + 1, 0) union all select doc, segment, 'repeated_clip' from ordered where turn > 1
+  union all select doc, segment, 'unknown_clip' from ordered where asset_id not in (select asset_id from catalog where status = 'active')
+  union all select doc, segment, 'too_short' from ordered join catalog using (asset_id) where status = 'active' and duration_sec + 0.05 < span"""),
 }
