@@ -152,3 +152,65 @@ def fingerprint(hashes: Column) -> Column:
     """rfp2: and the sha256 of ordered hashes joined by |; null if one is null or empty, or if there is none."""
     whole = F.size(hashes) > 0
     return F.when(whole & F.forall(hashes, lambda x: x.isNotNull() & (x != "")), F.concat(F.lit("rfp2:"), F.sha2(F.array_join(hashes, "|"), 256)))
+
+
+#: What is stripped before and after a caption word.
+WRAP_BEFORE, WRAP_AFTER = "^[\"'“”‘’(\\[{<«»—–-]+", "[\"'“”‘’)\\]}>«»—–]+$"
+
+
+def caption_word(word: Column) -> Column:
+    """A caption word without what wraps it; a word that is nothing else stays."""
+    bare = F.regexp_replace(F.regexp_replace(word, WRAP_BEFORE, ""), WRAP_AFTER, "")
+    return F.when(bare != "", bare).otherwise(word)
+
+
+def music_filename(name: Column, id_: Column) -> Column:
+    """A stable file name: signs become an underscore, dots and underscores at the ends go."""
+    safe = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", "")
+    return F.concat(F.lit("music_"), F.when(safe != "", safe).otherwise("track"), F.lit("_"), id_, F.lit(".mp3"))
+
+
+def drive_uri(uri: Column, file_id: Column) -> Column:
+    """drive:<id> from a uri of that form or from a bare id; null where either is something else."""
+    good = uri.startswith("drive:") & (uri != "drive:")
+    bare = ~file_id.rlike("^(https?://|drive:)")
+    return F.when(uri.isNotNull() & (uri != ""), F.when(good, uri)).when((file_id != "") & bare, F.concat(F.lit("drive:"), file_id))
+
+
+def duration_label(seconds: Column) -> Column:
+    """pgc_<whole seconds>s, halves to even."""
+    return F.concat(F.lit("pgc_"), F.bround(seconds).cast("int"), F.lit("s"))
+
+
+def asset_floor(videos: Column, base: int, per_extra: int) -> Column:
+    return F.lit(base) + F.lit(per_extra) * F.greatest(videos - 1, F.lit(0))
+
+
+def rounded_or_null(text: Column, places: int = 3) -> Column:
+    """A number rounded to so many places; null for any other text."""
+    return F.bround(text.try_cast("double"), places)
+
+
+def output_path(path: Column, variant: Column, seconds: Column) -> Column:
+    """The path of a variant: a duration at the end of the name gives way to its own."""
+    ext = F.regexp_extract(path, "(\\.[^./]+)$", 1)
+    root = F.regexp_replace(F.regexp_replace(path, "\\.[^./]+$", ""), "_[0-9]+s$", "")
+    return F.concat(root, F.lit("_v"), variant.cast("string"), F.lit("_"), F.bround(seconds).cast("int"), F.lit("s"), F.when(ext != "", ext).otherwise(".mp4"))
+
+
+def _object(text: Column) -> Column:
+    """The text if it is a JSON object, else null."""
+    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text)
+
+
+def fenced_json(text: Column) -> Column:
+    """The JSON object of an answer that may stand between code fences; null for anything else."""
+    bare = F.trim(F.regexp_replace(text, "^\\s+|\\s+$", ""))
+    fenced = F.regexp_extract(bare, "(?s)^```(?:json)?\\s*(.*?)\\s*```$", 1)
+    return _object(F.when(fenced != "", fenced).otherwise(bare))
+
+
+def salvaged_json(text: Column) -> Column:
+    """The JSON object from the first to the last brace; null if that is none."""
+    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+    return F.when((first > 0) & (F.instr(text, "}") > 0) & (last > first), _object(F.substring(text, first, last - first + 1)))

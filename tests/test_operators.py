@@ -16,6 +16,7 @@ from frameloom.operators import beats as B
 from frameloom.operators import relational as R
 from frameloom.operators import sequences as S
 from frameloom.operators import vectors as V
+from frameloom.sources import sinks
 
 
 def one(spark, column):
@@ -226,3 +227,23 @@ def test_shares_are_capped_by_size(spark):
 def test_uncovered_beats_are_repaired_or_marked():
     covers = np.array([[True, False, True], [False, False, False]])
     assert A._repair([1, 0], np.array([[1.0, 0, 2], [1, 1, 1]]), covers) == [0, -1]
+
+
+def test_runs_are_appended_beside_each_other(spark, tmp_path):
+    df, uri = spark.createDataFrame([(1,)], "n int"), str(tmp_path / "ledger")
+    assert [sinks.append_run(df, uri, "run_a") for _ in range(3)] == ["run_a", "run_a-2", "run_a-3"]
+    assert spark.read.parquet(uri).groupBy("run_id").count().count() == 3
+
+
+def test_sidecars_hold_complete_variants_only(spark, tmp_path):
+    df = spark.createDataFrame([(1, "complete", 0.5), (2, "failed", 0.1)], "variant int, state string, score double")
+    sinks.write_sidecars(df, str(tmp_path), {"metrics": ["score"], "quality": ["state"]})
+    assert [r.variant for r in spark.read.parquet(str(tmp_path / "metrics")).collect()] == [1]
+
+
+def test_cache_takes_new_rows_for_old_ones(spark):
+    cache = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    wanted = spark.createDataFrame([("a", "x"), ("b", "z"), ("c", "w")], "id string, text string")
+    made = sinks.stale_texts(cache, wanted, "id", "text")
+    assert sorted(r.id for r in made.collect()) == ["b", "c"]
+    assert sorted(map(tuple, sinks.merge_cache(cache, made, "id").collect())) == [("a", "x"), ("b", "z"), ("c", "w")]
