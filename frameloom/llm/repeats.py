@@ -2,15 +2,15 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
 id. Every start of LENGTH bytes is a suffix here, and suffixes are sorted by their first LENGTH
-bytes: multikey quicksort orders them by words down to a shallow depth of 16 bytes, and what
-still ties is ordered by blind tries, which look only at the bytes where members go apart. Equal
+bytes: multikey quicksort, 8 bytes a key, orders them down to a shallow depth of 16 bytes (only what ties in
+one key is sorted by the next), and what still ties is ordered by blind tries, which look only at the bytes where members go apart. Equal
 suffixes are then neighbours, and the smallest id among them tells which ones repeat.
 
 Only suffixes that may have an equal are sorted. Each is given to an anchor, the GRAM bytes with
 the least hash among those inside its first LENGTH bytes, so equal suffixes have equal anchors at
 equal places. The steps, each a Spark job whose result is a table in the shared folder:
 
-1. documents are written as chunk files, text and all;
+1. documents are written as chunk files, text and all, of at most CHUNK_BYTES of text or one document each;
 2. each chunk gives the sorted hashes of its anchors, dealt by hash; a task per range of hashes
    answers which of them other chunks have too (a bitmap for each chunk);
 3. each chunk gives the bytes around its repeated anchors (a span, up to 84 bytes, for all suffixes
@@ -25,7 +25,7 @@ write whole files with the same content whichever executor runs them.
 
 Null texts are empty and stay null in texts that are returned; texts under LENGTH bytes lose
 nothing. Rows that repeat an id don't count as copies of each other; null ids count as larger
-than all others. Columns of docs are carried, those named like a new one are replaced.
+than all others. An empty table stays empty. Columns of docs are carried, those named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,8 +44,8 @@ from pyspark.sql.types import StructType
 from frameloom.llm.common import keep, open_fs, pack, put_bytes, shared_dir, small_batches, table, unpack
 
 LENGTH, GRAM = 50, 16
-#: Rows of a chunk file; bytes whose anchors are looked for at a time.
-CHUNK_ROWS, BLOCK = 4000, 1 << 21
+#: Bytes of text and rows of a chunk file; bytes whose anchors are looked for at a time.
+CHUNK_BYTES, CHUNK_ROWS, BLOCK = 1 << 24, 4000, 1 << 21
 #: Anchors of a range of hashes in step 2 and of a share in step 4, about.
 RANGE, SHARE = 500_000, 20_000
 #: An anchor with so many spans, each chunk's different ones counted, is frequent.
@@ -117,8 +116,8 @@ def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Chunk:
     """The texts of a chunk file, one after the other, and their anchors."""
 
-    def __init__(self, uri: str, name: str, anchors: bool = True):
-        filesystem, path = open_fs(f"{uri}/chunks/{name}")
+    def __init__(self, uri: str, number: int, anchors: bool = True):
+        filesystem, path = open_fs(_chunk_file(uri, number))
         self.table = pq.read_table(path, filesystem=filesystem)
         column = self.table.column("__bytes").combine_chunks()
         texts = column.to_pylist()
@@ -139,6 +138,51 @@ class Chunk:
         self.row = np.searchsorted(self.ends, self.a, "right")
 
 
+# ---- step 1: chunk files ------------------------------------------------------------------------
+
+
+def _chunk_file(uri: str, number: int) -> str:
+    return f"{uri}/chunks/{number:016x}"
+
+
+def _write_chunks(uri: str):
+    """Each task writes its rows as chunk files, named by its number and a count; rows (chunk, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = rows = 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal number, size, rows
+            sink = pa.BufferOutputStream()
+            pq.write_table(pa.Table.from_batches(held), sink, compression="zstd")
+            put_bytes(_chunk_file(uri, number), sink.getvalue())
+            made = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size])], names=["chunk", "bytes"])
+            held.clear()
+            number, size, rows = number + 1, 0, 0
+            return made
+
+        for batch in batches:
+            lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index("__bytes"))).to_pylist()
+            start = 0
+            for i, n in enumerate(lengths):
+                if rows and (size + n > CHUNK_BYTES or rows >= CHUNK_ROWS):
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    yield out()
+                    start = i
+                size, rows = size + n, rows + 1
+            if len(lengths) > start:
+                held.append(batch.slice(start))
+        if held:
+            yield out()
+
+    return run
+
+
 # ---- step 2: which anchors repeat ---------------------------------------------------------------
 
 
@@ -147,11 +191,11 @@ def _deal(h: np.ndarray, shares: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)).astype(np.int64)
 
 
-def _give_hashes(uri: str, names: list[str], ranges: int):
+def _give_hashes(uri: str, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in batch.column(0).to_pylist():
-                chunk = Chunk(uri, names[c])
+                chunk = Chunk(uri, c)
                 # Of each anchor the hash, and how many different spans it has here.
                 _, first = np.unique(_mix(chunk.h, span_hash(chunk.data, chunk.a, chunk.b - chunk.a + LENGTH)), return_index=True)
                 h, n = np.unique(chunk.h[first], return_counts=True)
@@ -176,10 +220,10 @@ def _answer_hashes(key: tuple, group: pa.Table) -> pa.Table:
 # ---- step 3: spans ------------------------------------------------------------------------------
 
 
-def _give_spans(uri: str, names: list[str], shares: int):
+def _give_spans(uri: str, shares: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         c = key[0].as_py()
-        chunk = Chunk(uri, names[c])
+        chunk = Chunk(uri, c)
         marks = group.filter(pa.compute.greater_equal(group.column("range"), 0)).sort_by("range").column("marks").to_pylist()
         marks = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, marks)), np.uint8)
         unique, which = np.unique(chunk.h, return_inverse=True)
@@ -211,7 +255,7 @@ def _give_spans(uri: str, names: list[str], shares: int):
         number[by_share] = np.arange(len(lead))
         asked, sure = order[own], order[~own]
         local = [number[entry[own]], first[asked], size[asked], first[sure], size[sure]]
-        put_bytes(f"{uri}/local/{c:08d}", _pack_all(local))
+        put_bytes(f"{uri}/local/{c:016x}", _pack_all(local))
         text, rows = chunk.data.tobytes(), []
         cuts = np.searchsorted(share[by_share], np.arange(shares + 1))
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
@@ -254,11 +298,18 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     """
     words = _words(data, ">u8")
     offsets = [*range(0, length - 7, 8), length - 8]
-    # Shallow: multikey quicksort, a key of 8 bytes at a time, splits into groups that share 16 bytes.
-    keys = [words[starts + at].astype(np.uint64) for at in offsets[:2]]
-    order = np.lexsort((keys[1], keys[0]))
+    # Shallow: multikey quicksort. Quicksort by the first 8 bytes; the groups that tie, and only those, by the next 8.
+    key = words[starts].astype(np.uint64)
+    order = np.argsort(key)
     new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    tied = np.flatnonzero(~new | ~np.r_[new[1:], True]) if len(order) else order
+    if len(tied):
+        group = np.cumsum(new)[tied]
+        key = words[starts[order[tied]] + offsets[1]].astype(np.uint64)
+        at = np.lexsort((key, group))
+        order[tied], key = order[tied[at]], key[at]
+        new[tied[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
     # Deep: a blind trie for each group that is left. Its members are compared with one of them; the
     # least common prefix is where the trie branches, bytes before it are never looked at again.
     group = np.cumsum(new) - 1
@@ -321,11 +372,11 @@ def _answer_spans(key: tuple, group: pa.Table) -> pa.Table:
 # ---- step 5: cutting ----------------------------------------------------------------------------
 
 
-def _cut(uri: str, names: list[str], columns: list[str], text_col: str):
+def _cut(uri: str, columns: list[str], text_col: str):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         c = key[0].as_py()
-        chunk = Chunk(uri, names[c], anchors=False)
-        filesystem, path = open_fs(f"{uri}/local/{c:08d}")
+        chunk = Chunk(uri, c, anchors=False)
+        filesystem, path = open_fs(f"{uri}/local/{c:016x}")
         with filesystem.open_input_file(path) as source:
             (entry, first, _, sure, sure_size), _ = _unpack_all(source.read())
         masks = group.filter(pa.compute.greater_equal(group.column("share"), 0)).sort_by("share").column("masks").to_pylist()
@@ -370,27 +421,26 @@ def remove_repeats(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col:
     source = docs.select(*columns, F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__bytes"))
     if text_col in columns:
         source = source.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.lit("")))  # its bytes are in __bytes
-    source.write.option("maxRecordsPerFile", CHUNK_ROWS).option("compression", "zstd").parquet(f"{uri}/chunks")
-    filesystem, path = open_fs(f"{uri}/chunks")
-    names = sorted(x.base_name for x in filesystem.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".parquet"))
+    every = keep(source.mapInArrow(_write_chunks(uri), "chunk long, bytes long"), f"{uri}/chunk_list")
+    total = every.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
     schema = StructType([source.schema[c] for c in columns] + list(new))
-    if not names:
+    if not total["n"]:
         return spark.createDataFrame([], schema)
-    size = spark.read.parquet(f"{uri}/chunks").agg(F.sum(F.length("__bytes"))).first()[0] or 0
-    every = spark.range(0, len(names), 1, len(names))
+    size, number = total["bytes"] or 0, total["n"]
+    every = every.select("chunk").repartition(number, "chunk")
     ranges = max(1, round(size * 2 / (LENGTH - GRAM + 2) / RANGE))
-    hashes = every.mapInArrow(_give_hashes(uri, names, ranges), "range long, chunk long, hashes binary")
+    hashes = every.mapInArrow(_give_hashes(uri, ranges), "range long, chunk long, hashes binary")
     marks = keep(hashes.repartition(ranges, "range").groupBy("range").applyInArrow(_answer_hashes, "chunk long, range long, marks binary, repeated long"), f"{uri}/marks")
     repeated = marks.agg(F.sum("repeated")).first()[0] or 0
     # Each chunk has a row of its own, so that chunks without marks or answers are seen as well.
-    chunks = every.select(F.col("id").alias("chunk"), F.lit(-1).cast("long").alias("at"), F.lit(b"").alias("blob"))
+    chunks = every.select("chunk", F.lit(-1).cast("long").alias("at"), F.lit(b"").alias("blob"))
     marks = marks.select("chunk", F.col("range"), "marks").unionByName(chunks.select("chunk", F.col("at").alias("range"), F.col("blob").alias("marks")))
     shares = max(1, round(repeated / SHARE))
     # Explicit numbers of partitions: the rows are few bytes but much work, which Spark would put into one task.
-    spans = marks.repartition(len(names), "chunk").groupBy("chunk").applyInArrow(_give_spans(uri, names, shares), "share long, chunk long, spans binary")
-    masks = keep(spans.repartition(min(shares, 8 * len(names)), "share").groupBy("share").applyInArrow(_answer_spans, "chunk long, share long, masks binary"), f"{uri}/masks")
+    spans = marks.repartition(number, "chunk").groupBy("chunk").applyInArrow(_give_spans(uri, shares), "share long, chunk long, spans binary")
+    masks = keep(spans.repartition(min(shares, 8 * number), "share").groupBy("share").applyInArrow(_answer_spans, "chunk long, share long, masks binary"), f"{uri}/masks")
     masks = masks.unionByName(chunks.select("chunk", F.col("at").alias("share"), F.col("blob").alias("masks")))
-    return masks.repartition(len(names), "chunk").groupBy("chunk").applyInArrow(_cut(uri, names, columns, text_col), schema)
+    return masks.repartition(number, "chunk").groupBy("chunk").applyInArrow(_cut(uri, columns, text_col), schema)
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
