@@ -13,6 +13,7 @@ expressions on one row, so nothing is shuffled but the word frequencies, at most
 licence word and task. Words are runs of digits, letters and characters beyond ASCII; only A-Z is
 lower-cased for what counts: no other character lower-cases to a letter of a phrase or to a separator.
 
+Several notices at one place all count, so there are no ties; an empty table stays empty.
 Null and empty texts have no words: counts 0, places null, labels empty, score 0. Long texts are
 scanned whole. Repeated rows give equal rows. Other columns are kept, those named like a new one are replaced.
 """
@@ -40,9 +41,24 @@ NOTICES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("cc0-1.0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "copyright and related and neighboring rights"),
+    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd 4 0"),
+    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", "cc by nc sa 4 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "to alter it and redistribute it freely"),
+    ("bsl-1.0", "boost software license version 1 0", "boost software license"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "shall be included in all copies or substantial portions of the software"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "governing permissions and limitations under the license"),
 )
 #: Words of notices that say nothing of licences.
-COMMON = tuple("a and any are as by can code for form forms in into is it of or person published source subject terms that the this to under use with without work you 0 2 3 4".split())
+COMMON = (
+    "a", "all", "an", "and", "any", "are", "as", "be", "but", "by", "can", "code", "for", "form", "forms", "from", "held", "in", "into", "is", "it", "its", "kind", "made", "may", "name", "names", "no", "of", "on", "or", "person", "published",
+    "see", "source", "subject", "terms", "that", "the", "this", "to", "under", "use", "used", "will", "with", "without", "work", "you", "0", "1", "2", "3", "4",
+)
 AGREE, COVERED = 2, 0.8
 
 #: What separates words.
