@@ -384,7 +384,7 @@ def brute_repeats(docs, length=50):
 
 @pytest.mark.parametrize("frequent", [16, 2])
 def test_repeats_against_brute_force(spark, frame, docs, monkeypatch, frequent):
-    for name, value in (("CHUNK_ROWS", 23), ("BLOCK", 20_000), ("RANGE", 500), ("SHARE", 300), ("FREQUENT", frequent)):
+    for name, value in (("CHUNK_ROWS", 23), ("CHUNK_BYTES", 50_000), ("BLOCK", 20_000), ("RANGE", 500), ("SHARE", 300), ("FREQUENT", frequent)):
         monkeypatch.setattr(repeats, name, value)
     out = repeats.remove_repeats(frame, shared(spark))
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()) == brute_repeats(docs)
