@@ -55,7 +55,7 @@ WORD = re.compile(r"[^\W\d_]{%d,}" % TERM_LETTERS)
 SLOTS = 1 << 24
 #: A slot has the logarithm of a count, in STEP parts of a power of two; 0 is free.
 STEP, MOST = 8, 250
-#: What takes a span's place in the text.
+#: What takes a span's place in the text; a term's class may say more.
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
 Span = tuple[str, int, int]
@@ -270,12 +270,17 @@ def find_pii(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str =
     return joined.select("f.doc_id", "f.text_hash", "base", F.coalesce("terms", empty).alias("terms"))
 
 
+def general(term: str) -> str:
+    """The class that stands for a generalised term: an acronym, a name, or any other word."""
+    return "[ACRONYM]" if term.isupper() else "[NAME]" if term[0].isupper() else LABELS["term"]
+
+
 def replace_spans(text: str, spans: list[Span]) -> str:
     """The text with each span's label in its place; of overlapping spans the first stands for all."""
     out, done = [], 0
     for kind, start, end in sorted(spans, key=lambda x: (x[1], -x[2])):
         if start >= done:
-            out += [text[done:start], LABELS[kind]]
+            out += [text[done:start], general(text[start:end]) if kind == "term" else LABELS[kind]]
         done = max(done, end)
     return "".join([*out, text[done:]])
 

@@ -521,6 +521,42 @@ def test_revealing_terms_go_wherever_they_stand(spark):
     assert all("common words stand around here" in t for t in clean.values()) and clean[20].endswith(f" and {far}")
 
 
+def test_disclosures_against_brute_force(spark):
+    rnd = random.Random(6)
+    names = [f"name{chr(97 + k)}" for k in range(12)]
+    rows = []
+    for i in range(400):
+        k = rnd.randrange(12)
+        w = [rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(6)] + ([names[k]] if rnd.random() < 0.9 else []) + ([names[(k + 1) % 12]] if rnd.random() < 0.03 else [])
+        rows.append((i, " ".join(w) + (f" x{k % 9}@mail.example.com" if rnd.random() < 0.7 else "") + f" {i}"))
+    rows += rows[:30]
+    entity, df, joint, texts = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for _, t in rows:
+        found = {t[a:z] for _, a, z in brute_spans(t)}
+        terms = {m.group().lower() for m in pii.WORD.finditer(t)}
+        outside = {m.group().lower() for m in pii.terms_outside(t, brute_spans(t))} if found else set()
+        df.update(terms)
+        for e in found:
+            entity[e] += 1
+            texts[e].add(t)
+            for x in outside:
+                joint[x, e] += 1
+                texts[x, e].add(t)
+    total, expected = sum(entity.values()), {}
+    for (x, e), n in joint.items():
+        if len(texts[x, e]) >= 3 and df[x] >= 3:
+            share = entity[e] / total
+            value = math.log(n / df[x] / share) / -math.log(share)
+            if value >= pii.GENERALISE:
+                expected[pii._term_hash(x)] = max(value, expected.get(pii._term_hash(x), 0))
+    out = pii.strong_terms(spark.createDataFrame(rows, "doc_id long, text string"), shared(spark)).collect()
+    assert expected and {r.hash: r.disclosure for r in out} == pytest.approx(expected)
+
+
+def test_terms_are_generalised_to_their_class():
+    assert pii.replace_spans("ask Anna of NATO about cats", [("term", 4, 8), ("term", 12, 16), ("term", 23, 27)]) == "ask [NAME] of [ACRONYM] about [TERM]"
+
+
 def test_pii_of_nothing(spark, empty):
     assert pii.find_pii(empty, shared(spark)).count() == 0
 
