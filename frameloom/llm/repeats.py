@@ -45,7 +45,7 @@ from frameloom.llm.common import keep, open_fs, pack, put_bytes, shared_dir, sma
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text and rows of a chunk file; bytes whose anchors are looked for at a time.
-CHUNK_BYTES, CHUNK_ROWS, BLOCK = 1 << 24, 4000, 1 << 21
+CHUNK_BYTES, CHUNK_ROWS, BLOCK = 1 << 23, 4000, 1 << 20
 #: Anchors of a range of hashes in step 2 and of a share in step 4, about.
 RANGE, SHARE = 500_000, 20_000
 #: An anchor with so many spans, each chunk's different ones counted, is frequent.
