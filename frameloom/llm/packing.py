@@ -10,7 +10,8 @@ are powers of two, which need no padding.
 
 Only piece descriptions are shuffled, never ids; a group of MERGE tasks has at most MERGE x WINDOWS
 leftover windows, whatever the input's size. A null text is empty: its one id is the closing one.
-Repeated rows are packed each. Other columns are ignored. A task's rows come in the order of its
+Repeated rows are packed each. Of windows that fit equally well the first opened one is taken. An empty
+table gives no pieces. Other columns are ignored, whatever their names. A task's rows come in the order of its
 input split, so a task that is run again gives the same pieces.
 """
 
@@ -48,7 +49,8 @@ class Tokenizer(dict):
     hold the name of a special token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Public
 
@@ -73,7 +75,7 @@ class Tokenizer(dict):
             self[r] = self[r[:-1]] + self[r[-1]]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > self.entries:
             self.clear()
         runs = [(x if "<|" in x else x.encode().lower().decode()).replace("\n", " ").split(" ") for x in texts]
         found = [list(map(self.get, run)) for run in runs]
@@ -87,8 +89,8 @@ class Tokenizer(dict):
 
 
 @lru_cache(maxsize=1)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def tokenizer(path: str, entries: int = CACHE_ENTRIES) -> Tokenizer:
+    return Tokenizer(path, entries)
 
 
 class Windows:
@@ -154,7 +156,7 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def pack_texts(docs: DataFrame, tokenizer_path: str, uri: str, size: int = SIZE, windows: int = WINDOWS, close: int = CLOSE, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_texts(docs: DataFrame, tokenizer_path: str, uri: str, size: int = SIZE, windows: int = WINDOWS, close: int = CLOSE, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ids too if wanted.
 
     Sequence ids are the task's number times 2**33 plus a count; merged leftovers count on from 2**32.
@@ -194,7 +196,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, uri: str, size: int = SIZE,
         row = 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, tokens in zip(ids, tokenizer(tokenizer_path).encode_all(batch.column(1).to_pylist()), strict=True):
+            for doc_id, tokens in zip(ids, tokenizer(tokenizer_path, cache).encode_all(batch.column(1).to_pylist()), strict=True):
                 held[row] = [doc_id, np.append(tokens, np.uint32(close)), len(tokens) + 1]
                 open_windows.add(row, len(tokens) + 1)
                 row += 1
