@@ -1,4 +1,4 @@
-"""Dealing entries out to numbered targets, in levels, as compressed blocks of integer columns.
+"""Dealing entries out to numbered targets, in levels, as compressed blocks of columns: integers, or rows of bytes.
 
 A task that gives every target a block of its own makes tasks x targets blocks, the square of the
 input. Here a block holds the entries of a range of targets, at most FAN ranges a level; where there
@@ -16,13 +16,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges of a level, tasks that a range is spread over, entries a task holds before it cuts them.
-FAN, SPREAD, HELD = 256, 16, 1 << 21
+#: Ranges of a level, tasks that a range is spread over, bytes of entries a task holds before it cuts them.
+FAN, SPREAD, HELD = 256, 16, 1 << 26
 SCHEMA = "key long, block binary"
 
 
 def squeeze(values: np.ndarray, ascending: bool) -> bytes:
-    """Numbers from 0 on in few bytes: their differences or themselves, by byte plane, compressed."""
+    """Numbers in few bytes: their differences or themselves, by byte plane, compressed. Rows of bytes (two dimensions) as they are."""
+    if values.ndim == 2:
+        return bytes([0, values.shape[1]]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
     a = np.asarray(values, np.int64)
     a = (np.diff(a, prepend=0) if ascending else a).astype("<u8", copy=False)
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
@@ -31,8 +33,10 @@ def squeeze(values: np.ndarray, ascending: bool) -> bytes:
 
 
 def spread(data: bytes) -> np.ndarray:
-    """The numbers of squeeze()."""
+    """The numbers, or rows, of squeeze()."""
     width = data[0]
+    if not width:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), np.uint8).reshape(-1, data[1])
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), np.uint8).reshape(width, -1)
     a = np.zeros((planes.shape[1], 8), np.uint8)
     a[:, :width] = planes.T
@@ -98,7 +102,7 @@ def _cut_again(wide: int):
                     size = 0
                 last = key
                 held.append(unpack(block))
-                size += len(held[-1][0])
+                size += sum(c.nbytes for c in held[-1])
         if held:
             yield out()
 

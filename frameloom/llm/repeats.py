@@ -12,7 +12,7 @@ equal places. The steps, each a Spark job whose result is a table in the shared
 
 1. documents are written as chunk files, text and all, of at most CHUNK_BYTES of text or one document each;
 2. each chunk gives the sorted hashes of its anchors, dealt by hash; a task per range of hashes
-   answers which of them other chunks have too (a bitmap for each chunk);
+   answers which of them other chunks have too;
 3. each chunk gives the bytes around its repeated anchors (a span, up to 84 bytes, for all suffixes
    of an anchor), equal spans of a chunk once, for their smallest id, dealt by the anchor's hash;
    an anchor with very many spans is dealt by its suffixes' own hashes instead, so that no task
@@ -20,8 +20,9 @@ equal places. The steps, each a Spark job whose result is a table in the shared
 4. a task per share of the hashes sorts the suffixes and answers which ones repeat;
 5. each chunk takes the answers and cuts its texts.
 
-Hashes only deal out work; equality is that of bytes. Texts never go through a shuffle. Tasks
-write whole files with the same content whichever executor runs them.
+Hashes only deal out work; equality is that of bytes. Texts never go through a shuffle. What goes
+to ranges and shares and back to chunks is dealt out in levels (deal.py), so rows of the shuffles
+grow with the entries. Tasks write whole files with the same content whichever executor runs them.
 
 Null texts are empty and stay null in texts that are returned; texts under LENGTH bytes lose
 nothing. Rows that repeat an id don't count as copies of each other; null ids count as larger
@@ -36,11 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from frameloom.llm import deal
 from frameloom.llm.common import keep, open_fs, pack, put_bytes, shared_dir, small_batches, table, unpack
 
 LENGTH, GRAM = 50, 16
@@ -51,6 +52,8 @@ RANGE, SHARE = 500_000, 20_000
 #: An anchor with so many spans, each chunk's different ones counted, is frequent.
 FREQUENT = 2000
 NO_ID = (1 << 63) - 1
+#: Bytes of the longest span; spans that are cut out at a time.
+WIDE, PART = 2 * LENGTH - GRAM, 1 << 18
 
 
 # ---- anchors ----------------------------------------------------------------------------------
@@ -123,7 +126,7 @@ class Chunk:
         texts = column.to_pylist()
         self.ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
         self.starts = self.ends - [len(x) for x in texts] if texts else self.ends
-        self.data = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
+        self.data = np.frombuffer(b"".join(texts) + bytes(WIDE), np.uint8)
         self.ids = np.array([NO_ID if x is None else x for x in self.table.column("__id").to_pylist()], np.int64)
         if not anchors:
             return
@@ -191,42 +194,75 @@ def _deal(h: np.ndarray, shares: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shares) >> np.uint64(32)).astype(np.int64)
 
 
-def _give_hashes(uri: str, ranges: int):
+def _chunk_at(at: int, most: int) -> int:
+    """The number of the chunk that is target at of a deal, where a task has written most chunks at most."""
+    return at // most << 32 | at % most
+
+
+def _entries(group: pa.Table, n: int) -> list[np.ndarray]:
+    """The n columns of a group's blocks."""
+    blocks = [x for x in group.column("block").to_pylist() if x]
+    return deal.gather(blocks) if blocks else [np.empty(0, np.int64)] * n
+
+
+def _dealt(targets: np.ndarray, columns: list[np.ndarray], wide: int) -> pa.Table:
+    """Blocks of entries for ranges of so many targets, and how many entries each has."""
+    keys, blocks = deal.cut(targets, columns, wide)
+    sizes = np.unique(targets // wide, return_counts=True)[1]
+    return pa.table({"key": pa.array(keys, pa.int64()), "block": pa.array(blocks, pa.binary()), "entries": pa.array(sizes, pa.int64())})
+
+
+DEALT = "key long, block binary, entries long"
+
+
+def _give_hashes(uri: str, ranges: int, most: int):
+    wide = deal.width(ranges)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in batch.column(0).to_pylist():
-                chunk = Chunk(uri, c)
-                # Of each anchor the hash, and how many different spans it has here.
+            for at in batch.column(0).to_pylist():
+                chunk = Chunk(uri, _chunk_at(at, most))
+                # Of each anchor the hash, less a bit so that no number is negative, and how many different spans it has here.
                 _, first = np.unique(_mix(chunk.h, span_hash(chunk.data, chunk.a, chunk.b - chunk.a + LENGTH)), return_index=True)
-                h, n = np.unique(chunk.h[first], return_counts=True)
-                cuts = np.searchsorted(_deal(h, ranges), np.arange(ranges + 1))
-                full = np.flatnonzero(cuts[1:] > cuts[:-1])
-                blobs = [_pack_all([h[cuts[r] : cuts[r + 1]].view(np.int64), n[cuts[r] : cuts[r + 1]]]) for r in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(np.full(len(full), c)), pa.array(blobs, pa.binary())], names=["range", "chunk", "hashes"])
+                h, n = np.unique(chunk.h[first] >> np.uint64(1), return_counts=True)
+                yield from _dealt(_deal(h << np.uint64(1), ranges), [h.view(np.int64), n, np.full(len(h), at)], wide).to_batches()
 
     return run
 
 
-def _answer_hashes(key: tuple, group: pa.Table) -> pa.Table:
-    """Per chunk: 1 for an anchor that another chunk has too, 2 for a frequent one."""
-    hashes, spans = zip(*(_unpack_all(x)[0] for x in group.column("hashes").to_pylist()), strict=True)
-    _, which, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    many = np.bincount(which, np.concatenate(spans)) >= FREQUENT
-    mark = ((counts >= 2).astype(np.uint8) + ((counts >= 2) & many))[which]
-    parts = np.split(mark, np.cumsum([len(x) for x in hashes])[:-1])
-    return pa.table({"chunk": group.column("chunk"), "range": group.column("range"), "marks": pa.array([zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in parts], pa.binary()), "repeated": pa.array([int((x > 0).sum()) for x in parts], pa.int64())})
+def _answer_hashes(targets: int):
+    wide = deal.width(targets)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        """For chunks: 1 for an anchor that another chunk has too, 2 for a frequent one."""
+        h, n, at = _entries(group, 3)
+        _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+        many = np.bincount(which, n) >= FREQUENT
+        mark = ((counts >= 2).astype(np.int64) + ((counts >= 2) & many))[which]
+        some = mark > 0
+        return _dealt(at[some], [h[some], mark[some]], wide)
+
+    return run
 
 
 # ---- step 3: spans ------------------------------------------------------------------------------
 
 
-def _give_spans(uri: str, shares: int):
+def _give_spans(uri: str, shares: int, most: int):
+    wide = deal.width(shares)
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        c = key[0].as_py()
+        c = _chunk_at(key[0].as_py(), most)
         chunk = Chunk(uri, c)
-        marks = group.filter(pa.compute.greater_equal(group.column("range"), 0)).sort_by("range").column("marks").to_pylist()
-        marks = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, marks)), np.uint8)
         unique, which = np.unique(chunk.h, return_inverse=True)
+        repeated, given = _entries(group, 2)
+        marks = np.zeros(len(unique), np.uint8)
+        if len(repeated):
+            order = np.argsort(repeated)
+            repeated, given = repeated[order], given[order]
+            own = (unique >> np.uint64(1)).view(np.int64)
+            at = np.minimum(np.searchsorted(repeated, own), len(repeated) - 1)
+            marks = np.where(repeated[at] == own, given[at], 0).astype(np.uint8)
         # Anchors of two documents of this chunk repeat as well.
         pair = np.unique(which.astype(np.int64) * (len(chunk.ids) + 1) + chunk.row) // (len(chunk.ids) + 1)
         many = np.bincount(pair, minlength=len(unique)) > 1 if len(unique) else np.empty(0, bool)
@@ -249,19 +285,17 @@ def _give_spans(uri: str, shares: int):
         entry = np.cumsum(new) - 1
         lead = order[new]  # the first place of each entry
         own = chunk.ids[row[order]] == chunk.ids[row[lead[entry]]]
-        share = _deal(h[lead], shares)
-        by_share = np.argsort(share, kind="stable")
-        number = np.empty(len(lead), np.int64)
-        number[by_share] = np.arange(len(lead))
         asked, sure = order[own], order[~own]
-        local = [number[entry[own]], first[asked], size[asked], first[sure], size[sure]]
-        put_bytes(f"{uri}/local/{c:016x}", _pack_all(local))
-        text, rows = chunk.data.tobytes(), []
-        cuts = np.searchsorted(share[by_share], np.arange(shares + 1))
-        for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            mine = by_share[cuts[s] : cuts[s + 1]]
-            rows.append((int(s), c, _pack_all([size[lead[mine]], chunk.ids[row[lead[mine]]]], b"".join([text[a:z] for a, z in zip(first[lead[mine]].tolist(), (first + size)[lead[mine]].tolist(), strict=True)]))))
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["share", "chunk", "spans"])
+        put_bytes(f"{uri}/local/{c:016x}", _pack_all([entry[own], first[asked], size[asked], first[sure], size[sure]]))
+        # The bytes of each entry in WIDE of them, so many entries at a time.
+        made, views = [], np.lib.stride_tricks.sliding_window_view(chunk.data, WIDE)
+        for low in range(0, max(1, len(lead)), PART):
+            part = lead[low : low + PART]
+            spans = views[first[part]]
+            spans[np.arange(WIDE) >= size[part][:, None]] = 0
+            columns = [spans, size[part], chunk.ids[row[part]], np.full(len(part), key[0].as_py()), np.arange(low, low + len(part))]
+            made.append(_dealt(_deal(h[part], shares), columns, wide))
+        return pa.concat_tables(made)
 
     return run
 
@@ -275,17 +309,16 @@ def _equal_spans(data: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.nd
     return same
 
 
-def _pack_all(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
-    """Arrays and bytes in one compressed block."""
-    blobs = [pack(x) for x in arrays] + [zstandard.ZstdCompressor(level=3).compress(tail)]
+def _pack_all(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of any lengths in one compressed block."""
+    blobs = [pack(x) for x in arrays]
     return np.array([len(arrays), *map(len, blobs)], np.int64).tobytes() + b"".join(blobs)
 
 
-def _unpack_all(data: bytes) -> tuple[list[np.ndarray], bytes]:
+def _unpack_all(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    cuts = np.cumsum([8 * (n + 2), *np.frombuffer(data, np.int64, n + 1, 8)])
-    blobs = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return [unpack(x) for x in blobs[:-1]], zstandard.ZstdDecompressor().decompress(blobs[-1])
+    cuts = np.cumsum([8 * (n + 1), *np.frombuffer(data, np.int64, n, 8)])
+    return [unpack(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 # ---- step 4: deep-shallow sorting ---------------------------------------------------------------
@@ -348,44 +381,48 @@ def _leading_bytes(x: np.ndarray) -> np.ndarray:
     return count
 
 
-def _answer_spans(key: tuple, group: pa.Table) -> pa.Table:
-    """Per chunk: for each of its spans a mask of the suffixes that also start in a document with a smaller id."""
-    parts = [_unpack_all(x) for x in group.column("spans").to_pylist()]
-    size = np.concatenate([p[0][0] for p in parts])
-    ids = np.concatenate([p[0][1] for p in parts])
-    data = np.frombuffer(b"".join(p[1] for p in parts) + bytes(16), np.uint8)
-    count = size - LENGTH + 1
-    before = np.cumsum(count) - count
-    inner = np.arange(count.sum()) - np.repeat(before, count)
-    starts = np.repeat(np.cumsum(size) - size, count) + inner
-    own = np.repeat(ids, count)
-    order, new = deep_shallow(data, starts)
-    least = np.minimum.reduceat(own[order], new)
-    repeats = np.empty(len(order), bool)
-    repeats[order] = np.repeat(least, np.diff(np.r_[new, len(order)])) < own[order]
-    masks = np.add.reduceat(np.where(repeats, np.uint64(1) << inner.astype(np.uint64), np.uint64(0)), before)
-    cuts = np.cumsum([len(p[0][0]) for p in parts])[:-1]
-    blobs = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in np.split(masks, cuts)]
-    return pa.table({"chunk": group.column("chunk"), "share": group.column("share"), "masks": pa.array(blobs, pa.binary())})
+def _answer_spans(targets: int):
+    wide = deal.width(targets)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        """For chunks: a mask of the suffixes of their spans that also start in a document with a smaller id, where there are any."""
+        spans, size, ids, at, number = _entries(group, 5)
+        data = np.concatenate([spans.ravel(), np.zeros(16, np.uint8)])
+        count = size - LENGTH + 1
+        before = np.cumsum(count) - count
+        inner = np.arange(count.sum()) - np.repeat(before, count)
+        starts = np.repeat(np.arange(len(size)) * WIDE, count) + inner
+        own = np.repeat(ids, count)
+        order, new = deep_shallow(data, starts)
+        least = np.minimum.reduceat(own[order], new)
+        repeats = np.empty(len(order), bool)
+        repeats[order] = np.repeat(least, np.diff(np.r_[new, len(order)])) < own[order]
+        masks = np.add.reduceat(np.where(repeats, np.int64(1) << inner, 0), before)
+        some = masks > 0
+        return _dealt(at[some], [number[some], masks[some]], wide)
+
+    return run
 
 
 # ---- step 5: cutting ----------------------------------------------------------------------------
 
 
-def _cut(uri: str, columns: list[str], text_col: str):
+def _cut(uri: str, columns: list[str], text_col: str, most: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        c = key[0].as_py()
+        c = _chunk_at(key[0].as_py(), most)
         chunk = Chunk(uri, c, anchors=False)
         filesystem, path = open_fs(f"{uri}/local/{c:016x}")
         with filesystem.open_input_file(path) as source:
-            (entry, first, _, sure, sure_size), _ = _unpack_all(source.read())
-        masks = group.filter(pa.compute.greater_equal(group.column("share"), 0)).sort_by("share").column("masks").to_pylist()
-        masks = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, masks)), np.uint64)[entry] if len(entry) else np.empty(0, np.uint64)
+            entry, first, _, sure, sure_size = _unpack_all(source.read())
+        number, found = _entries(group, 2)
+        masks = np.zeros(int(entry.max(initial=-1)) + 1, np.int64)
+        masks[number] = found
+        masks = masks[entry]
         change = np.zeros(len(chunk.data) + 1, np.int32)
         np.add.at(change, sure, 1)
         np.add.at(change, sure + sure_size, -1)
         for k in range(LENGTH - GRAM + 1):
-            hit = first[masks >> np.uint64(k) & np.uint64(1) == 1] + k
+            hit = first[masks >> k & 1 == 1] + k
             np.add.at(change, hit, 1)
             np.add.at(change, hit + LENGTH, -1)
         gone = np.cumsum(change[: len(chunk.data)], dtype=np.int32) > 0
@@ -422,25 +459,28 @@ def remove_repeats(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col:
     if text_col in columns:
         source = source.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.lit("")))  # its bytes are in __bytes
     every = keep(source.mapInArrow(_write_chunks(uri), "chunk long, bytes long"), f"{uri}/chunk_list")
-    total = every.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    part, turn = F.shiftright("chunk", 32), F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))
+    total = every.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max(part).alias("last"), F.max(turn).alias("turn")).first()
     schema = StructType([source.schema[c] for c in columns] + list(new))
     if not total["n"]:
         return spark.createDataFrame([], schema)
-    size, number = total["bytes"] or 0, total["n"]
-    every = every.select("chunk").repartition(number, "chunk")
-    ranges = max(1, round(size * 2 / (LENGTH - GRAM + 2) / RANGE))
-    hashes = every.mapInArrow(_give_hashes(uri, ranges), "range long, chunk long, hashes binary")
-    marks = keep(hashes.repartition(ranges, "range").groupBy("range").applyInArrow(_answer_hashes, "chunk long, range long, marks binary, repeated long"), f"{uri}/marks")
-    repeated = marks.agg(F.sum("repeated")).first()[0] or 0
+    size, number, most = total["bytes"] or 0, total["n"], total["turn"] + 1
+    targets = (total["last"] + 1) * most
     # Each chunk has a row of its own, so that chunks without marks or answers are seen as well.
-    chunks = every.select("chunk", F.lit(-1).cast("long").alias("at"), F.lit(b"").alias("blob"))
-    marks = marks.select("chunk", F.col("range"), "marks").unionByName(chunks.select("chunk", F.col("at").alias("range"), F.col("blob").alias("marks")))
-    shares = max(1, round(repeated / SHARE))
+    chunks = every.select((part * most + turn).alias("key"), F.lit(b"").alias("block"))
+    ranges = max(1, round(size * 2 / (LENGTH - GRAM + 2) / RANGE))
+    hashes = chunks.select("key").repartition(number, "key").mapInArrow(_give_hashes(uri, ranges, most), DEALT)
     # Explicit numbers of partitions: the rows are few bytes but much work, which Spark would put into one task.
-    spans = marks.repartition(number, "chunk").groupBy("chunk").applyInArrow(_give_spans(uri, shares), "share long, chunk long, spans binary")
-    masks = keep(spans.repartition(min(shares, 8 * number), "share").groupBy("share").applyInArrow(_answer_spans, "chunk long, share long, masks binary"), f"{uri}/masks")
-    masks = masks.unionByName(chunks.select("chunk", F.col("at").alias("share"), F.col("blob").alias("masks")))
-    return masks.repartition(number, "chunk").groupBy("chunk").applyInArrow(_cut(uri, columns, text_col), schema)
+    hashes = deal.deal(hashes.select("key", "block"), ranges).repartition(ranges, "key")
+    marks = keep(hashes.groupBy("key").applyInArrow(_answer_hashes(targets), DEALT), f"{uri}/marks")
+    repeated = marks.agg(F.sum("entries")).first()[0] or 0
+    shares = max(1, round(repeated / SHARE))
+    marks = deal.deal(marks.select("key", "block"), targets).unionByName(chunks).repartition(number, "key")
+    spans = marks.groupBy("key").applyInArrow(_give_spans(uri, shares, most), DEALT)
+    spans = deal.deal(spans.select("key", "block"), shares).repartition(min(shares, 8 * number), "key")
+    masks = keep(spans.groupBy("key").applyInArrow(_answer_spans(targets), DEALT), f"{uri}/masks")
+    masks = deal.deal(masks.select("key", "block"), targets).unionByName(chunks).repartition(number, "key")
+    return masks.groupBy("key").applyInArrow(_cut(uri, columns, text_col, most), schema)
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -382,8 +382,9 @@ def brute_repeats(docs, length=50):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("frequent", [16, 2])
-def test_repeats_against_brute_force(spark, frame, docs, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "fan"), [(16, 256), (2, 3)])
+def test_repeats_against_brute_force(spark, frame, docs, monkeypatch, frequent, fan):
+    monkeypatch.setattr(deal, "FAN", fan)
     for name, value in (("CHUNK_ROWS", 23), ("CHUNK_BYTES", 50_000), ("BLOCK", 20_000), ("RANGE", 500), ("SHARE", 300), ("FREQUENT", frequent)):
         monkeypatch.setattr(repeats, name, value)
     out = repeats.remove_repeats(frame, shared(spark))
