@@ -188,3 +188,23 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and notices in every document."""
     return scan(id_text(table(spark, sf_dir, "documents"))).drop("text")
+
+
+def _oracle() -> str:
+    """The rows of op2_license_scan in DuckDB SQL: every place where a notice's key phrase stands, without an index."""
+    texts = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
+    return f"""with letters as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as upper_case),
+  files as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), upper_case, lower(upper_case)), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents, letters),
+  phrases as (select label, string_split(phrase, ' ') as phrase from (values {texts(BASE)}) x(phrase, label)),
+  notices as (select label, string_split(notice, ' ') as notice, string_split(key, ' ') as key, len(string_split(notice[:strpos(notice, key) - 1], ' ')) - 1 as ahead from (values {texts(NOTICES)}) x(label, notice, key)),
+  places as (select rid, words, w, i - 1 as i from (select rid, words, unnest(words) as w, generate_subscripts(words, 1) as i from files)),
+  base as (select rid, label, i from places join phrases on w = phrase[1] where words[i + 1 : i + len(phrase)] = phrase),
+  keyed as (select rid, label, notice, words, i - ahead as place from places join notices on w = key[1] where words[i + 1 : i + len(key)] = key),
+  held as (select rid, label, len(list_filter(range(len(notice)), lambda j: place + j >= 0 and coalesce(words[place + j + 1] = notice[j + 1], false))) / len(notice) as covered from keyed),
+  counted as (select rid, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by 1),
+  labelled as (select rid, string_agg(distinct label, ',' order by label) as labels, max(covered) as covered from (select rid, label, null as covered from base union all select rid, label, covered from held where covered >= {COVERED}) group by 1)
+  select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+    coalesce(covered, case when n_base > 0 then 0.5 else 0 end)::double as score from files left join counted using (rid) left join labelled using (rid)"""
+
+
+ORACLE_SQL = _oracle()

@@ -488,3 +488,15 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_dir(spark, "repeats"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The rows of op5_suffix_array over all documents, in DuckDB SQL: runs of starts whose string has a smaller id elsewhere.
+ORACLE_SQL = f"""with d as (select row_number() over () as rid, doc_id, coalesce(doc_id, {NO_ID}) as own, encode(coalesce(text, '')) as b from documents),
+  starts as (select rid, own, p, array_slice(b, p, p + {LENGTH - 1}) as string from (select *, unnest(range(1, octet_length(b) - {LENGTH - 2})) as p from d)),
+  hits as (select rid, p from (select rid, p, own, min(own) over (partition by string) as least from starts) where least < own),
+  opened as (select *, p > coalesce(lag(p) over (partition by rid order by p) + {LENGTH}, 0) as opens from hits),
+  numbered as (select *, sum(opens::int) over (partition by rid order by p) as run from opened),
+  runs as (select rid, run, min(p) as a, max(p) + {LENGTH} as z from numbered group by 1, 2),
+  pieces as (select rid, run, z - a as gone, coalesce(lag(z) over (partition by rid order by run), 1) as low, a as high, z from runs),
+  cut as (select rid, sum(gone) as gone, count(*) as spans, string_agg(hex(array_slice(b, low, high - 1)), '' order by run) || hex(array_slice(any_value(b), max(z), octet_length(any_value(b)))) as kept from pieces join d using (rid) group by 1)
+  select doc_id, octet_length(b)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(coalesce(unhex(kept), b)) as kept_sha256 from d left join cut using (rid)"""

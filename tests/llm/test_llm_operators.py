@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import oracle
 import pytest
 import xxhash
 
@@ -777,3 +778,13 @@ def test_pipeline_of_an_empty_table(spark):
 
 def test_every_operator_is_registered():
     assert [int(n[2:].split("_")[0]) for n in llm.queries() if n.startswith("op")] == list(range(1, 11)) and "pipeline" in llm.queries()
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracles()))
+def test_operator_equals_its_sql(spark, frame, empty, tmp_path, name):
+    for k, rows in enumerate((frame, empty)):
+        rows.drop("n_words").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{tmp_path}/{k}/documents.parquet/*.parquet'")
+        assert not oracle.differences(llm.queries()[name](spark, f"{tmp_path}/{k}"), con, llm.oracles()[name])
+    assert not oracle.differences(llm.queries()[name](spark, SF), oracle.connect(SF), llm.oracles()[name])
