@@ -24,7 +24,7 @@ SCHEMA = "key long, block binary"
 def squeeze(values: np.ndarray, ascending: bool) -> bytes:
     """Numbers in few bytes: their differences or themselves, by byte plane, compressed. Rows of bytes (two dimensions) as they are."""
     if values.ndim == 2:
-        return bytes([0, values.shape[1]]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+        return bytes([0, values.shape[1]]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
     a = np.asarray(values, np.int64)
     a = (np.diff(a, prepend=0) if ascending else a).astype("<u8", copy=False)
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
@@ -45,8 +45,8 @@ def spread(data: bytes) -> np.ndarray:
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of one length in one block; the first ascends."""
-    parts = [squeeze(c, i == 0) for i, c in enumerate(columns)]
+    """Columns of one length in one block; those that ascend, as the first does, as differences."""
+    parts = [squeeze(c, c.ndim == 1 and bool((c[1:] >= c[:-1]).all())) for c in columns]
     return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
 
 

@@ -48,7 +48,9 @@ LENGTH, GRAM = 50, 16
 #: Bytes of text and rows of a chunk file; bytes whose anchors are looked for at a time.
 CHUNK_BYTES, CHUNK_ROWS, BLOCK = 1 << 23, 4000, 1 << 20
 #: Anchors of a range of hashes in step 2 and of a share in step 4, about.
-RANGE, SHARE = 500_000, 20_000
+RANGE, SHARE = 500_000, 60_000
+#: Bits of a hash that step 2 leaves out; two anchors taken for one only give spans that have no equal.
+SPARED = np.uint64(8)
 #: An anchor with so many spans, each chunk's different ones counted, is frequent.
 FREQUENT = 2000
 NO_ID = (1 << 63) - 1
@@ -222,10 +224,10 @@ def _give_hashes(uri: str, ranges: int, most: int):
         for batch in batches:
             for at in batch.column(0).to_pylist():
                 chunk = Chunk(uri, _chunk_at(at, most))
-                # Of each anchor the hash, less a bit so that no number is negative, and how many different spans it has here.
+                # Of each anchor the hash and how many different spans it has here.
                 _, first = np.unique(_mix(chunk.h, span_hash(chunk.data, chunk.a, chunk.b - chunk.a + LENGTH)), return_index=True)
-                h, n = np.unique(chunk.h[first] >> np.uint64(1), return_counts=True)
-                yield from _dealt(_deal(h << np.uint64(1), ranges), [h.view(np.int64), n, np.full(len(h), at)], wide).to_batches()
+                h, n = np.unique(chunk.h[first] >> SPARED, return_counts=True)
+                yield from _dealt(_deal(h << SPARED, ranges), [h.view(np.int64), n, np.full(len(h), at)], wide).to_batches()
 
     return run
 
@@ -260,7 +262,7 @@ def _give_spans(uri: str, shares: int, most: int):
         if len(repeated):
             order = np.argsort(repeated)
             repeated, given = repeated[order], given[order]
-            own = (unique >> np.uint64(1)).view(np.int64)
+            own = (unique >> SPARED).view(np.int64)
             at = np.minimum(np.searchsorted(repeated, own), len(repeated) - 1)
             marks = np.where(repeated[at] == own, given[at], 0).astype(np.uint8)
         # Anchors of two documents of this chunk repeat as well.
@@ -283,10 +285,16 @@ def _give_spans(uri: str, shares: int, most: int):
         leader = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
         new |= ~_equal_spans(chunk.data, first, size, order, order[leader])  # a hash that means two contents
         entry = np.cumsum(new) - 1
-        lead = order[new]  # the first place of each entry
+        lead = order[new]  # the first place of each entry; entries are numbered as they stand in the texts
+        by_place = np.argsort(first[lead])
+        rank = np.empty(len(lead), np.int64)
+        rank[by_place] = np.arange(len(lead))
+        lead, entry = lead[by_place], rank[entry]
         own = chunk.ids[row[order]] == chunk.ids[row[lead[entry]]]
-        asked, sure = order[own], order[~own]
-        put_bytes(f"{uri}/local/{c:016x}", _pack_all([entry[own], first[asked], size[asked], first[sure], size[sure]]))
+        asked, sure = order[own], np.sort(order[~own])
+        by_place = np.argsort(first[asked])
+        asked, entry = asked[by_place], entry[own][by_place]
+        put_bytes(f"{uri}/local/{c:016x}", _pack_all([entry, first[asked], size[asked], first[sure], size[sure]]))
         # The bytes of each entry in WIDE of them, so many entries at a time.
         made, views = [], np.lib.stride_tricks.sliding_window_view(chunk.data, WIDE)
         for low in range(0, max(1, len(lead)), PART):
