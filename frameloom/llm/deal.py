@@ -1,4 +1,5 @@
-"""Dealing entries out to numbered targets, in levels, as compressed blocks of columns: integers, or rows of bytes.
+"""Dealing entries out to numbered targets, in levels, as compressed blocks of columns: integers, or rows of
+bytes (two dimensions), whose first byte says how many of the others count; behind them are zeros.
 
 A task that gives every target a block of its own makes tasks x targets blocks, the square of the
 input. Here a block holds the entries of a range of targets, at most FAN ranges a level; where there
@@ -22,9 +23,10 @@ SCHEMA = "key long, block binary"
 
 
 def squeeze(values: np.ndarray, ascending: bool) -> bytes:
-    """Numbers in few bytes: their differences or themselves, by byte plane, compressed. Rows of bytes (two dimensions) as they are."""
+    """Numbers in few bytes: their differences or themselves, by byte plane, compressed. Of rows of bytes the lengths, then the bytes that count."""
     if values.ndim == 2:
-        return bytes([0, values.shape[1]]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
+        body = values[:, 1:][np.arange(values.shape[1] - 1) < values[:, :1]]
+        return np.array([0, values.shape[1]], np.uint8).tobytes() + zstandard.ZstdCompressor(level=3).compress(len(values).to_bytes(8, "little") + values[:, 0].tobytes() + body.tobytes())
     a = np.asarray(values, np.int64)
     a = (np.diff(a, prepend=0) if ascending else a).astype("<u8", copy=False)
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
@@ -36,7 +38,12 @@ def spread(data: bytes) -> np.ndarray:
     """The numbers, or rows, of squeeze()."""
     width = data[0]
     if not width:
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), np.uint8).reshape(-1, data[1])
+        flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), np.uint8)
+        n = int(flat[:8].view("<i8")[0])
+        rows = np.zeros((n, data[1]), np.uint8)
+        rows[:, 0] = flat[8 : n + 8]
+        rows[:, 1:][np.arange(data[1] - 1) < rows[:, :1]] = flat[n + 8 :]
+        return rows
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), np.uint8).reshape(width, -1)
     a = np.zeros((planes.shape[1], 8), np.uint8)
     a[:, :width] = planes.T

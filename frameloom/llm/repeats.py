@@ -295,13 +295,13 @@ def _give_spans(uri: str, shares: int, most: int):
         by_place = np.argsort(first[asked])
         asked, entry = asked[by_place], entry[own][by_place]
         put_bytes(f"{uri}/local/{c:016x}", _pack_all([entry, first[asked], size[asked], first[sure], size[sure]]))
-        # The bytes of each entry in WIDE of them, so many entries at a time.
+        # Of each entry the size and the bytes, so many entries at a time.
         made, views = [], np.lib.stride_tricks.sliding_window_view(chunk.data, WIDE)
         for low in range(0, max(1, len(lead)), PART):
             part = lead[low : low + PART]
-            spans = views[first[part]]
-            spans[np.arange(WIDE) >= size[part][:, None]] = 0
-            columns = [spans, size[part], chunk.ids[row[part]], np.full(len(part), key[0].as_py()), np.arange(low, low + len(part))]
+            spans = np.column_stack([size[part].astype(np.uint8), views[first[part]]])
+            spans[:, 1:][np.arange(WIDE) >= spans[:, :1]] = 0
+            columns = [spans, chunk.ids[row[part]], np.full(len(part), key[0].as_py()), np.arange(low, low + len(part))]
             made.append(_dealt(_deal(h[part], shares), columns, wide))
         return pa.concat_tables(made)
 
@@ -394,12 +394,13 @@ def _answer_spans(targets: int):
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         """For chunks: a mask of the suffixes of their spans that also start in a document with a smaller id, where there are any."""
-        spans, size, ids, at, number = _entries(group, 5)
+        spans, ids, at, number = _entries(group, 4)
         data = np.concatenate([spans.ravel(), np.zeros(16, np.uint8)])
+        size = spans[:, 0].astype(np.int64)
         count = size - LENGTH + 1
         before = np.cumsum(count) - count
         inner = np.arange(count.sum()) - np.repeat(before, count)
-        starts = np.repeat(np.arange(len(size)) * WIDE, count) + inner
+        starts = np.repeat(np.arange(len(size)) * (WIDE + 1) + 1, count) + inner
         own = np.repeat(ids, count)
         order, new = deep_shallow(data, starts)
         least = np.minimum.reduceat(own[order], new)

@@ -715,6 +715,17 @@ def test_entries_are_dealt_out_in_levels(spark, monkeypatch):
     assert found == sorted(zip(targets.tolist(), values.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_blocks_give_their_columns_again(n):
+    rnd = np.random.default_rng(n)
+    rows = rnd.integers(0, 2, (n, 85)).astype(np.uint8)
+    rows[:, 0] = rnd.integers(0, 85, n)
+    rows[:, 1:][np.arange(84) >= rows[:, :1]] = 0
+    columns = [np.arange(n), rows, rnd.integers(-(1 << 62), 1 << 62, n), np.full(n, 7)]
+    for made, given in zip(deal.unpack(deal.pack(columns)), columns, strict=True):
+        assert made.shape == given.shape and (made == given).all()
+
+
 def test_tables_that_are_read_are_let_go(spark, monkeypatch):
     uri, h = shared(spark), np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(3):
