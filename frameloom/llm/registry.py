@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from frameloom.llm import ann, bpe, kneser_ney, langid, licenses, packing, pii, quality, repeats, simhash
+from frameloom.llm import alignment, ann, bpe, kneser_ney, langid, licenses, packing, pii, prefixes, quality, repeats, simhash
 
 OPERATORS = (
     packing.op1_packing,
@@ -18,6 +18,8 @@ OPERATORS = (
     bpe.op8_byte_bpe,
     quality.op9_quality,
     kneser_ney.op10_kneser_ney,
+    alignment.op12_alignment,
+    prefixes.op13_token_counts,
 )
 
 
