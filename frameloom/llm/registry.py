@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from frameloom.llm import alignment, ann, bpe, kneser_ney, langid, licenses, packing, pii, prefixes, quality, repeats, simhash
+from frameloom.llm import alignment, ann, bpe, kneser_ney, langid, licenses, packing, phrases, pii, prefixes, quality, repeats, simhash
 
 OPERATORS = (
     packing.op1_packing,
@@ -18,6 +18,7 @@ OPERATORS = (
     bpe.op8_byte_bpe,
     quality.op9_quality,
     kneser_ney.op10_kneser_ney,
+    phrases.op11_collocations,
     alignment.op12_alignment,
     prefixes.op13_token_counts,
 )
@@ -28,7 +29,7 @@ def queries() -> dict[str, Callable]:
 
 
 #: SQL over all documents; the other queries have columns that SQL can't express, and tests hold them against brute force.
-ORACLES = {"op2_license_scan": licenses.ORACLE_SQL, "op5_suffix_array": repeats.ORACLE_SQL}
+ORACLES = {"op2_license_scan": licenses.ORACLE_SQL, "op5_suffix_array": repeats.ORACLE_SQL, "op11_collocations": phrases.ORACLE_SQL}
 
 
 def oracles() -> dict[str, str]:
