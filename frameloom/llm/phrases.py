@@ -46,7 +46,7 @@ from frameloom.llm.common import get_array, keep, put_array, shared_dir, small_b
 DEPTH, LEAST, TOP, SHARE = 4, 30, 2000, 80
 UNKNOWN = "und"
 #: Words of a shard, entries of a range of hashes, bits of a hash.
-SHARD, RANGE, BITS = 4_000_000, 4_000_000, 48
+SHARD, RANGE, BITS = 2_000_000, 3_000_000, 48
 #: What ends a piece.
 BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 SALTS = 64
