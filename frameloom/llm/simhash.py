@@ -16,8 +16,11 @@ GROUP rows are split into blocks, and each pair of blocks is a group of its own.
 For stages on word shingles similar() links texts by their Jaccard similarity over shingles of
 STAGE_SHINGLE words instead. Such texts differ in about 10 of 64 bits at a similarity of 0.8, which no choice of whole bands
 survives, so the groups are named by samples of bits: about log2 of the number of fingerprints less 3 bits
-a sample, and so many samples that a pair with NEAR_BITS differing bits shares one with 92 %. The trie join
-with WIDE_BUDGET bits gives the candidates of each group, and the similarity of their texts decides.
+a sample, and so many samples that a pair with NEAR_BITS differing bits shares one with 95 %. The trie join
+with WIDE_BUDGET bits gives the clusters of each group, and the similarity of texts decides: all pairs of a cluster
+within the budget are candidates. In a crowd (more than CLUSTER rows) a row has its PARTNERS nearest components, those that
+verified links have made, as candidates; these rounds end when one brings no new link. So no pair is given up because
+candidates that fail would connect it.
 
 Null and empty texts have fingerprint 0 and link like any other. A text with fewer words than a
 shingle has is one shingle. Repeated rows share fingerprint and component; null ids count for
@@ -26,7 +29,7 @@ nobody's component_id, which is null if all ids are. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -45,6 +48,8 @@ BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 GROUP = 20_000
 #: Rows joined at a time, and pairs of nodes held at a time.
 ROWS, PAIRS = 30_000, 200_000
+#: Rows of a cluster whose pairs are all compared; in crowds, partners of a row in a round.
+CLUSTER, PARTNERS = 48, 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -140,68 +145,177 @@ def _children(pairs: np.ndarray, ones_before: np.ndarray) -> np.ndarray:
     return out[:, (out[1] > out[0]) & (out[3] > out[2]) & ~((out[0] == out[2]) & (out[1] - out[0] == 1))]
 
 
-def _join_groups(batches: Iterator[pa.RecordBatch], budget: int = BUDGET) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp), equal keys next to each other, to links (u, v) of fingerprints."""
-    keys, fps = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def _join_groups(join: Callable):
+    """Rows (key, fp), equal keys next to each other, to links (u, v) of fingerprints, by join(group, fp) of sorted rows."""
 
-    def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        f = f.view(np.uint64)
-        order = np.lexsort((f, k))
-        x, y = trie_join(k[order], f[order], budget)
-        f = f[order].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y])], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, f in _whole_groups(batches):
+            x, y = join(k, f.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y])], names=["u", "v"])
 
+    return run
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of about ROWS rows at a time, groups whole, sorted by group and unsigned fingerprint (the first two columns)."""
+
+    def out(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((columns[1].view(np.uint64), columns[0]))
+        return tuple(c[order] for c in columns)
+
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-        fps.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if sum(map(len, keys)) >= ROWS:
-            k, f = np.concatenate(keys), np.concatenate(fps)
-            whole = int(np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[-1])  # the last group may go on
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(c[0]) for c in held) >= ROWS:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            whole = int(np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])[-1])  # the last group may go on
             if whole:
-                yield out(k[:whole], f[:whole])
-            keys, fps = [k[whole:]], [f[whole:]]
-    if sum(map(len, keys)):
-        yield out(np.concatenate(keys), np.concatenate(fps))
+                yield out([c[:whole] for c in columns])
+            held = [[c[whole:] for c in columns]]
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else []
+    if columns and len(columns[0]):
+        yield out(columns)
 
 
 def links(fps: DataFrame, uri: str) -> DataFrame:
     """Distinct fingerprints (fp) to links (u, v) that connect whatever is linked."""
     bits = [F.shiftrightunsigned(F.shiftleft("fp", 64 - at - width), 64 - width) for at, width in BANDS]
     names = [F.lit(i << 22).cast("long").bitwiseOR(F.shiftleft(bits[x], 11)).bitwiseOR(bits[y]) for i, (x, y) in enumerate(combinations(range(len(BANDS)), len(BANDS) - BUDGET))]
-    return _links(fps.select(F.explode(F.array(*names)).alias("key"), "fp"), uri, BUDGET)
+    return _dealt(fps.select(F.explode(F.array(*names)).alias("key"), "fp"), uri).mapInArrow(_join_groups(trie_join), "u long, v long")
 
 
-def _links(keyed: DataFrame, uri: str, budget: int) -> DataFrame:
-    """Rows (key, fp) to links (u, v) that connect whatever is linked within a key; crowded keys are joined in pairs of blocks."""
-    # Crowded keys are told by every rate-th fingerprint: one with over GROUP rows has 300 in it or so, far from half of that. Both ways are exact.
+def _dealt(keyed: DataFrame, uri: str) -> DataFrame:
+    """Rows (key, fp) with the rows of a key next to each other; crowded keys as pairs of blocks, each pair a key of its own."""
+    # Crowded keys are told by every rate-th fingerprint: one with over GROUP rows has 300 in it or so, far from half of that. Both ways are
+    # exact, whatever the estimate: a key is left as it is, or cut into two blocks or more, of which each two meet.
     rate = max(1, GROUP // 300)
     some = keyed.where(F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(rate)) == 0) if rate > 1 else keyed
     large = some.groupBy("key").agg((F.count("*") * rate).alias("n")).where(F.col("n") > (GROUP if rate == 1 else GROUP // 2))
     large = keep(large, f"{uri}/large")
     if not large.isEmpty():
         joined = keyed.join(large, "key", "left")
-        blocks = F.ceil(F.col("n") / GROUP).cast("int")
+        blocks = F.greatest(F.lit(2), F.ceil(F.col("n") / GROUP)).cast("int")
         own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
         others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != own)
         split = F.transform(others, lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
         keyed = joined.select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(split)).alias("key"), "fp")
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda batches: _join_groups(batches, budget), "u long, v long")
+    return keyed.repartition("key").sortWithinPartitions("key")
 
 
 def bit_samples(n: int) -> np.ndarray:
     """Masks of the samples of bits that name groups among n fingerprints."""
     width = min(40, max(4, n.bit_length() - 3))
-    count = int(np.ceil(2.5 / (1 - NEAR_BITS / 64) ** width))
+    count = int(np.ceil(3 / (1 - NEAR_BITS / 64) ** width))
     rng = np.random.default_rng(SEED)
     return np.array([sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(count)], np.uint64).view(np.int64)
 
 
-def wide_links(fps: DataFrame, uri: str) -> DataFrame:
-    """Distinct fingerprints (fp) to links (u, v) of those within WIDE_BUDGET bits that share a sample of bits."""
+def near_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row numbers) within WIDE_BUDGET bits of rows sorted by group and fp, and the rows of crowds.
+
+    Rows that links within the budget connect are a cluster. Its pairs are all compared, unless it is a crowd
+    of more than CLUSTER rows: then each row has only the nearest of the CLUSTER rows that follow it.
+    """
+    label = _labels(len(fp), *trie_join(group, fp, WIDE_BUDGET), np.arange(len(fp)))
+    order = np.argsort(label, kind="stable")
+    first = np.flatnonzero(np.r_[True, label[order[1:]] != label[order[:-1]]]) if len(order) else order
+    sizes = np.diff(np.r_[first, len(order)])
+    size, place = np.repeat(sizes, sizes), np.arange(len(order)) - np.repeat(first, sizes)
+    found, nearest, partner = [], np.full(len(order), WIDE_BUDGET + 1), np.zeros(len(order), np.int64)
+    for step in range(1, min(CLUSTER, int(sizes.max(initial=1)) - 1) + 1):
+        at = np.flatnonzero(place + step < size)
+        x, y = order[at], order[at + step]
+        bits = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)
+        small = size[at] <= CLUSTER
+        hit = small & (bits <= WIDE_BUDGET)
+        found.append((x[hit], y[hit]))
+        closer = ~small & (bits < nearest[at])
+        nearest[at[closer]], partner[at[closer]] = bits[closer], y[closer]
+    has = np.flatnonzero(nearest <= WIDE_BUDGET)
+    found.append((order[has], partner[has]))
+    return *(np.concatenate(z) for z in zip(*found, strict=True)), order[size > CLUSTER]
+
+
+def between(group: np.ndarray, fp: np.ndarray, component: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest row of each of the ``most`` nearest other components within WIDE_BUDGET bits in its group, as pairs (row, other)."""
+    n = len(fp)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.empty(0, np.int64)
+    ends = np.r_[first[1:], n]
+    roots = np.stack([first, ends, first, ends, np.zeros_like(first)]).astype(np.int32)[:, ends - first > 1]
+    changes = np.r_[0, np.cumsum(component[1:] != component[:-1])]
+    ones_before: dict[int, np.ndarray] = {}
+    full, out = np.zeros(n, bool), []
+    for allowed in sorted({min(x, WIDE_BUDGET) for x in (4, 8, 10, 12)} | {WIDE_BUDGET}):
+        # Rows that have enough partners within fewer bits are full; nodes that hold no other rows are dropped.
+        open_before = np.r_[0, np.cumsum(~full)]
+        stack, found, held = [(0, roots)], [], 0
+        while stack:
+            bit, pairs = stack.pop()
+            if pairs.shape[1] > PAIRS:
+                half = pairs.shape[1] // 2
+                stack += [(bit, pairs[:, :half]), (bit, pairs[:, half:])]
+                continue
+            if bit not in ones_before:
+                ones_before[bit] = np.r_[0, np.cumsum(fp >> np.uint64(63 - bit) & np.uint64(1))].astype(np.int32)
+            below = _children(pairs, ones_before[bit])
+            a, a_end, b, b_end, bits = below
+            one = (changes[a] == changes[a_end - 1]) & (changes[b] == changes[b_end - 1]) & (component[a] == component[b])
+            any_open = (open_before[a_end] > open_before[a]) | (open_before[b_end] > open_before[b])
+            below = below[:, (bits <= allowed) & any_open & ~one]
+            a, a_end, b, b_end, _ = below
+            leaf = (a_end - a == 1) & (b_end - b == 1)
+            x, y = a[leaf], b[leaf]
+            near = np.bitwise_count(fp[x] ^ fp[y]) <= allowed
+            x, y = np.r_[x[near], y[near]], np.r_[y[near], x[near]]
+            found.append((x[~full[x]], y[~full[x]]))
+            held += len(found[-1][0])
+            if held > 8 * PAIRS:
+                found = [_nearest(found, fp, component, most)]
+                held = 0
+            if (~leaf).any():
+                stack.append((bit + 1, below[:, ~leaf]))
+        x, y = _nearest(found, fp, component, most)
+        enough = np.bincount(x, minlength=n) >= most
+        last = enough[x] | (allowed == WIDE_BUDGET)
+        out.append((x[last], y[last]))
+        full |= enough
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def _nearest(found: list[tuple[np.ndarray, np.ndarray]], fp: np.ndarray, component: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    bits = np.bitwise_count(fp[x] ^ fp[y])
+    order = np.lexsort((y, bits, component[y], x))
+    x, y, bits = x[order], y[order], bits[order]
+    keep_first = np.r_[True, (x[1:] != x[:-1]) | (component[y[1:]] != component[y[:-1]])][: len(x)]
+    x, y, bits = x[keep_first], y[keep_first], bits[keep_first]
+    order = np.lexsort((y, bits, x))
+    x, y = x[order], y[order]
+    start = np.maximum.accumulate(np.where(np.r_[True, x[1:] != x[:-1]][: len(x)], np.arange(len(x)), 0)) if len(x) else x
+    return x[np.arange(len(x)) - start < most], y[np.arange(len(x)) - start < most]
+
+
+def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) to candidate pairs (u, v), and rows of crowds (key, u)."""
+    for k, f in _whole_groups(batches):
+        x, y, crowd = near_pairs(k, f.view(np.uint64))
+        columns = np.r_[np.zeros(len(x), np.int64), k[crowd]], np.r_[f[x], f[crowd]], np.r_[f[y], np.zeros(len(crowd), np.int64)]
+        pair = np.arange(len(x) + len(crowd)) < len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], mask=pair), pa.array(columns[1]), pa.array(columns[2], mask=~pair)], names=["key", "u", "v"])
+
+
+def _join_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, component) to candidate pairs (u, v) of different components."""
+    for k, f, c in _whole_groups(batches):
+        x, y = between(k, f.view(np.uint64), c, PARTNERS)
+        yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y])], names=["u", "v"])
+
+
+def wide_keys(fps: DataFrame, uri: str) -> DataFrame:
+    """Distinct fingerprints (fp) as rows (key, fp), once for each sample of bits."""
     masks = [F.lit(int(m)) for m in bit_samples(fps.count())]
     names = F.transform(F.array(*masks), lambda m: F.xxhash64(m, m.bitwiseAND(F.col("fp"))))
-    return _links(fps.select(F.explode(names).alias("key"), "fp"), uri, WIDE_BUDGET)
+    return _dealt(fps.select(F.explode(names).alias("key"), "fp"), uri)
 
 
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -211,6 +325,15 @@ def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)] if words else [0], np.uint32), return_counts=True)[0]
 
 
+def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = np.asarray(x.values), np.asarray(y.values)
+        both = int((np.unique(np.concatenate([x, y]), return_counts=True)[1] > 1).sum())
+        out.append(both / (len(x) + len(y) - both))
+    return pa.array(out, pa.float64())
+
+
 def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """Per distinct (doc_id, words) with an id: doc_id and component_id, by links of at least that similarity."""
 
@@ -223,12 +346,13 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
     # A node is one content; its number is that of the least document with it.
     nodes = keep(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "words")), f"{uri}/nodes")
     first = keep(nodes.groupBy("fp").agg(F.min_by("node", F.struct("least", "node")).alias("node")), f"{uri}/first")
-    linked = keep(wide_links(first.select("fp"), uri), f"{uri}/linked")
+    searched = keep(wide_keys(first.select("fp"), uri).mapInArrow(_join_wide, "key long, u long, v long"), f"{uri}/searched")
+    crowd = searched.where(F.col("key").isNotNull()).select("key", F.col("u").alias("fp"))
     end = lambda a, b: first.select(F.col("fp").alias(a), F.col("node").alias(b))
-    pairs = linked.join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
-    same = nodes.select("fp", F.col("node").alias("b")).join(end("fp", "a"), "fp").where("a <> b").select("a", "b")
-    pairs = keep(pairs.unionByName(same).distinct(), f"{uri}/pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    of_fps = lambda links: links.join(end("u", "a"), "u").join(end("v", "b"), "v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = nodes.select("fp", F.col("node").alias("b")).join(end("fp", "a"), "fp").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = keep(of_fps(searched.where(F.col("key").isNull())).unionByName(same).distinct(), f"{uri}/pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.join(end("fp", "node"), "fp").select("node")).distinct()
     asked = keep(nodes.join(ends, "node", "left_semi").select("node", "words", F.col("least").alias("doc_id")), f"{uri}/asked")
 
     def sets(ids: pa.Array, texts: pa.Array) -> pa.Array:
@@ -240,19 +364,28 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
 
     found = plain.join(small_side(asked), "doc_id").select("node", F.arrow_udf(sets, "array<int>").asNondeterministic()("words", "text").alias("s"))
     found = keep(found.where(F.col("s").isNotNull()).dropDuplicates(["node"]), f"{uri}/sets")
-    side = lambda a: found.select(F.col("node").alias(a), F.col("s").alias(f"s_{a}"))
 
-    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.asarray(x.values), np.asarray(y.values)
-            both = int((np.unique(np.concatenate([x, y]), return_counts=True)[1] > 1).sum())
-            out.append(both / (len(x) + len(y) - both))
-        return pa.array(out, pa.float64())
-
-    score = F.arrow_udf(jaccard, "double").asNondeterministic()("s_a", "s_b")
-    true = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("score", score).where(F.col("score") >= least)
+    def verified(asked: DataFrame, name: str) -> DataFrame:
+        side = lambda a: found.select(F.col("node").alias(a), F.col("s").alias(f"s_{a}"))
+        score = F.arrow_udf(_jaccard, "double").asNondeterministic()("s_a", "s_b")
+        return keep(asked.join(side("a"), "a").join(side("b"), "b").withColumn("score", score).where(F.col("score") >= least).select("a", "b"), f"{uri}/{name}")
+
+    true = verified(pairs, "true")
     reach = components(true.select(F.col("a").alias("u"), F.col("b").alias("v")), uri)
+    # Between the components of crowds, only verified links having merged them: until a round brings no new link.
+    tested, turn = pairs, 0
+    while not crowd.isEmpty():
+        turn += 1
+        labelled = crowd.join(end("fp", "node"), "fp").join(reach, "node", "left").select("key", "fp", F.coalesce("component", "node").alias("c"))
+        open_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        crowd = keep(crowd.join(open_keys, "key", "left_semi"), f"{uri}/crowd-{turn}")
+        labelled = labelled.join(open_keys, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+        more = keep(of_fps(labelled.mapInArrow(_join_between, "u long, v long")).distinct().join(tested, ["a", "b"], "left_anti"), f"{uri}/between-{turn}")
+        new = verified(more, f"true-{turn}")
+        if new.isEmpty():
+            break
+        tested, true = keep(tested.unionByName(more), f"{uri}/tested-{turn}"), keep(true.unionByName(new), f"{uri}/links-{turn}")
+        reach = components(true.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{uri}/{turn}")
     of = nodes.join(reach, "node", "left").select("fp", "words", "least", F.coalesce("component", "node").alias("c"))
     ids = of.groupBy("c").agg(F.min("least").alias("component_id"))
     return marked.join(of.join(ids, "c").select("fp", "words", "component_id"), ["fp", "words"]).select("doc_id", "component_id")
