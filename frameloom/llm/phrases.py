@@ -49,6 +49,8 @@ UNKNOWN = "und"
 SHARD, RANGE, BITS = 2_000_000, 3_000_000, 48
 #: What ends a piece.
 BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
+#: Shards whose phrases a task sums up, and phrases that it holds before it sends them.
+TOGETHER, HELD = 6, 400_000
 SALTS = 64
 
 
@@ -261,18 +263,45 @@ def _second_round(ranges: int):
 FOUND = "lang string, phrase string, n long"
 
 
-def _enumerate(key: tuple, group: pa.Table) -> pa.Table:
+def _left(group: pa.Table) -> Iterator[tuple[str, str, int]]:
+    """The phrases that are left of a shard, with their counts."""
     shard = Shard(f"{_file(group)}.runs")
     depth = _depth(shard.ids, DEPTH)
     three = _marked(shard, Automaton(shard.ids, np.minimum(depth, 3)), 3, group)
     depth = np.where(three, np.where(np.r_[False, three[:-1]], depth, np.minimum(depth, 3)), np.minimum(depth, 2))
-    words, langs, phrases, times = shard.words, [], [], []
+    words = shard.words
     for ids, n in Automaton(shard.ids, depth).substrings(2):
-        langs.append(shard.lang[ids[0]])
-        phrases.append(" ".join([words[i] for i in ids]))
-        times.append(n)
-    names = np.array([*shard.langs, ""], object)[np.array(langs, np.int64)]
-    return pa.table([pa.array(names, pa.string()), pa.array(phrases, pa.string()), pa.array(times, pa.int64())], names=["lang", "phrase", "n"])
+        yield shard.langs[shard.lang[ids[0]]], " ".join([words[i] for i in ids]), n
+
+
+def _enumerate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, block, file), a shard's next to each other, to its phrases; those of a task's shards are summed up first, HELD at a time."""
+    sums: dict[str, dict[str, int]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, found in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "n"])
+        sums.clear()
+
+    def add(group: list[pa.RecordBatch]) -> None:
+        for lang, phrase, n in _left(pa.Table.from_batches(group)):
+            own = sums.setdefault(lang, {})
+            own[phrase] = own.get(phrase, 0) + n
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
+        for a, z in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if held and held[-1].column(0)[0].as_py() != keys[a]:
+                add(held)
+                held = []
+                if sum(map(len, sums.values())) > HELD:
+                    yield from out()
+            held.append(batch.slice(a, z - a))
+    if held:
+        add(held)
+    yield from out()
 
 
 def _answer(targets: int, least: int):
@@ -316,7 +345,7 @@ def counted(docs: DataFrame, uri: str, text_col: str = "text", lang_col: str = "
         dealt = deal.deal(sent, ranges).repartition(ranges, "key")
         answers = keep(dealt.groupBy("key").applyInArrow(_answer(targets, least), deal.SCHEMA), f"{uri}/answers-{k}")
         rows = deal.deal(answers, targets).withColumn("file", F.lit(None).cast("string")).unionByName(named)
-    found = rows.repartition(number, "key").groupBy("key").applyInArrow(_enumerate, FOUND)
+    found = rows.repartition(-(-number // TOGETHER), "key").sortWithinPartitions("key").mapInArrow(_enumerate, FOUND)
     phrases = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return words, keep(phrases, f"{uri}/phrases")
 
@@ -363,7 +392,7 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The rows of op11_collocations in DuckDB SQL: every phrase counted, every longer candidate looked at.
 ORACLE_SQL = rf"""with texts as (select coalesce(lang, '{UNKNOWN}') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
-  pieces as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), x -> x <> '') as w from (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from texts)),
+  pieces as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') as w from (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from texts)),
   starts as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, (select unnest(range(1, {DEPTH + 1})) as k)),
   f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as n from starts group by 1, 2, 3),
   totals as (select lang, sum(n) as n from f where k = 1 group by 1),
