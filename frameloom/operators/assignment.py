@@ -1,20 +1,28 @@
-"""Order-dependent folds over the few beats of one document: clip assignment, bridges.
+"""Clips for the beats of videos: greedy and global packs over whole pools, windows of unused footage, bridges, audits.
 
-Each fold sees a list of bounded size; the helpers are plain functions on small lists, so tests can
-call them without Spark. What has no solution gets a status, never an error that ends the job.
+Pools are searched in Spark, whatever their size; folds see lists of bounded size, and their helpers are
+plain functions that tests call without Spark. What has no solution gets a status, never an error that ends the job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.operators.sequences import free_windows, least_overlap, phase_trim
+from frameloom.operators.vectors import _cut, cosine, dot, scores
+
+#: What a span may be longer than its clip, and the penalties of an assignment, and the gap of a displaced pick.
 TOLERANCE = 0.05
-STALE, NEIGHBOUR, TWIN, IMPOSSIBLE = 0.10, 0.05, 0.50, 1e6
-#: Clips of a group that a fold gets.
-POOL = 400
+STALE, NEIGHBOUR, TWIN, DISPLACED = 0.10, 0.05, 0.50, 0.15
+IMPOSSIBLE = 1e6
+#: Clips of a beat that a fold gets at first.
+FIRST = 64
 
 
 # ---- assignment -----------------------------------------------------------------------------------
@@ -49,92 +57,185 @@ def solve(cost: np.ndarray) -> list[int]:
     return out
 
 
-def assign(scores: np.ndarray, spans: list[float], durations: list[float], categories: list[str], twins: np.ndarray | None = None, stale: np.ndarray | None = None) -> list[int]:
-    """A clip for each beat: cheapest by score, with soft penalties for stale windows, like neighbours and twins, iterated to a fixed point."""
-    covers = np.array(durations)[None, :] + TOLERANCE >= np.array(spans)[:, None]
-    base = np.where(covers, -scores, IMPOSSIBLE)
-    if stale is not None:
-        base = base + STALE * stale
-    picks = solve(base)
-    for _ in range(6):
-        cost = base.copy()
-        for i in range(len(spans)):
-            for near in (i - 1, i + 1):
-                if 0 <= near < len(spans) and categories[picks[near]]:
-                    cost[i] += NEIGHBOUR * np.array([c == categories[picks[near]] for c in categories])
-            if twins is not None:
-                others = [p for k, p in enumerate(picks) if k != i]
-                cost[i] += TWIN * twins[:, others].any(axis=1)
-        after = solve(cost)
-        if after == picks:
-            break
-        picks = after
-    return _repair(picks, base, covers)
+def covering(score: np.ndarray, beats: pa.Table, clips: pa.Table) -> np.ndarray:
+    """Scores of a pair of blocks without the pairs whose clip is shorter than the beat."""
+    spans, durations = beats.column("span").to_numpy(), clips.column("duration_sec").to_numpy()
+    return np.where(durations[None, :] + TOLERANCE >= spans[:, None], score, np.nan)
 
 
-def _repair(picks: list[int], cost: np.ndarray, covers: np.ndarray) -> list[int]:
-    """Where a pick does not cover its beat, the cheapest unused clip that does; -1 if there is none."""
-    out = [p if covers[i, p] else -1 for i, p in enumerate(picks)]
-    for i in [i for i, p in enumerate(out) if p < 0]:
-        free = [c for c in np.flatnonzero(covers[i]).tolist() if c not in out]
-        out[i] = min(free, key=lambda c: (cost[i, c], c), default=-1)
-    return out
+def fresh_covering(score: np.ndarray, beats: pa.Table, clips: pa.Table) -> np.ndarray:
+    """Finite scores of covering pairs, less STALE where the clip has no free window as long as the beat: minus the cost of an assignment."""
+    spans, longest = beats.column("span").to_numpy(), clips.column("longest").to_numpy()
+    weighed = covering(score, beats, clips) - STALE * (longest[None, :] < spans[:, None])
+    return np.where(np.isfinite(weighed), weighed, np.nan)
+
+
+def with_windows(clips: DataFrame, ledger_windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """clips with ``longest``, their longest free window; and the free windows (vec_id, start, end) themselves. Clips may share an asset."""
+    sources = clips.select("vec_id", "asset_id", F.col("duration_sec").alias("source")).distinct()
+    shown = ledger_windows.join(sources, "asset_id").select("vec_id", "start", "end")
+    free = free_windows(shown, sources.drop("asset_id"), 0.0, "vec_id")
+    longest = free.groupBy("vec_id").agg(F.max(F.col("end") - F.col("start")).alias("longest"))
+    return clips.join(longest, "vec_id", "left").withColumn("longest", F.coalesce("longest", F.lit(0.0))), free
+
+
+def resolve(picks: DataFrame, free: DataFrame, ledger_windows: DataFrame) -> DataFrame:
+    """picks (video, beat, vec_id, asset_id, duration_sec, span, phase) with trim_start and exhausted: in the first free window that is long enough,
+    placed by the motion phase; where there is none, where it overlaps least with what was shown, the earliest such place."""
+    fits = picks.join(free, "vec_id").where(F.col("end") - F.col("start") >= F.col("span"))
+    first = fits.groupBy("video", "beat").agg(F.min(F.struct("start", "end")).alias("w"))
+    placed = picks.join(first, ["video", "beat"], "left")
+    trim = phase_trim(F.lower(F.coalesce("phase", F.lit(""))), F.col("w.start"), F.col("w.end"), F.col("span"))
+    rest = placed.where(F.col("w").isNull() & F.col("asset_id").isNotNull()).select("video", "beat", "asset_id", F.col("duration_sec").alias("source"), "span")
+    least = least_overlap(rest, ledger_windows, ["video", "beat"]).select("video", "beat", F.col("trim").alias("least"))
+    out = placed.join(least, ["video", "beat"], "left")
+    return out.select(*picks.columns, F.round(F.coalesce(trim, "least"), 3).alias("trim_start"), (F.col("w").isNull() & F.col("asset_id").isNotNull()).alias("exhausted"))
+
+
+# ---- greedy: first fit by a ladder of rules ---------------------------------------------------------
+
+
+def greedy_pack(beats: DataFrame, clips: DataFrame, ledger_windows: DataFrame, threshold: float | None = None) -> DataFrame:
+    """A clip for each beat, beat after beat, over whole pools: (video, beat, vec_id, span, score, trim_start, exhausted, ..., status).
 
+    beats: video, place, beat (0, 1, ..), q, span. clips: place, vec_id, asset_id, v, u (a unit vector of looks, or null), duration_sec,
+    category, phase. A clip is used once a video and must cover the span. Among those, the ladder takes the best-ranked clip that has a
+    free window, is no near-duplicate of an earlier pick (if there is a threshold) and of another category than the pick before; if there is
+    none, of the same category; then near-duplicates of another category, then any with a free window; last the best-ranked at all, which is
+    marked exhausted. That is one minimum by (rung, score, id): each beat is one aggregate over the pools, and no pool is cut. A pool is
+    read once a beat; only the picks are written. A beat that no clip covers is uncovered, and the video goes on.
+    """
+    pool, free = with_windows(clips, ledger_windows)
+    pool = _cut(pool.withColumn("category", F.coalesce("category", F.lit(""))))
+    videos = beats.select("video").distinct()
+    empty = {"chosen": "array<bigint>", "units": "array<array<double>>"}
+    state = _cut(videos.select("video", *(F.expr(f"cast(array() as {kind})").alias(c) for c, kind in empty.items()), F.lit("").alias("before")))
+    last = beats.agg(F.max("beat")).first()[0]
+    picks = []
+    for beat in range(-1 if last is None else int(last) + 1):
+        asked = state.join(beats.where(F.col("beat") == beat), "video").select("video", "place", "q", "span", *empty, "before")
+        fits = pool.join(asked, "place").where((F.col("duration_sec") + TOLERANCE >= F.col("span")) & ~F.array_contains("chosen", F.col("vec_id")))
+        near = F.coalesce(F.exists("units", lambda c: dot(c, F.col("u")) >= threshold), F.lit(False)) if threshold is not None else F.lit(False)
+        alike = (F.col("before") != "") & (F.col("category") == F.col("before"))
+        rung = F.when(F.col("longest") < F.col("span"), 4).otherwise(F.when(near, 2).otherwise(0) + F.when(alike, 1).otherwise(0))
+        found = fits.withColumn("score", cosine(F.col("q"), F.col("v"))).withColumn("rung", rung)
+        row = F.struct("vec_id", "asset_id", "duration_sec", "category", "phase", "u", "score", "rung")
+        best = found.groupBy("video").agg(F.min_by(row, F.struct("rung", -F.round("score", 12), "vec_id")).alias("p"))
+        made = asked.select("video", "span").join(best, "video", "left").select("video", F.lit(beat).cast("long").alias("beat"), "span", "p.*")
+        picks.append(_cut(made))
+        mine = picks[-1].where(F.col("vec_id").isNotNull()).select("video", "vec_id", "u", "category")
+        grown = state.join(mine, "video", "left")
+        unit = F.when(F.col("u").isNotNull(), F.array("u")).otherwise(F.expr("cast(array() as array<array<double>>)"))
+        state = _cut(grown.select(
+            "video",
+            F.when(F.col("vec_id").isNotNull(), F.concat("chosen", F.array("vec_id"))).otherwise(F.col("chosen")).alias("chosen"),
+            F.concat("units", unit).alias("units"),
+            F.when(F.coalesce("category", F.lit("")) != "", F.col("category")).otherwise(F.col("before")).alias("before"),
+        ))
+    if not picks:
+        return pool.sparkSession.createDataFrame([], "video long, beat long, vec_id long, span double, score double, trim_start double, exhausted boolean, same_category boolean, near_duplicate boolean, status string")
+    every = picks[0]
+    for more in picks[1:]:
+        every = every.unionByName(more)
+    out = resolve(every.drop("u"), free, ledger_windows)
+    return out.select(
+        "video", "beat", "vec_id", "span", F.when(F.col("score") > float("-inf"), F.round("score", 4)).alias("score"), "trim_start", "exhausted",
+        F.coalesce(F.col("rung").isin(1, 3), F.lit(False)).alias("same_category"), F.coalesce(F.col("rung").isin(2, 3), F.lit(False)).alias("near_duplicate"),
+        F.when(F.col("vec_id").isNull(), "uncovered").otherwise("ok").alias("status"),
+    )
+
+
+# ---- all beats of a video at once -------------------------------------------------------------------
+
+
+class Unseen(Exception):
+    """A cheapest assignment might need a clip that was not among those given."""
+
+
+def assign(costs: list[dict[int, float]], whole: list[bool], categories: dict[int, str], near: Callable[[int, int], bool] | None, rounds: int = 6) -> list[int | None]:
+    """A clip for each beat, cheapest in sum: costs has for each beat its cheapest clips, all of them where ``whole`` says so.
 
-def greedy_pack(ranking: list[list[int]], spans: list[float], durations: list[float], categories: list[str], twins: np.ndarray | None = None) -> list[int]:
-    """A clip for each beat in order, by the first pass that finds one: diverse and unlike the neighbour, then less strict."""
-    picks: list[int] = []
-    before = ""
-    passes = [(True, True), (True, False), (False, True), (False, False)] if twins is not None else [(False, True), (False, False)]
-    for order, span in zip(ranking, spans, strict=True):
-        found = None
-        for diverse, unlike in passes:
-            for c in order:
-                if c in picks or durations[c] + TOLERANCE < span:
-                    continue
-                if unlike and before and categories[c] == before:
-                    continue
-                if diverse and any(twins[c, p] for p in picks if p >= 0):
-                    continue
-                found = c
-                break
-            if found is not None:
-                break
-        picks.append(-1 if found is None else found)
-        before = before if found is None else categories[found] or before
+    Clips like a neighbour's pick in category, or like any other pick in looks, cost more; with the picks of one round the next is solved,
+    until they stay. Of n beats a cheapest assignment needs for each beat only its n cheapest clips, as the others hold n - 1 at most. With
+    penalties on top, those are known as long as the n-th costs no more than the dearest clip given, which bounds all that were not given;
+    if one is not, Unseen is raised and more clips are to be given. None: no clip covers the beat, or all that do are taken.
+    """
+    n = len(costs)
+    picks: list[int | None] = [None] * n
+    for turn in range(rounds + 1):
+        now = []
+        for i, own in enumerate(costs):
+            around = {categories[picks[k]] for k in (i - 1, i + 1) if turn and 0 <= k < n and picks[k] is not None} - {""}
+            others = [p for k, p in enumerate(picks) if k != i and p is not None] if near is not None and turn else []
+            priced = {c: x + NEIGHBOUR * (categories[c] in around) + TWIN * any(near(c, p) for p in others) for c, x in own.items()}
+            cheapest = sorted(priced.items(), key=lambda x: (x[1], x[0]))[:n]
+            if not whole[i] and (len(cheapest) < n or cheapest[-1][1] > max(own.values())):
+                raise Unseen
+            now.append(dict(cheapest))
+        clips = sorted({c for own in now for c in own})
+        cost = np.full((n, len(clips) + n), IMPOSSIBLE)
+        for i, own in enumerate(now):
+            for c, x in own.items():
+                cost[i, np.searchsorted(clips, c)] = x
+        after = [clips[j] if j < len(clips) and cost[i, j] < IMPOSSIBLE else None for i, j in enumerate(solve(cost))] if n else []
+        if after == picks:
+            break
+        picks = after
     return picks
 
 
-def assign_groups(pool: DataFrame, n_beats: int, greedy: bool = False) -> DataFrame:
-    """Per group the clips of n_beats beats, with status ok or uncovered: pool has group, vec_id, v, duration_sec, category, stale.
+def global_pack(beats: DataFrame, clips: DataFrame, ledger_windows: DataFrame, threshold: float | None = None, first: int = FIRST) -> DataFrame:
+    """The clips of all beats of a video at once, cheapest in sum, over whole pools: (video, beat, vec_id, span, score, trim_start, exhausted, displaced, best, status).
 
-    Beats are the first rows, their spans the durations that those clips have, at most 4 seconds. The fold
-    gets the POOL rows of a group with the smallest ids.
+    Inputs as for greedy_pack. The cost of a clip is minus its score, and STALE more without a free window for the span. A fold gets the
+    ``first`` cheapest clips of each beat (and all that tie), found in blocks of the pool; where that is not enough to be sure of the result
+    (see assign), the video is folded again with four times as many, and so on. Displaced picks score DISPLACED or more below the best
+    covering clip. Clips that can't be scored are never assigned.
     """
-    place = F.row_number().over(Window.partitionBy("group").orderBy("vec_id"))
-    pool = pool.withColumn("place", place).where(F.col("place") <= POOL).drop("place")
+    pool, free = with_windows(clips, ledger_windows)
+    pool = _cut(pool.withColumn("category", F.coalesce("category", F.lit(""))))
+    # A beat's id in the searches: videos have less than 2^20 beats.
+    asked = _cut(beats.select("place", (F.col("video") * (1 << 20) + F.col("beat")).alias("query_id"), "q", "span", "video", "beat"))
+    assets = pool.select("place", "vec_id", "v", "duration_sec", "longest")
+    best = scores(asked.select("place", "query_id", "q", "span"), assets, weigh=covering, maximum="query_id", on="place").where(F.col("score") > float("-inf")).groupBy("query_id").agg(F.max("score").alias("best"))
+    sizes = asked.groupBy("video").agg(F.count("*").alias("n_beats"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id").reset_index(drop=True)
-        v = np.array(rows["v"].tolist(), np.float64)
-        unit = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
-        n = min(n_beats, len(rows) // 2)
-        scores = unit[:n] @ unit.T
-        scores[np.arange(n), np.arange(n)] = 0.0
-        durations, categories = rows["duration_sec"].tolist(), rows["category"].tolist()
-        spans = [min(4.0, x) for x in durations[:n]]
-        stale = np.tile(rows["stale"].to_numpy(np.float64), (n, 1))
-        twins = unit @ unit.T >= 0.3
-        np.fill_diagonal(twins, False)
-        if greedy:
-            ranking = [sorted(range(len(rows)), key=lambda c, i=i: (-scores[i, c], c)) for i in range(n)]
-            picks = greedy_pack(ranking, spans, durations, categories, twins)
-        else:
-            picks = assign(scores, spans, durations, categories, twins, stale)
-        taken = [(rows["vec_id"][p], rows["duration_sec"][p], "ok") if p >= 0 else (None, None, "uncovered") for p in picks]
-        return pd.DataFrame({"group": rows["group"].iloc[0], "beat": np.arange(n), "vec_id": [x[0] for x in taken], "span": spans, "duration_sec": [x[1] for x in taken], "status": [x[2] for x in taken]})
-
-    return pool.groupBy("group").applyInPandas(fold, "group int, beat long, vec_id long, span double, duration_sec double, status string")
+        own, names = rows.sort_values(["beat", "place_in"]), rows.drop_duplicates("vec_id").set_index("vec_id")
+        order = sorted(rows["beat"].unique().tolist())
+        lists = {beat: part for beat, part in own.groupby("beat")}
+        costs = [dict(zip(lists[b]["vec_id"].dropna().astype(int).tolist(), (-lists[b]["weighed"].dropna()).tolist(), strict=True)) for b in order]
+        categories = names["category"].fillna("").to_dict()
+        units = {int(i): np.array(u) for i, u in names["u"].items() if not pd.isna(i) and u is not None}
+        near = (lambda a, b: a in units and b in units and float(units[a] @ units[b]) >= threshold) if threshold is not None else None
+        given = int(rows["given"].iloc[0])
+        try:
+            picks, status = assign(costs, [len(c) < given for c in costs], categories, near), "ok"
+        except Unseen:
+            picks, status = [None] * len(order), "more"
+        return pd.DataFrame({"video": rows["video"].iloc[0], "beat": order, "vec_id": pd.array(picks, "Int64"), "status": ["uncovered" if status == "ok" and p is None else status for p in picks]})
+
+    done, todo, given = [], sizes, first
+    while not todo.isEmpty():
+        open_beats = asked.join(todo.select("video"), "video", "left_semi")
+        found = scores(open_beats.select("place", "query_id", "q", "span"), assets, k=given, weigh=fresh_covering, on="place")
+        place_in = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id"))
+        few = found.withColumn("place_in", place_in).where(F.col("place_in") <= given).select("query_id", "vec_id", F.col("score").alias("weighed"), "place_in")
+        told = open_beats.select("query_id", "video", "beat", "place").join(few, "query_id", "left").join(pool.select("place", "vec_id", "category", "u"), ["place", "vec_id"], "left")
+        told = told.withColumn("given", F.lit(given)).select("video", "beat", "vec_id", "weighed", "place_in", "category", "u", "given")
+        folded = _cut(told.groupBy("video").applyInPandas(fold, "video long, beat long, vec_id long, status string"))
+        done.append(folded.where("status <> 'more'"))
+        todo, given = folded.where("status = 'more'").select("video").distinct(), 4 * given
+    every = done[0] if done else pool.sparkSession.createDataFrame([], "video long, beat long, vec_id long, status string")
+    for more in done[1:]:
+        every = every.unionByName(more)
+    named = asked.join(every, ["video", "beat"]).join(pool.select("place", "vec_id", "asset_id", "v", "duration_sec", "phase"), ["place", "vec_id"], "left").join(best, "query_id", "left")
+    scored = named.withColumn("score", F.when(F.col("vec_id").isNotNull(), cosine(F.col("q"), F.col("v")))).drop("q", "v", "place", "query_id")
+    out = resolve(scored, free, ledger_windows)
+    return out.select("video", "beat", "vec_id", "span", F.round("score", 4).alias("score"), "trim_start", "exhausted", F.coalesce(F.col("best") - F.col("score") >= DISPLACED, F.lit(False)).alias("displaced"), F.round("best", 4).alias("best"), "status")
+
+
+# ---- bridges and audits -----------------------------------------------------------------------------
 
 
 def bridge_fill(entries: DataFrame, clips: list[tuple[str, float]]) -> DataFrame:

@@ -28,23 +28,32 @@ def merge_windows(windows: DataFrame, key: str = "asset_id") -> DataFrame:
     return windows.withColumn("new", new).withColumn("island", island).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def free_windows(merged: DataFrame, source: float, least: float, key: str = "asset_id") -> DataFrame:
-    """Gaps of at least ``least`` seconds between merged windows, from 0 to the source's end."""
-    clamped = merged.select(key, F.greatest("start", F.lit(0.0)).alias("start"), F.least("end", F.lit(source)).alias("end")).where(F.col("end") > F.col("start"))
-    order = Window.partitionBy(key).orderBy("start")
-    gaps = clamped.select(key, F.coalesce(F.lag("end").over(order), F.lit(0.0)).alias("from"), F.col("start").alias("to"))
-    tails = clamped.groupBy(key).agg(F.max("end").alias("from")).select(key, "from", F.lit(source).alias("to"))
-    return gaps.unionByName(tails).where(F.col("to") - F.col("from") >= least).select(key, F.col("from").alias("start"), F.col("to").alias("end"))
-
-
-def least_overlap(merged: DataFrame, source: float, span: float, key: str = "asset_id") -> DataFrame:
-    """Per key the trim with the least overlap with its windows; candidates are 0 and the places just beside a window."""
-    top = max(0.0, source - span)
-    clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(top))
-    tries = merged.select(key, F.explode(F.array(F.lit(0.0), clamp(F.col("end")), clamp(F.col("start") - span))).alias("t")).distinct()
-    overlap = F.greatest(F.least(F.col("t") + span, F.col("end")) - F.greatest("t", F.col("start")), F.lit(0.0))
-    scored = tries.join(merged, key).groupBy(key, "t").agg(F.sum(overlap).alias("overlap"))
-    return scored.groupBy(key).agg(F.min(F.struct("overlap", "t")).alias("best")).select(key, F.col("best.t").alias("trim"), F.col("best.overlap").alias("overlap"))
+def free_windows(windows: DataFrame, sources: DataFrame, least: float, key: str = "asset_id") -> DataFrame:
+    """Gaps (key, start, end) of at least ``least`` seconds, and of some length, that windows leave of each source (key, source), from 0 to its end.
+
+    A source without windows is free as a whole; what windows have beyond a source is cut off first. Windows may overlap.
+    """
+    known = sources.where(F.col("source") > 0)
+    clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.col("source"))
+    cut = windows.select(key, "start", "end").join(known, key).select(key, clamp(F.col("start")).alias("start"), clamp(F.col("end")).alias("end"))
+    # The end of a source is a window without length: the gap before it is the last.
+    edges = cut.unionByName(known.select(key, F.col("source").alias("start"), F.col("source").alias("end")))
+    reach = F.max("end").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = edges.select(key, F.coalesce(reach, F.lit(0.0)).alias("from"), F.col("start").alias("to"))
+    long_enough = (F.col("to") - F.col("from") >= least) & (F.col("to") > F.col("from"))
+    return gaps.where(long_enough).select(key, F.col("from").alias("start"), F.col("to").alias("end")).distinct()
+
+
+def least_overlap(asked: DataFrame, merged: DataFrame, by: list[str], key: str = "asset_id") -> DataFrame:
+    """Rows (by, key, source, span) with the trim of least overlap with the key's windows, the earliest such; candidates are 0 and the places
+    just beside a window, within the source. A source without windows is taken from 0."""
+    top = F.greatest(F.lit(0.0), F.col("source") - F.col("span"))
+    clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), top)
+    beside = asked.join(merged, key).select(*by, key, "source", "span", F.explode(F.array(clamp(F.col("end")), clamp(F.col("start") - F.col("span")))).alias("t"))
+    tries = beside.unionByName(asked.select(*by, key, "source", "span", F.lit(0.0).alias("t"))).distinct()
+    overlap = F.greatest(F.least(F.col("t") + F.col("span"), F.col("end")) - F.greatest("t", F.col("start")), F.lit(0.0))
+    scored = tries.join(merged, key, "left").groupBy(*by, "t").agg(F.sum(F.coalesce(overlap, F.lit(0.0))).alias("overlap"))
+    return scored.groupBy(*by).agg(F.min(F.struct("overlap", "t")).alias("best")).select(*by, F.col("best.t").alias("trim"), F.col("best.overlap").alias("overlap"))
 
 
 def phase_trim(phase: Column, start: Column, end: Column, span: Column) -> Column:

@@ -6,6 +6,7 @@ Sums over components run in array order, so a score does not depend on where a r
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Asset rows and query rows of a block.
 ROWS, QUERIES = 4096, 512
+#: Pivots of a metric index at most, parts that a block's visitors are spread over, and what bounds leave to rounding.
+PIVOTS, PARTS, SLACK = 256, 4, 1e-9
+#: Pairs of near rows that are few enough for a fold.
+FOLD = 500_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,41 +56,55 @@ def _norms(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
 
 
-def scores(queries: DataFrame, assets: DataFrame, k: int | None = None, least: float | None = None, on: str | None = None) -> DataFrame:
+def _blocks(queries: DataFrame, assets: DataFrame, on: str | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt out in blocks of about ROWS assets and QUERIES queries of one length and key: (assets, queries, their common columns)."""
+    keys = [F.size("q").alias("n"), F.col(on).alias("key") if on else F.lit(0).alias("key")]
+    asked = queries.where(F.size("q") > 0).select(*keys, *(c for c in queries.columns if c != on))
+    rows = assets.where(F.size("v") > 0).select(F.size("v").alias("n"), keys[1], *(c for c in assets.columns if c != on))
+    sizes = asked.groupBy("n", "key").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
+    sizes = sizes.join(rows.groupBy("n", "key").agg(F.ceil(F.count("*") / ROWS).alias("blocks")), ["n", "key"])
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = rows.join(sizes, ["n", "key"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks")).withColumn("part", every("parts"))
+    right = asked.join(sizes, ["n", "key"]).withColumn("part", F.pmod(F.xxhash64("query_id"), "parts")).withColumn("block", every("blocks"))
+    return left.drop("parts", "blocks"), right.drop("parts", "blocks"), ["n", "key", "block", "part"]
+
+
+def scores(queries: DataFrame, assets: DataFrame, k: int | None = None, least: float | None = None, on: str | None = None, weigh: Callable | None = None, maximum: str | None = None) -> DataFrame:
     """Cosine of every query (query_id, q) with every asset (vec_id, v) of the same length, and of the same ``on``.
 
     Both sides are dealt out in blocks of at most about ROWS and QUERIES rows, a task a pair of blocks; a task gives the k best of each
-    query, or the scores from ``least`` on, or all. A zero vector scores minus infinity. Ties are for the caller to break.
+    query, or the scores from ``least`` on, or all. With ``maximum`` (query_id or vec_id) it gives only the largest score of each of its
+    queries or assets (the other id is null), so what leaves it grows with rows, not with pairs. ``weigh(scores, queries, assets)`` may change
+    the scores of a pair of blocks by their other columns; NaN leaves a pair out. A zero vector scores minus infinity. Ties are for the caller.
     """
-    keys = [F.size("q").alias("n"), *([F.col(on).alias("key")] if on else [F.lit(0).alias("key")])]
-    asked = queries.where(F.size("q") > 0).select(*keys, "query_id", "q")
-    rows = assets.where(F.size("v") > 0).select(F.size("v").alias("n"), keys[1], "vec_id", "v")
-    sizes = asked.groupBy("n", "key").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
-    sizes = sizes.join(rows.groupBy("n", "key").agg(F.ceil(F.count("*") / ROWS).alias("blocks")), ["n", "key"])
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = rows.join(sizes, ["n", "key"]).select("n", "key", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), every("parts").alias("part"), "vec_id", "v")
-    right = asked.join(sizes, ["n", "key"]).select("n", "key", every("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), "parts").alias("part"), "query_id", "q")
+    left, right, by = _blocks(queries, assets, on)
 
     def run(key: tuple, block: pa.Table, some: pa.Table) -> pa.Table:
         q_ids, ids, found = some.column("query_id").to_numpy(), block.column("vec_id").to_numpy(), []
         if len(q_ids) and len(ids):
-            order = np.argsort(ids, kind="stable")
-            ids, v, q = ids[order], _matrix(block.column("v"))[order], _matrix(some.column("q"))
+            block = block.take(np.argsort(ids, kind="stable"))
+            ids, v, q = block.column("vec_id").to_numpy(), _matrix(block.column("v")), _matrix(some.column("q"))
             size = _norms(q)[:, None] * _norms(v)[None, :]
             score = np.where(size > 0, np.einsum("ik,jk->ij", q, v) / np.where(size > 0, size, 1.0), -np.inf)
-            for i, row in enumerate(score):
-                at = np.arange(len(ids))
+            if weigh is not None:
+                score = weigh(score, some, block)
+            if maximum is not None:
+                best = np.fmax.reduce(score, axis=1 if maximum == "query_id" else 0)
+                at = np.flatnonzero(~np.isnan(best))
+                found = [(q_ids[at], np.zeros(len(at)), best[at]) if maximum == "query_id" else (np.zeros(len(at)), ids[at], best[at])]
+            for i, row in enumerate(score if maximum is None else ()):
+                at = np.flatnonzero(~np.isnan(row))
                 if k is not None and len(at) > k:  # all that tie with the k-th stay
-                    at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-12)
+                    at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k] - 1e-12]
                 if least is not None:
                     at = at[row[at] >= least]
                 found.append((np.full(len(at), q_ids[i]), ids[at], row[at]))
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0)] * 3
-        columns = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())]
+        none = lambda name: np.full(len(columns[0]), maximum is not None and maximum != name)
+        columns = [pa.array(columns[0].astype(np.int64), mask=none("query_id")), pa.array(columns[1].astype(np.int64), mask=none("vec_id")), pa.array(columns[2], pa.float64())]
         return pa.table([*columns, pa.array([key[1].as_py()] * len(columns[0]), block.schema.field("key").type)], names=["query_id", "vec_id", "score", "key"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    by = ["n", "key", "block", "part"]
+    kind = left.schema["key"].dataType.simpleString()
     out = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"query_id long, vec_id long, score double, key {kind}")
     return out.withColumnRenamed("key", on) if on else out.drop("key")
 
@@ -116,10 +135,75 @@ def whiten(rows: DataFrame, group: str, keep_zero: bool = True) -> DataFrame:
     return (out if keep_zero else out.where(F.col("n") > 0)).drop("n")
 
 
-def near_dup_pairs(rows: DataFrame, group: str, least: float) -> DataFrame:
-    """Pairs a < b of a group with a cosine of at least ``least``, block by block: exact, and no group is one task."""
-    found = scores(rows.select(group, F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows.select(group, "vec_id", "v"), least=least, on=group)
-    return found.where(F.col("query_id") < F.col("vec_id")).select(group, F.col("query_id").alias("a"), F.col("vec_id").alias("b"), "score")
+def pivots_of(rows: DataFrame, most: int) -> np.ndarray:
+    """At most so many of the rows' unit vectors, one for about ROWS rows, by the hash of their ids; bounded, so they go to every task."""
+    n = min(most, max(1, rows.count() // ROWS))
+    some = rows.where(F.size("v") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("v").collect()
+    lengths = [len(r["v"]) for r in some]
+    return np.array([r["v"] for r in some if len(r["v"]) == max(lengths)], np.float64) if some else np.empty((0, 0))
+
+
+def metric_cells(rows: DataFrame, group: str, pivots: np.ndarray, reach: float) -> DataFrame:
+    """Rows (group, cell, home, far, vec_id, u): each unit vector in the cell of its nearest pivot, its home, and as a visitor in those later
+    cells where a row of that home can lie within ``reach``: not farther from the pivot than its own by more than twice the reach."""
+    pivots = _unit(pivots)
+    kind = rows.schema[group].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            v = [x for x in batch.column("v").to_pylist()]
+            usable = [i for i, x in enumerate(v) if x and len(x) == pivots.shape[1] and any(x)]
+            if not usable:
+                continue
+            u = _unit(np.array([v[i] for i in usable], np.float64))
+            far = np.sqrt(np.maximum(2 - 2 * np.einsum("ik,jk->ij", u, pivots), 0))
+            home = far.argmin(axis=1)
+            own = far[np.arange(len(u)), home]
+            visits = (far <= own[:, None] + 2 * reach + SLACK) & (np.arange(len(pivots))[None, :] > home[:, None])
+            visits[np.arange(len(u)), home] = True
+            row, cell = np.nonzero(visits)
+            at = pa.array(np.array(usable)[row])
+            yield pa.RecordBatch.from_arrays([batch.column(group).take(at), pa.array(cell), pa.array(cell == home[row]), pa.array(far[row, cell]), batch.column("vec_id").take(at), pa.array(list(u[row]), pa.list_(pa.float64()))], names=[group, "cell", "home", "far", "vec_id", "u"])
+
+    return rows.select(group, F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"{group} {kind}, cell long, home boolean, far double, vec_id long, u array<double>")
+
+
+def near_dup_pairs(rows: DataFrame, group: str, least: float, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs a < b of a group with a cosine of at least ``least``: exact, each pair computed once, none of two cells too far apart.
+
+    Unit vectors lie within sqrt(2 - 2 least) of each other. A row meets the rows of its own cell, and those of the later cells that
+    the triangle inequality leaves: by its distances to the pivots, and by the farthest home row of the cell. Cells are cut into
+    blocks of about ROWS rows, a task a pair of blocks, so no cell is one task. Zero vectors and those of another length pair with none.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    placed = metric_cells(rows, group, pivots_of(rows, pivots), reach)
+    sizes = placed.where("home").groupBy(group, "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / ROWS).alias("blocks"))
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
+    reached = placed.join(sizes, [group, "cell"]).where(F.col("home") | (F.col("far") <= F.col("radius") + reach + SLACK)).withColumn("own", F.when(F.col("home"), block).otherwise(-1))
+    # A home row is compared with its block and later ones, a visitor with every block.
+    asked = reached.withColumn("block", F.explode(F.sequence(F.greatest("own", F.lit(0)), F.col("blocks") - 1)))
+    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(PARTS))
+    left = reached.where("home").withColumn("block", F.col("own")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    by = [group, "cell", "block", "part"]
+    left = left.select(*by, "vec_id", "u")
+    right = asked.withColumn("part", part).select(*by, "own", "vec_id", "u")
+    kind = rows.schema[group].dataType.simpleString()
+
+    def run(key: tuple, homes: pa.Table, others: pa.Table) -> pa.Table:
+        found = []
+        x, own = others.column("vec_id").to_numpy(), others.column("own").to_numpy()
+        y = homes.column("vec_id").to_numpy()
+        if len(x) and len(y):
+            u = _matrix(homes.column("u"))
+            for at in range(0, len(x), QUERIES):
+                score = np.einsum("ik,jk->ij", _matrix(others.column("u").slice(at, QUERIES)), u)
+                same = own[at : at + QUERIES, None] == key[2].as_py()
+                i, j = np.nonzero((score >= least) & (~same | (x[at : at + QUERIES, None] < y[None, :])))
+                found.append((np.minimum(x[at + i], y[j]), np.maximum(x[at + i], y[j]), score[i, j]))
+        a, b, score = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table([pa.array([key[0].as_py()] * len(a), homes.schema.field(group).type), pa.array(a), pa.array(b), pa.array(score)], names=[group, "a", "b", "score"])
+
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"{group} {kind}, a long, b long, score double")
 
 
 def leader_clusters(rows: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
@@ -130,7 +214,7 @@ def leader_clusters(rows: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
 
 def max_cosine_to(rows: DataFrame, chosen: DataFrame, group: str) -> DataFrame:
     """Each row's largest cosine to the chosen rows of its group; 0 without any."""
-    found = scores(chosen.select(group, F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows.select(group, "vec_id", "v"), on=group)
+    found = scores(chosen.select(group, F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows.select(group, "vec_id", "v"), on=group, maximum="vec_id")
     best = found.groupBy(group, "vec_id").agg(F.max("score").alias("best"))
     return rows.join(best, [group, "vec_id"], "left").select(group, "vec_id", F.coalesce("best", F.lit(0.0)).alias("max_cosine"))
 
@@ -221,18 +305,32 @@ def diverse_selection(rows: DataFrame, group: str, window: int, k: int) -> DataF
     return rows.select(group, "vec_id", "v", "relevance").groupBy(group).applyInPandas(fold, f"{group} {kind}, pick long, vec_id long")
 
 
-def kept_redundancy(rows: DataFrame, group: str, least: float, most: int = 200) -> DataFrame:
+def kept_redundancy(rows: DataFrame, group: str, least: float) -> DataFrame:
     """Per group how many rows are near an earlier kept row, and how many are kept.
 
     Rows without an undecided or kept earlier neighbour are kept, their later neighbours go, and so on in rounds over the near pairs.
+    A long chain of rows would take a round a row: when at most FOLD pairs are left undecided, a fold per group ends it.
     """
     pairs = _cut(near_dup_pairs(rows, group, least))
     state = _cut(rows.select(group, "vec_id", F.lit(None).cast("boolean").alias("kept")))
-    for _ in range(most):
-        earlier = pairs.join(state.select(group, F.col("vec_id").alias("a"), F.col("kept").alias("of_a")), [group, "a"])
-        seen = earlier.groupBy(group, F.col("b").alias("vec_id")).agg(F.bool_or(F.coalesce("of_a", F.lit(False))).alias("near_kept"), F.bool_or(F.col("of_a").isNull()).alias("open"))
+    while True:
+        # Pairs of a row that is gone, and of a decided later row, decide nothing more.
+        of = lambda a: state.select(group, F.col("vec_id").alias(a), F.col("kept").alias(f"kept_{a}"))
+        pairs = _cut(pairs.select(group, "a", "b").join(of("a"), [group, "a"]).join(of("b"), [group, "b"]).where("kept_b is null and coalesce(kept_a, true)"))
+        if pairs.count() <= FOLD:
+            break
+        seen = pairs.groupBy(group, F.col("b").alias("vec_id")).agg(F.bool_or(F.coalesce("kept_a", F.lit(False))).alias("near_kept"), F.bool_or(F.col("kept_a").isNull()).alias("open"))
         verdict = F.when(F.col("near_kept"), False).when(~F.coalesce("open", F.lit(False)), True)
         state = _cut(state.join(seen, [group, "vec_id"], "left").select(group, "vec_id", F.coalesce("kept", verdict).alias("kept")))
-        if state.where(F.col("kept").isNull()).isEmpty():
-            return state.groupBy(group).agg(F.count_if(~F.col("kept")).alias("redundant"), F.count_if("kept").alias("kept"))
-    raise RuntimeError(f"rows are undecided after {most} rounds")
+
+    def fold(left: pd.DataFrame) -> pd.DataFrame:
+        gone: set[int] = set()
+        for a, b in left.sort_values(["b", "a"])[["a", "b"]].itertuples(index=False):  # all of a's own pairs come before
+            if a not in gone:
+                gone.add(b)
+        return pd.DataFrame({group: left[group].iloc[0], "vec_id": sorted(gone)})
+
+    kind = rows.schema[group].dataType.simpleString()
+    gone = pairs.groupBy(group).applyInPandas(fold, f"{group} {kind}, vec_id long").withColumn("gone", F.lit(True))
+    kept = F.coalesce("kept", F.col("gone").isNull())
+    return state.join(gone, [group, "vec_id"], "left").groupBy(group).agg(F.count_if(~kept).alias("redundant"), F.count_if(kept).alias("kept"))

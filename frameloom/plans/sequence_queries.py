@@ -23,35 +23,49 @@ MERGED = """merged as (select asset_id, min(start) as start, max("end") as "end"
   select *, max("end") over (partition by asset_id order by start, "end" rows between unbounded preceding and 1 preceding) reach from used)) group by asset_id, island)"""
 
 
-def _merged(spark: SparkSession, d: str) -> DataFrame:
+SOURCES = "sources as (select asset_id, duration_sec source from catalog)"
+FREE = """free_ as (select asset_id, f as start, t as "end" from (select asset_id, coalesce(max(z) over (partition by asset_id order by a, z rows between unbounded preceding and 1 preceding), 0.0) f, a t from (
+  select m.asset_id, least(greatest(start, 0.0), source) a, least(greatest("end", 0.0), source) z from merged m join sources s on m.asset_id = s.asset_id union all select asset_id, source, source from sources)) where t > f)"""
+
+
+def merged_windows(spark: SparkSession, d: str) -> DataFrame:
     return S.merge_windows(S.used_windows(ledger(spark, d)))
 
 
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return catalog(spark, d).select("asset_id", F.col("duration_sec").alias("source"))
+
+
 def used_windows(spark: SparkSession, d: str) -> DataFrame:
     return S.used_windows(ledger(spark, d))
 
 
 def merge_windows(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d)
+    return merged_windows(spark, d)
 
 
 def free_windows(spark: SparkSession, d: str) -> DataFrame:
-    return S.free_windows(_merged(spark, d), 60.0, 2.0)
+    """What is left of every clip, used or not, in gaps of two seconds or more."""
+    return S.free_windows(merged_windows(spark, d), _sources(spark, d), 2.0)
 
 
 def least_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return S.least_overlap(_merged(spark, d), 60.0, 12.0)
+    """Where six seconds of each clip that is long enough overlap least with what was shown of it."""
+    asked = _sources(spark, d).where("source >= 6").withColumn("span", F.lit(6.0))
+    return S.least_overlap(asked, merged_windows(spark, d), ["asset_id"]).select("asset_id", "trim", F.round("overlap", 6).alias("overlap"))
 
 
 def bridge_reserve(spark: SparkSession, d: str) -> DataFrame:
-    fresh = S.free_windows(_merged(spark, d), 60.0, 0.5).groupBy("asset_id").agg(F.sum(F.col("end") - F.col("start")).alias("fresh"))
-    clips = catalog(spark, d).where("status = 'active'").join(fresh, "asset_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(60.0)))
-    return clips.orderBy("usage_count", F.desc("duration_sec"), F.desc("fresh"), "asset_id").limit(16).select("asset_id", "usage_count", "duration_sec", "fresh")
+    shown = merged_windows(spark, d).groupBy("asset_id").agg(F.sum(F.col("end") - F.col("start")).alias("shown"))
+    fresh = F.greatest(F.lit(0.0), F.col("duration_sec") - F.coalesce("shown", F.lit(0.0)))
+    clips = catalog(spark, d).where("status = 'active' and duration_sec > 0").join(shown, "asset_id", "left").withColumn("fresh", fresh)
+    return clips.orderBy("usage_count", F.desc("duration_sec"), F.desc("fresh"), "clip_id").limit(16).select("asset_id", "usage_count", "duration_sec", "fresh")
 
 
 def phase_trim(spark: SparkSession, d: str) -> DataFrame:
-    phase = F.element_at(F.array(*map(F.lit, ("early", "middle", "climax", "late peak", ""))), (F.hash("asset_id") * 0 + F.pmod(F.floor("start"), F.lit(5)) + 1).cast("int"))
-    gaps = S.free_windows(_merged(spark, d), 60.0, 2.0).withColumn("phase", phase)
+    """The trim of 2.5 seconds in each free window by the motion phase; unknown phases start where the window does."""
+    phase = F.element_at(F.array(*map(F.lit, ("early", "middle", "climax", "late peak", ""))), (F.pmod(F.floor("start"), F.lit(5)) + 1).cast("int"))
+    gaps = S.free_windows(merged_windows(spark, d), _sources(spark, d), 2.0).withColumn("phase", phase)
     return gaps.select("asset_id", "start", "end", S.phase_trim(F.col("phase"), F.col("start"), F.col("end"), F.lit(2.5)).alias("trim"))
 
 
@@ -202,14 +216,14 @@ def bridge_fill(spark: SparkSession, d: str) -> DataFrame:
 CATALOGUE = {
     "used_windows": (used_windows, _with('select asset_id, start, "end", source from used', "ledger", USED)),
     "merge_windows": (merge_windows, _with('select asset_id, start, "end" from merged', "ledger", USED, MERGED)),
-    "free_windows": (free_windows, _with("""select asset_id, f as start, t as "end" from (select asset_id, coalesce(lag("end") over (partition by asset_id order by start), 0.0) f, start t from merged
-  union all select asset_id, max("end"), 60.0 from merged group by 1) where t - f >= 2.0""", "ledger", USED, MERGED)),
-    "least_overlap": (least_overlap, _with("""select asset_id, arg_min(t, (o, t)) trim, min(o) overlap from (select asset_id, t, sum(greatest(least(t + 12.0, "end") - greatest(t, start), 0.0)) o from (
-  select distinct asset_id, unnest([0.0, least(greatest("end", 0.0), 48.0), least(greatest(start - 12.0, 0.0), 48.0)]) t from merged) join merged using (asset_id) group by 1, 2) group by 1""", "ledger", USED, MERGED)),
-    "bridge_reserve": (bridge_reserve, _with("""select asset_id, usage_count, duration_sec, coalesce(fresh, 60.0) fresh from catalog left join (select asset_id, sum(t - f) fresh from (select asset_id, coalesce(lag("end") over (partition by asset_id order by start), 0.0) f, start t from merged
-  union all select asset_id, max("end"), 60.0 from merged group by 1) where t - f >= 0.5 group by 1) using (asset_id) where status = 'active' order by usage_count, duration_sec desc, coalesce(fresh, 60.0) desc, asset_id limit 16""", "catalog", "ledger", USED, MERGED)),
+    "free_windows": (free_windows, _with('select asset_id, start, "end" from free_ where "end" - start >= 2.0', "catalog", "ledger", USED, MERGED, SOURCES, FREE)),
+    "least_overlap": (least_overlap, _with("""select asset_id, arg_min(t, (o, t)) trim, round(min(o), 6) overlap from (select asset_id, t, sum(coalesce(greatest(least(t + 6.0, "end") - greatest(t, start), 0.0), 0.0)) o from (
+  select distinct asset_id, unnest([0.0, least(greatest("end", 0.0), source - 6.0), least(greatest(start - 6.0, 0.0), source - 6.0)]) t from sources join merged using (asset_id) where source >= 6
+  union select asset_id, 0.0 from sources where source >= 6) left join merged using (asset_id) group by 1, 2) group by 1""", "catalog", "ledger", USED, MERGED, SOURCES)),
+    "bridge_reserve": (bridge_reserve, _with("""select asset_id, usage_count, duration_sec, greatest(0.0, duration_sec - coalesce(shown, 0.0)) fresh from catalog left join (select asset_id, sum("end" - start) shown from merged group by 1) using (asset_id)
+  where status = 'active' and duration_sec > 0 order by usage_count, duration_sec desc, fresh desc, clip_id limit 16""", "catalog", "ledger", USED, MERGED)),
     "phase_trim": (phase_trim, _with("""select asset_id, f as start, t as "end", case floor(f)::int % 5 when 1 then f + (t - f - 2.5) / 2 when 2 then f + (t - f - 2.5) when 3 then f + (t - f - 2.5) else f end * (t - f > 2.5)::int + f * (t - f <= 2.5)::int trim
-  from (select asset_id, coalesce(lag("end") over (partition by asset_id order by start), 0.0) f, start t from merged union all select asset_id, max("end"), 60.0 from merged group by 1) where t - f >= 2.0""", "ledger", USED, MERGED)),
+  from (select asset_id, start f, "end" t from free_) where t - f >= 2.0""", "catalog", "ledger", USED, MERGED, SOURCES, FREE)),
     "display_spans": (display_spans, _with('select doc, segment, round(greatest(coalesce(lead(start) over (partition by doc order by segment), max("end") over (partition by doc)) - start, 0.0), 4) span from starts', "words", STARTS)),
     "word_ranges": (word_ranges, _with("select doc, segment, (sum(word_count) over w - word_count)::bigint first_word, (sum(word_count) over w - 1)::bigint last_word from starts window w as (partition by doc order by segment)", "words", STARTS)),
     "pause_batches": (pause_batches, _with("select doc, segment, (sum((coalesce(b, 0) >= 2)::int) over (partition by doc order by segment))::bigint batch from (select *, lag(pause_weight) over (partition by doc order by segment) b from segments)", "segments")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.operators import assignment as A
 from frameloom.operators import vectors as V
+from frameloom.plans.sequence_queries import FREE, MERGED, SOURCES, USED, merged_windows
 from frameloom.sources.media import CTES, catalog, table, words
 
 #: No pair within a label reaches the production threshold of 0.85 in these tables.
@@ -32,6 +33,13 @@ def _ranked(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
     return V.rank_per_query(_scored(spark, d, k), k).withColumn("score", F.round("score", 6))
 
 
+def _relevance(spark: SparkSession, d: str) -> DataFrame:
+    """Each clip's largest score: a maximum in each block, then over blocks."""
+    rows = _rows(spark, d)
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return V.scores(queries, rows.select("vec_id", "v"), maximum="vec_id").groupBy("vec_id").agg(F.max("score").alias("relevance"))
+
+
 def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).withColumn("score", F.round("score", 6))
 
@@ -49,7 +57,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relevance_by_asset(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).groupBy("vec_id").agg(F.round(F.max("score"), 6).alias("relevance"))
+    return _relevance(spark, d).withColumn("relevance", F.round("relevance", 6))
 
 
 def pad_reserve(spark: SparkSession, d: str) -> DataFrame:
@@ -60,8 +68,11 @@ def pad_reserve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_feasible(spark: SparkSession, d: str) -> DataFrame:
-    clips = catalog(spark, d).select("vec_id", "duration_sec")
-    return _scored(spark, d).join(clips, "vec_id").where("duration_sec + 0.05 >= 8.0").groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"))
+    """Each query's best score among clips that cover eight seconds; others are left out in the block, before anything is shuffled."""
+    rows = _rows(spark, d).join(catalog(spark, d).select("vec_id", "duration_sec"), "vec_id")
+    queries = _rows(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(8.0).alias("span"))
+    best = V.scores(queries, rows.select("vec_id", "v", "duration_sec"), weigh=A.covering, maximum="query_id")
+    return best.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"))
 
 
 def parse_vector(spark: SparkSession, d: str) -> DataFrame:
@@ -113,25 +124,31 @@ def maxmin_medoid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
-    relevance = _scored(spark, d).groupBy("vec_id").agg(F.max("score").alias("relevance"))
-    return V.diverse_selection(_rows(spark, d).join(relevance, "vec_id"), "label", 45, 30)
+    return V.diverse_selection(_rows(spark, d).join(_relevance(spark, d), "vec_id"), "label", 45, 30)
 
 
 def kept_redundancy(spark: SparkSession, d: str) -> DataFrame:
     return V.kept_redundancy(_rows(spark, d), "label", 0.2)
 
 
-def _pool(spark: SparkSession, d: str) -> DataFrame:
-    clips = catalog(spark, d).select("vec_id", "duration_sec", "category", (F.col("usage_count") >= 5).alias("stale"))
-    return _rows(spark, d).join(clips, "vec_id").select(F.col("label").alias("group"), "vec_id", "v", "duration_sec", "category", "stale")
+def _videos(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Beats, clips and shown windows of two places: every 20th vector is a beat, eight in a row a video; the others are the places' clips."""
+    phase = F.element_at(F.array(*map(F.lit, ("early", "middle", "climax", "late peak", ""))), (F.pmod("vec_id", F.lit(5)) + 1).cast("int"))
+    rows = _rows(spark, d).join(catalog(spark, d), "vec_id").withColumn("place", F.col("label") % 2)
+    number = F.row_number().over(Window.partitionBy("place").orderBy("vec_id")) - 1
+    beats = rows.where("vec_id % 20 = 0").withColumn("n", number)
+    beats = beats.select((F.col("place") * 100_000 + F.floor(F.col("n") / 8)).cast("long").alias("video"), "place", (F.col("n") % 8).cast("long").alias("beat"), F.col("v").alias("q"), F.greatest(F.lit(1.0), F.least(F.lit(4.0), F.col("duration_sec"))).alias("span"))
+    looks = F.when(F.col("vec_id") % 11 != 0, V.unit_vector(F.col("v")))
+    clips = rows.where("vec_id % 20 <> 0").select("place", "vec_id", "asset_id", "v", looks.alias("u"), "duration_sec", "category", phase.alias("phase"))
+    return beats, clips, merged_windows(spark, d)
 
 
 def assignment(spark: SparkSession, d: str) -> DataFrame:
-    return A.assign_groups(_pool(spark, d), 8)
+    return A.global_pack(*_videos(spark, d), threshold=NEAR)
 
 
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
-    return A.assign_groups(_pool(spark, d), 8, greedy=True)
+    return A.greedy_pack(*_videos(spark, d), threshold=NEAR)
 
 
 def assignment_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +172,23 @@ KEPT="""with recursive numbered as (select label, vec_id, embedding::double[] v,
     select f.*, x.v, x.n xn, list_max(list_transform(f.kept, lambda k: list_cosine_similarity(k, x.v))) >= 0.2 as near from fold f join numbered x on x.label = f.label and x.n = f.n + 1) f join numbered x on x.label = f.label and x.n = f.n + 1)
   select label, redundant::bigint redundant, len(kept)::bigint kept from fold qualify row_number() over (partition by label order by n desc) = 1"""
 
+GREEDY = f"""with recursive {CTES["catalog"]}, {CTES["ledger"]}, {USED}, {MERGED}, {SOURCES}, {FREE},
+  rows_ as (select e.vec_id, embedding::double[] v, label % 2 place, asset_id, duration_sec, category from embeddings e join catalog using (vec_id)),
+  asked as (select place * 100000 + n // 8 as video, place, n % 8 as beat, v q, greatest(1.0, least(4.0, duration_sec)) span from (select *, row_number() over (partition by place order by vec_id) - 1 as n from rows_ where vec_id % 20 = 0)),
+  pool as (select r.*, case when vec_id % 11 <> 0 then v end u, coalesce(longest, 0.0) longest from rows_ r left join (select asset_id, max("end" - start) longest from free_ group by 1) using (asset_id) where vec_id % 20 <> 0),
+  picks as (select distinct video, -1::bigint as beat, []::bigint[] chosen, []::double[][] units, ''::varchar prev, null::bigint vec_id, null::double score, 0 as rung, 0.0::double span from asked
+    union all select video, beat + 1, list_append(chosen, b.vec_id), case when b.u is null then units else list_append(units, b.u) end, case when b.category <> '' then b.category else prev end, b.vec_id, b.score, b.rung, span from (
+      select video, beat, chosen, units, prev, span, arg_min({{'vec_id': vec_id, 'u': u, 'category': category, 'score': score, 'rung': rung}}, (rung, -round(score, 12), vec_id)) b from (
+        select p.video, p.beat, p.chosen, p.units, p.prev, a.span, c.vec_id, c.u, c.category, list_cosine_similarity(a.q, c.v) score,
+          case when c.longest < a.span then 4 else 2 * coalesce(list_max(list_transform(p.units, lambda x: list_cosine_similarity(x, c.u))) >= {NEAR}, false)::int + (p.prev <> '' and c.category = p.prev)::int end rung
+        from picks p join asked a on a.video = p.video and a.beat = p.beat + 1 join pool c on c.place = a.place and c.duration_sec + 0.05 >= a.span and not list_contains(p.chosen, c.vec_id)) group by all)),
+  placed as (select p.video, p.beat, p.vec_id, p.score, p.rung, p.span, c.asset_id, c.duration_sec, p.vec_id % 5 as phase, (select min({{'a': start, 'z': "end"}}) from free_ f where f.asset_id = c.asset_id and f."end" - f.start >= p.span) w from picks p join pool c using (vec_id) where p.beat >= 0),
+  tried as (select video, beat, t, sum(coalesce(greatest(least(t + span, m."end") - greatest(t, m.start), 0.0), 0.0)) o from (
+    select video, beat, span, asset_id, unnest([0.0, least(greatest(m."end", 0.0), greatest(0.0, duration_sec - span)), least(greatest(m.start - span, 0.0), greatest(0.0, duration_sec - span))]) t from placed join merged m using (asset_id) where w is null
+    union select video, beat, span, asset_id, 0.0 from placed where w is null) left join merged m using (asset_id) group by 1, 2, 3)
+  select video::bigint video, beat::bigint beat, vec_id, span, round(score, 4) score, round(case when w is null then (select arg_min(t, (o, t)) from tried where tried.video = placed.video and tried.beat = placed.beat)
+    when w.z - w.a - span <= 0 then w.a when phase in (2, 3) then w.z - span when phase = 1 then w.a + (w.z - w.a - span) / 2 else w.a end, 3) trim_start, w is null exhausted, rung in (1, 3) same_category, rung in (2, 3) near_duplicate, 'ok' status from placed"""
+
 CATALOGUE = {
     "cosine_scores": (cosine_scores, f"with {SCORED} select query_id, vec_id, round(score, 6) score from scored"),
     "topk_per_query": (topk_per_query, f"with {SCORED}, {RANKED} select query_id, vec_id, round(score, 6) score, rank from ranked where rank <= 6"),
@@ -179,7 +213,7 @@ CATALOGUE = {
     "diverse_selection": (diverse_selection, None),
     "kept_redundancy": (kept_redundancy, KEPT),
     "assignment": (assignment, None),
-    "greedy_pack": (greedy_pack, None),
+    "greedy_pack": (greedy_pack, GREEDY),
     "assignment_audit": (assignment_audit, f"""with {CTES["words"]}, {CTES["catalog"]}, w as (select doc, segment, min(word_idx) f, max(word_idx) l, min(start) s, max("end") e from words group by 1, 2),
   entries as (select doc, segment, f + (doc % 4 = 1 and segment = 1)::int f, l, least(coalesce(lead(s) over (partition by doc order by segment), e) - s, 6.0) span, 'asset_' || ((doc * 7 + case when doc % 5 = 0 then segment // 2 else segment end) % 250) asset_id from w),
   ordered as (select *, lag(l) over (partition by doc order by segment) before, row_number() over (partition by doc, asset_id order by segment) turn from entries)
