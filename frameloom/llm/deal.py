@@ -1,5 +1,5 @@
-"""Dealing entries out to numbered targets, in levels, as compressed blocks of columns: integers, or rows of
-bytes (two dimensions), whose first byte says how many of the others count; behind them are zeros.
+"""Dealing entries out to numbered targets, in levels, as compressed blocks of columns: integers, byte strings (of
+dtype object), or rows of bytes (two dimensions), whose first byte says how many of the others count; behind them are zeros.
 
 A task that gives every target a block of its own makes tasks x targets blocks, the square of the
 input. Here a block holds the entries of a range of targets, at most FAN ranges a level; where there
@@ -9,7 +9,7 @@ range is no single task) and cuts them into ranges a FAN-th as wide. Blocks grow
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,23 @@ from pyspark.sql import functions as F
 #: Ranges of a level, tasks that a range is spread over, bytes of entries a task holds before it cuts them.
 FAN, SPREAD, HELD = 256, 16, 1 << 26
 SCHEMA = "key long, block binary"
+#: Marks a block of byte strings, where others have the width of a number.
+STRINGS = 255
+
+
+def strings(values: Iterable[bytes]) -> np.ndarray:
+    """Byte strings as a column."""
+    values = list(values)
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
 
 
 def squeeze(values: np.ndarray, ascending: bool) -> bytes:
     """Numbers in few bytes: their differences or themselves, by byte plane, compressed. Of rows of bytes the lengths, then the bytes that count."""
+    if values.dtype == object:
+        sizes = np.fromiter(map(len, values), "<u4", len(values))
+        return bytes([STRINGS, 0]) + zstandard.ZstdCompressor(level=1).compress(len(values).to_bytes(8, "little") + sizes.tobytes() + b"".join(values))
     if values.ndim == 2:
         body = values[:, 1:][np.arange(values.shape[1] - 1) < values[:, :1]]
         return np.array([0, values.shape[1]], np.uint8).tobytes() + zstandard.ZstdCompressor(level=3).compress(len(values).to_bytes(8, "little") + values[:, 0].tobytes() + body.tobytes())
@@ -37,6 +50,11 @@ def squeeze(values: np.ndarray, ascending: bool) -> bytes:
 def spread(data: bytes) -> np.ndarray:
     """The numbers, or rows, of squeeze()."""
     width = data[0]
+    if width == STRINGS:
+        flat = zstandard.ZstdDecompressor().decompress(data[2:])
+        n = int.from_bytes(flat[:8], "little")
+        ends = (8 + 4 * n + np.cumsum(np.frombuffer(flat, "<u4", n, 8), dtype=np.int64)).tolist()
+        return strings([flat[a:z] for a, z in zip([8 + 4 * n, *ends], ends, strict=False)])
     if not width:
         flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), np.uint8)
         n = int(flat[:8].view("<i8")[0])
@@ -53,7 +71,7 @@ def spread(data: bytes) -> np.ndarray:
 
 def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of one length in one block; those that ascend, as the first does, as differences."""
-    parts = [squeeze(c, c.ndim == 1 and bool((c[1:] >= c[:-1]).all())) for c in columns]
+    parts = [squeeze(c, c.dtype != object and c.ndim == 1 and bool((c[1:] >= c[:-1]).all())) for c in columns]
     return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
 
 
@@ -109,7 +127,7 @@ def _cut_again(wide: int):
                     size = 0
                 last = key
                 held.append(unpack(block))
-                size += sum(c.nbytes for c in held[-1])
+                size += sum(c.nbytes if c.dtype != object else 64 * len(c) + sum(map(len, c)) for c in held[-1])
         if held:
             yield out()
 

@@ -11,7 +11,7 @@ words are wanted with exact counts, where they occur LEAST times or more over al
    parts are left. Hashes may collide, which leaves a phrase too many, never one too few.
 3. What is left of a shard are runs of words, a small part of the text. Their generalised suffix
    automaton (``Automaton``) enumerates the phrases of two words or more, with its endpos counts,
-   and Spark sums them up by the phrases themselves.
+   and these are summed up over the shards by the phrases themselves.
 4. A phrase that is subsumed by a longer one is subsumed by one a single word longer: counts fall
    from each to the next, and all phrases between are wanted too. These are the ones whose suffix
    link leads to it, and the ones that it begins.
@@ -49,8 +49,6 @@ UNKNOWN = "und"
 SHARD, RANGE, BITS = 2_000_000, 3_000_000, 48
 #: What ends a piece.
 BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-#: Shards whose phrases a task sums up, and phrases that it holds before it sends them.
-TOGETHER, HELD = 6, 400_000
 SALTS = 64
 
 
@@ -274,34 +272,29 @@ def _left(group: pa.Table) -> Iterator[tuple[str, str, int]]:
         yield shard.langs[shard.lang[ids[0]]], " ".join([words[i] for i in ids]), n
 
 
-def _enumerate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, block, file), a shard's next to each other, to its phrases; those of a task's shards are summed up first, HELD at a time."""
-    sums: dict[str, dict[str, int]] = {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for lang, found in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "n"])
-        sums.clear()
-
-    def add(group: list[pa.RecordBatch]) -> None:
-        for lang, phrase, n in _left(pa.Table.from_batches(group)):
-            own = sums.setdefault(lang, {})
-            own[phrase] = own.get(phrase, 0) + n
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
-        for a, z in zip(starts, [*starts[1:], len(keys)], strict=True):
-            if held and held[-1].column(0)[0].as_py() != keys[a]:
-                add(held)
-                held = []
-                if sum(map(len, sums.values())) > HELD:
-                    yield from out()
-            held.append(batch.slice(a, z - a))
-    if held:
-        add(held)
-    yield from out()
+def _enumerate(ranges: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        """The phrases that are left of a shard, for ranges of their hashes: language, line break and phrase, and the count."""
+        found = [(f"{lang}\n{phrase}".encode(), n) for lang, phrase, n in _left(group)]
+        targets = np.fromiter((xxhash.xxh32_intdigest(x) % ranges for x, _ in found), np.int64, len(found))
+        keys, blocks = deal.cut(targets, [deal.strings(x for x, _ in found), np.array([n for _, n in found], np.int64)], deal.width(ranges))
+        return pa.table([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["key", "block"])
+
+    return run
+
+
+def _sum_up(least: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        """The phrases of a range that occur least times or more in all shards."""
+        sums: dict[bytes, int] = {}
+        for block in group.column("block").to_pylist():
+            _, phrases, times = deal.unpack(block)
+            for x, n in zip(phrases, times.tolist(), strict=True):
+                sums[x] = sums.get(x, 0) + n
+        rows = [(*x.decode().rsplit("\n", 1), n) for x, n in sums.items() if n >= least]  # words hold no line break
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "n"])
+
+    return run
 
 
 def _answer(targets: int, least: int):
@@ -345,8 +338,8 @@ def counted(docs: DataFrame, uri: str, text_col: str = "text", lang_col: str = "
         dealt = deal.deal(sent, ranges).repartition(ranges, "key")
         answers = keep(dealt.groupBy("key").applyInArrow(_answer(targets, least), deal.SCHEMA), f"{uri}/answers-{k}")
         rows = deal.deal(answers, targets).withColumn("file", F.lit(None).cast("string")).unionByName(named)
-    found = rows.repartition(-(-number // TOGETHER), "key").sortWithinPartitions("key").mapInArrow(_enumerate, FOUND)
-    phrases = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = deal.deal(rows.repartition(number, "key").groupBy("key").applyInArrow(_enumerate(ranges), deal.SCHEMA), ranges)
+    phrases = found.repartition(ranges, "key").groupBy("key").applyInArrow(_sum_up(least), FOUND)
     return words, keep(phrases, f"{uri}/phrases")
 
 
