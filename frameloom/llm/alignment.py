@@ -8,15 +8,15 @@ follows. Documents are then nothing but sequences of segments, and what holds fo
 
 1. Blocks of documents become lists of their distinct segments, with counts, and the documents as
    numbers into them (``_blocks``).
-2. The distinct segments of all blocks, with their counts over the corpus, are tokenised by both
-   tokenizers and aligned (``_align``): groups of tokens between common ends, and links, the pairs
-   of tokens whose bytes overlap.
-3. Links are counted over the corpus by pair of ids, and each segment gets the sums over its links.
-4. The alignments are joined back to the blocks' segments, and each block composes its documents.
-
-A segment goes out once per block, never once per occurrence, and very frequent segments are one row
-a block, which a join may split. Texts that are null or empty or hold U+2581 (which the piece model
-can't tell from a space) have no tokens and count nowhere. Every other segment's bytes are compared
+2. The lists are dealt out to ranges of segments' hashes. A range tokenises each of its distinct
+   segments by both tokenizers and aligns them (``Pair.align``): groups of tokens between common ends,
+   and links, the pairs of tokens whose bytes overlap.
+3. The ranges' links are counted over the corpus by pair of ids. With these counts a range sums up
+   each segment's links, and the alignments are dealt back to the blocks, which compose their documents.
+
+A segment is sent once per block, never once per occurrence; a very frequent one is an entry a block,
+and ranges are hashes, so none is crowded. Texts that are null or empty or hold U+2581 (which the piece model
+can't tell from a space) have no tokens and count nowhere. All other segments' bytes are compared
 with both tokenizations; a vocabulary that doesn't give them back raises an error. Long texts are
 handled whole; repeated rows and ids each keep their row and count; extra columns are ignored.
 """
@@ -26,14 +26,15 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ from frameloom.llm.bpe import _field
 from frameloom.llm.common import id_text, keep, shared_dir, small_batches, small_side, table
 
 SPACE = "▁"
-#: Bytes of text in a block, and segments tokenised at a time.
-BLOCK, SEGMENTS = 16 << 20, 2048
+#: Characters of text in a block, entries of a range, and segments tokenised at a time.
+BLOCK, RANGE, SEGMENTS = 8 << 20, 250_000, 4096
 
 
 def _byte_table() -> dict[str, int]:
@@ -54,6 +55,17 @@ def _byte_table() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+class Aligned(NamedTuple):
+    """Of segments: numbers of tokens of A and B and of groups; the pairs of all links, one after the other; their numbers; the groups as text."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    pairs: np.ndarray
+    n_links: np.ndarray
+    groups: list[str]
+
+
 class Pair:
     """Tokenizers A (byte-level, of a .json file) and B (a .model of pieces with byte fallback), and their tokens' bytes."""
 
@@ -72,25 +84,35 @@ class Pair:
             self.b = sentencepiece.SentencePieceProcessor(model_proto=source.read() + _field(3, _field(3, 0)))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)}
+        self.a_size, self.b_size = (np.array([len(x.get(i, b"")) for i in range(max(x) + 1)]) for x in (self.a_bytes, self.b_bytes))
+        self.width = len(self.a_size)
+        #: Decimal ids with what may follow them, A's first: in the group, after it, after the segment.
+        self.signs = [f"{i}{sign}" for i in range(self.width) for sign in (",", "|", "")] + [f"{i}{sign}" for i in range(len(self.b_size)) for sign in (",", ";", "\n")]
         self.cuts = whitespace([*self.a_bytes.values(), *(t for i, t in self.b_bytes.items() if not self.b.is_control(i))])
 
-    def align(self, segments: list[str]) -> Iterator[tuple[int, int, list[tuple[list[int], list[int]]], Counter]]:
-        """Of each segment the tokens of A and of B, its groups, and its links with their counts."""
+    def align(self, segments: list[str]) -> Aligned:
+        """The tokens, groups and links of segments; their bytes are laid end to end, where both tokenizations end with each segment."""
         a_rows = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        for text, a, b in zip(segments, a_rows, self.b.encode(segments, num_threads=1), strict=True):
-            a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if not b"".join(a_parts) == b"".join(b_parts) == text.encode():
-                raise ValueError(f"the tokens of {text[:100]!r} don't give its bytes again")
-            a_ends, b_ends = list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
-            groups, links, i, j, first_i, first_j = [], [], 0, 0, 0, 0
-            while i < len(a):
-                links.append((a[i], b[j]))
-                x, y = a_ends[i], b_ends[j]
-                i, j = i + (x <= y), j + (y <= x)
-                if x == y:
-                    groups.append((a[first_i:i], b[first_j:j]))
-                    first_i, first_j = i, j
-            yield len(a), len(b), groups, Counter(links)
+        b_rows = self.b.encode(segments, num_threads=1)
+        n_a, n_b = (np.fromiter(map(len, rows), np.int64, len(segments)) for rows in (a_rows, b_rows))
+        a, b = (np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum())) for rows, n in ((a_rows, n_a), (b_rows, n_b)))
+        text = [s.encode() for s in segments]
+        ends = np.cumsum(np.fromiter(map(len, text), np.int64, len(text)))
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        whole, a_last, b_last = b"".join(text), np.cumsum(n_a) - 1, np.cumsum(n_b) - 1
+        same = (n_a > 0).all() and (n_b > 0).all() and np.array_equal(a_ends[a_last], ends) and np.array_equal(b_ends[b_last], ends)
+        if not same or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+            raise ValueError(f"the tokens of some of {text[0][:60]!r} and others don't give their bytes again")
+        # Between two ends of any tokens lie bytes of one token of A and one of B: a link each. Ends of both are ends of groups.
+        every, both = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends)
+        pair = a[np.searchsorted(a_ends, every)] << 32 | b[np.searchsorted(b_ends, every)]
+        # Ids as text: a token's group and side give its place, the sign behind it tells what comes next.
+        a_in, b_in = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        a_sign, b_sign = (a_ends == both[a_in]).astype(np.int64), (b_ends == both[b_in]).astype(np.int64)
+        b_sign[b_last] = 2
+        order = np.argsort(np.r_[2 * a_in, 2 * b_in + 1], kind="stable")
+        signed = np.r_[a * 3 + np.where(a_sign, 1, 0), (b + self.width) * 3 + b_sign][order]
+        return Aligned(n_a, n_b, np.diff(np.searchsorted(both, ends, "right"), prepend=0), pair, np.diff(np.searchsorted(every, ends, "right"), prepend=0), "".join(map(self.signs.__getitem__, signed.tolist())).split("\n")[:-1])
 
 
 def whitespace(tokens: list[bytes]) -> str:
@@ -113,7 +135,7 @@ def segmenter(cuts: str):
     return re.compile(rf"\s*\S+(?:[^\S{c}]\s*\S*)*|\s+" if cuts else ".+", re.DOTALL).findall
 
 
-BLOCKS = "block long, documents binary, segments array<string>, times array<int>"
+BLOCKS = "block long, entries long, documents binary, segments binary"
 
 
 def _blocks(a_path: str, b_path: str):
@@ -127,13 +149,14 @@ def _blocks(a_path: str, b_path: str):
         held = 0
 
         def out() -> pa.RecordBatch:
-            flat = np.concatenate(order) if order else np.empty(0, np.int64)
+            flat = np.concatenate(order)
             payload = deal.pack([np.array([i or 0 for i in ids]), np.array([i is None for i in ids]), np.array(sizes), flat])
-            times = np.bincount(flat, minlength=len(number)).astype(np.int32)
-            columns = [pa.array([first + turn]), pa.array([payload], pa.binary()), pa.array([list(number)], pa.list_(pa.string())), pa.array([times], pa.list_(pa.int32()))]
+            times = np.bincount(flat, minlength=len(number))
+            listed = deal.pack([deal.strings(s.encode() for s in number), times])
+            columns = [pa.array([first + turn]), pa.array([len(number)]), pa.array([payload], pa.binary()), pa.array([listed], pa.binary())]
             for kept in (ids, sizes, order, number):
                 kept.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["block", "documents", "segments", "times"])
+            return pa.RecordBatch.from_arrays(columns, names=["block", "entries", "documents", "segments"])
 
         for batch in batches:
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -151,26 +174,38 @@ def _blocks(a_path: str, b_path: str):
     return run
 
 
-ALIGNED = "segment string, times long, n_a int, n_b int, n_groups int, n_links int, groups string, links array<struct<pair:long,times:int>>"
+def _send(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, segments) of blocks to entries for ranges: segment, block, its number there, and how often it stands there."""
+        for batch in batches:
+            for block, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                segments, times = deal.unpack(listed)
+                targets = np.fromiter((xxhash.xxh32_intdigest(s) % ranges for s in segments), np.int64, len(segments))
+                yield deal.batch(*deal.cut(targets, [segments, np.full(len(segments), block), np.arange(len(segments)), times], deal.width(ranges)))
 
+    return run
 
-def _align(a_path: str, b_path: str):
-    def write(groups: list[tuple[list[int], list[int]]]) -> str:
-        return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+RANGES = "key long, entries binary, aligned binary, pairs array<long>, times array<long>"
+
+
+def _align(a_path: str, b_path: str):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        """A range's entries, its distinct segments aligned, and how often its pairs of ids are linked."""
         tokenizers = pair(a_path, b_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SEGMENTS):
-                part = batch.slice(at, SEGMENTS)
-                n_a, n_b, groups, links = zip(*tokenizers.align(part.column(0).to_pylist()), strict=True)
-                pairs = [[(a << 32 | b, n) for (a, b), n in x.items()] for x in links]
-                ends = np.cumsum([0, *map(len, pairs)], dtype=np.int32)
-                flat = np.array([x for p in pairs for x in p], np.int64).reshape(-1, 2)
-                struct = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32))], names=["pair", "times"])
-                counted = [pa.array(x, pa.int32()) for x in (n_a, n_b, list(map(len, groups)), [x.total() for x in links])]
-                columns = [*part.columns, *counted, pa.array(list(map(write, groups)), pa.string()), pa.ListArray.from_arrays(pa.array(ends), struct)]
-                yield pa.RecordBatch.from_arrays(columns, names=["segment", "times", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+        segments, block, number, times = deal.gather(group.column("block").to_pylist())
+        place: dict[bytes, int] = {}
+        at = np.fromiter((place.setdefault(s, len(place)) for s in segments), np.int64, len(segments))
+        total = np.zeros(len(place), np.int64)
+        np.add.at(total, at, times)
+        texts = [s.decode() for s in place]
+        parts = [tokenizers.align(texts[i : i + SEGMENTS]) for i in range(0, len(texts), SEGMENTS)]
+        n_a, n_b, n_groups, pairs, n_links = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        distinct, pairs = np.unique(pairs, return_inverse=True)
+        linked = np.zeros(len(distinct), np.int64)
+        np.add.at(linked, pairs, np.repeat(total, n_links))
+        aligned = deal.pack([n_a, n_b, n_groups, n_links, pairs, deal.strings(g.encode() for p in parts for g in p.groups)])
+        return pa.table([pa.array([key[0].as_py()]), pa.array([deal.pack([block, number, at])], pa.binary()), pa.array([aligned], pa.binary()), pa.array([distinct], pa.list_(pa.int64())), pa.array([linked], pa.list_(pa.int64()))], names=["key", "entries", "aligned", "pairs", "times"])
 
     return run
 
@@ -179,67 +214,66 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 COMPOSED = ", ".join(["doc_id long", *(f"{x} long" for x in NUMBERS), "groups string"])
 
 
-def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block in order, its documents first and then its segments by number, to documents."""
-    payload, numbers, groups = None, [], []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        ids, missing, sizes, flat = deal.unpack(payload)
-        values = np.concatenate(numbers, axis=1) if numbers else np.empty((len(NUMBERS), 0), np.int64)
-        stops = np.cumsum(sizes)
-        for at in range(0, len(ids), 128):
-            picks = [flat[z - s : z] for s, z in zip(sizes[at : at + 128], stops[at : at + 128], strict=True)]
-            sums = np.array([values[:, p].sum(axis=1) for p in picks], np.int64).T
-            texts = [";".join([groups[i] for i in p.tolist()]) for p in picks]
-            doc = pa.array(ids[at : at + 128], pa.int64(), mask=missing[at : at + 128] > 0)
-            yield pa.RecordBatch.from_arrays([doc, *map(pa.array, sums), pa.array(texts, pa.string())], names=["doc_id", *NUMBERS, "groups"])
-
-    for batch in batches:
-        first = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-        for a, z in zip(starts := [0, *np.flatnonzero(first).tolist()], [*starts[1:], batch.num_rows], strict=True):
-            if a < z and first[a]:
-                if payload is not None:
-                    yield from out()
-                payload, numbers, groups = batch.column(1)[a].as_py(), [], []
-                a += 1
-            if a < z:
-                numbers.append(np.array([batch.column(k + 3).slice(a, z - a).to_numpy(zero_copy_only=False) for k in range(len(NUMBERS))], np.int64))
-                groups += batch.column(3 + len(NUMBERS)).slice(a, z - a).to_pylist()
-    if payload is not None:
-        yield from out()
-
-
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """Aligned distinct segments to the links of each pair of ids in the corpus: pair (A's id << 32 | B's id), n."""
-    links = aligned.select("times", F.explode("links").alias("link"))
-    return links.groupBy(F.col("link.pair").alias("pair")).agg(F.sum(F.col("times") * F.col("link.times")).alias("n"))
+def _give_back(targets: int):
+    def run(key: tuple, range_: pa.Table, counted: pa.Table) -> pa.Table:
+        """A range and its pairs (pair, n, best) to alignments for blocks: a segment's number there, its six numbers and its groups."""
+        if not range_.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["key", "block"])
+        block, number, at = deal.unpack(range_.column("entries")[0].as_py())
+        n_a, n_b, n_groups, n_links, pairs, groups = deal.unpack(range_.column("aligned")[0].as_py())
+        order = np.argsort(counted.column("pair").to_numpy())  # the range's pairs are numbered in this order
+        n, best = (counted.column(c).to_numpy()[order][pairs] for c in ("n", "best"))
+        first = np.cumsum(n_links) - n_links
+        numbers = [n_a, n_b, n_groups, n_links, np.add.reduceat(best, first), np.add.reduceat(n, first)]
+        keys, blocks = deal.cut(block, [number, *(x[at] for x in numbers), groups[at]], deal.width(targets))
+        return pa.table([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], names=["key", "block"])
+
+    return run
+
+
+def _compose(key: tuple, group: pa.Table) -> pa.Table:
+    """A block's documents and its segments' alignments to documents."""
+    ids, missing, sizes, flat = deal.unpack(next(x for x in group.column("documents").to_pylist() if x))
+    found = [b for b in group.column("block").to_pylist() if b]
+    number, *numbers, groups = deal.gather(found) if found else [np.empty(0, np.int64)] * (len(NUMBERS) + 1) + [deal.strings([])]
+    order = np.argsort(number)
+    groups = [g.decode() for g in groups[order]]
+    stops = np.cumsum(sizes)
+    sums = [np.r_[0, np.cumsum(x[order][flat])] for x in numbers]
+    columns = [pa.array(s[stops] - s[stops - sizes], pa.int64()) for s in sums]
+    texts = [";".join([groups[i] for i in flat[z - s : z].tolist()]) for s, z in zip(sizes.tolist(), stops.tolist(), strict=True)]
+    return pa.table([pa.array(ids, pa.int64(), mask=missing > 0), *columns, pa.array(texts, pa.string())], names=["doc_id", *NUMBERS, "groups"])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, uri: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per row: doc_id, numbers of tokens, groups and links, n_best, count_sum and groups as text; and the corpus's pair_counts.
+    """Per row: doc_id, numbers of tokens, groups and links, n_best, count_sum and groups as text; and the links of each pair of ids (A's << 32 | B's) in the corpus.
 
+    n_best: the document's links whose pair is its B id's most frequent in the corpus; count_sum: the pairs' counts, over its links.
     Intermediate tables go to the shared folder uri.
     """
-    small_batches(docs.sparkSession)
-    blocks = keep(id_text(docs, id_col, text_col).mapInArrow(_blocks(a_path, b_path), BLOCKS), f"{uri}/blocks")
-    small_batches(docs.sparkSession, SEGMENTS)  # from here on rows are short
-    numbered = blocks.select("block", F.posexplode(F.arrays_zip("segments", "times")).alias("number", "s")).select("block", "number", F.col("s.segments").alias("segment"), F.col("s.times").alias("times"))
-    distinct = numbered.groupBy("segment").agg(F.sum("times").alias("times"))
-    aligned = keep(distinct.mapInArrow(_align(a_path, b_path), ALIGNED), f"{uri}/aligned")
-    counts = keep(pair_counts(aligned), f"{uri}/counts")
-    best = counts.groupBy(F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b")).agg(F.max("n").alias("most"))
-    ranked = counts.join(F.broadcast(best), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)) == F.col("b"))  # a row for each id of B at most
-    ranked = keep(ranked.select("pair", "n", (F.col("n") == F.col("most")).cast("int").alias("best")), f"{uri}/ranked")
-    links = aligned.select("segment", F.explode("links").alias("link")).select("segment", "link.pair", F.col("link.times").alias("k"))
-    scored = links.join(small_side(ranked), "pair").groupBy("segment").agg(F.sum(F.col("k") * F.col("best")).alias("n_best"), F.sum(F.col("k") * F.col("n")).alias("count_sum"))
-    whole = aligned.drop("times", "links").join(scored, "segment")
-    back = numbered.select("block", "number", "segment").join(whole, "segment")
-    # A block's documents come before its segments: their number is null, and nulls sort first.
-    nothing = [F.lit(None).cast("long").alias(x) for x in NUMBERS] + [F.lit(None).cast("string").alias("groups")]
-    documents = blocks.select("block", "documents", F.lit(None).cast("int").alias("number"), *nothing)
-    found = back.select("block", F.lit(None).cast("binary").alias("documents"), "number", *(F.col(x).cast("long").alias(x) for x in NUMBERS), "groups")
-    dealt = documents.unionByName(found).repartition("block").sortWithinPartitions("block", "number")
-    return dealt.mapInArrow(_compose, COMPOSED), ranked.select("pair", "n")
+    spark = docs.sparkSession
+    small_batches(spark)
+    written = keep(id_text(docs, id_col, text_col).mapInArrow(_blocks(a_path, b_path), BLOCKS), f"{uri}/blocks")
+    part, turn = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    total = written.agg(F.count("*").alias("n"), F.sum("entries").alias("entries"), F.max(part).alias("last"), F.max(turn).alias("turn")).first()
+    if not total["n"]:
+        return spark.createDataFrame([], COMPOSED), spark.createDataFrame([], "pair long, n long")
+    number, most, ranges = total["n"], total["turn"] + 1, max(1, round(total["entries"] / RANGE))
+    targets = (total["last"] + 1) * most
+    blocks = written.withColumn("key", part * most + turn)
+    # Explicit numbers of partitions: the rows are few bytes but much work, which Spark would put into one task.
+    sent = blocks.select("key", "segments").repartition(number, "key").mapInArrow(_send(ranges), deal.SCHEMA)
+    aligned = keep(deal.deal(sent, ranges).repartition(ranges, "key").groupBy("key").applyInArrow(_align(a_path, b_path), RANGES), f"{uri}/ranges")
+    linked = aligned.select("key", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("key", F.col("p.pairs").alias("pair"), "p.times")
+    counts = keep(linked.groupBy("pair").agg(F.sum("times").alias("n")), f"{uri}/counts")
+    b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
+    best = counts.groupBy(b_id.alias("b")).agg(F.max("n").alias("most"))  # a row for each id of B at most
+    ranked = keep(counts.join(F.broadcast(best), b_id == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), f"{uri}/ranked")
+    counted = linked.select(F.col("key").alias("range"), "pair").join(small_side(ranked), "pair").repartition(ranges, "range")
+    given = aligned.select("key", "entries", "aligned").repartition(ranges, "key").groupBy("key").cogroup(counted.groupBy("range")).applyInArrow(_give_back(targets), deal.SCHEMA)
+    documents = blocks.select("key", F.lit(None).cast("binary").alias("block"), "documents")
+    back = deal.deal(given, targets).withColumn("documents", F.lit(None).cast("binary")).unionByName(documents).repartition(number, "key")
+    return back.groupBy("key").applyInArrow(_compose, COMPOSED), ranked.select("pair", "n")
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,9 +155,11 @@ def brute_alignment(docs):
     return [(doc, a, b, len(groups), len(links), sum(times[x] == most[x[1]] for x in links), sum(times[x] for x in links), write(groups)) for doc, a, b, groups, links in rows], times
 
 
-@pytest.mark.parametrize("block", [16 << 20, 300])
-def test_alignment_against_brute_force(spark, frame, docs, monkeypatch, block):
+@pytest.mark.parametrize(("block", "ranges", "fan"), [(16 << 20, 250_000, 256), (300, 100, 3)])
+def test_alignment_against_brute_force(spark, frame, docs, monkeypatch, block, ranges, fan):
     monkeypatch.setattr(alignment, "BLOCK", block)
+    monkeypatch.setattr(alignment, "RANGE", ranges)
+    monkeypatch.setattr(alignment.deal, "FAN", fan)
     found, counts = alignment.align(frame, A_PATH, B_PATH, shared(spark))
     want, times = brute_alignment(docs)
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
@@ -184,9 +186,10 @@ def test_cuts_are_where_no_token_joins():
 
 def test_a_vocabulary_that_loses_bytes_is_refused():
     pair = alignment.Pair(A_PATH, B_PATH)
-    pair.b_bytes = {**pair.b_bytes, pair.b.encode(" the")[0]: b"?"}
+    assert pair.align([" the", "\nx"]).groups == ["262|272", "198|13;87|28744"]
+    pair.b_bytes = {**pair.b_bytes, pair.b.encode(" the")[0]: b" tha"}
     with pytest.raises(ValueError, match="bytes"):
-        list(pair.align([" the"]))
+        pair.align([" the"])
 
 
 # ---- token counts -------------------------------------------------------------------------------
