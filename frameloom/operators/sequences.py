@@ -49,8 +49,9 @@ def least_overlap(asked: DataFrame, merged: DataFrame, by: list[str], key: str =
     just beside a window, within the source. A source without windows is taken from 0."""
     top = F.greatest(F.lit(0.0), F.col("source") - F.col("span"))
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), top)
-    beside = asked.join(merged, key).select(*by, key, "source", "span", F.explode(F.array(clamp(F.col("end")), clamp(F.col("start") - F.col("span")))).alias("t"))
-    tries = beside.unionByName(asked.select(*by, key, "source", "span", F.lit(0.0).alias("t"))).distinct()
+    own = [*dict.fromkeys([*by, key]), "source", "span"]
+    beside = asked.join(merged, key).select(*own, F.explode(F.array(clamp(F.col("end")), clamp(F.col("start") - F.col("span")))).alias("t"))
+    tries = beside.unionByName(asked.select(*own, F.lit(0.0).alias("t"))).distinct()
     overlap = F.greatest(F.least(F.col("t") + F.col("span"), F.col("end")) - F.greatest("t", F.col("start")), F.lit(0.0))
     scored = tries.join(merged, key, "left").groupBy(*by, "t").agg(F.sum(F.coalesce(overlap, F.lit(0.0))).alias("overlap"))
     return scored.groupBy(*by).agg(F.min(F.struct("overlap", "t")).alias("best")).select(*by, F.col("best.t").alias("trim"), F.col("best.overlap").alias("overlap"))

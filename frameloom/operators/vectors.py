@@ -186,24 +186,24 @@ def near_dup_pairs(rows: DataFrame, group: str, least: float, pivots: int = PIVO
     left = reached.where("home").withColumn("block", F.col("own")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     by = [group, "cell", "block", "part"]
     left = left.select(*by, "vec_id", "u")
-    right = asked.withColumn("part", part).select(*by, "own", "vec_id", "u")
+    right = asked.withColumn("part", part).select(*(F.col(c).alias(f"other_{c}") for c in (*by, "own", "vec_id", "u")))
     kind = rows.schema[group].dataType.simpleString()
 
     def run(key: tuple, homes: pa.Table, others: pa.Table) -> pa.Table:
         found = []
-        x, own = others.column("vec_id").to_numpy(), others.column("own").to_numpy()
+        x, own = others.column("other_vec_id").to_numpy(), others.column("other_own").to_numpy()
         y = homes.column("vec_id").to_numpy()
         if len(x) and len(y):
             u = _matrix(homes.column("u"))
             for at in range(0, len(x), QUERIES):
-                score = np.einsum("ik,jk->ij", _matrix(others.column("u").slice(at, QUERIES)), u)
+                score = np.einsum("ik,jk->ij", _matrix(others.column("other_u").slice(at, QUERIES)), u)
                 same = own[at : at + QUERIES, None] == key[2].as_py()
                 i, j = np.nonzero((score >= least) & (~same | (x[at : at + QUERIES, None] < y[None, :])))
                 found.append((np.minimum(x[at + i], y[j]), np.maximum(x[at + i], y[j]), score[i, j]))
         a, b, score = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table([pa.array([key[0].as_py()] * len(a), homes.schema.field(group).type), pa.array(a), pa.array(b), pa.array(score)], names=[group, "a", "b", "score"])
 
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"{group} {kind}, a long, b long, score double")
+    return left.groupBy(*by).cogroup(right.groupBy(*(f"other_{c}" for c in by))).applyInArrow(run, f"{group} {kind}, a long, b long, score double")
 
 
 def leader_clusters(rows: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
