@@ -150,19 +150,22 @@ def pacing_warnings(spark: SparkSession, d: str) -> DataFrame:
     return per.select("doc", F.array_join(F.array_compact(F.array(*(F.when(~good, F.lit(name)) for name, good in rules.items()))), ",").alias("warnings"))
 
 
+CANDIDATE = ["event_id", "asset_id", "run_id", "poi_id", "manifest_id"]
+
+
 def candidate_insert(spark: SparkSession, d: str) -> DataFrame:
-    """Which of the sent candidates go in under two unique keys, the event and (asset, run)."""
-    rows = ledger(spark, d).select("event_id", "asset_id", "run_id")
-    there, sent = rows.where("event_id % 3 = 0"), rows.where("event_id % 4 <> 1")
-    good, skipped = sinks.insertable(there, sent, ["event_id"], ["asset_id", "run_id"])
+    """Which of the bought candidates go in, one after the other, under two unique keys: (asset, run) and (place, manifest)."""
+    rows = ledger(spark, d)
+    there, sent = rows.where("event_id % 90 = 0").select(*CANDIDATE), rows.where("usage_role = 'purchase' and event_id % 90 <> 0").select(*CANDIDATE)
+    good, skipped = sinks.insertable(there, sent, ["asset_id"], ["poi_id", "manifest_id"], order=["event_id"])
     return good.withColumn("inserted", F.lit(True)).unionByName(skipped.withColumn("inserted", F.lit(False))).select("event_id", "inserted")
 
 
 def register_check(spark: SparkSession, d: str) -> DataFrame:
-    """What still differs after the missing rows are in: only rows that are there in other words."""
-    rows = ledger(spark, d).select("event_id", "asset_id", "run_id")
-    there = rows.where("event_id % 3 = 0").withColumn("run_id", F.when(F.col("event_id") % 21 == 0, "other").otherwise(F.col("run_id")))
-    return sinks.register(there, rows, "event_id", ["asset_id", "run_id"])[1].select("event_id", "kind", "field", "expected", "observed")
+    """Batches (a manifest each) sent to a ledger that has a third of their rows, some in other words: those batches are refused."""
+    rows = ledger(spark, d).select("event_id", "asset_id", "run_id", "manifest_id")
+    there = rows.where("event_id % 3 = 0").withColumn("run_id", F.when((F.col("event_id") % 21 == 0) & F.col("manifest_id").rlike("[05]$"), "other").otherwise(F.col("run_id")))
+    return sinks.register(there, rows, "manifest_id", "event_id", ["asset_id", "run_id"], ["asset_id"])[1]
 
 
 def soft_delete(spark: SparkSession, d: str) -> DataFrame:
@@ -188,8 +191,10 @@ def usage_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 BODY = "case p_partkey % 5 when 0 then 1 when 1 then 1 else 0 end"
-INSERT = """rows_ as (select event_id, asset_id, run_id from ledger), there as (select * from rows_ where event_id % 3 = 0), sent as (select * from rows_ where event_id % 4 <> 1),
-  marked as (select s.*, event_id in (select event_id from there) or exists(select 1 from there t where t.asset_id = s.asset_id and t.run_id = s.run_id) taken, row_number() over (partition by event_id order by event_id, asset_id, run_id) a, row_number() over (partition by asset_id, run_id order by event_id) b from sent s)"""
+INSERT = """with recursive {ledger}, there as (select * from ledger where {there}), sent as (select *, row_number() over (order by event_id) n, {taken} as taken from ledger where {sent}),
+  fold as (select 0::bigint n, []::varchar[] a, []::varchar[] b, false ok union all select n, case when ok then list_append(a, x) else a end, case when ok then list_append(b, y) else b end, ok from (
+    select s.n, f.a, f.b, {x} x, {y} y, not s.taken and not list_contains(f.a, {x}) and not list_contains(f.b, {y}) ok from fold f join sent s on s.n = f.n + 1))"""
+CANDIDATE_INSERT = INSERT.format(ledger=CTES["ledger"], there="event_id % 90 = 0", sent="usage_role = 'purchase' and event_id % 90 <> 0", x="s.asset_id", y="s.poi_id || '|' || s.manifest_id", taken="asset_id in (select asset_id from there) or poi_id || '|' || manifest_id in (select poi_id || '|' || manifest_id from there)")
 
 CATALOGUE = {
     "usage_event_rows": (usage_event_rows, """select 'sha256:' || sha256('v1' || chr(10) || 'man_' || l_orderkey || chr(10) || l_linenumber || chr(10) || printf('occ_%04d_%06d', l_orderkey, l_linenumber) || chr(10) || 'asset_' || l_partkey) event_id, printf('occ_%04d_%06d', l_orderkey, l_linenumber) occurrence_id,
@@ -216,8 +221,11 @@ CATALOGUE = {
     "rounded_numbers": (rounded_numbers, _with("select event_id, case when event_id % 31 = 0 then null else round_even(value, 3) end as value from ledger", "ledger")),
     "pacing_warnings": (pacing_warnings, """select doc, concat_ws(',', case when total / 90.0::double * 60 < 120 then 'too_slow' end, case when total / 90.0::double * 60 > 150 then 'too_fast' end, case when total / 130.0::double * 60 / 90.0 > 0.9 then 'too_full' end, case when k = 4 and final > first_ + 3 then 'long_close' end) warnings from (
   select conv_id doc, sum(n) total, count(*) k, arg_min(n, turn) first_, arg_max(n, turn) final from (select *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) n from conversations) group by 1)"""),
-    "candidate_insert": (candidate_insert, _with("select event_id, not (taken or a > 1 or b > 1) inserted from marked", "ledger").replace(" select event_id, not", f", {INSERT} select event_id, not", 1)),
-    "register_check": (register_check, _with("select event_id, 'mismatch' kind, 'run_id' field, run_id expected, 'other' observed from ledger where event_id % 21 = 0", "ledger")),
+    "candidate_insert": (candidate_insert, f"{CANDIDATE_INSERT} select event_id, ok as inserted from sent join fold using (n)"),
+    "register_check": (register_check, _with("""select manifest_id, expected, refused, mismatches, case when refused then 0 else there end as already, case when refused then 0 else fresh end as inserted, case when refused then 0 else expected - there - fresh end as skipped from (
+  select manifest_id, count(*) as expected, count_if(event_id % 21 = 0 and manifest_id[-1] in ('0', '5'))::bigint mismatches, count_if(event_id % 21 = 0 and manifest_id[-1] in ('0', '5')) > 0 refused, count_if(event_id % 3 = 0)::bigint there from ledger group by 1) left join (
+  select manifest_id, count(*) fresh from (select *, row_number() over (partition by asset_id order by event_id) turn from ledger where event_id % 3 <> 0 and asset_id not in (select asset_id from ledger where event_id % 3 = 0)
+    and manifest_id not in (select manifest_id from ledger where event_id % 21 = 0 and manifest_id[-1] in ('0', '5'))) where turn = 1 group by 1) using (manifest_id)""", "ledger").replace("as already, case when refused then 0 else fresh end", "as already, case when refused then 0 else coalesce(fresh, 0) end").replace("expected - there - fresh", "expected - there - coalesce(fresh, 0)")),
     "soft_delete": (soft_delete, _with("select case when asset_id in (select asset_id from ledger where usage_role = 'error') then 'rejected' else status end as status, count(*) n from catalog group by 1", "catalog", "ledger")),
     "stale_embeddings": (stale_embeddings, _with("select asset_id from catalog where asset_id like '%3' or asset_id like '%7'", "catalog")),
     "duration_updates": (duration_updates, _with("select asset_id, printf('update music set duration_sec = %.6f where id = ''%s'''';', duration_sec, asset_id || '''''s') as sql from catalog where duration_sec > 10", "catalog").replace("''%s'''';'", "''%s'';'")),

@@ -7,10 +7,17 @@ ended job leaves the version before.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.operators import relational as R
+from frameloom.operators.vectors import _cut
+
+#: Rows that are few enough for a fold.
+FOLD = 200_000
 
 
 def append_run(rows: DataFrame, uri: str, run_id: str) -> str:
@@ -32,25 +39,71 @@ def exists(spark: SparkSession, uri: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def insertable(ledger: DataFrame, rows: DataFrame, *keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, rows to skip) under several unique keys: a row goes in if no key of it is taken, by the ledger or by an earlier row."""
-    marked = rows
-    for i, key in enumerate(keys):
-        taken = ledger.select(*key).distinct().withColumn(f"__taken{i}", F.lit(True))
-        order = Window.partitionBy(*key).orderBy(*rows.columns)
-        marked = marked.join(taken, key, "left").withColumn(f"__turn{i}", F.row_number().over(order))
-    bad = F.lit(False)
-    for i in range(len(keys)):
-        bad = bad | F.coalesce(f"__taken{i}", F.lit(False)) | (F.col(f"__turn{i}") > 1)
-    return marked.where(~bad).select(*rows.columns), marked.where(bad).select(*rows.columns)
-
-
-def register(ledger: DataFrame, expected: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(the ledger with the missing rows, what still differs): rows that are there in other words are reported, never overwritten."""
-    before = R.reconcile(expected, ledger, key, fields)
-    missing = before.where("kind = 'missing'").select(key)
-    after = ledger.unionByName(R.append_new(ledger, expected.join(missing, key, "left_semi"), key))
-    return after, R.reconcile(expected, after, key, fields)
+def insertable(ledger: DataFrame, rows: DataFrame, *keys: list[str], order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to insert, rows to skip) under several unique keys, one row after the other in the order of the columns ``order`` (all, by default).
+
+    A row goes in if no key of it is taken, by the ledger or by an earlier row that went in; a row that is skipped takes none. A key
+    with a null is taken by nobody. In rounds: a row goes in that is the first of the rows left for each of its keys, and the others
+    of its keys go. A round settles at least the first row of each chain; the last FOLD rows are settled by one fold.
+    """
+    names = [f"__key{i}" for i in range(len(keys))]
+
+    def keyed(df: DataFrame) -> list[Column]:
+        return [F.when(reduce(Column.__and__, (F.col(c).isNotNull() for c in key)), F.to_json(F.struct(*(F.col(c).cast("string").alias(f"k{j}") for j, c in enumerate(key))))).alias(n) for n, key in zip(names, keys, strict=True)]
+
+    rows = _cut(rows.withColumn("__id", F.monotonically_increasing_id()))
+    left = rows.select(F.struct(*(order or [c for c in rows.columns if c != "__id"]), "__id").alias("__rank"), *keyed(rows))
+    for n, c in zip(names, keyed(ledger), strict=True):
+        left = left.join(ledger.select(c).distinct(), n, "left_anti")
+    left, taken = _cut(left), []
+    while left.count() > FOLD:
+        marked = left
+        for n in names:
+            marked = marked.join(left.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("__rank").alias(f"__first{n}")), n, "left")
+        first = reduce(Column.__and__, (F.coalesce(F.col(f"__first{n}") == F.col("__rank"), F.lit(True)) for n in names))
+        going = _cut(marked.where(first).select("__rank", *names))
+        taken.append(going.select("__rank.__id"))
+        left = left.join(going.select("__rank"), "__rank", "left_anti")
+        for n in names:
+            left = left.join(going.select(n), n, "left_anti")
+        left = _cut(left)
+
+    def fold(some: pd.DataFrame) -> pd.DataFrame:
+        seen: list[set[str]] = [set() for _ in names]
+        out = []
+        for row in some.sort_values("place")[["id", *names]].itertuples(index=False):
+            if not any(k is not None and k in s for k, s in zip(row[1:], seen, strict=True)):
+                out.append(row[0])
+                for k, s in zip(row[1:], seen, strict=True):
+                    s.add(k)
+        return pd.DataFrame({"__id": out})
+
+    # Ranks compare as Spark compares them; the fold gets places.
+    place = F.row_number().over(Window.partitionBy("all").orderBy("__rank")).alias("place")
+    rest = left.withColumn("all", F.lit(0)).select("all", place, F.col("__rank.__id").alias("id"), *names)
+    taken.append(rest.groupBy("all").applyInPandas(fold, "__id long"))
+    ids = _cut(reduce(DataFrame.unionByName, taken))
+    columns = [c for c in rows.columns if c != "__id"]
+    return rows.join(ids, "__id", "left_semi").select(*columns), rows.join(ids, "__id", "left_anti").select(*columns)
+
+
+def register(ledger: DataFrame, expected: DataFrame, batch: str, key: str, fields: list[str], *unique: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the ledger with the batches' missing rows, a row for each batch of what happened).
+
+    A batch is refused as a whole if a row of it is there in other words, or is there twice: then nothing of it is written, and its
+    differences stay to be reconciled. Of the others the rows whose key is missing are inserted, unless another unique key of theirs is taken.
+    """
+    owner = expected.select(key, batch).distinct()
+    differs = R.reconcile(expected, ledger, key, fields).join(owner, key)
+    conflicts = differs.groupBy(batch).agg(F.count_if(F.col("kind") == "mismatch").alias("mismatches"), F.count_if(F.col("kind") == "duplicate").alias("duplicates"), F.count_if(F.col("kind") == "missing").alias("missing"))
+    state = expected.groupBy(batch).agg(F.count("*").alias("expected")).join(conflicts, batch, "left").fillna(0, ["mismatches", "duplicates", "missing"])
+    state = _cut(state.withColumn("refused", (F.col("mismatches") > 0) | (F.col("duplicates") > 0)))
+    missing = differs.where("kind = 'missing'").select(key).join(owner, key).join(state.where("not refused").select(batch), batch, "left_semi").select(key)
+    inserted, _ = insertable(ledger, expected.join(missing, key, "left_semi"), [key], *unique, order=[key])
+    done = inserted.groupBy(batch).agg(F.count("*").alias("inserted"))
+    outcome = state.join(done, batch, "left").select(batch, "expected", "refused", "mismatches", F.when(F.col("refused"), 0).otherwise(F.col("expected") - F.col("missing")).alias("already"), F.coalesce("inserted", F.lit(0)).alias("inserted"))
+    outcome = outcome.withColumn("skipped", F.when(F.col("refused"), 0).otherwise(F.col("expected") - F.col("already") - F.col("inserted")))
+    return ledger.unionByName(inserted.select(*ledger.columns)), outcome
 
 
 def soft_delete(table: DataFrame, ids: DataFrame, key: str, status: str = "rejected") -> DataFrame:
