@@ -86,9 +86,13 @@ def trim_overflow(segments: DataFrame, least: int, most: int) -> DataFrame:
     return counted.select("doc", "segment", F.when(cut, F.get(fits, F.size(fits) - 1)).otherwise(F.col("text")).alias("text"))
 
 
+#: What counts as a price, a share and a number.
+PRICE, SHARE, NUMBER = "\\$([0-9][0-9,]*(?:\\.[0-9]+)?)", "([0-9]+(?:\\.[0-9]+)?)\\s*%", "[0-9][0-9,]*(?:\\.[0-9]+)?"
+
+
 def speak_units(text: Column) -> Column:
-    """Currency and percent signs as words."""
-    return F.regexp_replace(F.regexp_replace(text, "\\$([0-9]+(?:\\.[0-9]+)?)", "$1 dollars"), "([0-9]+(?:\\.[0-9]+)?)%", "$1 percent")
+    """Currency and percent signs as words: $1,900 is 1,900 dollars, 10 % is 10 percent."""
+    return F.regexp_replace(F.regexp_replace(text, PRICE, "$1 dollars"), SHARE, "$1 percent")
 
 
 def slug(text: Column, joint: str = "_") -> Column:
@@ -131,7 +135,7 @@ def speak_numbers(text: Column) -> Column:
         said = spell_number(int(whole))
         return f"{said} point {' '.join(_ONES[int(d)] for d in part)}" if part else said
 
-    number = re.compile(r"[0-9][0-9,]*(?:\.[0-9]+)?")  # a fixed value: what counts as a number
+    number = re.compile(NUMBER)
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if x is None else number.sub(say, x) for x in texts.to_pylist()], pa.string())

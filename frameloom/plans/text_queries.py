@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import text as T
-from frameloom.sources.media import CTES, segments, table
+from frameloom.functions.text import py_zfill
+from frameloom.operators import gates as G
+from frameloom.sources.media import CTES, catalog, segments, table
 
 #: Terms that these invented texts have; the defaults never occur in them.
 WORDS, PHRASES = (*T.BANNED_WORDS, "thon"), (*T.BANNED_PHRASES, "of the")
@@ -45,20 +47,44 @@ def sentence_trim(spark: SparkSession, d: str) -> DataFrame:
     return T.trim_overflow(segments(spark, d).withColumn("text", one_line), 100, 140)
 
 
-def script_gate(spark: SparkSession, d: str) -> DataFrame:
-    per = segments(spark, d).groupBy("doc").agg(F.sum(T.word_count(F.col("text"))).alias("n_words"), F.count("*").alias("n_segments"))
-    verdict = F.when(F.col("n_segments") < 4, "segments").when(F.col("n_words") < 145, "short").when(F.col("n_words") > 900, "long").otherwise("ok")
-    return per.select("doc", "n_words", "n_segments", verdict.alias("verdict"))
+#: What the invented scripts are held against.
+PROFILE = G.Profile(segments=4, words=(60, 330), segment_words=(8, 90), clips=(4, 11))
+
+
+def _scripts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Segments with openers, missing texts and clips, clips of the older form, used twice or unknown; and the clips there are."""
+    k = F.col("doc") + F.col("segment")
+    text = F.regexp_replace("text", "\\n", " ")
+    opened = F.when(k % 13 == 0, None).when(k % 3 == 0, F.concat(F.lit("Imagine, "), F.lower(text))).otherwise(text)
+    count = F.when(F.col("doc") % 4 == 0, 2).otherwise(k % 6)
+    ids = F.transform(F.sequence(F.lit(1), count), lambda i: py_zfill((F.col("doc") * 31 + F.col("segment") * 7 + i * 13) % 230, 4))
+    clips = F.when((k % 7 == 0) | (k % 11 == 0), None).when(count > 0, ids).otherwise(F.expr("cast(array() as array<string>)"))
+    one = F.when((k % 7 == 0) & (k % 11 != 0), py_zfill(F.col("doc") % 210, 4))
+    scripts = segments(spark, d).select("doc", "segment", opened.alias("text"), F.nullif(F.col("pause_weight"), F.lit(0)).alias("pause_weight"), clips.alias("clips"), one.alias("clip_id"))
+    return scripts, catalog(spark, d).where("vec_id <= 200").select("clip_id")
+
+
+def repaired_texts(spark: SparkSession, d: str) -> DataFrame:
+    return G.repair(_scripts(spark, d)[0], PROFILE).select("doc", "segment", "text", "word_count")
+
+
+def script_gates(spark: SparkSession, d: str) -> DataFrame:
+    return G.gates(*_scripts(spark, d), PROFILE, WORDS, PHRASES)
+
+
+def _priced(spark: SparkSession, d: str, price: F.Column) -> DataFrame:
+    """Prices with commas, and percent signs with and without a space."""
+    k = F.col("p_partkey")
+    shown = F.when(k % 3 == 0, F.format_number(price * 10, 2)).when(k % 3 == 1, F.format_number(price * 100, 0)).otherwise(price.cast("string"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("only $"), shown, F.lit(" or "), "p_size", F.when(k % 2 == 0, " % off").when(k % 5 == 0, "\t%, $5.").otherwise("% off")).alias("text"))
 
 
 def tts_normalize(spark: SparkSession, d: str) -> DataFrame:
-    priced = table(spark, d, "part").select("p_partkey", F.concat(F.lit("only $"), F.col("p_retailprice").cast("int"), F.lit(" or "), "p_size", F.lit("% off")).alias("text"))
-    return priced.select("p_partkey", T.speak_units(F.col("text")).alias("spoken"))
+    return _priced(spark, d, F.floor("p_retailprice").cast("decimal(12,2)")).select("p_partkey", T.speak_units(F.col("text")).alias("spoken"))
 
 
 def spoken_numbers(spark: SparkSession, d: str) -> DataFrame:
-    priced = table(spark, d, "part").select("p_partkey", F.concat(F.lit("only $"), F.col("p_retailprice").cast("string"), F.lit(" or "), "p_size", F.lit("% off")).alias("text"))
-    return priced.select("p_partkey", T.speak_numbers(T.speak_units(F.col("text"))).alias("spoken"))
+    return _priced(spark, d, F.col("p_retailprice").cast("decimal(12,2)")).select("p_partkey", T.speak_numbers(T.speak_units(F.col("text"))).alias("spoken"))
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +115,28 @@ def first_sentences(spark: SparkSession, d: str) -> DataFrame:
     return first.select("doc", F.get(T.sentences(F.regexp_replace("text", "\\n", " ")), F.lit(0)).alias("sentence"))
 
 
+WC = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''))"
+SCRIPTS = f"""with {CTES["catalog"]}, raw as (select conv_id doc, turn segment, conv_id + turn k, nullif((conv_id + turn) % 4, 0)::int pause_weight, replace(text, chr(10), ' ') t from conversations),
+  given as (select doc, segment, pause_weight, case when k % 13 = 0 then null when k % 3 = 0 then upper(substr(lower(t), 1, 1)) || substr(lower(t), 2) else t end t,
+    case when k % 7 = 0 or k % 11 = 0 then null else list_transform(range(1, case when doc % 4 = 0 then 3 else k % 6 + 1 end), lambda i: lpad(((doc * 31 + segment * 7 + i * 13) % 230)::varchar, 4, '0')) end clips,
+    case when k % 7 = 0 and k % 11 <> 0 then lpad((doc % 210)::varchar, 4, '0') end clip_id from raw),
+  c as (select *, row_number() over w place, lead(segment) over w is null as final, {WC.format("coalesce(t, '')")} n, sum({WC.format("coalesce(t, '')")}) over (partition by doc) total from given window w as (partition by doc order by segment)),
+  heads as (select doc, segment, total - n rest, unnest(list_transform(range(1, len(parts) + 1), lambda j: array_to_string(parts[1:j], ' '))) head from (select *, string_split(regexp_replace(trim(coalesce(t, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) parts from c where final and total > {PROFILE.words[1]})),
+  best as (select doc, segment, arg_max(head, length(head)) head from heads where rest + {WC.format("head")} between {PROFILE.words[0]} and {PROFILE.words[1]} group by 1, 2),
+  repaired as (select * exclude (t, n, total, head), case when t is not null then coalesce(head, t) end as text, {WC.format("coalesce(case when t is not null then coalesce(head, t) end, '')")}::int word_count from c left join best using (doc, segment))"""
+BANNED = "list_filter([" + ", ".join(f"case when contains(lower(whole), '{t}') then 'banned:{t}' end" if t in PHRASES else f"case when regexp_matches(lower(whole), '\\b{t}\\b') then 'banned:{t}' end" for t in sorted(WORDS + PHRASES)) + "], lambda x: x is not null)"
+BAND, CLIPS = f"between {PROFILE.segment_words[0]} and {PROFILE.segment_words[1]}", f"between {PROFILE.clips[0]} and {PROFILE.clips[1]}"
+GATES = f"""ids as (select *, coalesce(clips, case when clip_id is not null then [clip_id] end) ids from repaired),
+  per as (select doc, count(*) n_segments, sum(word_count)::bigint total_words, string_agg(coalesce(text, ''), ' ' order by place) whole, sum(coalesce(len(ids), 0)) n_clips,
+    list('words:' || place || ':' || word_count) filter (word_count not {BAND}) words_, list('no_text:' || place) filter (text is null) texts_, list('no_clips_field:' || place) filter (ids is null) fields_,
+    list('no_clips:' || place) filter (coalesce(len(ids), 0) = 0) none_, list('many_clips:' || place || ':' || len(ids)) filter (len(ids) > 4) many_, list('pause_weight:' || place) filter (not final and pause_weight is null) pauses_ from ids group by 1),
+  uses as (select doc, id, count(*) n from (select doc, unnest(ids) id from ids) group by 1, 2),
+  faults as (select doc, list(f) faults from (select doc, 'clip_twice:' || id f from uses where n > 1 union all select doc, 'unknown_clip:' || id from uses where id not in (select clip_id from catalog where vec_id <= 200)) group by 1),
+  named as (select *, case when n_segments <> {PROFILE.segments} then ['segments:' || n_segments] else [] end count_, {BANNED} banned_ from per left join faults using (doc)),
+  arrays as (select *, list_concat(count_, coalesce(texts_, []), coalesce(fields_, [])) early, list_concat(case when n_clips not {CLIPS} then ['clips:' || n_clips] else [] end, coalesce(words_, []), coalesce(none_, []), coalesce(many_, []), coalesce(faults, []), banned_) late,
+    list_concat(count_, coalesce(texts_, []), coalesce(words_, []), coalesce(pauses_, []), banned_) script_ from named)
+  select doc, total_words, case when total_words < {PROFILE.words[0]} then 'below_floor:' || total_words else '' end as floor, array_to_string(list_sort(case when len(early) > 0 then early else late end), ',') structure, array_to_string(list_sort(script_), ',') script from arrays"""
+
 CATALOGUE = {
     "match_quality": (match_quality, f"""select doc_id, item_id, round(coalesce(len(list_intersect(mine, theirs))::double / nullif(len(mine), 0), 0.0), 6) score from (
   select d.doc_id, b.item_id, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[a-z0-9'']+'), lambda x: x not in ({STOP}))) mine, list_distinct(list_filter(regexp_extract_all(lower(d.text), '[a-z0-9'']+'), lambda x: x not in ({STOP}))) theirs
@@ -103,9 +151,10 @@ CATALOGUE = {
   heads as (select doc, segment, total - n rest, unnest(list_transform(range(1, len(parts) + 1), lambda k: array_to_string(parts[1:k], ' '))) head from marked),
   best as (select doc, segment, arg_max(head, length(head)) head from heads where rest + len(list_filter(regexp_split_to_array(head, '\\s+'), lambda x: x <> '')) between 100 and 140 group by 1, 2)
   select doc, segment, coalesce(head, text) as text from c left join best using (doc, segment)"""),
-    "script_gate": (script_gate, """select doc, n_words, n_segments, case when n_segments < 4 then 'segments' when n_words < 145 then 'short' when n_words > 900 then 'long' else 'ok' end verdict from (
-  select conv_id doc, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::bigint n_words, count(*) n_segments from conversations group by 1)"""),
-    "tts_normalize": (tts_normalize, "select p_partkey, 'only ' || floor(p_retailprice)::int || ' dollars or ' || p_size || ' percent off' spoken from part"),
+    "repaired_texts": (repaired_texts, f"{SCRIPTS} select doc, segment, text, word_count from repaired"),
+    "script_gates": (script_gates, f"{SCRIPTS}, {GATES}"),
+    "tts_normalize": (tts_normalize, """select p_partkey, 'only ' || case p_partkey % 3 when 0 then printf('%,d', floor(p_retailprice)::bigint * 10) || '.00' when 1 then printf('%,d', floor(p_retailprice)::bigint * 100) else floor(p_retailprice)::bigint || '.00' end || ' dollars or ' || p_size || ' percent'
+  || case when p_partkey % 2 = 0 then ' off' when p_partkey % 5 = 0 then ', 5 dollars.' else ' off' end spoken from part"""),
     "spoken_numbers": (spoken_numbers, None),
     "slugs": (slugs, "select s_suppkey, lower(replace(s_name, '#', '')) slug, 'the-' || lower(replace(s_name, '#', '')) || '-co' hyphen_slug from supplier"),
     "embedding_texts": (embedding_texts, "select p_partkey, case when p_partkey % 9 = 0 then '' else trim(p_name) end || ' | ' || trim(p_type) as text from part"),
