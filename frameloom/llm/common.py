@@ -2,13 +2,14 @@
 
 Files of an operator's intermediate state go below the folder that the cluster names in
 ``spark.checkpoint.dir``; driver and executors all see it, so a task that is run again on
-another executor finds what it needs. Only where that setting is unset, as in tests, a
-folder under the warehouse is used instead.
+another executor finds what it needs. Only where that setting is unset and Spark runs in one
+process, as in tests, a folder under the warehouse is used instead; a cluster must name one.
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable
 
@@ -44,7 +45,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share; it goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     uri = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     filesystem, path = open_fs(uri)
     filesystem.create_dir(path, recursive=True)
@@ -68,13 +72,23 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def put_bytes(uri: str, data: bytes | memoryview) -> None:
-    """Write a whole file; a repeated task writes the same bytes, and readers see all or nothing."""
+    """Write a whole file; a repeated task writes the same bytes, and readers see all or nothing.
+
+    Some file systems refuse to move a file onto another: one of the same size that is there already is the same file, of
+    an earlier attempt, and stays.
+    """
     filesystem, path = open_fs(uri)
     filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex[:8]}"
     with filesystem.open_output_stream(part) as out:
         out.write(data)
-    filesystem.move(part, path)
+    try:
+        filesystem.move(part, path)
+    except OSError:
+        there = filesystem.get_file_info(path)
+        if there.type != fs.FileType.File or there.size != memoryview(data).nbytes:
+            raise
+        filesystem.delete_file(part)
 
 
 def put_array(uri: str, values: np.ndarray) -> None:
@@ -105,6 +119,14 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
 
 
+def give_back() -> None:
+    """Give what this worker has freed back to the system: workers live on, and the next task may be of another operator."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def keep(df: DataFrame, uri: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again."""
     df.write.mode("overwrite").parquet(uri)

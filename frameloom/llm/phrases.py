@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm import deal
-from frameloom.llm.common import get_array, keep, put_array, shared_dir, small_batches, small_side, table
+from frameloom.llm.common import get_array, give_back, keep, put_array, shared_dir, small_batches, small_side, table
 
 DEPTH, LEAST, TOP, SHARE = 4, 30, 2000, 80
 UNKNOWN = "und"
@@ -127,6 +127,7 @@ class Shard:
     """A stored shard: numbers of words with 0 between pieces, and by number hash, language and word."""
 
     def __init__(self, uri: str):
+        give_back()
         columns = deal.unpack(get_array(uri, np.uint8).tobytes())
         self.ids, self.hashes, self.lang = columns[0], columns[1].view(np.uint64), columns[2]
         self.words = columns[3].astype(np.uint8).tobytes().decode().split("\n")

@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from frameloom.llm import deal
-from frameloom.llm.common import keep, open_fs, pack, put_bytes, shared_dir, small_batches, table, unpack
+from frameloom.llm.common import give_back, keep, open_fs, pack, put_bytes, shared_dir, small_batches, table, unpack
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text and rows of a chunk file; bytes whose anchors are looked for at a time.
-CHUNK_BYTES, CHUNK_ROWS, BLOCK = 1 << 23, 4000, 1 << 20
+CHUNK_BYTES, CHUNK_ROWS, BLOCK = 6 << 20, 4000, 1 << 19
 #: Anchors of a range of hashes in step 2 and of a share in step 4, about.
 RANGE, SHARE = 500_000, 60_000
 #: Bits of a hash that step 2 leaves out; two anchors taken for one only give spans that have no equal.
@@ -223,6 +223,7 @@ def _give_hashes(uri: str, ranges: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in batch.column(0).to_pylist():
+                give_back()
                 chunk = Chunk(uri, _chunk_at(at, most))
                 # Of each anchor the hash and how many different spans it has here.
                 _, first = np.unique(_mix(chunk.h, span_hash(chunk.data, chunk.a, chunk.b - chunk.a + LENGTH)), return_index=True)
@@ -237,6 +238,7 @@ def _answer_hashes(targets: int):
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         """For chunks: 1 for an anchor that another chunk has too, 2 for a frequent one."""
+        give_back()
         h, n, at = _entries(group, 3)
         _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
         many = np.bincount(which, n) >= FREQUENT
@@ -254,6 +256,7 @@ def _give_spans(uri: str, shares: int, most: int):
     wide = deal.width(shares)
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        give_back()
         c = _chunk_at(key[0].as_py(), most)
         chunk = Chunk(uri, c)
         unique, which = np.unique(chunk.h, return_inverse=True)
@@ -394,6 +397,7 @@ def _answer_spans(targets: int):
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         """For chunks: a mask of the suffixes of their spans that also start in a document with a smaller id, where there are any."""
+        give_back()
         spans, ids, at, number = _entries(group, 4)
         data = np.concatenate([spans.ravel(), np.zeros(16, np.uint8)])
         size = spans[:, 0].astype(np.int64)
@@ -418,6 +422,7 @@ def _answer_spans(targets: int):
 
 def _cut(uri: str, columns: list[str], text_col: str, most: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        give_back()
         c = _chunk_at(key[0].as_py(), most)
         chunk = Chunk(uri, c, anchors=False)
         filesystem, path = open_fs(f"{uri}/local/{c:016x}")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import id_text, keep, per_text, shared_dir, small_batches, small_side, table
+from frameloom.llm.common import give_back, id_text, keep, per_text, shared_dir, small_batches, small_side, table
 from frameloom.llm.components import components
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
@@ -170,6 +170,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             whole = int(np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])[-1])  # the last group may go on
             if whole:
+                give_back()
                 yield out([c[:whole] for c in columns])
             held = [[c[whole:] for c in columns]]
     columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else []
