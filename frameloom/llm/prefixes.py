@@ -11,7 +11,7 @@ piece of the shorter prefix before it, and
 
 which gives the exact count at every prefix, though the counts do not always rise with the prefix.
 
-No piece joins a space to the character before it, or one of most marks to a letter before it (the
+No piece joins a space to the character before it, or a mark to a Latin letter before it (the
 vocabulary is searched for such pieces), so a text is cut there and each part is its own program. Programs are kept by prefix of a
 part: a new word goes on from the longest known prefix.
 
@@ -40,7 +40,7 @@ from frameloom.llm.common import id_text, per_text, small_batches, table
 LIMIT = 4096
 #: Prefixes of parts, and pairs of pieces, that a worker keeps; parts of more characters are not kept.
 PREFIXES, PAIRS, KEPT = 1_000_000, 300_000, 32
-SPACE, LETTER = "▁", r"[^\W\d_]"
+SPACE, LETTER = "▁", "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 
 
 class Program(dict):
