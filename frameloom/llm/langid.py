@@ -128,20 +128,22 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """fit() on the bounded sample of docs that the module describes."""
-    rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col, text_col).alias("h"))
-    rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= TRAIN_CHARS))
+    cut = F.substring(text_col, 1, TRAIN_CHARS)
+    rows = docs.select(cut.alias("text"), (F.length(text_col) > TRAIN_CHARS).alias("long"), F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col, text_col).alias("h"))
+    rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # A row's level is the number of leading zero bits of its hash; each level has about half the rows of the one below. The counts by label
     # and level tell from which level on a label has enough rows, so only about twice as many as are wanted are ranked.
-    level = 63 - F.floor(F.log2(F.greatest(F.lit(1.0), F.shiftrightunsigned("h", 1).cast("double") * 2))).cast("int")
+    # Longer texts are cut, and come last: only a label that has too few others needs them.
+    level = F.when(F.col("long"), -1).otherwise(63 - F.floor(F.log2(F.greatest(F.lit(1.0), F.shiftrightunsigned("h", 1).cast("double") * 2))).cast("int"))
     counts = rows.groupBy("label", level.alias("level")).agg(F.count("*").alias("n"))
     above = F.sum("n").over(Window.partitionBy("label").orderBy(F.desc("level")))  # at most 64 rows a label
-    start = counts.withColumn("above", above).groupBy("label").agg(F.coalesce(F.max(F.when(F.col("above") >= PER_LABEL, F.col("level"))), F.lit(0)).alias("from"))
+    start = counts.withColumn("above", above).groupBy("label").agg(F.coalesce(F.max(F.when(F.col("above") >= PER_LABEL, F.col("level"))), F.lit(-1)).alias("from"))
     starts = start.collect()  # a row a label
     most = max(1, min(PER_LABEL, SAMPLE_ROWS // max(1, len(starts))))
     bounds = docs.sparkSession.createDataFrame([(r["label"], r["from"]) for r in starts], "label string, `from` int")
     bounds = F.broadcast(bounds) if len(starts) <= SMALL_ROWS else bounds
     picked = rows.withColumn("level", level).join(bounds, "label").where(F.col("level") >= F.col("from")).dropDuplicates(["label", "h"])
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.shiftrightunsigned("h", 1), "h"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("long", F.shiftrightunsigned("h", 1), "h"))
     sample = picked.withColumn("place", place).where(F.col("place") <= most).select("label", "h", "text").collect()
     sample.sort(key=lambda r: (r["h"], r["label"], r["text"]))
     return fit([r["text"] for r in sample], [r["label"] for r in sample])
