@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions.numbers import round_binary
+
 #: Words that say nothing in an overlap score.
 STOPWORDS = (
     "a", "also", "an", "and", "are", "as", "at", "be", "been", "but", "by", "did", "do", "does", "down", "for", "from", "had", "has",
@@ -191,8 +193,8 @@ def asset_floor(videos: Column, base: int, per_extra: int) -> Column:
 
 
 def rounded_or_null(text: Column, places: int = 3) -> Column:
-    """A number rounded to so many places; null for any other text."""
-    return F.bround(text.try_cast("double"), places)
+    """A number rounded to so many places, on its binary value; null for any other text."""
+    return round_binary(text.try_cast("double"), places)
 
 
 def output_path(path: Column, variant: Column, seconds: Column) -> Column:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions.text import py_zfill
 from frameloom.operators.sequences import free_windows, least_overlap, phase_trim
 from frameloom.operators.vectors import _cut, cosine, dot, scores
 
@@ -238,41 +239,78 @@ def global_pack(beats: DataFrame, clips: DataFrame, ledger_windows: DataFrame, t
 # ---- bridges and audits -----------------------------------------------------------------------------
 
 
-def bridge_fill(entries: DataFrame, clips: list[tuple[str, float]]) -> DataFrame:
-    """Per document the unused clips that fill what entries leave uncovered, longest first; each clip once a document. A rest that none fills has no clip."""
+def bridge_pools(entries: DataFrame, clips: DataFrame) -> DataFrame:
+    """Per document the clips of its place that bridges may need, longest first: (doc, place_in, clip_id, duration).
 
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        pool = sorted((c for c in clips if c[1] > 0), key=lambda c: (-c[1], c[0]))
+    entries: doc, place, segment, clip_id, start, source, trim, display_end. A gap uses up clips until it is covered, the last one in part;
+    so a document needs a prefix of its place's clips by length whose sum is the sum of its gaps, and the longest clip once for each gap and
+    each clip that it shows itself. Clips are numbered with their running sums once a place; what a document gets grows with its gaps.
+    """
+    open_ = F.greatest(F.col("display_end") - F.col("start") - F.greatest(F.col("source") - F.col("trim"), F.lit(0.0)), F.lit(0.0))
+    need = entries.groupBy("doc", "place").agg(F.sum(open_).alias("need"), F.count("*").alias("n"))
+    usable = clips.where("duration > 0").select("place", "clip_id", "duration")
+    longest = usable.groupBy("place").agg(F.max("duration").alias("longest"))
+    order = Window.partitionBy("place").orderBy(F.desc("duration"), "clip_id")
+    before = F.coalesce(F.sum("duration").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    listed = usable.withColumn("before", before).withColumn("place_in", F.row_number().over(order))
+    bound = need.join(longest, "place").select("doc", "place", (F.col("need") + 2 * F.col("n") * F.col("longest")).alias("bound"))
+    prefix = bound.join(listed, "place").where(F.col("before") <= F.col("bound"))
+    return prefix.join(entries.select("doc", "clip_id").distinct(), ["doc", "clip_id"], "left_anti").select("doc", "place_in", "clip_id", "duration")
+
+
+def bridge_fill(entries: DataFrame, clips: DataFrame) -> DataFrame:
+    """(doc, segment, clip, start, used): the unused clips of a document's place that fill what its entries leave uncovered, longest first, each
+    once a document. What no clip is left for has a row without clip. Entries without footage of their own (source 0) are left as they are."""
+    footage = entries.where("source > 0")
+    pools = bridge_pools(footage, clips)
+
+    def fold(key: tuple, doc: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        left = list(pool.sort_values("place_in")[["clip_id", "duration"]].itertuples(index=False))[::-1]
         out = []
         for e in doc.sort_values("segment").itertuples(index=False):
             cursor = e.start + max(e.source - e.trim, 0.0)
             while e.display_end - cursor > TOLERANCE:
-                if not pool:
+                if not left:
                     out.append((e.doc, e.segment, None, cursor, e.display_end - cursor))
                     break
-                clip, length = pool.pop(0)
+                clip, length = left.pop()
                 use = min(e.display_end - cursor, length)
                 out.append((e.doc, e.segment, clip, cursor, use))
                 cursor += use
         return pd.DataFrame(out, columns=["doc", "segment", "clip", "start", "used"])
 
-    return entries.groupBy("doc").applyInPandas(fold, "doc long, segment long, clip string, start double, used double")
+    own = footage.select(F.col("doc"), "segment", "start", "source", "trim", "display_end")
+    return own.groupBy("doc").cogroup(pools.withColumnRenamed("doc", "of").groupBy("of")).applyInPandas(fold, "doc long, segment long, clip string, start double, used double")
 
 
-def audit(entries: DataFrame, clips: DataFrame) -> DataFrame:
-    """Rows (doc, segment, violation) of entries (doc, segment, first_word, last_word, span, asset_id) that break a rule.
+def audit(entries: DataFrame, segments: DataFrame, clips: DataFrame, n_words: DataFrame) -> DataFrame:
+    """Rows (doc, segment, place, violation) of what assignments break; place is null for rules of a whole segment.
 
-    Entries tile their document's words, use each clip once, name an active clip, and that clip is long enough.
+    entries: doc, segment, place (the order in the segment), clip_id, first_word, last_word, trim, span. segments: doc, segment, first_word,
+    last_word. n_words: doc, n_words. clips: clip_id, duration_sec. Every segment has entries; indexes lie within the document's words and
+    are in order; the entries tile their segment's words without gap or overlap; ids, padded to four digits, are known and used once a
+    document; trims are not negative; and the clip is long enough behind its trim.
     """
-    before = F.lag("last_word").over(Window.partitionBy("doc").orderBy("segment"))
-    turn = F.row_number().over(Window.partitionBy("doc", "asset_id").orderBy("segment"))
-    known = clips.where("status = 'active'").select("asset_id", "duration_sec")
-    joined = entries.withColumn("before", before).withColumn("turn", turn).join(known, "asset_id", "left")
+    in_segment = Window.partitionBy("doc", "segment").orderBy("place")
+    padded = entries.withColumn("clip", py_zfill(F.col("clip_id"), 4))
+    turn = F.row_number().over(Window.partitionBy("doc", "clip").orderBy("segment", "place"))
+    known = clips.select(py_zfill(F.col("clip_id"), 4).alias("clip"), "duration_sec").groupBy("clip").agg(F.max("duration_sec").alias("duration"))
+    bounds = segments.select("doc", "segment", F.col("first_word").alias("from"), F.col("last_word").alias("to"))
+    rows = padded.withColumn("turn", turn).withColumn("before", F.lag("last_word").over(in_segment)).withColumn("final", F.lead("place").over(in_segment).isNull())
+    rows = rows.join(known, "clip", "left").join(bounds, ["doc", "segment"], "left").join(n_words, "doc", "left")
+    expected = F.coalesce(F.col("before") + 1, F.col("from"))
     rules = {
-        "gap": F.col("first_word") != F.coalesce(F.col("before") + 1, F.lit(0)),
-        "repeated_clip": F.col("turn") > 1,
-        "unknown_clip": F.col("duration_sec").isNull(),
-        "too_short": F.col("duration_sec") + TOLERANCE < F.col("span"),
+        "unknown_segment": F.col("from").isNull(),
+        "index_out_of_bounds": (F.col("first_word") < 0) | (F.col("last_word") >= F.col("n_words")) | (F.col("first_word") > F.col("last_word")),
+        "gap": F.col("first_word") != expected,
+        "short_of_segment": F.col("final") & (F.col("last_word") != F.col("to")),
+        "no_clip": F.col("clip_id").isNull() | (F.col("clip_id") == ""),
+        "unknown_clip": F.col("clip_id").isNotNull() & (F.col("clip_id") != "") & F.col("duration").isNull(),
+        "repeated_clip": (F.col("clip_id") != "") & (F.col("turn") > 1),
+        "negative_trim": F.col("trim") < 0,
+        "too_short": F.col("duration") - F.col("trim") + TOLERANCE < F.col("span"),
     }
     found = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
-    return joined.select("doc", "segment", F.explode(found).alias("violation"))
+    broken = rows.select("doc", "segment", F.col("place").cast("long").alias("place"), F.explode(found).alias("violation"))
+    empty = segments.join(entries.select("doc", "segment").distinct(), ["doc", "segment"], "left_anti").select("doc", "segment", F.lit(None).cast("long").alias("place"), F.lit("missing_segment").alias("violation"))
+    return broken.unionByName(empty)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions.numbers import round_binary
+
 
 # ---- intervals ------------------------------------------------------------------------------------
 
@@ -179,3 +181,53 @@ def pause_windows(words: DataFrame, least: float, key: str = "doc", order: str =
     """Gaps of at least ``least`` seconds between a word's end and the next start."""
     gap = F.lead("start").over(Window.partitionBy(key).orderBy(order)) - F.col("end")
     return words.withColumn("gap", gap).where(F.col("gap") >= least)
+
+
+def allocate_words(words: DataFrame, segments: DataFrame, batches: DataFrame) -> DataFrame:
+    """(doc, segment, start, end, duration, word_count): the spans of segments from the timed words of their batches.
+
+    words: doc, batch, word_idx, start, end, on the batch's clock. segments: doc, batch, segment, word_count, text. batches: doc, batch,
+    duration, silence. Each batch starts after the ones before and their silences. Where a batch's declared words are as many as its timed
+    ones, segments take theirs in order; elsewhere the words are dealt out in proportion to the characters of the texts (one at least), the
+    last segment taking the rest. A segment without words lies at its batch's start.
+    """
+    in_doc, in_batch = Window.partitionBy("doc").orderBy("batch"), Window.partitionBy("doc", "batch").orderBy("segment")
+    until = in_batch.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("doc", "batch")
+    before = F.sum(F.col("duration") + F.col("silence")).over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = batches.select("doc", "batch", F.coalesce(before, F.lit(0.0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("doc", "batch").orderBy("word_idx"))
+    timed = words.withColumn("place", place).select("doc", "batch", "place", "start", "end")
+    counts = timed.groupBy("doc", "batch").agg(F.count("*").alias("n"))
+    declared = F.greatest(F.coalesce("word_count", F.lit(0)), F.lit(0)).cast("long")
+    chars = F.greatest(F.length(F.trim(F.coalesce("text", F.lit("")))), F.lit(1)).cast("long")
+    asked = segments.join(counts, ["doc", "batch"], "left").join(offsets, ["doc", "batch"]).withColumn("n", F.coalesce("n", F.lit(0)))
+    asked = asked.withColumn("exact", (F.sum(declared).over(whole) == F.col("n")) & (F.col("n") > 0))
+    share = F.least(F.rint(F.col("n") * F.sum(chars).over(until) / F.sum(chars).over(whole)).cast("long"), F.col("n"))
+    last = F.lead("segment").over(in_batch).isNull()
+    asked = asked.withColumn("to", F.when(F.col("exact"), F.sum(declared).over(until)).when(last, F.col("n")).otherwise(share))
+    asked = asked.withColumn("from", F.coalesce(F.lag("to").over(in_batch), F.lit(0)))
+    head = timed.select("doc", "batch", F.col("place").alias("p0"), "start")
+    tail = timed.select("doc", "batch", F.col("place").alias("p1"), "end")
+    spanned = asked.withColumn("p0", F.when(F.col("to") > F.col("from"), F.col("from") + 1)).withColumn("p1", F.when(F.col("to") > F.col("from"), F.col("to")))
+    spanned = spanned.join(head, ["doc", "batch", "p0"], "left").join(tail, ["doc", "batch", "p1"], "left")
+    at = lambda c: round_binary(F.when(F.col("p0").isNotNull(), round_binary(F.col(c) + F.col("offset"), 3)).otherwise(F.col("offset")), 3)
+    out = spanned.select("doc", "segment", at("start").alias("start"), at("end").alias("end"), (F.col("to") - F.col("from")).alias("word_count"))
+    return out.withColumn("duration", round_binary(F.col("end") - F.col("start"), 3))
+
+
+def spoken_words(chars: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, pos, c) of characters as words: (by, first_pos, last_pos, word). White space and each < part words; what stands in <...>,
+    nested too, is left out, and its brackets with it. A > without an open < is a character like any other."""
+    order = Window.partitionBy(*by).orderBy("pos")
+    until = order.rowsBetween(Window.unboundedPreceding, 0)
+    # A depth that never falls below zero: the running sum less the least that it has been.
+    step = F.when(F.col("c") == "<", 1).when(F.col("c") == ">", -1).otherwise(0)
+    raw = chars.withColumn("sum", F.sum(step).over(until))
+    raw = raw.withColumn("depth", F.col("sum") - F.least(F.min("sum").over(until), F.lit(0)))
+    raw = raw.withColumn("was", F.coalesce(F.lag("depth").over(order), F.lit(0)))
+    blank = F.col("c").rlike("^\\s$")
+    raw = raw.withColumn("island", F.sum(F.when(blank | (F.col("c") == "<"), 1).otherwise(0)).over(until))
+    said = raw.where((F.col("depth") == 0) & ~((F.col("c") == ">") & (F.col("was") > 0)) & ~blank)
+    letters = F.array_sort(F.collect_list(F.struct("pos", "c")))  # one word's
+    return said.groupBy(*by, "island").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.array_join(F.transform(letters, lambda x: x["c"]), "").alias("word")).drop("island")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import text as T
+from frameloom.functions.numbers import round_binary
 from frameloom.operators import relational as R
 from frameloom.sources import sinks
 from frameloom.sources.media import CTES, catalog, ledger, segments, table
@@ -53,7 +54,7 @@ def metadata_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hit_projection(spark: SparkSession, d: str) -> DataFrame:
-    return ledger(spark, d).select("event_id", "asset_id", F.bround(F.col("value") / 7, 6).alias("score"))
+    return ledger(spark, d).select("event_id", "asset_id", round_binary(F.col("value") / 7, 6).alias("score"))
 
 
 def metadata_in_order(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +204,7 @@ CATALOGUE = {
     "brief_projection": (brief_projection, _with(f"select vec_id, case when length(c) < 4 then lpad(c, 4, '0') else c end clip_id, category, coalesce(try_cast(duration_sec as double), 0.0) duration_sec, coalesce(try_cast(usage_count as int), 0) usage_count from (select *, coalesce(clip_id, (row_number() over (partition by category order by vec_id))::varchar) c from clip_rows)", "catalog").replace(" select vec_id, case", f", {CLIP_ROWS} select vec_id, case", 1)),
     "durations_map": (durations_map, f"with {CTES['catalog']}, {CLIP_ROWS} select clip_id, try_cast(duration_sec as double) as seconds from clip_rows where clip_id is not null and try_cast(duration_sec as double) is not null"),
     "metadata_projection": (metadata_projection, _with("select clip_id id, scene_description description, duration_sec source_duration_sec, usage_count, len(embedding)::int dimensions from catalog left join embeddings using (vec_id)", "catalog")),
-    "hit_projection": (hit_projection, _with("select event_id, asset_id, round_even(value / 7, 6) score from ledger", "ledger")),
+    "hit_projection": (hit_projection, _with("select event_id, asset_id, printf('%.6f', value / 7)::double score from ledger", "ledger")),
     "metadata_in_order": (metadata_in_order, _with("select position, a.asset_id, c.clip_id, scene_description from (select asset_id, min(event_id) as position from ledger where usage_role = 'click' group by 1) a join catalog c using (asset_id) where status = 'active' and category <> ''", "catalog", "ledger")),
     "clip_vectors": (clip_vectors, _with("select clip_id, asset_id, e.label text_label, v.label visual_label from catalog c join embeddings e using (vec_id) left join embeddings v on v.vec_id + 1 = c.vec_id and v.label % 3 = 0", "catalog")),
     "artifact_context": (artifact_context, _with("select manifest_id, count(*) n, max(case when usage_role = 'purchase' then event_id end) receipt, min(case when event_id % 13 = 0 then run_id end) contract from ledger group by 1", "ledger")),
@@ -218,7 +219,7 @@ CATALOGUE = {
   case p_partkey % 4 when 0 then 'drive:' || p_partkey when 1 then null else 'drive:f' || p_partkey end uri, 'pgc_' || round_even(p_retailprice / 30, 0)::int || 's' as label, (20 + 4 * greatest(p_partkey % 5 - 1, 0))::int as floor from part"""),
     "caption_words": (caption_words, """select doc, '«(' || w || '")' word, coalesce(nullif(regexp_replace(regexp_replace('«(' || w || '")', '^["''“”‘’(\\[{<«»—–-]+', ''), '["''“”‘’)\\]}>«»—–]+$', ''), ''), '«(' || w || '")') clean from (
   select distinct conv_id doc, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) w from conversations)"""),
-    "rounded_numbers": (rounded_numbers, _with("select event_id, case when event_id % 31 = 0 then null else round_even(value, 3) end as value from ledger", "ledger")),
+    "rounded_numbers": (rounded_numbers, _with("select event_id, case when event_id % 31 = 0 then null else printf('%.3f', value)::double end as value from ledger", "ledger")),
     "pacing_warnings": (pacing_warnings, """select doc, concat_ws(',', case when total / 90.0::double * 60 < 120 then 'too_slow' end, case when total / 90.0::double * 60 > 150 then 'too_fast' end, case when total / 130.0::double * 60 / 90.0 > 0.9 then 'too_full' end, case when k = 4 and final > first_ + 3 then 'long_close' end) warnings from (
   select conv_id doc, sum(n) total, count(*) k, arg_min(n, turn) first_, arg_max(n, turn) final from (select *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) n from conversations) group by 1)"""),
     "candidate_insert": (candidate_insert, f"{CANDIDATE_INSERT} select event_id, ok as inserted from sent join fold using (n)"),

@@ -61,10 +61,12 @@ def relevance_by_asset(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pad_reserve(spark: SparkSession, d: str) -> DataFrame:
-    """At most 20 candidates, filled up to 30 with the least used and longest other clips."""
-    first = V.candidates(_scored(spark, d, 6), 6, 20).select("vec_id", F.lit(0).alias("tier"))
-    rest = catalog(spark, d).join(first, "vec_id", "left_anti").orderBy("usage_count", F.desc("duration_sec"), "asset_id").limit(30).select("vec_id", F.lit(1).alias("tier"))
-    return first.unionByName(rest).join(catalog(spark, d), "vec_id", "left").orderBy("tier", "usage_count", F.desc("duration_sec"), "asset_id").limit(30).select("vec_id", "tier")
+    """At most 35 candidates, filled up to 60 with the least used and longest other clips; none where the pool has less than 50."""
+    clips = catalog(spark, d)
+    first = V.candidates(_scored(spark, d, 6), 6, 35).select("vec_id", F.lit(0).alias("tier"))
+    rest = clips.join(first, "vec_id", "left_anti").orderBy("usage_count", F.desc("duration_sec"), "clip_id").limit(60).select("vec_id", F.lit(1).alias("tier"))
+    both = first.unionByName(rest).join(clips, "vec_id", "left").orderBy("tier", "usage_count", F.desc("duration_sec"), "clip_id").limit(60).select("vec_id", "tier")
+    return both.join(clips.agg((F.count("*") >= 50).alias("enough")).where("enough").hint("broadcast"), F.lit(True), "left_semi")
 
 
 def best_feasible(spark: SparkSession, d: str) -> DataFrame:
@@ -152,12 +154,18 @@ def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assignment_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Violations of assignments with planted faults: gaps, repeated clips, unknown clips, and footage that is too short."""
-    order = Window.partitionBy("doc").orderBy("segment")
-    w = words(spark, d).groupBy("doc", "segment").agg(F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"), F.min("start").alias("start"), F.max("end").alias("end"))
-    number = F.col("doc") * 7 + F.when(F.col("doc") % 5 == 0, F.floor(F.col("segment") / 2)).otherwise(F.col("segment"))
-    entries = w.select("doc", "segment", (F.col("first_word") + F.when((F.col("doc") % 4 == 1) & (F.col("segment") == 1), 1).otherwise(0)).alias("first_word"), "last_word", F.least(F.coalesce(F.lead("start").over(order), F.col("end")) - F.col("start"), F.lit(6.0)).alias("span"), F.concat(F.lit("asset_"), (number % 250).cast("string")).alias("asset_id"))
-    return A.audit(entries, catalog(spark, d)).select("doc", "segment", "violation")
+    """Violations of assignments with planted faults of every kind."""
+    w = words(spark, d)
+    parts = w.groupBy("doc", "segment").agg(F.min("word_idx").alias("first_word"), F.max("word_idx").alias("last_word"), F.max("end").alias("end"), F.min("start").alias("start"))
+    half = F.floor((F.col("first_word") + F.col("last_word")) / 2).cast("int")
+    k = F.col("doc") * 3 + F.col("segment")
+    two = parts.where("not (doc % 7 = 3 and segment = 1)").withColumn("place", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.col("last_word") > F.col("first_word"))
+    first = F.when(F.col("place") == 0, F.col("first_word") + F.when(k % 17 == 1, 1).otherwise(0)).otherwise(half + 1 + F.when(k % 13 == 2, 1).otherwise(0))
+    last = F.when(F.col("place") == 0, half).otherwise(F.col("last_word") + F.when(k % 19 == 3, 1).when(k % 11 == 4, -1).otherwise(0))
+    number = F.when((k % 23 == 5) & (F.col("place") == 1), None).when(k % 29 == 6, 9_000_000 + k).otherwise((k * 2 + F.when(k % 31 == 7, 0).otherwise(F.col("place"))) % 150 + 1)
+    span = F.least((F.col("end") - F.col("start")) / 2, F.lit(4.0))
+    entries = two.select("doc", F.when(k % 37 == 8, 900).otherwise(F.col("segment")).alias("segment"), "place", number.cast("string").alias("clip_id"), first.alias("first_word"), last.alias("last_word"), F.when(k % 41 == 9, -0.5).otherwise(F.lit(0.5)).alias("trim"), span.alias("span"))
+    return A.audit(entries, parts.select("doc", "segment", "first_word", "last_word"), catalog(spark, d).select("clip_id", "duration_sec"), w.groupBy("doc").agg(F.count("*").alias("n_words")))
 
 
 #: Folds as recursive queries.
@@ -195,8 +203,9 @@ CATALOGUE = {
     "rank_per_query": (rank_per_query, f"with {SCORED}, {RANKED} select query_id, vec_id, round(score, 6) score, rank from ranked"),
     "candidates": (candidates, f"with {SCORED}, {RANKED} select query_id, vec_id, rank, round(score, 6) score from ranked where rank <= 6 qualify row_number() over (partition by vec_id order by query_id, rank) = 1 order by query_id, rank limit 35"),
     "relevance_by_asset": (relevance_by_asset, f"with {SCORED} select vec_id, round(max(score), 6) relevance from scored group by 1"),
-    "pad_reserve": (pad_reserve, f"""with {SCORED}, {RANKED}, {CTES["catalog"]}, firsts as (select query_id, vec_id, rank from ranked where rank <= 6 qualify row_number() over (partition by vec_id order by query_id, rank) = 1 order by query_id, rank limit 20)
-  select vec_id, tier from (select vec_id, 0 tier from firsts union all (select vec_id, 1 from catalog where vec_id not in (select vec_id from firsts) order by usage_count, duration_sec desc, asset_id limit 30)) left join catalog using (vec_id) order by tier, usage_count, duration_sec desc, asset_id limit 30"""),
+    "pad_reserve": (pad_reserve, f"""with {SCORED}, {RANKED}, {CTES["catalog"]}, firsts as (select query_id, vec_id, rank from ranked where rank <= 6 qualify row_number() over (partition by vec_id order by query_id, rank) = 1 order by query_id, rank limit 35)
+  select vec_id, tier from (select vec_id, 0 tier from firsts union all (select vec_id, 1 from catalog where vec_id not in (select vec_id from firsts) order by usage_count, duration_sec desc, clip_id limit 60)) left join catalog using (vec_id)
+  where (select count(*) from catalog) >= 50 order by tier, usage_count, duration_sec desc, clip_id limit 60"""),
     "best_feasible": (best_feasible, f"with {SCORED}, {CTES['catalog']} select query_id, round(max(score), 6) best from scored join catalog using (vec_id) where duration_sec + 0.05 >= 8.0 group by 1"),
     "parse_vector": (parse_vector, "select vec_id, case when vec_id % 7 = 0 then null else len(embedding)::int end length from embeddings"),
     "unit_vector": (unit_vector, "select vec_id, round(embedding[1]::double / n, 6) as first, round(embedding[64]::double / n, 6) as last from (select *, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) n from embeddings)"),
@@ -214,10 +223,13 @@ CATALOGUE = {
     "kept_redundancy": (kept_redundancy, KEPT),
     "assignment": (assignment, None),
     "greedy_pack": (greedy_pack, GREEDY),
-    "assignment_audit": (assignment_audit, f"""with {CTES["words"]}, {CTES["catalog"]}, w as (select doc, segment, min(word_idx) f, max(word_idx) l, min(start) s, max("end") e from words group by 1, 2),
-  entries as (select doc, segment, f + (doc % 4 = 1 and segment = 1)::int f, l, least(coalesce(lead(s) over (partition by doc order by segment), e) - s, 6.0) span, 'asset_' || ((doc * 7 + case when doc % 5 = 0 then segment // 2 else segment end) % 250) asset_id from w),
-  ordered as (select *, lag(l) over (partition by doc order by segment) before, row_number() over (partition by doc, asset_id order by segment) turn from entries)
-  select doc, segment, 'gap' violation from ordered where f <> coalesce(before + 1, 0) union all select doc, segment, 'repeated_clip' from ordered where turn > 1
-  union all select doc, segment, 'unknown_clip' from ordered where asset_id not in (select asset_id from catalog where status = 'active')
-  union all select doc, segment, 'too_short' from ordered join catalog using (asset_id) where status = 'active' and duration_sec + 0.05 < span"""),
+    "assignment_audit": (assignment_audit, f"""with {CTES["words"]}, {CTES["catalog"]}, parts as (select doc, segment, min(word_idx) f, max(word_idx) l, max("end") e, min(start) s, doc * 3 + segment k from words group by 1, 2),
+  entries as (select doc, case when k % 37 = 8 then 900 else segment end segment, p, case when k % 23 = 5 and p = 1 then null when k % 29 = 6 then (9000000 + k)::varchar else ((k * 2 + case when k % 31 = 7 then 0 else p end) % 150 + 1)::varchar end clip,
+    case when p = 0 then f + (k % 17 = 1)::int else (f + l) // 2 + 1 + (k % 13 = 2)::int end a, case when p = 0 then (f + l) // 2 else l + case when k % 19 = 3 then 1 when k % 11 = 4 then -1 else 0 end end z, case when k % 41 = 9 then -0.5 else 0.5 end trim, least((e - s) / 2, 4.0) span
+    from (select *, unnest([0, 1]) p from parts where not (doc % 7 = 3 and segment = 1) and l > f)),
+  rows_ as (select e.*, case when length(clip) < 4 then lpad(clip, 4, '0') else clip end id, lag(z) over (partition by e.doc, e.segment order by p) prev, lead(p) over (partition by e.doc, e.segment order by p) is null final from entries e),
+  joined as (select r.*, row_number() over (partition by r.doc, id order by r.segment, p) turn, b.f, b.l, n, (select max(duration_sec) from catalog where clip_id = id) dur from rows_ r left join parts b on b.doc = r.doc and b.segment = r.segment left join (select doc, count(*) n from words group by 1) c on c.doc = r.doc),
+  found as (select doc, segment, p::bigint place, unnest([case when f is null then 'unknown_segment' end, case when a < 0 or z >= n or a > z then 'index_out_of_bounds' end, case when a <> coalesce(prev + 1, f) then 'gap' end, case when final and z <> l then 'short_of_segment' end, case when id is null then 'no_clip' end,
+    case when id is not null and dur is null then 'unknown_clip' end, case when id is not null and turn > 1 then 'repeated_clip' end, case when trim < 0 then 'negative_trim' end, case when dur - trim + 0.05 < span then 'too_short' end]) violation from joined)
+  select * from found where violation is not null union all select doc, segment, null, 'missing_segment' from parts where not exists(select 1 from entries e where e.doc = parts.doc and e.segment = parts.segment)"""),
 }
