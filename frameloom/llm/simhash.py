@@ -199,7 +199,7 @@ def _dealt(keyed: DataFrame, uri: str) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
         others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != own)
         split = F.transform(others, lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-        keyed = joined.select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(split)).alias("key"), "fp")
+        keyed = joined.select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(split)).alias("key"), *(c for c in keyed.columns if c != "key"))
     return keyed.repartition("key").sortWithinPartitions("key")
 
 
@@ -211,8 +211,8 @@ def bit_samples(n: int) -> np.ndarray:
     return np.array([sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(count)], np.uint64).view(np.int64)
 
 
-def near_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row numbers) within WIDE_BUDGET bits of rows sorted by group and fp, and the rows of crowds.
+def near_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row numbers) within WIDE_BUDGET bits of rows sorted by group and fp, whether they are of a crowd, and the rows of crowds.
 
     Rows that links within the budget connect are a cluster. Its pairs are all compared, unless it is a crowd
     of more than CLUSTER rows: then each row has only the nearest of the CLUSTER rows that follow it.
@@ -234,7 +234,8 @@ def near_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
         nearest[at[closer]], partner[at[closer]] = bits[closer], y[closer]
     has = np.flatnonzero(nearest <= WIDE_BUDGET)
     found.append((order[has], partner[has]))
-    return *(np.concatenate(z) for z in zip(*found, strict=True)), order[size > CLUSTER]
+    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+    return x, y, np.arange(len(x)) >= len(x) - len(has), order[size > CLUSTER]
 
 
 def between(group: np.ndarray, fp: np.ndarray, component: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,12 +298,15 @@ def _nearest(found: list[tuple[np.ndarray, np.ndarray]], fp: np.ndarray, compone
 
 
 def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) to candidate pairs (u, v), and rows of crowds (key, u)."""
+    """Rows (key, fp) to candidate pairs (u, v) with their differing bits and whether they are of a crowd, and rows of crowds (u alone)."""
     for k, f in _whole_groups(batches):
-        x, y, crowd = near_pairs(k, f.view(np.uint64))
-        columns = np.r_[np.zeros(len(x), np.int64), k[crowd]], np.r_[f[x], f[crowd]], np.r_[f[y], np.zeros(len(crowd), np.int64)]
-        pair = np.arange(len(x) + len(crowd)) < len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], mask=pair), pa.array(columns[1]), pa.array(columns[2], mask=~pair)], names=["key", "u", "v"])
+        x, y, of_crowd, crowd = near_pairs(k, f.view(np.uint64))
+        crowd = np.unique(f[crowd])
+        u, v = np.r_[f[x], crowd], np.r_[f[y], np.zeros(len(crowd), np.int64)]
+        pair = np.arange(len(u)) < len(x)
+        bits = np.bitwise_count((u ^ v).view(np.uint64)).astype(np.int32)
+        columns = [pa.array(u), pa.array(v, mask=~pair), pa.array(bits, mask=~pair), pa.array(np.r_[of_crowd, np.ones(len(crowd), bool)])]
+        yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "bits", "crowd"])
 
 
 def _join_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,11 +316,10 @@ def _join_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y])], names=["u", "v"])
 
 
-def wide_keys(fps: DataFrame, uri: str) -> DataFrame:
-    """Distinct fingerprints (fp) as rows (key, fp), once for each sample of bits."""
-    masks = [F.lit(int(m)) for m in bit_samples(fps.count())]
-    names = F.transform(F.array(*masks), lambda m: F.xxhash64(m, m.bitwiseAND(F.col("fp"))))
-    return _dealt(fps.select(F.explode(names).alias("key"), "fp"), uri)
+def wide_keys(fps: DataFrame, masks: np.ndarray, uri: str) -> DataFrame:
+    """Rows (fp, ..) as rows (key, fp, ..), once for each sample of bits."""
+    names = F.transform(F.array(*(F.lit(int(m)) for m in masks)), lambda m: F.xxhash64(m, m.bitwiseAND(F.col("fp"))))
+    return _dealt(fps.select(F.explode(names).alias("key"), "fp", *(c for c in fps.columns if c != "fp")), uri)
 
 
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -347,13 +350,20 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
     # A node is one content; its number is that of the least document with it.
     nodes = keep(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "words")), f"{uri}/nodes")
     first = keep(nodes.groupBy("fp").agg(F.min_by("node", F.struct("least", "node")).alias("node")), f"{uri}/first")
-    searched = keep(wide_keys(first.select("fp"), uri).mapInArrow(_join_wide, "key long, u long, v long"), f"{uri}/searched")
-    crowd = searched.where(F.col("key").isNotNull()).select("key", F.col("u").alias("fp"))
+    masks = bit_samples(first.count())
+    searched = keep(wide_keys(first.select("fp"), masks, uri).mapInArrow(_join_wide, "u long, v long, bits int, crowd boolean"), f"{uri}/searched")
+    crowd = keep(searched.where(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct(), f"{uri}/crowd")
     end = lambda a, b: first.select(F.col("fp").alias(a), F.col("node").alias(b))
     of_fps = lambda links: links.join(end("u", "a"), "u").join(end("v", "b"), "v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     same = nodes.select("fp", F.col("node").alias("b")).join(end("fp", "a"), "fp").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = keep(of_fps(searched.where(F.col("key").isNull())).unionByName(same).distinct(), f"{uri}/pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.join(end("fp", "node"), "fp").select("node")).distinct()
+    pairs = searched.where(F.col("v").isNotNull()).groupBy("u", "v").agg(F.min("bits").alias("bits"), F.bool_and("crowd").alias("crowd"))
+    pairs = keep(pairs, f"{uri}/candidates")
+    # Each one's nearest first; other pairs only where the links of these leave their ends apart.
+    both = pairs.select("u", "v", "bits").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "bits"))
+    nearest = both.groupBy("u").agg(F.min_by("v", F.struct("bits", "v")).alias("v"))
+    some = keep(of_fps(nearest).unionByName(same).distinct(), f"{uri}/nearest")
+    close = pairs.where(~F.col("crowd")).select("u", "v")
+    ends = some.select(F.explode(F.array("a", "b")).alias("node")).unionByName(close.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(crowd).distinct().join(end("fp", "node"), "fp").select("node")).distinct()
     asked = keep(nodes.join(ends, "node", "left_semi").select("node", "words", F.col("least").alias("doc_id")), f"{uri}/asked")
 
     def sets(ids: pa.Array, texts: pa.Array) -> pa.Array:
@@ -371,22 +381,31 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
         score = F.arrow_udf(_jaccard, "double").asNondeterministic()("s_a", "s_b")
         return keep(asked.join(side("a"), "a").join(side("b"), "b").withColumn("score", score).where(F.col("score") >= least).select("a", "b"), f"{uri}/{name}")
 
-    true = verified(pairs, "true")
-    reach = components(true.select(F.col("a").alias("u"), F.col("b").alias("v")), uri)
+    def merged(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        reach = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{uri}/{name}")
+        labels = first.join(reach, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
+        return reach, keep(labels, f"{uri}/labels-{name}")
+
+    true = verified(some, "true")
+    reach, labels = merged(true, "nearest")
+    side = lambda a: labels.select(F.col("fp").alias(a), F.col("c").alias(f"c_{a}"))
+    apart = close.join(side("u"), "u").join(side("v"), "v").where("c_u <> c_v").select("u", "v")
+    tested = keep(some.unionByName(of_fps(apart).join(some, ["a", "b"], "left_anti")), f"{uri}/tested")
+    more = verified(tested.join(some, ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        true = keep(true.unionByName(more), f"{uri}/links")
+        reach, labels = merged(true, "all")
     # Between the components of crowds, only verified links having merged them: until a round brings no new link.
-    tested, turn = pairs, 0
+    turn = 0
     while not crowd.isEmpty():
         turn += 1
-        labelled = crowd.join(end("fp", "node"), "fp").join(reach, "node", "left").select("key", "fp", F.coalesce("component", "node").alias("c"))
-        open_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        crowd = keep(crowd.join(open_keys, "key", "left_semi"), f"{uri}/crowd-{turn}")
-        labelled = labelled.join(open_keys, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-        more = keep(of_fps(labelled.mapInArrow(_join_between, "u long, v long")).distinct().join(tested, ["a", "b"], "left_anti"), f"{uri}/between-{turn}")
+        dealt = wide_keys(crowd.join(labels, "fp"), masks, f"{uri}/{turn}")
+        more = keep(of_fps(dealt.mapInArrow(_join_between, "u long, v long").distinct()).distinct().join(tested, ["a", "b"], "left_anti"), f"{uri}/between-{turn}")
         new = verified(more, f"true-{turn}")
         if new.isEmpty():
             break
         tested, true = keep(tested.unionByName(more), f"{uri}/tested-{turn}"), keep(true.unionByName(new), f"{uri}/links-{turn}")
-        reach = components(true.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{uri}/{turn}")
+        reach, labels = merged(true, f"{turn}")
     of = nodes.join(reach, "node", "left").select("fp", "words", "least", F.coalesce("component", "node").alias("c"))
     ids = of.groupBy("c").agg(F.min("least").alias("component_id"))
     return marked.join(of.join(ids, "c").select("fp", "words", "component_id"), ["fp", "words"]).select("doc_id", "component_id")
