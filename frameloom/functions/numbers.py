@@ -26,8 +26,10 @@ def round_binary(x: Column, places: int) -> Column:
         e = (high * scale - p) + (v - high) * scale
         whole = F.rint(p)
         apart = p - whole
-        up = F.when((apart == 0.5) & (e > 0), 1.0).when((apart == -0.5) & (e < 0), -1.0)
+        # From 2^52 on p has no fraction, and e may be the half.
+        odd = F.abs(p % 2.0) == 1
+        up = F.when((apart == 0.5) & (e > 0), 1.0).when((apart == -0.5) & (e < 0), -1.0).when((F.abs(e) == 0.5) & odd, F.signum(e))
         rounded = F.when(up.isNotNull(), whole + up).otherwise(whole)
-        return F.when(F.abs(p) < float(1 << 52), rounded / scale).otherwise(v)
+        return F.when(F.abs(p) < float(1 << 53), rounded / scale).otherwise(v)
 
     return exact(x.cast("double"))

@@ -11,14 +11,14 @@ from frameloom.operators.sequences import capped_shares
 from frameloom.operators.vectors import _cut
 
 #: Bins of a histogram, and values of a rank that are few enough to be sorted.
-BINS, FEW = 256, 10_000
+BINS, FEW = 64, 10_000
 
 
 def order_statistics(rows: DataFrame, group: str, value: str, wanted: DataFrame) -> DataFrame:
     """(group, rank, value): the value at each wanted (group, rank), ranks from 1 within the group's values in order.
 
     Exact for groups of any size: each round counts the values of a rank's range in BINS bins and narrows the range to the bin that
-    holds the rank, whose least and largest values are the next range; when FEW values are left, or all are equal, they are sorted. No
+    holds the rank, whose least and largest values are the next range; FEW values that are left are sorted. No
     group's values are held in one task, and a round shuffles counts only. Nulls and NaN are left out; ranks beyond a group have no row.
     """
     clean = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -39,8 +39,13 @@ def order_statistics(rows: DataFrame, group: str, value: str, wanted: DataFrame)
         if todo.isEmpty():
             break
         ranges = todo.select("g", "low", "high").distinct()
-        bin_of = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
-        binned = ranges.join(clean, same(ranges, clean)).where(F.col("v").between(F.col("low"), F.col("high"))).select(ranges["g"], "low", "high", bin_of.alias("bin"), "v")
+        inner = ranges.join(clean, same(ranges, clean)).where(F.col("v").between(F.col("low"), F.col("high"))).select(ranges["g"], "low", "high", "v")
+        # Bins of about equal numbers, whatever the values' spread; their ends are a mergeable sketch, their counts exact.
+        shares = F.array(*(F.lit(i / BINS) for i in range(1, BINS)))
+        ends = _cut(inner.groupBy("g", "low", "high").agg(F.percentile_approx("v", shares).alias("ends")))
+        ends = ends.select(F.col("g").alias("eg"), F.col("low").alias("elow"), F.col("high").alias("ehigh"), "ends")
+        binned = inner.join(ends, inner["g"].eqNullSafe(ends["eg"]) & (inner["low"] == ends["elow"]) & (inner["high"] == ends["ehigh"]))
+        binned = binned.withColumn("bin", F.size(F.filter("ends", lambda x: x < F.col("v"))))
         bins = binned.groupBy("g", "low", "high", "bin").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
         ahead = F.sum("n").over(Window.partitionBy("g", "low", "high").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
         bins = bins.withColumn("ahead", F.coalesce(ahead, F.lit(0))).select(F.col("g").alias("bg"), F.col("low").alias("blow"), F.col("high").alias("bhigh"), F.col("n").alias("bn"), "least", "most", "ahead")
