@@ -136,11 +136,15 @@ def whiten(rows: DataFrame, group: str, keep_zero: bool = True) -> DataFrame:
 
 
 def pivots_of(rows: DataFrame, most: int) -> np.ndarray:
-    """At most so many of the rows' unit vectors, one for about ROWS rows, by the hash of their ids; bounded, so they go to every task."""
+    """At most so many unit vectors, one for about ROWS rows, to every task: of eight times as many rows, taken by the hash of
+    their ids, those that lie farthest from each other, so that clusters have one each. Bounded, whatever the table's size."""
     n = min(most, max(1, rows.count() // ROWS))
-    some = rows.where(F.size("v") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("v").collect()
-    lengths = [len(r["v"]) for r in some]
-    return np.array([r["v"] for r in some if len(r["v"]) == max(lengths)], np.float64) if some else np.empty((0, 0))
+    some = rows.where(F.size("v") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * n).select("v").collect()
+    if not some:
+        return np.empty((0, 0))
+    length = max(len(r["v"]) for r in some)
+    unit = _unit(np.array([r["v"] for r in some if len(r["v"]) == length], np.float64))
+    return unit[maxmin_order(unit, n)]
 
 
 def metric_cells(rows: DataFrame, group: str, pivots: np.ndarray, reach: float) -> DataFrame:
