@@ -40,19 +40,39 @@ def violations(**rules: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items())))
 
 
+#: The bucket, and the forms of ids, hashes and paths.
+BUCKET, HASH = "poi-assets", "^sha256:[0-9a-f]{64}$"
+POI_ID, ASSET_ID, CLIP_ID, UUID = "^poi_[a-z0-9]+$", "^asset_[a-z0-9]+$", "^[0-9]{4}$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+
+
+def _not_positive(text: Column, kind: str = "double") -> Column:
+    """Whether a value that may be missing is there but no positive number."""
+    return text.isNotNull() & ~F.coalesce(text.cast("string").try_cast(kind) > 0, F.lit(False))
+
+
 def row_contract(clips: DataFrame) -> DataFrame:
-    """clips with the violations of the catalog's row contract."""
-    return clips.withColumn(
-        "violations",
-        violations(
-            asset_id=~F.col("asset_id").rlike("^asset_[a-z0-9]+$"),
-            category=F.col("category") == "",
-            clip_id=~F.col("clip_id").rlike("^[0-9]{4}$"),
-            duration=F.col("duration_sec") <= 2.0,
-            poi_id=~F.col("poi_id").rlike("^poi_[a-z0-9]+$"),
-            status=F.col("status") != "active",
-        ),
-    )
+    """clips with the violations of the catalog's row contract: required texts, the forms of ids and hash, the bucket, the path that the ids give,
+    the status (none counts as active), and numbers that are positive where they are there."""
+    required = ("poi_id", "asset_id", "clip_id", "source_storage_bucket", "source_storage_path", "source_content_hash")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    path = F.col("source_storage_path")
+    rules = {f"missing_{c}": blank(c) for c in required}
+    rules |= {c: ~blank(c) & ~F.col(c).rlike(form) for c, form in (("poi_id", POI_ID), ("asset_id", ASSET_ID), ("clip_id", CLIP_ID), ("source_content_hash", HASH))}
+    rules["bucket"] = ~blank("source_storage_bucket") & (F.col("source_storage_bucket") != BUCKET)
+    rules["path_has_bucket"] = ~blank("source_storage_path") & path.startswith(f"{BUCKET}/")
+    rules["path"] = ~blank("source_storage_path") & ~path.startswith(f"{BUCKET}/") & ~path.eqNullSafe(F.concat("poi_id", F.lit("/clips/"), "asset_id", F.lit(".mp4")))
+    rules["status"] = F.col("status").isNotNull() & (F.col("status") != "active")
+    rules |= {c: _not_positive(F.col(c)) for c in ("duration_sec", "fps")}
+    rules |= {c: _not_positive(F.col(c), "bigint") for c in ("width", "height", "file_size_bytes")}
+    return clips.withColumn("violations", violations(**{k: F.coalesce(bad, F.lit(False)) for k, bad in rules.items()}))
+
+
+def music_contract(tracks: DataFrame, least: float) -> DataFrame:
+    """tracks with violations: an id that is no UUID, a blank name or file, a length that is no positive number or below the least."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    seconds = F.col("duration_sec").cast("string").try_cast("double")
+    bad = violations(id=~F.coalesce(F.col("id").rlike(UUID), F.lit(False)), music_name=blank("music_name"), drive_file_id=blank("drive_file_id"), duration_sec=~F.coalesce(seconds > 0, F.lit(False)), short=F.coalesce((seconds > 0) & (seconds < least), F.lit(False)))
+    return tracks.withColumn("violations", bad)
 
 
 def assert_clean(checked: DataFrame) -> DataFrame:
@@ -108,24 +128,33 @@ def cooldown_set(ledger: DataFrame, cutoff: Column, prefix: str = "pgc_run_") ->
     return ledger.where((F.col("created_at") >= cutoff) & F.col("run_id").startswith(prefix)).select("poi_id").distinct()
 
 
-def place_eligibility(clips: DataFrame, ready: DataFrame, claims: DataFrame, cooled: DataFrame, floor: int, policy: ResolutionPolicy) -> DataFrame:
-    """Per place the counts and the first reason that rules it out, or eligible; cooldown is a flag only."""
+def place_eligibility(clips: DataFrame, ready: DataFrame, claims: DataFrame, cooled: DataFrame, floor: int, policy: ResolutionPolicy, first_seen: list[str] | None = None, order: str = "clip_id") -> DataFrame:
+    """Per place the counts, the widths of its fitting clips, attributes of its first clip in order, and the first reason that rules it out, or eligible; cooldown is a flag only."""
     active = clips.where(F.col("status") == "active").withColumn("fits", policy.predicate(F.col("width"), F.col("height")))
     marked = active.join(ready.select("asset_id", F.lit(True).alias("ready")), "asset_id", "left")
+    w, fits = F.col("width"), F.col("fits")
+    attributes = [F.min_by(c, order).alias(c) for c in first_seen or []]
     counts = marked.groupBy("poi_id").agg(
         F.countDistinct("asset_id").alias("active_assets"),
-        F.countDistinct(F.when(F.col("fits"), F.col("asset_id"))).alias("effective_assets"),
-        F.countDistinct(F.when(F.col("fits") & F.col("ready"), F.col("asset_id"))).alias("ready_assets"),
+        F.countDistinct(F.when(fits, F.col("asset_id"))).alias("effective_assets"),
+        F.countDistinct(F.when(fits & F.col("ready"), F.col("asset_id"))).alias("ready_assets"),
+        F.count_if(fits).alias("fitting"),
+        F.count_if(fits & (w.isNull() | (w <= 0))).alias("unknown_width"),
+        F.count_if(fits & w.between(680, 760)).alias("around_720"),
+        F.count_if(fits & w.between(1040, 1120)).alias("around_1080"),
+        F.count_if(fits & (w >= 720)).alias("at_least_720"),
+        *attributes,
     )
     flagged = counts.join(claims.select("poi_id", F.lit(True).alias("claimed")), "poi_id", "left").join(cooled.select("poi_id", F.lit(True).alias("cooled")), "poi_id", "left")
+    short = "insufficient_candidate_ready_assets" if policy.mode == "best_available" else "insufficient_source_resolution_candidate_ready_assets"
     reason = (
         F.when(F.col("claimed"), "in_progress_lock")
         .when(F.col("active_assets") < floor, "insufficient_active_assets")
         .when(F.col("effective_assets") < floor, "insufficient_source_resolution_assets")
-        .when(F.col("ready_assets") < floor, "insufficient_candidate_ready_assets")
+        .when(F.col("ready_assets") < floor, short)
         .otherwise("eligible")
     )
-    return flagged.select("poi_id", "active_assets", "effective_assets", "ready_assets", reason.alias("reason"), F.coalesce("cooled", F.lit(False)).alias("cooldown"))
+    return flagged.select(*counts.columns, reason.alias("reason"), F.coalesce("cooled", F.lit(False)).alias("cooldown"))
 
 
 def active_claims(selections: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -136,10 +165,11 @@ def active_claims(selections: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def select_places(eligible: DataFrame, n: int, seed: int) -> DataFrame:
-    """A seeded sample without replacement, fresh places before cooled ones, in a stable hash order that scales."""
-    order = Window.orderBy("cooldown", F.xxhash64(F.lit(seed), "poi_id"), "poi_id")
-    few = eligible.where(F.col("reason") == "eligible").orderBy("cooldown", F.xxhash64(F.lit(seed), "poi_id"), "poi_id").limit(n)
-    return few.select(F.row_number().over(order).alias("pick"), "poi_id", "cooldown")
+    """A seeded sample without replacement: fresh places first, then cooled ones, each drawn by the hash of a seed of their own and the id."""
+    draw = F.md5(F.concat(F.when(F.col("cooldown"), F.lit(f"{seed + 1}:")).otherwise(f"{seed}:"), F.col("poi_id")).cast("binary"))
+    few = eligible.where(F.col("reason") == "eligible").withColumn("draw", draw).orderBy("cooldown", "draw", "poi_id").limit(n)
+    picked = F.when(F.col("cooldown"), "cooled_fallback").otherwise("fresh")
+    return few.select(F.row_number().over(Window.orderBy("cooldown", "draw", "poi_id")).alias("pick"), "poi_id", "cooldown", picked.alias("selected_as"))
 
 
 # ---- joins and audits -------------------------------------------------------------------------------
@@ -171,12 +201,77 @@ def reconcile(expected: DataFrame, observed: DataFrame, key: str, fields: list[s
     return missing.unionByName(mismatch).unionByName(twice)
 
 
-def manifest_audit(entries: DataFrame, outputs: DataFrame, assets: DataFrame) -> DataFrame:
-    """Error rows (field, key): entries without output or asset, and keys that repeat."""
-    orphan = entries.join(outputs.select("variant"), "variant", "left_anti").select(F.lit("variant").alias("field"), F.col("occurrence_id").alias("key"))
-    unknown = entries.join(assets.select("asset_id"), "asset_id", "left_anti").select(F.lit("asset_id").alias("field"), F.col("occurrence_id").alias("key"))
-    twice = duplicates(entries, "occurrence_id").select(F.lit("occurrence_id").alias("field"), F.col("occurrence_id").alias("key"))
-    return orphan.unionByName(unknown).unionByName(twice)
+def manifest_audit(manifests: DataFrame, outputs: DataFrame, assets: DataFrame, entries: DataFrame) -> DataFrame:
+    """Error rows (manifest_id, field, key) of manifests: their own texts, their lists, and what the lists' rows lack, repeat or refer to in vain.
+
+    manifests: manifest_id, schema_version, run_id, poi_id, poi_name. outputs: manifest_id, n, variant, path, music_label. assets: manifest_id, n, asset_id.
+    entries: manifest_id, n, variant, clip_id, occurrence_id, usage_role, segment, asset_id. n is a row's place in its list and the key of its
+    errors; of repeated keys the first row by n is no error. References count only where there is something to refer to.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    number = F.col("variant").cast("string").try_cast("int")
+    key = F.col("n").cast("string")
+
+    def errors(rows: DataFrame, place: Column, rules: dict[str, Column]) -> DataFrame:
+        names = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items())))
+        return rows.select("manifest_id", F.explode(names).alias("field"), place.alias("key"))
+
+    def again(*by: str) -> Column:
+        return F.row_number().over(Window.partitionBy("manifest_id", *by).orderBy("n")) > 1
+
+    none = F.lit(None).cast("string")
+    top = errors(manifests, none, {"schema_version": ~F.col("schema_version").eqNullSafe(F.lit(1)), "manifest_id": blank("manifest_id"), "run_id": blank("run_id"), "poi.poi_id": blank("poi_id"), "poi.display_name": blank("poi_name")})
+    for name, rows in (("outputs", outputs), ("asset_snapshot", assets), ("timeline_entries", entries)):
+        top = top.unionByName(manifests.join(rows.select("manifest_id").distinct(), "manifest_id", "left_anti").select("manifest_id", F.lit(name).alias("field"), none.alias("key")))
+    made = outputs.withColumn("variant", number).withColumn("good", F.coalesce(F.col("variant") > 0, F.lit(False)))
+    out = errors(made.withColumn("again", again("variant")), key, {"outputs.variant_index": ~F.col("good"), "outputs.variant_index.unique": F.col("good") & F.col("again"), "outputs.output_path": blank("path"), "outputs.music_label": blank("music_label")})
+    snapshot = errors(assets.withColumn("again", again("asset_id")), key, {"asset_snapshot.asset_id": blank("asset_id"), "asset_snapshot.asset_id.unique": ~blank("asset_id") & F.col("again")})
+    variants = made.where("good").select("manifest_id", "variant").distinct()
+    known = assets.where(~blank("asset_id")).select("manifest_id", "asset_id").distinct()
+    has = lambda rows, name: rows.select("manifest_id").distinct().withColumn(name, F.lit(True))
+    lines = entries.withColumn("variant", number).withColumn("again", again("occurrence_id"))
+    lines = lines.join(variants.withColumn("made", F.lit(True)), ["manifest_id", "variant"], "left").join(known.withColumn("listed", F.lit(True)), ["manifest_id", "asset_id"], "left")
+    lines = lines.join(has(variants, "any_made"), "manifest_id", "left").join(has(known, "any_listed"), "manifest_id", "left")
+    good = F.coalesce(F.col("variant") > 0, F.lit(False))
+    timeline = errors(lines, key, {
+        "timeline_entries.variant_index": ~good,
+        "timeline_entries.variant_index.reference": good & F.col("any_made") & F.col("made").isNull(),
+        "timeline_entries.clip_id": blank("clip_id"),
+        "timeline_entries.occurrence_id": blank("occurrence_id"),
+        "timeline_entries.occurrence_id.unique": ~blank("occurrence_id") & F.col("again"),
+        "timeline_entries.usage_role": blank("usage_role"),
+        "timeline_entries.segment": (F.col("usage_role") == "bridge_tail") & F.col("segment").isNotNull(),
+        "timeline_entries.asset_id": blank("asset_id"),
+        "timeline_entries.asset_id.reference": ~blank("asset_id") & F.col("any_listed") & F.col("listed").isNull(),
+    })
+    return top.unionByName(out).unionByName(snapshot).unionByName(timeline)
+
+
+def orphans(entries: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Occurrences of entries without an output."""
+    return entries.join(outputs.select("variant"), "variant", "left_anti").select(F.col("occurrence_id").alias("key"))
+
+
+def receipt_summary(videos: DataFrame, by: list[str]) -> DataFrame:
+    """Counters of a batch's videos by the states of their steps; a video may count for several."""
+    c, one = F.count_if, lambda name, *states: F.col(name).isin(*states)
+    return videos.groupBy(*by).agg(
+        F.count("*").alias("requested_videos"),
+        c(F.coalesce(F.col("state").startswith("rendered"), F.lit(False)) | F.coalesce(F.col("return_code") == 0, F.lit(False))).alias("rendered_videos"),
+        c(one("state", "render_failed")).alias("failed_videos"),
+        c(one("manifest", "found")).alias("manifest_found_videos"),
+        c(one("audit", "passed")).alias("manifest_audited_videos"),
+        c(one("audit", "failed", "error")).alias("manifest_audit_failed_videos"),
+        c(one("usage", "verified")).alias("usage_written_videos"),
+        c(one("candidate", "verified")).alias("release_candidates_created"),
+        c(one("upload", "verified", "verified_existing")).alias("drive_uploaded_videos"),
+        c(one("upload", "failed")).alias("drive_upload_failed_videos"),
+        c(one("upscale", "verified")).alias("final_upscaled_videos"),
+        c(one("upscale", "failed")).alias("final_upscale_failed_videos"),
+        c(one("usage", "failed", "verification_failed")).alias("usage_failed_videos"),
+        c(one("candidate", "failed_retryable", "verification_failed")).alias("release_candidate_failed_videos"),
+        c(one("state", "skipped_quarantined_poi")).alias("quarantined_skipped_videos"),
+    )
 
 
 def append_new(ledger: DataFrame, events: DataFrame, key: str = "event_id") -> DataFrame:

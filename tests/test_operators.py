@@ -71,11 +71,15 @@ def test_cooldown_prefix_is_literal(spark):
 
 
 def test_row_contract_names_its_violations(spark):
-    row = [("asset_1", "poi_a", "12", "", 1.0, "active")]
-    df = spark.createDataFrame(row, "asset_id string, poi_id string, clip_id string, category string, duration_sec double, status string")
-    assert R.row_contract(df).first()["violations"] == ["category", "clip_id", "duration"]
+    schema = "poi_id string, asset_id string, clip_id string, source_storage_bucket string, source_storage_path string, source_content_hash string, status string, duration_sec string, fps string, width string, height int, file_size_bytes long"
+    digest = "sha256:" + "0a" * 32
+    good = ("poi_a", "asset_1", "0012", "poi-assets", "poi_a/clips/asset_1.mp4", digest, None, "1.5", None, "720", 1280, None)
+    bad = ("poi_A", " ", "12", "other", "poi-assets/x", digest[:-1], "archived", "0", "x", "7.5", 0, -1)
+    found = [r["violations"] for r in R.row_contract(spark.createDataFrame([good, bad], schema)).collect()]
+    assert found == [[], ["missing_asset_id", "poi_id", "clip_id", "source_content_hash", "bucket", "path_has_bucket", "status", "duration_sec", "fps", "width", "height", "file_size_bytes"]]
     with pytest.raises(Exception, match="clip_id"):
-        R.assert_clean(R.row_contract(df)).collect()
+        R.assert_clean(R.row_contract(spark.createDataFrame([bad], schema))).collect()
+    assert R.assert_clean(R.row_contract(spark.createDataFrame([good], schema))).count() == 1
 
 
 def test_missing_column_stops_before_planning(spark):
