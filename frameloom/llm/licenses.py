@@ -4,9 +4,10 @@ The index holds the words of the notices below with their places. The licence wo
 by their rarity in the corpus (inverse document frequency over all files), and of each notice so many
 of the rarest are looked up, with all their places in the file, that wherever the notice holds AGREE of
 them stand, whichever words it lacks. A notice's place in the file follows from each hit: file place
-less notice place. Where at least AGREE hits give the same place for the same notice, the notice is a
-candidate; it counts if its key phrase stands there word by word and at least COVERED of its words
-stand where they should. No notice that holds is left out, however many others the file has.
+less notice place. Words that were put in or left out move a notice's other words, so a word counts
+within DRIFT places of its own. Where at least AGREE hits give places so near each other for the same
+notice, the notice is a candidate at all places near them; it counts where its key phrase stands word by
+word and at least COVERED of its words stand about where they should. No notice that holds is left out, however many others the file has.
 
 Base phrases are counted beside that, wherever their words stand consecutively. All steps are
 expressions on one row, so nothing is shuffled but the word frequencies, at most one row a
@@ -15,11 +16,13 @@ lower-cased for what counts: no other character lower-cases to a letter of a phr
 
 Several notices at one place all count, so there are no ties; an empty table stays empty.
 Null and empty texts have no words: counts 0, places null, labels empty, score 0. Long texts are
-scanned whole. Repeated rows give equal rows. Other columns are kept, those named like a new one are replaced.
+scanned whole. Words are lower-cased for notices as for base phrases. Repeated rows give equal rows. Other columns are kept, those named like a new one are replaced.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +62,8 @@ COMMON = (
     "a", "all", "an", "and", "any", "are", "as", "be", "but", "by", "can", "code", "for", "form", "forms", "from", "held", "in", "into", "is", "it", "its", "kind", "made", "may", "name", "names", "no", "of", "on", "or", "person", "published",
     "see", "source", "subject", "terms", "that", "the", "this", "to", "under", "use", "used", "will", "with", "without", "work", "you", "0", "1", "2", "3", "4",
 )
-AGREE, COVERED = 2, 0.8
+AGREE, COVERED, DRIFT = 2, 0.8, 3
+UPPER = string.ascii_uppercase
 
 #: What separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,8 +76,13 @@ def vocabulary() -> list[str]:
     return sorted({w for _, notice, _ in NOTICES for w in notice.split()} - set(COMMON))
 
 
+def lowered(text: Column) -> Column:
+    """A-Z as a-z; other characters, which may lower-case to one of these, stay."""
+    return F.translate(text, UPPER, UPPER.lower())
+
+
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(lowered(text), SEPARATORS), lambda w: w != "")
 
 
 def _strings(values) -> Column:
@@ -129,12 +138,14 @@ def looked_up(rarity: dict[str, float]) -> list[str]:
 
 
 def _candidates(words: Column, chosen: list[str]) -> Column:
-    """Places that at least AGREE hits of the chosen licence words give to the same notice, as numbers."""
+    """Places near which at least AGREE hits of the chosen licence words put the same notice, as numbers."""
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(chosen))
     postings = {w: [(t, q) for t, (_, notice, _) in enumerate(NOTICES) for q, x in enumerate(notice.split()) if x == w] for w in chosen}
     index = F.create_map(*(x for w, places in postings.items() for x in (F.lit(w), F.array(*(F.lit(t * SPAN + BEFORE - q).cast("long") for t, q in places)))))
     numbers = F.array_sort(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: p + h["i"]))))
-    return _let(numbers, lambda all_: F.array_distinct(F.filter(all_, lambda x, i: x == F.get(all_, i - (AGREE - 1)))))
+    # Two words of a notice may have moved DRIFT places to either side of it.
+    agreed = _let(numbers, lambda all_: F.array_distinct(F.filter(all_, lambda x, i: x - F.get(all_, i - (AGREE - 1)) <= 2 * DRIFT)))
+    return F.array_distinct(F.flatten(F.transform(agreed, lambda x: F.transform(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)), lambda d: x + d))))
 
 
 def _matches(words: Column, candidates: Column) -> Column:
@@ -146,9 +157,13 @@ def _matches(words: Column, candidates: Column) -> Column:
         place = (F.pmod(c, F.lit(SPAN)) - BEFORE).cast("int")
         from_key = place + notice["at"]
         stands = F.when(from_key >= 0, F.slice(words, from_key + 1, F.size(notice["key"])) == notice["key"]).otherwise(False)
-        same = F.size(F.filter(F.transform(notice["words"], lambda w, j: F.coalesce(F.get(words, place + j) == w, F.lit(False))), lambda x: x))
-        covered = same / F.size(notice["words"])
-        return F.when(stands & (covered >= COVERED), F.struct(notice["label"].alias("label"), covered.alias("covered")))
+
+        def about(w: Column, j: Column) -> Column:
+            first = F.greatest(place + j - DRIFT, F.lit(0))
+            return F.coalesce(F.array_contains(F.slice(words, first + 1, F.greatest(place + j + DRIFT + 1 - first, F.lit(0))), w), F.lit(False))
+
+        covered = F.size(F.filter(F.transform(notice["words"], about), lambda x: x)) / F.size(notice["words"])
+        return F.when(F.when(stands, covered >= COVERED).otherwise(False), F.struct(notice["label"].alias("label"), covered.alias("covered")))
 
     return F.filter(F.transform(candidates, match), lambda m: m.isNotNull())
 
@@ -162,7 +177,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     files = docs.select(*names, text.alias("__text")).withColumn("__words", words_of(F.col("__text")))
     # Rows without a phrase's or notice's words skip the work on places.
     none = F.expr("cast(array() as array<int>)")
-    lower = F.lower("__text")
+    lower = lowered(F.col("__text"))
     places = [F.when(lower.contains(phrase.split()[-1]), _phrase_places(F.col("__words"), phrase)).otherwise(none) for phrase, _ in BASE]
     has = F.arrays_overlap("__words", _strings(chosen))
     no_match = F.expr("cast(array() as array<struct<label: string, covered: double>>)")
@@ -200,7 +215,7 @@ def _oracle() -> str:
   places as (select rid, words, w, i - 1 as i from (select rid, words, unnest(words) as w, generate_subscripts(words, 1) as i from files)),
   base as (select rid, label, i from places join phrases on w = phrase[1] where words[i + 1 : i + len(phrase)] = phrase),
   keyed as (select rid, label, notice, words, i - ahead as place from places join notices on w = key[1] where words[i + 1 : i + len(key)] = key),
-  held as (select rid, label, len(list_filter(range(len(notice)), lambda j: place + j >= 0 and coalesce(words[place + j + 1] = notice[j + 1], false))) / len(notice) as covered from keyed),
+  held as (select rid, label, len(list_filter(range(len(notice)), lambda j: place + j + {DRIFT} >= 0 and coalesce(list_contains(words[greatest(place + j - {DRIFT}, 0) + 1 : place + j + {DRIFT} + 1], notice[j + 1]), false))) / len(notice) as covered from keyed),
   counted as (select rid, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by 1),
   labelled as (select rid, string_agg(distinct label, ',' order by label) as labels, max(covered) as covered from (select rid, label, null as covered from base union all select rid, label, covered from held where covered >= {COVERED}) group by 1)
   select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,

@@ -147,6 +147,17 @@ def test_license_notices_do_not_displace_each_other(spark):
     assert out[100] >= {label for label, _, _ in licenses.NOTICES}
 
 
+def test_license_notices_hold_with_words_put_in_or_left_out(spark):
+    bsd = next(n for label, n, _ in licenses.NOTICES if label == "bsd")
+    moved = bsd.replace("redistribution and use", "redistribution and any use").replace("conditions are met", "conditions all are met")
+    gpl = next(n for label, n, _ in licenses.NOTICES if label == "lgpl").split()
+    rows = [moved, bsd.replace(" with or without", ""), " ".join(gpl[:3] + gpl[4:]), bsd.replace("source and binary", "source or binary"), "x y " + moved.upper() + " z", bsd.replace("source", "\u017fource").replace("binary", "bin"), bsd.replace("redistribution", " ".join("abcdefgh"))]
+    found = [r.labels for r in licenses.scan(spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    assert found == ["bsd", "bsd", "gpl,lgpl", "", "bsd", "", "bsd"]
+    kelvin = next(n for label, n, _ in licenses.NOTICES if label == "mit" and "hereby" in n).replace("hereby granted free of charge", "hereby granted free of char\u212age")
+    assert licenses.scan(spark.createDataFrame([(1, kelvin)], "doc_id long, text string")).first().labels == ""
+
+
 def test_license_notices_hold_without_their_rarest_words(spark):
     cases = []
     for label, notice, key in licenses.NOTICES:
