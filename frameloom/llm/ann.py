@@ -309,7 +309,10 @@ def _split_cell(uri: str):
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, uri: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
-    """The k nearest rows of vectors for each row of queries: query_id, rank, id, score, and the query's verified rows. Files go to the shared folder uri."""
+    """The k nearest rows of vectors for each row of queries: query_id, rank, id, score, and the query's verified rows. Files go to the shared folder uri.
+
+    Of an id that several vectors have, the least one by its components is asked.
+    """
     spark, factor = vectors.sparkSession, chi_square_quantile(confidence, DIMENSIONS)
     project_all = F.arrow_udf(_projected, "array<double>").asNondeterministic()
 
@@ -320,7 +323,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, uri: str, k: int = 5, id_col
         rows = rows.where(F.col(name).isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(finite).where(F.exists(v, lambda x: x != 0))
         return rows.withColumn("n", F.size("v"))
 
-    asked = keep(valid(queries, "query_id").dropDuplicates(["query_id"]).withColumn("p", project_all("n", "v")), f"{uri}/asked")
+    once = valid(queries, "query_id").groupBy("query_id").agg(F.min("v").alias("v")).withColumn("n", F.size("v"))
+    asked = keep(once.withColumn("p", project_all("n", "v")), f"{uri}/asked")
     rows = valid(vectors, "id").join(asked.select("n").distinct(), "n", "left_semi")
     rows = keep(rows.withColumn("p", project_all("n", "v")), f"{uri}/rows")
     # A row for each length that a query has; a bounded sample of projections.
