@@ -20,6 +20,8 @@ ROWS, QUERIES = 4096, 512
 PIVOTS, PARTS, SLACK = 256, 4, 1e-9
 #: Pairs of near rows that are few enough for a fold.
 FOLD = 500_000
+#: Blocks whose state is small enough to be sent to every task.
+SMALL_STATE = 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -252,35 +254,75 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(n > 0, n, 1.0)
 
 
-def maxmin_select(rows: DataFrame, group: str, k: int, medoid: bool = False, stop: float | None = None) -> DataFrame:
-    """Per group k diverse rows in order of picking: (group, pick, vec_id). A round a pick, over all groups at once.
+def maxmin_select(rows: DataFrame, group: str, k: int, medoid: bool = False, stop: float | None = None, pivots: int = PIVOTS) -> DataFrame:
+    """Per group k diverse rows in order of picking: (group, pick, vec_id), over all groups at once.
 
     The first pick is the smallest id, or the row nearest to the group's sum of unit vectors. Then the row with the least largest
     cosine to the picks follows, ties to the smaller id, until that cosine reaches ``stop``.
+
+    Unit vectors are written once, in blocks around pivots, and stay as they are. A block's state is one row: its best row, how near to the
+    picks that one was, and for how many picks. More picks only bring rows nearer, so an old state bounds its block: a block is read again only
+    while its bound beats the best block that is up to date. First the half of a group's blocks with the least bounds are brought up to date,
+    then whatever is still below the best.
     """
     zero = F.transform("v", lambda x: F.lit(0.0))
-    state = rows.select(group, "vec_id", F.coalesce(unit_vector(F.col("v")), zero).alias("u")).where(F.col("u").isNotNull())
+    units = rows.select(group, "vec_id", F.coalesce(unit_vector(F.col("v")), zero).alias("u")).where(F.col("u").isNotNull())
+    centres = pivots_of(rows, pivots)
+
+    def cells(batches):
+        for batch in batches:
+            u = batch.column("u").to_pylist()
+            cell = [int(np.argmax(centres @ np.array(x))) if centres.size and len(x) == centres.shape[1] else 0 for x in u]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=[*batch.schema.names, "cell"])
+
+    kind = rows.schema[group].dataType.simpleString()
+    id_kind = rows.schema["vec_id"].dataType.simpleString()
+    placed = units.mapInArrow(cells, f"{group} {kind}, vec_id {id_kind}, u array<double>, cell long")
+    number = F.floor((F.row_number().over(Window.partitionBy(group, "cell").orderBy(F.xxhash64("vec_id"))) - 1) / ROWS)
+    blocks = _cut(placed.withColumn("block", number).repartition(group, "cell", "block").sortWithinPartitions(group, "cell", "block"))
+    by = [group, "cell", "block"]
     if medoid:
-        whole = centroid(state, group, "u").groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "mean"))), lambda s: s["mean"]).alias("mean"))
-        state = state.join(whole, group).withColumn("most", -dot(F.col("u"), F.col("mean"))).drop("mean")
+        whole = centroid(blocks, group, "u").groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "mean"))), lambda s: s["mean"]).alias("mean"))
+        first = blocks.join(whole, group).withColumn("most", -dot(F.col("u"), F.col("mean")))
     else:
-        state = state.withColumn("most", F.lit(0.0))
-    picks, state = [], _cut(state)
-    for turn in range(1, k + 1):
-        best = state.groupBy(group).agg(F.min_by(F.struct("vec_id", "u", "most"), F.struct("most", "vec_id")).alias("p"))
-        best = best.select(group, F.col("p.vec_id").alias("pick_id"), F.col("p.u").alias("pu"), F.col("p.most").alias("reached"))
-        if stop is not None and turn > 1:
-            best = best.where(F.col("reached") < stop)
-        best = _cut(best)
-        picks.append(best.select(group, F.lit(turn).cast("long").alias("pick"), F.col("pick_id").alias("vec_id")))
-        if turn < k:  # groups that have stopped drop out
-            near = dot(F.col("u"), F.col("pu"))
-            left = state.join(best, group).where(F.col("vec_id") != F.col("pick_id"))
-            state = _cut(left.select(group, "vec_id", "u", (near if turn == 1 else F.greatest("most", near)).alias("most")))
-    out = picks[0]
-    for more in picks[1:]:
-        out = out.unionByName(more)
-    return out
+        first = blocks.withColumn("most", F.lit(0.0))
+    picked = _cut(first.groupBy(group).agg(F.min_by(F.struct("vec_id", "u"), F.struct("most", "vec_id")).alias("p")).select(group, F.lit(1).cast("long").alias("pick"), "p.vec_id", F.col("p.u").alias("u")))
+    state = blocks.select(*by).distinct().select(*by, F.lit(float("-inf")).alias("bound"), F.lit(None).cast(id_kind).alias("best"), F.lit(0).alias("picks"))
+    state, gone = _cut(state), None
+
+    def fresh(stale: DataFrame, turn: int) -> DataFrame:
+        """The state of these blocks for all picks so far."""
+        near = picked.where(F.col("pick") < turn).groupBy(group).agg(F.collect_list("u").alias("near"), F.collect_list("vec_id").alias("taken"))  # k picks at most
+        most = F.array_max(F.transform("near", lambda p: dot(F.col("u"), p)))
+        open_rows = blocks.join(F.broadcast(stale.select(*by)) if few else stale.select(*by), by).join(near, group).where(~F.array_contains("taken", F.col("vec_id"))).select(*by, "vec_id", most.alias("most"))
+        made = open_rows.groupBy(*by).agg(F.min(F.struct("most", "vec_id")).alias("m"))
+        # A block without open rows is done for good.
+        return stale.select(*by).join(made, by, "left").select(*by, F.coalesce("m.most", F.lit(float("inf"))).alias("bound"), F.col("m.vec_id").alias("best"), F.lit(turn).alias("picks"))
+
+    few = state.count() <= SMALL_STATE
+    most_blocks = state.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    for turn in range(2, k + 1):
+        sure = state
+        if most_blocks > 4:  # with so few all are read in the second step
+            place = F.percent_rank().over(Window.partitionBy(group).orderBy("bound"))
+            again = state.withColumn("place", place).where((F.col("place") <= 0.5) & (F.col("bound") < float("inf"))).drop("place")
+            sure = _cut(fresh(again, turn).unionByName(state.join(again.select(*by), by, "left_anti")))
+        best = sure.where(F.col("picks") == turn).groupBy(group).agg(F.min("bound").alias("least"))
+        again = sure.join(best, group, "left").where((F.col("picks") < turn) & (F.col("bound") <= F.coalesce("least", F.lit(float("inf")))) & (F.col("bound") < float("inf"))).drop("least")
+        state = _cut(fresh(again, turn).unionByName(sure.join(again.select(*by), by, "left_anti")))
+        # A tie goes to the smaller id, also between blocks: those that could tie are up to date.
+        won = state.where((F.col("picks") == turn) & (F.col("bound") < float("inf"))).groupBy(group).agg(F.min(F.struct("bound", "best")).alias("w"))
+        if stop is not None:
+            won = won.where(F.col("w.bound") < stop)
+        if gone is not None:
+            won = won.join(gone, group, "left_semi")
+        chosen = won.select(group, F.col("w.best").alias("vec_id")).join(blocks.select(group, "vec_id", "u"), [group, "vec_id"])
+        new = _cut(chosen.select(group, F.lit(turn).cast("long").alias("pick"), "vec_id", "u"))
+        if new.isEmpty():
+            break
+        gone = new.select(group).distinct()  # groups that have stopped drop out
+        picked = picked.unionByName(new)
+    return picked.select(group, "pick", "vec_id")
 
 
 def diverse_selection(rows: DataFrame, group: str, window: int, k: int) -> DataFrame:

@@ -245,3 +245,24 @@ def test_long_chains_of_near_rows_end(spark, monkeypatch):
             kept += [] if hit else [i]
         r = V.kept_redundancy(df, "g", 0.9).collect()[0]
         assert (r.redundant, r.kept) == (near, len(kept))
+
+
+@pytest.mark.parametrize(("rows", "pivots", "medoid", "stop"), [(4096, 256, False, None), (9, 40, False, None), (9, 40, True, 0.6), (5, 1, True, None)])
+def test_max_min_picks_by_blocks(spark, monkeypatch, rows, pivots, medoid, stop):
+    monkeypatch.setattr(V, "ROWS", rows)
+    rng = np.random.default_rng(rows)
+    data = {g: np.concatenate([rng.normal(size=(n, 5)), np.tile(rng.normal(size=(1, 5)), (3, 1))]) for g, n in ((0, 60), (1, 37), (2, 1))}
+    df = spark.createDataFrame([(g, int(i * 3 + g), x.tolist()) for g, v in data.items() for i, x in enumerate(v)], "g int, vec_id long, v array<double>").repartition(4)
+    found = collections.defaultdict(list)
+    for r in V.maxmin_select(df, "g", 9, medoid, stop, pivots).orderBy("pick").collect():
+        found[r.g].append(r.vec_id)
+    for g, v in data.items():
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        picks = [int(np.argmax(unit @ unit.sum(axis=0)))] if medoid else [0]
+        while len(picks) < min(9, len(v)):
+            most = (unit @ unit[picks].T).max(axis=1).round(12)
+            most[picks] = np.inf
+            if stop is not None and most.min() >= stop:
+                break
+            picks.append(int(np.argmin(most)))
+        assert found[g] == [i * 3 + g for i in picks]
