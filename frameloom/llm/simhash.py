@@ -35,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import give_back, id_text, keep, per_text, shared_dir, small_batches, small_side, table
@@ -48,8 +48,8 @@ BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 GROUP = 20_000
 #: Rows joined at a time, and pairs of nodes held at a time.
 ROWS, PAIRS = 30_000, 200_000
-#: Rows of a cluster whose pairs are all compared; in crowds, partners of a row in a round.
-CLUSTER, PARTNERS = 48, 16
+#: Rows of a cluster whose pairs are all compared; in crowds, partners of a row in a group and in a round.
+CLUSTER, KEYED, PARTNERS = 48, 3, 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -310,10 +310,10 @@ def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, component) to candidate pairs (u, v) of different components."""
+    """Rows (key, fp, component) to candidate pairs (u, v) of different components, with their differing bits."""
     for k, f, c in _whole_groups(batches):
-        x, y = between(k, f.view(np.uint64), c, PARTNERS)
-        yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y])], names=["u", "v"])
+        x, y = between(k, f.view(np.uint64), c, KEYED)
+        yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y]), pa.array(np.bitwise_count((f[x] ^ f[y]).view(np.uint64)).astype(np.int32))], names=["u", "v", "bits"])
 
 
 def wide_keys(fps: DataFrame, masks: np.ndarray, uri: str) -> DataFrame:
@@ -400,7 +400,10 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
     while not crowd.isEmpty():
         turn += 1
         dealt = wide_keys(crowd.join(labels, "fp"), masks, f"{uri}/{turn}")
-        more = keep(of_fps(dealt.mapInArrow(_join_between, "u long, v long").distinct()).distinct().join(tested, ["a", "b"], "left_anti"), f"{uri}/between-{turn}")
+        near = dealt.mapInArrow(_join_between, "u long, v long, bits int").groupBy("u", "v").agg(F.min("bits").alias("bits"))
+        place = F.row_number().over(Window.partitionBy("u").orderBy("bits", "v"))  # a row's partners in all groups
+        near = keep(near.withColumn("place", place).where(F.col("place") <= PARTNERS).select("u", "v"), f"{uri}/near-{turn}")
+        more = keep(of_fps(near).distinct().join(tested, ["a", "b"], "left_anti"), f"{uri}/between-{turn}")
         new = verified(more, f"true-{turn}")
         if new.isEmpty():
             break
