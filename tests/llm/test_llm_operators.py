@@ -799,7 +799,7 @@ def test_pipeline_of_an_empty_table(spark):
 
 
 def test_every_operator_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in llm.queries() if n.startswith("op")] == list(range(1, 11)) and "pipeline" in llm.queries()
+    assert [int(n[2:].split("_")[0]) for n in llm.queries() if n.startswith("op")] == list(range(1, 14)) and "pipeline" in llm.queries()
 
 
 @pytest.mark.parametrize("name", sorted(llm.oracles()))
