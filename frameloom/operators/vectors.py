@@ -229,10 +229,13 @@ def max_cosine_to(rows: DataFrame, chosen: DataFrame, group: str) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, as a checkpoint in the folder that the session names; only where it names none, one below the warehouse."""
-    context = df.sparkSession.sparkContext
+    """df without its lineage, as a checkpoint in the folder that the session names; only where it names none and runs in one process, one below the warehouse."""
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex[:8]}")
+        named = conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or f"{conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex[:8]}")
     return df.checkpoint()
 
 
