@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import give_back, id_text, keep, per_text, shared_dir, small_batches, small_side, table
-from frameloom.llm.components import components
+from frameloom.llm.components import components, least_labels
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
 STAGE_SHINGLE, SIMILARITY, NEAR_BITS, WIDE_BUDGET = 5, 0.8, 10, 14
@@ -72,21 +72,6 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp") -
     return per_text(docs, f"{out_col} long", lambda texts: [np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64).tolist()], text_col)
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The least label that each of n rows reaches by the links a-b, labels being row numbers."""
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        new = new[label]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def trie_join(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """Links (row numbers) that join what is linked within groups; rows are sorted by group, then by unsigned fp, without repeats."""
     n = len(fp)
@@ -123,7 +108,7 @@ def trie_join(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[
                 stack.append((bit + 1, rest))
         x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int32),) * 2
         if len(x):
-            old, label = label, _labels(n, x, y, label)
+            old, label = label, least_labels(n, x, y, label)
             merged = np.flatnonzero(old == np.arange(n))  # earlier components' least rows, each linked to its new least row
             merged = merged[label[merged] != merged]
             kept.append((merged, label[merged]))
@@ -217,7 +202,7 @@ def near_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     Rows that links within the budget connect are a cluster. Its pairs are all compared, unless it is a crowd
     of more than CLUSTER rows: then each row has only the nearest of the CLUSTER rows that follow it.
     """
-    label = _labels(len(fp), *trie_join(group, fp, WIDE_BUDGET), np.arange(len(fp)))
+    label = least_labels(len(fp), *trie_join(group, fp, WIDE_BUDGET), np.arange(len(fp)))
     order = np.argsort(label, kind="stable")
     first = np.flatnonzero(np.r_[True, label[order[1:]] != label[order[:-1]]]) if len(order) else order
     sizes = np.diff(np.r_[first, len(order)])

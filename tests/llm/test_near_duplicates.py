@@ -134,3 +134,20 @@ def test_between_gives_the_nearest_of_the_nearest_components(seed):
                     best[component[b]] = min(best[component[b]], int(np.bitwise_count(fp[a] ^ fp[b])))
             want = sorted(v for v in best.values() if v <= simhash.WIDE_BUDGET)[:most]
             assert sorted(found[a]) == sorted(set(want)) and np.sum(x == a) == len(want)
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    from frameloom.llm import components as C
+
+    monkeypatch.setattr(C, "FEW", few)
+    rnd = random.Random(2)
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(200, 260)] + [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(60)] + [(-5, 3), (3, -5), (9, 9)]
+    rnd.shuffle(links)
+    found = {r.node: r.component for r in C.components(spark.createDataFrame(links, "u long, v long").repartition(3), shared(spark)).collect()}
+    label = {x: x for e in links for x in e}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert found == {x: c for x, c in label.items() if x != c}
+    assert C.components(spark.createDataFrame([], "u long, v long"), shared(spark)).isEmpty()
