@@ -19,7 +19,8 @@ survives, so the groups are named by samples of bits: about log2 of the number o
 a sample, and so many samples that a pair with NEAR_BITS differing bits shares one with 95 %. The trie join
 with WIDE_BUDGET bits gives the clusters of each group, and the similarity of texts decides: all pairs of a cluster
 within the budget are candidates. In a crowd (more than CLUSTER rows) a row has its PARTNERS nearest components, those that
-verified links have made, as candidates; these rounds end when one brings no new link. So no pair is given up because
+verified links have made, as candidates; these rounds end when one brings no new link. A second fingerprint, by other hashes, tells
+pairs that are near by chance, whose number would grow faster than the texts'. So no pair is given up because
 candidates that fail would connect it.
 
 Null and empty texts have fingerprint 0 and link like any other. A text with fewer words than a
@@ -50,30 +51,52 @@ GROUP = 20_000
 ROWS, PAIRS = 30_000, 200_000
 #: Rows of a cluster whose pairs are all compared; in crowds, partners of a row in a group and in a round.
 CLUSTER, KEYED, PARTNERS = 48, 3, 8
+#: Bits that the second fingerprints of a candidate pair may differ in; at a similarity of 0.8 about 10 do, by chance 32.
+SECOND = 19
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as an unsigned number."""
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle of a text, repeats included."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, k = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = (ends - [len(w) + 1 for w in words]).tolist()
-    h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=False)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=False)], np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         counts += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint as an unsigned number."""
+    return _majority(_hashes(text, shingle))
+
+
+def two_fingerprints(text: str | None, shingle: int) -> tuple[int, int]:
+    """The fingerprint, and one of the same shingles by other hashes: texts that are near by chance in one are not so in the other."""
+    h = _hashes(text, shingle)
+    other = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    other = (other ^ other >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return _majority(h), _majority(other ^ other >> np.uint64(32))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp") -> DataFrame:
     """docs with the fingerprint of each text as a signed long."""
     return per_text(docs, f"{out_col} long", lambda texts: [np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64).tolist()], text_col)
 
 
-def trie_join(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row numbers) that join what is linked within groups; rows are sorted by group, then by unsigned fp, without repeats."""
+def trie_join(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row numbers) that join what is linked within groups; rows are sorted by group, then by unsigned fp, without repeats.
+
+    With other, a second fingerprint of each row, links need at most SECOND differing bits there too.
+    """
     n = len(fp)
     label = np.arange(n)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -101,7 +124,7 @@ def trie_join(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[
             a, a_end, b, b_end, _ = below
             leaf = (a_end - a == 1) & (b_end - b == 1)
             x, y = a[leaf], b[leaf]
-            near = np.bitwise_count(fp[x] ^ fp[y]) <= allowed
+            near = _near(fp, other, x, y, allowed)
             found.append((x[near], y[near]))
             rest = below[:, ~leaf]
             if rest.shape[1]:
@@ -115,6 +138,11 @@ def trie_join(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[
     return tuple(np.concatenate(z) for z in zip(*kept, strict=True)) if kept else (np.empty(0, np.int64),) * 2
 
 
+def _near(fp: np.ndarray, other: np.ndarray | None, x: np.ndarray, y: np.ndarray, budget: int) -> np.ndarray:
+    near = np.bitwise_count(fp[x] ^ fp[y]) <= budget
+    return near if other is None else near & (np.bitwise_count(other[x] ^ other[y]) <= SECOND)
+
+
 def _children(pairs: np.ndarray, ones_before: np.ndarray) -> np.ndarray:
     """The pairs of children of pairs of nodes (from, to, from, to, bits that differ); a node is a range of rows."""
     a, a_end, b, b_end, bits = pairs
@@ -196,13 +224,13 @@ def bit_samples(n: int) -> np.ndarray:
     return np.array([sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(count)], np.uint64).view(np.int64)
 
 
-def near_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(group: np.ndarray, fp: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (row numbers) within WIDE_BUDGET bits of rows sorted by group and fp, whether they are of a crowd, and the rows of crowds.
 
     Rows that links within the budget connect are a cluster. Its pairs are all compared, unless it is a crowd
     of more than CLUSTER rows: then each row has only the nearest of the CLUSTER rows that follow it.
     """
-    label = least_labels(len(fp), *trie_join(group, fp, WIDE_BUDGET), np.arange(len(fp)))
+    label = least_labels(len(fp), *trie_join(group, fp, WIDE_BUDGET, other), np.arange(len(fp)))
     order = np.argsort(label, kind="stable")
     first = np.flatnonzero(np.r_[True, label[order[1:]] != label[order[:-1]]]) if len(order) else order
     sizes = np.diff(np.r_[first, len(order)])
@@ -211,7 +239,7 @@ def near_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for step in range(1, min(CLUSTER, int(sizes.max(initial=1)) - 1) + 1):
         at = np.flatnonzero(place + step < size)
         x, y = order[at], order[at + step]
-        bits = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)
+        bits = np.where(_near(fp, other, x, y, WIDE_BUDGET), np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64), WIDE_BUDGET + 1)
         small = size[at] <= CLUSTER
         hit = small & (bits <= WIDE_BUDGET)
         found.append((x[hit], y[hit]))
@@ -223,7 +251,7 @@ def near_pairs(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x, y, np.arange(len(x)) >= len(x) - len(has), order[size > CLUSTER]
 
 
-def between(group: np.ndarray, fp: np.ndarray, component: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def between(group: np.ndarray, fp: np.ndarray, other: np.ndarray, component: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row the nearest row of each of the ``most`` nearest other components within WIDE_BUDGET bits in its group, as pairs (row, other)."""
     n = len(fp)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.empty(0, np.int64)
@@ -252,7 +280,7 @@ def between(group: np.ndarray, fp: np.ndarray, component: np.ndarray, most: int)
             a, a_end, b, b_end, _ = below
             leaf = (a_end - a == 1) & (b_end - b == 1)
             x, y = a[leaf], b[leaf]
-            near = np.bitwise_count(fp[x] ^ fp[y]) <= allowed
+            near = _near(fp, other, x, y, allowed)
             x, y = np.r_[x[near], y[near]], np.r_[y[near], x[near]]
             found.append((x[~full[x]], y[~full[x]]))
             held += len(found[-1][0])
@@ -283,9 +311,9 @@ def _nearest(found: list[tuple[np.ndarray, np.ndarray]], fp: np.ndarray, compone
 
 
 def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) to candidate pairs (u, v) with their differing bits and whether they are of a crowd, and rows of crowds (u alone)."""
-    for k, f in _whole_groups(batches):
-        x, y, of_crowd, crowd = near_pairs(k, f.view(np.uint64))
+    """Rows (key, fp, other) to candidate pairs (u, v) with their differing bits and whether they are of a crowd, and rows of crowds (u alone)."""
+    for k, f, g in _whole_groups(batches):
+        x, y, of_crowd, crowd = near_pairs(k, f.view(np.uint64), g.view(np.uint64))
         crowd = np.unique(f[crowd])
         u, v = np.r_[f[x], crowd], np.r_[f[y], np.zeros(len(crowd), np.int64)]
         pair = np.arange(len(u)) < len(x)
@@ -295,9 +323,9 @@ def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, component) to candidate pairs (u, v) of different components, with their differing bits."""
-    for k, f, c in _whole_groups(batches):
-        x, y = between(k, f.view(np.uint64), c, KEYED)
+    """Rows (key, fp, other, component) to candidate pairs (u, v) of different components, with their differing bits."""
+    for k, f, g, c in _whole_groups(batches):
+        x, y = between(k, f.view(np.uint64), g.view(np.uint64), c, KEYED)
         yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y]), pa.array(np.bitwise_count((f[x] ^ f[y]).view(np.uint64)).astype(np.int32))], names=["u", "v", "bits"])
 
 
@@ -328,15 +356,16 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
 
     def digest(texts: list[str | None]) -> list:
         words = [b" ".join((x or "").encode().lower().split()) for x in texts]
-        return [np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64).tolist(), [xxhash.xxh64_intdigest(w) - (1 << 63) for w in words]]
+        both = np.array([two_fingerprints(x, shingle) for x in texts], np.uint64).reshape(-1, 2).view(np.int64)
+        return [both[:, 0].tolist(), both[:, 1].tolist(), [xxhash.xxh64_intdigest(w) - (1 << 63) for w in words]]
 
     plain = id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
-    marked = keep(per_text(plain, "fp long, words long", digest).select("doc_id", "fp", "words"), f"{uri}/marked")
+    marked = keep(per_text(plain, "fp long, other long, words long", digest).select("doc_id", "fp", "other", "words"), f"{uri}/marked")
     # A node is one content; its number is that of the least document with it.
-    nodes = keep(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "words")), f"{uri}/nodes")
-    first = keep(nodes.groupBy("fp").agg(F.min_by("node", F.struct("least", "node")).alias("node")), f"{uri}/first")
+    nodes = keep(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("least"), F.min("other").alias("other")).withColumn("node", F.xxhash64("fp", "words")), f"{uri}/nodes")
+    first = keep(nodes.groupBy("fp").agg(F.min_by(F.struct("node", "other"), F.struct("least", "node")).alias("n")).select("fp", "n.node", "n.other"), f"{uri}/first")
     masks = bit_samples(first.count())
-    searched = keep(wide_keys(first.select("fp"), masks, uri).mapInArrow(_join_wide, "u long, v long, bits int, crowd boolean"), f"{uri}/searched")
+    searched = keep(wide_keys(first.select("fp", "other"), masks, uri).mapInArrow(_join_wide, "u long, v long, bits int, crowd boolean"), f"{uri}/searched")
     crowd = keep(searched.where(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct(), f"{uri}/crowd")
     end = lambda a, b: first.select(F.col("fp").alias(a), F.col("node").alias(b))
     of_fps = lambda links: links.join(end("u", "a"), "u").join(end("v", "b"), "v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -368,7 +397,7 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
 
     def merged(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         reach = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{uri}/{name}")
-        labels = first.join(reach, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
+        labels = first.join(reach, "node", "left").select("fp", "other", F.coalesce("component", "node").alias("c"))
         return reach, keep(labels, f"{uri}/labels-{name}")
 
     true = verified(some, "true")

@@ -122,7 +122,7 @@ def test_between_gives_the_nearest_of_the_nearest_components(seed):
     fp, group = fp[order], group[order]
     component = np.array([rnd.randrange(30) for _ in fp])
     for most in (1, 3, 1000):
-        x, y = simhash.between(group, fp, component, most)
+        x, y = simhash.between(group, fp, fp, component, most)
         found = collections.defaultdict(set)
         for a, b in zip(x.tolist(), y.tolist(), strict=True):
             found[a].add(int(np.bitwise_count(fp[a] ^ fp[b])))
