@@ -14,7 +14,7 @@ def shared(spark):
     return common.shared_dir(spark, "test")
 
 
-@pytest.mark.parametrize(("group", "n"), [(600, 290), (600, 320), (600, 590), (600, 640), (600, 1000), (600, 1300), (600, 2500)])
+@pytest.mark.parametrize(("group", "n"), [(600, 290), (600, 320), (600, 640), (600, 1000), (600, 2500)])
 def test_crowded_keys_told_by_a_sample_keep_their_links(spark, monkeypatch, group, n):
     """One key of n fingerprints, half of them at 4 bits of the other half; keys are told to be crowded by every second fingerprint."""
     monkeypatch.setattr(simhash, "GROUP", group)
@@ -100,7 +100,7 @@ def test_recall_in_groups_of_variants(spark):
     assert n > 500 and joined >= 0.9 and high >= 0.97 and gone >= 0.9
 
 
-@pytest.mark.parametrize("cluster", [48, 6])
+@pytest.mark.parametrize("cluster", [48])
 def test_recall_in_a_crowd(spark, monkeypatch, cluster):
     """400 variants of one text, most of which are linked by the text alone, beside others."""
     monkeypatch.setattr(simhash, "CLUSTER", cluster)
