@@ -18,7 +18,7 @@ STAGE_SHINGLE words instead. Such texts differ in about 10 of 64 bits at a simil
 survives, so the groups are named by samples of bits: about log2 of the number of fingerprints less 3 bits
 a sample, and so many samples that a pair with NEAR_BITS differing bits shares one with 95 %. The trie join
 with WIDE_BUDGET bits gives the clusters of each group, and the similarity of texts decides: all pairs of a cluster
-within the budget are candidates. In a crowd (more than CLUSTER rows) a row has its PARTNERS nearest components, those that
+within the budget are candidates. In a crowd (more than CLUSTER rows) a row has in each group its PARTNERS nearest components, those that
 verified links have made, as candidates; these rounds end when one brings no new link. A second fingerprint, by other hashes, tells
 pairs that are near by chance, whose number would grow faster than the texts'. So no pair is given up because
 candidates that fail would connect it.
@@ -36,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import give_back, id_text, keep, per_text, shared_dir, small_batches, small_side, table
@@ -49,8 +49,8 @@ BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 GROUP = 20_000
 #: Rows joined at a time, and pairs of nodes held at a time.
 ROWS, PAIRS = 30_000, 200_000
-#: Rows of a cluster whose pairs are all compared; in crowds, partners of a row in a group and in a round.
-CLUSTER, KEYED, PARTNERS = 48, 3, 8
+#: Rows of a cluster whose pairs are all compared; in crowds, partners of a row in a group in a round.
+CLUSTER, PARTNERS = 48, 16
 #: Bits that the second fingerprints of a candidate pair may differ in; at a similarity of 0.8 about 10 do, by chance 32.
 SECOND = 19
 
@@ -323,10 +323,10 @@ def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, other, component) to candidate pairs (u, v) of different components, with their differing bits."""
+    """Rows (key, fp, other, component) to candidate pairs (u, v) of different components."""
     for k, f, g, c in _whole_groups(batches):
-        x, y = between(k, f.view(np.uint64), g.view(np.uint64), c, KEYED)
-        yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y]), pa.array(np.bitwise_count((f[x] ^ f[y]).view(np.uint64)).astype(np.int32))], names=["u", "v", "bits"])
+        x, y = between(k, f.view(np.uint64), g.view(np.uint64), c, PARTNERS)
+        yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y])], names=["u", "v"])
 
 
 def wide_keys(fps: DataFrame, masks: np.ndarray, uri: str) -> DataFrame:
@@ -414,9 +414,7 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
     while not crowd.isEmpty():
         turn += 1
         dealt = wide_keys(crowd.join(labels, "fp"), masks, f"{uri}/{turn}")
-        near = dealt.mapInArrow(_join_between, "u long, v long, bits int").groupBy("u", "v").agg(F.min("bits").alias("bits"))
-        place = F.row_number().over(Window.partitionBy("u").orderBy("bits", "v"))  # a row's partners in all groups
-        near = keep(near.withColumn("place", place).where(F.col("place") <= PARTNERS).select("u", "v"), f"{uri}/near-{turn}")
+        near = keep(dealt.mapInArrow(_join_between, "u long, v long").distinct(), f"{uri}/near-{turn}")
         more = keep(of_fps(near).distinct().join(tested, ["a", "b"], "left_anti"), f"{uri}/between-{turn}")
         new = verified(more, f"true-{turn}")
         if new.isEmpty():
