@@ -188,8 +188,9 @@ def near_dup_pairs(rows: DataFrame, group: str, least: float, pivots: int = PIVO
     reached = placed.join(sizes, [group, "cell"]).where(F.col("home") | (F.col("far") <= F.col("radius") + reach + SLACK)).withColumn("own", F.when(F.col("home"), block).otherwise(-1))
     # A home row is compared with its block and later ones, a visitor with every block.
     asked = reached.withColumn("block", F.explode(F.sequence(F.greatest("own", F.lit(0)), F.col("blocks") - 1)))
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(PARTS))
-    left = reached.where("home").withColumn("block", F.col("own")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    # Both sides' keys must be of one type: an int and a long of the same value are dealt to different tasks.
+    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(PARTS)).cast("long")
+    left = reached.where("home").withColumn("block", F.col("own")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
     by = [group, "cell", "block", "part"]
     left = left.select(*by, "vec_id", "u")
     right = asked.withColumn("part", part).select(*(F.col(c).alias(f"other_{c}") for c in (*by, "own", "vec_id", "u")))

@@ -217,6 +217,21 @@ def test_near_pairs_by_a_metric_index(spark, monkeypatch, pivots, rows, least):
     assert sure <= set(found) <= maybe and all(found[k] == pytest.approx(cos[k[1], k[2]], abs=1e-9) for k in found)
 
 
+def test_near_pairs_with_tasks_of_their_own(spark):
+    """Blocks meet also where shuffle partitions are not merged into one, as they are for small tables."""
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(20, 8)), 10, axis=0) + rng.normal(size=(200, 8)) * 0.1
+    df = spark.createDataFrame([(i % 2, i, x.tolist()) for i, x in enumerate(v)], "g int, vec_id long, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(a % 2, a, b) for a in range(200) for b in range(a + 2, 200, 2) if unit[a] @ unit[b] >= 0.9}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = {(r.g, r.a, r.b) for r in V.near_dup_pairs(df, "g", 0.9).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found == want and want
+
+
 def test_the_metric_index_spares_most_pairs_of_clusters(spark, monkeypatch):
     """Rows that meet in a cell, of all pairs: at 0.85 in 60 clusters under a tenth."""
     monkeypatch.setattr(V, "ROWS", 50)
