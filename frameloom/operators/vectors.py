@@ -112,8 +112,8 @@ def scores(queries: DataFrame, assets: DataFrame, k: int | None = None, least: f
 
 
 def rank_per_query(scored: DataFrame, k: int | None = None) -> DataFrame:
-    """Rows with their rank for the query, from 1; ties go to the smaller id. All of them, or the first k."""
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    """Rows with their rank for the query, from 1; scores equal to 12 places tie, and ties go to the smaller id. All of them, or the first k."""
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 

@@ -232,6 +232,11 @@ def test_near_pairs_with_tasks_of_their_own(spark):
     assert found == want and want
 
 
+def test_ranks_tie_at_twelve_places(spark):
+    scored = spark.createDataFrame([(1, 5, 0.5 + 1e-15), (1, 3, 0.5), (1, 4, 0.5 - 1e-15), (1, 9, 0.6), (1, 1, 0.5 - 1e-9)], "query_id long, vec_id long, score double")
+    assert [r.vec_id for r in V.rank_per_query(scored).orderBy("rank").collect()] == [9, 3, 4, 5, 1]
+
+
 def test_the_metric_index_spares_most_pairs_of_clusters(spark, monkeypatch):
     """Rows that meet in a cell, of all pairs: at 0.85 in 60 clusters under a tenth."""
     monkeypatch.setattr(V, "ROWS", 50)
