@@ -11,12 +11,13 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.text import py_zfill
 from frameloom.operators.sequences import free_windows, least_overlap, phase_trim
-from frameloom.operators.vectors import _cut, cosine, dot, scores
+from frameloom.operators.vectors import QUERIES, ROWS, _cut, cosine, scores
 
 #: What a span may be longer than its clip, and the penalties of an assignment, and the gap of a displaced pick.
 TOLERANCE = 0.05
@@ -24,6 +25,8 @@ STALE, NEIGHBOUR, TWIN, DISPLACED = 0.10, 0.05, 0.50, 0.15
 IMPOSSIBLE = 1e6
 #: Clips of a beat that a fold gets at first.
 FIRST = 64
+#: What a greedy pack keeps of a picked clip.
+PICKED = ["vec_id", "asset_id", "duration_sec", "category", "phase", "u"]
 
 
 # ---- assignment -----------------------------------------------------------------------------------
@@ -96,6 +99,82 @@ def resolve(picks: DataFrame, free: DataFrame, ledger_windows: DataFrame) -> Dat
 # ---- greedy: first fit by a ladder of rules ---------------------------------------------------------
 
 
+def _usable(column: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of length n without nulls as a matrix, other rows zero; and which rows those are."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ok = pc.fill_null(pc.equal(pc.list_value_length(lists), n), False).to_numpy(zero_copy_only=False).copy()
+    flat = lists.filter(pa.array(ok)).flatten()
+    rows, whole = np.zeros((len(lists), n)), flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, n).all(axis=1) if n else np.ones(int(ok.sum()), bool)
+    at = np.flatnonzero(ok)
+    rows[at[whole]] = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)[whole] if n else 0.0
+    ok[at[~whole]] = False
+    return rows, ok
+
+
+def _cosines(q: list[float] | None, block: pa.Table, known: dict) -> np.ndarray:
+    """Cosine of a beat with each clip of a block, minus infinity where there is none, as by ``cosine``."""
+    out = np.full(len(block), -np.inf)
+    if q is None or any(x is None for x in q):
+        return out
+    if len(q) not in known:
+        v, ok = _usable(block.column("v"), len(q))
+        known[len(q)] = v, ok, np.sqrt(np.einsum("ij,ij->i", v, v))
+    v, ok, size = known[len(q)]
+    a = np.array(q, np.float64)
+    size = size * np.sqrt(a @ a)
+    at = np.flatnonzero(ok & ((size > 0) | np.isnan(size)))
+    out[at] = (v @ a)[at] / size[at]
+    return out
+
+
+def _first_by_ladder(asked: DataFrame, pool: DataFrame, threshold: float | None) -> DataFrame:
+    """For each block of a place's pool the first clip of each video by (rung, score, id): its columns, score, rank (the rounded score) and rung."""
+    blocks = lambda df, size: df.groupBy("place").agg(F.ceil(F.count("*") / size).alias("n"))
+    sizes = blocks(pool, ROWS).withColumnRenamed("n", "blocks").join(blocks(asked, QUERIES).withColumnRenamed("n", "parts"), "place")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = pool.join(F.broadcast(sizes), "place").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks")).withColumn("part", every("parts"))
+    right = asked.join(F.broadcast(sizes), "place").withColumn("part", F.pmod(F.xxhash64("video"), "parts")).withColumn("block", every("blocks"))
+    by = ["place", "block", "part"]
+
+    def run(key: tuple, clips: pa.Table, some: pa.Table) -> pa.Table:
+        video, at, score, rank, rung = [], [], [], [], []
+        number = lambda c: np.array(clips.column(c).to_numpy(), np.float64)
+        if len(clips) and len(some):
+            ids, duration, longest = clips.column("vec_id").to_numpy(), number("duration_sec"), number("longest")
+            category = clips.column("category").combine_chunks().dictionary_encode()
+            kinds, category = {x: i for i, x in enumerate(category.dictionary.to_pylist())}, category.indices.to_numpy()
+            known, looks = {}, {}
+            for row in some.to_pylist():
+                if row["span"] is None:
+                    continue
+                fits = np.flatnonzero((duration + TOLERANCE >= row["span"]) & ~np.isin(ids, row["chosen"]))
+                if not len(fits):
+                    continue
+                alike = category == kinds.get(row["before"], -1) if row["before"] != "" else np.zeros(len(ids), bool)
+                near = np.zeros(len(ids), bool)
+                for n in {len(x) for x in row["units"]} if threshold is not None else ():
+                    if n not in looks:
+                        looks[n] = _usable(clips.column("u"), n)
+                    unit, ok = looks[n]
+                    near |= ok & ((unit @ np.array([x for x in row["units"] if len(x) == n], np.float64).T) >= threshold).any(axis=1)
+                steps = np.where(longest < row["span"], 4, 2 * near + alike)[fits]
+                fits = fits[steps == steps.min()]
+                found = _cosines(row["q"], clips, known)
+                rounded = np.round(found, 12) + 0.0
+                top = np.fmax.reduce(rounded[fits])
+                fits = fits if np.isnan(top) else fits[rounded[fits] == top]
+                one = fits[np.argmin(ids[fits])]
+                for column, value in ((video, row["video"]), (at, one), (score, found[one]), (rank, rounded[one]), (rung, steps.min())):
+                    column.append(value)
+        taken = clips.select(PICKED).take(pa.array(at, pa.int64()))
+        return pa.table([pa.array(video, pa.int64()), *taken.columns, pa.array(score, pa.float64()), pa.array(rank, pa.float64()), pa.array(rung, pa.int32())], names=["video", *PICKED, "score", "rank", "rung"])
+
+    kinds = ", ".join(f"{c} {pool.schema[c].dataType.simpleString()}" for c in PICKED)
+    left = left.select(*by, *PICKED, "v", "longest")
+    right = right.select(*by, F.col("video").cast("long").alias("video"), F.col("q").cast("array<double>").alias("q"), "span", "chosen", "units", "before")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"video long, {kinds}, score double, rank double, rung int")
+
+
 def greedy_pack(beats: DataFrame, clips: DataFrame, ledger_windows: DataFrame, threshold: float | None = None) -> DataFrame:
     """A clip for each beat, beat after beat, over whole pools: (video, beat, vec_id, span, score, trim_start, exhausted, ..., status).
 
@@ -103,11 +182,11 @@ def greedy_pack(beats: DataFrame, clips: DataFrame, ledger_windows: DataFrame, t
     category, phase. A clip is used once a video and must cover the span. Among those, the ladder takes the best-ranked clip that has a
     free window, is no near-duplicate of an earlier pick (if there is a threshold) and of another category than the pick before; if there is
     none, of the same category; then near-duplicates of another category, then any with a free window; last the best-ranked at all, which is
-    marked exhausted. That is one minimum by (rung, score, id): each beat is one aggregate over the pools, and no pool is cut. A pool is
-    read once a beat; only the picks are written. A beat that no clip covers is uncovered, and the video goes on.
+    marked exhausted. That is one minimum by (rung, score, id), scores to 12 places: each beat is one aggregate over the pools, and no pool is
+    cut. A pool is read once a beat, in blocks that meet blocks of videos as matrices; only the picks are written. A beat that no clip covers is uncovered, and the video goes on.
     """
     pool, free = with_windows(clips, ledger_windows)
-    pool = _cut(pool.withColumn("category", F.coalesce("category", F.lit(""))))
+    pool = _cut(pool.withColumn("category", F.coalesce("category", F.lit(""))).withColumn("u", F.col("u").cast("array<double>")))
     videos = beats.select("video").distinct()
     empty = {"chosen": "array<bigint>", "units": "array<array<double>>"}
     state = _cut(videos.select("video", *(F.expr(f"cast(array() as {kind})").alias(c) for c, kind in empty.items()), F.lit("").alias("before")))
@@ -115,13 +194,7 @@ def greedy_pack(beats: DataFrame, clips: DataFrame, ledger_windows: DataFrame, t
     picks = []
     for beat in range(-1 if last is None else int(last) + 1):
         asked = state.join(beats.where(F.col("beat") == beat), "video").select("video", "place", "q", "span", *empty, "before")
-        fits = pool.join(asked, "place").where((F.col("duration_sec") + TOLERANCE >= F.col("span")) & ~F.array_contains("chosen", F.col("vec_id")))
-        near = F.coalesce(F.exists("units", lambda c: dot(c, F.col("u")) >= threshold), F.lit(False)) if threshold is not None else F.lit(False)
-        alike = (F.col("before") != "") & (F.col("category") == F.col("before"))
-        rung = F.when(F.col("longest") < F.col("span"), 4).otherwise(F.when(near, 2).otherwise(0) + F.when(alike, 1).otherwise(0))
-        found = fits.withColumn("score", cosine(F.col("q"), F.col("v"))).withColumn("rung", rung)
-        row = F.struct("vec_id", "asset_id", "duration_sec", "category", "phase", "u", "score", "rung")
-        best = found.groupBy("video").agg(F.min_by(row, F.struct("rung", -F.round("score", 12), "vec_id")).alias("p"))
+        best = _first_by_ladder(asked, pool, threshold).groupBy("video").agg(F.min_by(F.struct(*PICKED, "score", "rung"), F.struct("rung", -F.col("rank"), "vec_id")).alias("p"))
         made = asked.select("video", "span").join(best, "video", "left").select("video", F.lit(beat).cast("long").alias("beat"), "span", "p.*")
         picks.append(_cut(made))
         mine = picks[-1].where(F.col("vec_id").isNotNull()).select("video", "vec_id", "u", "category")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from frameloom.operators import assignment as A
 
@@ -122,6 +123,21 @@ def test_greedy_pack_is_the_ladder(spark, seed, threshold, n):
     assert got == replay(beats, clips, windows, threshold)
 
 
+def test_greedy_pack_in_blocks(spark, monkeypatch):
+    """Pools and videos meet in blocks, each of which gives one clip a video; the picks are those of the whole pool."""
+    monkeypatch.setattr(A, "ROWS", 9)
+    monkeypatch.setattr(A, "QUERIES", 1)
+    beats, clips, windows = make(5, 60, 4)
+    b, c, w = frames(spark, beats, clips, windows)
+    found = A.greedy_pack(b, c, w, threshold=0.6).collect()
+    assert {(r.video, r.beat): r.vec_id for r in found} == {k: x[0] for k, x in replay(beats, clips, windows, 0.6).items()}
+    pool, _ = A.with_windows(c, w)
+    none = [F.array().cast(kind).alias(name) for name, kind in (("chosen", "array<long>"), ("units", "array<array<double>>"))]
+    asked = b.where("beat = 0").select("video", "place", "q", "span", *none, F.lit("").alias("before"))
+    rows = A._first_by_ladder(asked, pool, 0.6).groupBy("video").count().collect()
+    assert len(rows) == asked.count() and all(1 < r["count"] <= -(-60 // 9) for r in rows)
+
+
 def test_packs_without_beats_or_clips(spark):
     beats, clips, windows = frames(spark, *make(0, 8, 2))
     assert A.greedy_pack(beats.limit(0), clips, windows).isEmpty() and A.global_pack(beats.limit(0), clips, windows).isEmpty()
