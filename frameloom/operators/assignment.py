@@ -25,6 +25,8 @@ STALE, NEIGHBOUR, TWIN, DISPLACED = 0.10, 0.05, 0.50, 0.15
 IMPOSSIBLE = 1e6
 #: Clips of a beat that a fold gets at first.
 FIRST = 64
+#: Documents of a bucket that bridges are folded for at a time.
+DOCS = 500
 #: What a greedy pack keeps of a picked clip.
 PICKED = ["vec_id", "asset_id", "duration_sec", "category", "phase", "u"]
 
@@ -312,48 +314,70 @@ def global_pack(beats: DataFrame, clips: DataFrame, ledger_windows: DataFrame, t
 # ---- bridges and audits -----------------------------------------------------------------------------
 
 
-def bridge_pools(entries: DataFrame, clips: DataFrame) -> DataFrame:
-    """Per document the clips of its place that bridges may need, longest first: (doc, place_in, clip_id, duration).
+def bridge_buckets(entries: DataFrame, clips: DataFrame, docs: int = DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries with the bucket of about ``docs`` documents of their place; each document's bound; and for each bucket the clips that bridges
+    of its documents may need, longest first: (place, bucket, place_in, clip_id, duration, before).
 
     entries: doc, place, segment, clip_id, start, source, trim, display_end. A gap uses up clips until it is covered, the last one in part;
     so a document needs a prefix of its place's clips by length whose sum is the sum of its gaps, and the longest clip once for each gap and
-    each clip that it shows itself. Clips are numbered with their running sums once a place; what a document gets grows with its gaps.
+    each clip that it shows itself. A bucket gets the longest prefix of its documents: what is dealt out grows with the documents, not with
+    documents times clips.
     """
+    buckets = entries.groupBy("place").agg(F.ceil(F.approx_count_distinct("doc") / docs).alias("buckets"))
+    of = F.broadcast(buckets.withColumnRenamed("place", "of"))
+    dealt = entries.join(of, F.col("place").eqNullSafe(F.col("of"))).withColumn("bucket", F.pmod(F.xxhash64("doc"), "buckets")).drop("of", "buckets")
     open_ = F.greatest(F.col("display_end") - F.col("start") - F.greatest(F.col("source") - F.col("trim"), F.lit(0.0)), F.lit(0.0))
-    need = entries.groupBy("doc", "place").agg(F.sum(open_).alias("need"), F.count("*").alias("n"))
+    need = dealt.groupBy("place", "bucket", "doc").agg(F.sum(open_).alias("need"), F.count("*").alias("n"))
     usable = clips.where("duration > 0").select("place", "clip_id", "duration")
     longest = usable.groupBy("place").agg(F.max("duration").alias("longest"))
+    bounds = need.join(F.broadcast(longest), "place").select("place", "bucket", "doc", (F.col("need") + 2 * F.col("n") * F.col("longest")).alias("bound"))
+    bound = bounds.groupBy("place", "bucket").agg(F.max("bound").alias("bound"))
     order = Window.partitionBy("place").orderBy(F.desc("duration"), "clip_id")
     before = F.coalesce(F.sum("duration").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     listed = usable.withColumn("before", before).withColumn("place_in", F.row_number().over(order))
-    bound = need.join(longest, "place").select("doc", "place", (F.col("need") + 2 * F.col("n") * F.col("longest")).alias("bound"))
-    prefix = bound.join(listed, "place").where(F.col("before") <= F.col("bound"))
-    return prefix.join(entries.select("doc", "clip_id").distinct(), ["doc", "clip_id"], "left_anti").select("doc", "place_in", "clip_id", "duration")
+    # No bucket needs more than the longest prefix of its place.
+    most = bound.groupBy("place").agg(F.max("bound").alias("most"))
+    listed = listed.join(F.broadcast(most), "place").where(F.col("before") <= F.col("most"))
+    prefix = listed.join(bound, "place").where(F.col("before") <= F.col("bound"))
+    return dealt, bounds, prefix.select("place", "bucket", "place_in", "clip_id", "duration", "before")
+
 
+def bridge_pools(entries: DataFrame, clips: DataFrame) -> DataFrame:
+    """The clips that each document's bridges may need: (doc, place_in, clip_id, duration), without those that it shows itself."""
+    _, bounds, prefix = bridge_buckets(entries, clips)
+    own = prefix.join(bounds, ["place", "bucket"]).where(F.col("before") <= F.col("bound"))
+    return own.join(entries.select("doc", "clip_id").distinct(), ["doc", "clip_id"], "left_anti").select("doc", "place_in", "clip_id", "duration")
 
-def bridge_fill(entries: DataFrame, clips: DataFrame) -> DataFrame:
+
+def bridge_fill(entries: DataFrame, clips: DataFrame, docs: int = DOCS) -> DataFrame:
     """(doc, segment, clip, start, used): the unused clips of a document's place that fill what its entries leave uncovered, longest first, each
     once a document. What no clip is left for has a row without clip. Entries without footage of their own (source 0) are left as they are."""
     footage = entries.where("source > 0")
-    pools = bridge_pools(footage, clips)
-
-    def fold(key: tuple, doc: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        left = list(pool.sort_values("place_in")[["clip_id", "duration"]].itertuples(index=False))[::-1]
-        out = []
-        for e in doc.sort_values("segment").itertuples(index=False):
+    dealt, _, pools = bridge_buckets(footage, clips, docs)
+
+    def fold(key: tuple, rows: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        listed = list(pool.sort_values("place_in")[["clip_id", "duration"]].itertuples(index=False, name=None))
+        out, now, at, own = [], None, 0, set()
+        shown = rows.groupby("doc")["clip_id"].agg(set)
+        for e in rows.sort_values(["doc", "segment"]).itertuples(index=False):
+            if e.doc != now:
+                now, at, own = e.doc, 0, shown[e.doc]
             cursor = e.start + max(e.source - e.trim, 0.0)
             while e.display_end - cursor > TOLERANCE:
-                if not left:
+                while at < len(listed) and listed[at][0] in own:
+                    at += 1
+                if at == len(listed):
                     out.append((e.doc, e.segment, None, cursor, e.display_end - cursor))
                     break
-                clip, length = left.pop()
+                clip, length = listed[at]
+                at += 1
                 use = min(e.display_end - cursor, length)
                 out.append((e.doc, e.segment, clip, cursor, use))
                 cursor += use
         return pd.DataFrame(out, columns=["doc", "segment", "clip", "start", "used"])
 
-    own = footage.select(F.col("doc"), "segment", "start", "source", "trim", "display_end")
-    return own.groupBy("doc").cogroup(pools.withColumnRenamed("doc", "of").groupBy("of")).applyInPandas(fold, "doc long, segment long, clip string, start double, used double")
+    own = dealt.select("place", "bucket", "doc", "segment", "clip_id", "start", "source", "trim", "display_end")
+    return own.groupBy("place", "bucket").cogroup(pools.groupBy("place", "bucket")).applyInPandas(fold, "doc long, segment long, clip string, start double, used double")
 
 
 def audit(entries: DataFrame, segments: DataFrame, clips: DataFrame, n_words: DataFrame) -> DataFrame:

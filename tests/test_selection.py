@@ -198,6 +198,17 @@ def test_bridges_get_as_much_of_the_pool_as_they_need(spark):
     assert sorted(map(tuple, A.bridge_fill(e, c).collect()), key=repr) == sorted(want, key=repr) and any(w[2] is None for w in want)
 
 
+def test_bridges_of_documents_in_buckets(spark):
+    """Buckets share a prefix of their place's clips; how documents are dealt to them changes nothing, nor do places unknown or without clips."""
+    entries = [(d, None if d == 90 else d % 4, s, f"{d % 4}{(d * 3 + s) % 50:03d}", 3.0 * s, 1.0, 0.5, 3.0 * s + 3) for d in range(91) for s in range(3)]
+    e = spark.createDataFrame(entries, "doc long, place int, segment int, clip_id string, start double, source double, trim double, display_end double")
+    c = spark.createDataFrame([(p, f"{p}{i:03d}", (i * 7 % 11) / 4) for p in range(3) for i in range(50)], "place int, clip_id string, duration double")
+    whole = sorted(map(tuple, A.bridge_fill(e, c).collect()), key=repr)
+    assert whole == sorted(map(tuple, A.bridge_fill(e, c, docs=4).collect()), key=repr) and {r[0] for r in whole if r[2] is None} == {90, *range(3, 90, 4)}
+    _, bounds, prefix = A.bridge_buckets(e, c, docs=10_000)
+    assert prefix.count() <= 3 * 50 < A.bridge_pools(e, c).count() and bounds.count() == 68
+
+
 # ---- the metric index -------------------------------------------------------------------------------
 
 
