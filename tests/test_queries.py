@@ -70,6 +70,15 @@ def test_pause_budget_stays_under_the_cap(spark):
     assert found["pause_ms"].between(0, 3000).all() and (found["pause_ms"] > 0).any()
 
 
+def test_manifest_audit_shuffles_each_list_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["manifest_audit"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_the_rest_run(spark):
     picks = rows(spark, "select_places")
     assert picks["pick"].tolist() == list(range(1, len(picks) + 1)) and picks["cooldown"].is_monotonic_increasing and picks["poi_id"].is_unique
