@@ -60,7 +60,8 @@ class Tokenizer(dict):
     def _learn(self, runs: set[str]) -> None:
         # A mark after a letter is a word of its own, so "word." is learned as "word" and ".".
         marked = [r for r in runs if r[-1:] in _MARKS and r[-2:-1].lower().isalpha()]
-        plain = {*runs, *(r[:-1] for r in marked), *_MARKS}.difference(self.keys(), marked)
+        # Each is looked up by itself: difference() with the keys would walk through the whole cache.
+        plain = {r for r in {*runs, *(r[:-1] for r in marked), *_MARKS}.difference(marked) if r not in self}
         # A run of letters is one word to the merges; other runs go through the whole tokenizer.
         other = []
         for r in plain:
@@ -80,12 +81,13 @@ class Tokenizer(dict):
         runs = [(x if "<|" in x else x.encode().lower().decode()).replace("\n", " ").split(" ") for x in texts]
         found = [list(map(self.get, run)) for run in runs]
         new: set[str] = set()
-        for run, ids in zip(runs, found, strict=True):
-            if None in ids:
-                new.update([r for r, x in zip(run, ids, strict=True) if x is None])
+        again = [i for i, ids in enumerate(found) if None in ids]
+        for i in again:
+            new.update([r for r, x in zip(runs[i], found[i], strict=True) if x is None])
         self._learn(new)
-        whole = ([self[r] if x is None else x for r, x in zip(run, ids, strict=True)] for run, ids in zip(runs, found, strict=True))
-        return [np.frombuffer(b"".join(ids), "<u4") for ids in whole]
+        for i in again:
+            found[i] = [self[r] if x is None else x for r, x in zip(runs[i], found[i], strict=True)]
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
 
 @lru_cache(maxsize=1)

@@ -236,3 +236,16 @@ def test_token_counts_of_the_table(spark, empty):
         n = len(model.encode(texts[r.doc_id]))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 4096)
     assert prefixes.prefix_counts(empty, B_PATH).isEmpty()
+
+
+def test_learning_words_does_not_walk_through_the_cache():
+    """What a batch costs grows with its own words, not with those that the worker holds."""
+    from frameloom.llm.packing import Tokenizer
+
+    class Walked(Tokenizer):
+        def keys(self):
+            raise AssertionError("the whole cache is read")
+
+    words = Walked(public_tokenizers.path("word_bpe_49k.json"))
+    first = words.encode_all(["one two. three", ""])
+    assert [x.tolist() for x in words.encode_all(["one two. three", ""])] == [x.tolist() for x in first] and len(first[0]) and not len(first[1])
