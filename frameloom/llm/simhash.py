@@ -18,10 +18,11 @@ STAGE_SHINGLE words instead. Such texts differ in about 10 of 64 bits at a simil
 survives, so the groups are named by samples of bits: about log2 of the number of fingerprints less 3 bits
 a sample, and so many samples that a pair with NEAR_BITS differing bits shares one with 95 %. The trie join
 with WIDE_BUDGET bits gives the clusters of each group, and the similarity of texts decides: all pairs of a cluster
-within the budget are candidates. In a crowd (more than CLUSTER rows) a row has in each group its PARTNERS nearest components, those that
-verified links have made, as candidates; these rounds end when one brings no new link. A second fingerprint, by other hashes, tells
+within the budget are candidates. Pairs of a crowd (more than CLUSTER rows) never leave their group's task: it gets the shingles of
+its rows and compares each pair within the budget whose ends no verified link has joined yet, in the first of the samples that the two share,
+and gives only the links that join components. A second fingerprint, by other hashes, tells
 pairs that are near by chance, whose number would grow faster than the texts'. So no pair is given up because
-candidates that fail would connect it.
+candidates that fail would connect it, or because others are nearer.
 
 Null and empty texts have fingerprint 0 and link like any other. A text with fewer words than a
 shingle has is one shingle. Repeated rows share fingerprint and component; null ids count for
@@ -49,8 +50,10 @@ BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 GROUP = 20_000
 #: Rows joined at a time, and pairs of nodes held at a time.
 ROWS, PAIRS = 30_000, 200_000
-#: Rows of a cluster whose pairs are all compared; in crowds, partners of a row in a group in a round.
-CLUSTER, PARTNERS = 48, 16
+#: Rows of a cluster whose pairs are candidates of their own; larger ones are crowds.
+CLUSTER = 48
+#: Shingles that count as a row where crowded groups are cut into blocks; pairs of fingerprints, and shingles, looked at at a time.
+ROW_SHINGLES, CELLS, VALUES = 500, 1 << 21, 1 << 21
 #: Bits that the second fingerprints of a candidate pair may differ in; at a similarity of 0.8 about 10 do, by chance 32.
 SECOND = 19
 
@@ -198,13 +201,16 @@ def links(fps: DataFrame, uri: str) -> DataFrame:
     return _dealt(fps.select(F.explode(F.array(*names)).alias("key"), "fp"), uri).mapInArrow(_join_groups(trie_join), "u long, v long")
 
 
-def _dealt(keyed: DataFrame, uri: str) -> DataFrame:
-    """Rows (key, fp) with the rows of a key next to each other; crowded keys as pairs of blocks, each pair a key of its own."""
+def _dealt(keyed: DataFrame, uri: str, weight: F.Column | None = None) -> DataFrame:
+    """Rows (key, fp) with the rows of a key next to each other; crowded keys as pairs of blocks, each pair a key of its own.
+
+    A row counts as weight rows, if that is given.
+    """
     # Crowded keys are told by every rate-th fingerprint: one with over GROUP rows has 300 in it or so, far from half of that. Both ways are
     # exact, whatever the estimate: a key is left as it is, or cut into two blocks or more, of which each two meet.
     rate = max(1, GROUP // 300)
     some = keyed.where(F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(rate)) == 0) if rate > 1 else keyed
-    large = some.groupBy("key").agg((F.count("*") * rate).alias("n")).where(F.col("n") > (GROUP if rate == 1 else GROUP // 2))
+    large = some.groupBy("key").agg(((F.count("*") if weight is None else F.sum(weight)) * rate).alias("n")).where(F.col("n") > (GROUP if rate == 1 else GROUP // 2))
     large = keep(large, f"{uri}/large")
     if not large.isEmpty():
         joined = keyed.join(large, "key", "left")
@@ -322,11 +328,102 @@ def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "bits", "crowd"])
 
 
-def _join_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, other, component) to candidate pairs (u, v) of different components."""
-    for k, f, g, c in _whole_groups(batches):
-        x, y = between(k, f.view(np.uint64), g.view(np.uint64), c, PARTNERS)
-        yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y])], names=["u", "v"])
+def crowd_links(fp: np.ndarray, other: np.ndarray, label: np.ndarray, masks: np.ndarray, values: np.ndarray, ends: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) of one group with a similarity of least or more that join what is joined by all such pairs within the budget.
+
+    Row k has the sorted distinct shingles values[ends[k] : ends[k + 1]]; rows of one label are joined already. Pairs that agree in the
+    bits of one of masks, those of earlier samples, meet there and are left out here.
+    """
+    n = len(fp)
+    label = np.unique(label, return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+    if n < 2 or not label.any():
+        return (np.empty(0, np.int64),) * 2
+    size = np.diff(ends)
+    _, ids, counts = np.unique(values, return_inverse=True, return_counts=True)
+    # Shingles that no other row of the group has are counted but not kept.
+    held = counts[ids] > 1
+    before = np.r_[0, np.cumsum(held)]
+    ids, ends = ids[held], before[ends]
+    shared = np.diff(ends)
+    mark = np.zeros(len(counts), bool)
+
+    def compare(x: int, y: np.ndarray) -> None:
+        """Link row x to those of rows y that are similar; few first, as a link spares the rest of a component."""
+        most = 16
+        mark[ids[ends[x] : ends[x + 1]]] = True
+        while len(y := y[label[y] != label[x]]):
+            some = y[: max(1, int(np.searchsorted(np.cumsum(shared[y[:most]]), VALUES)))]
+            start = np.cumsum(shared[some]) - shared[some]
+            at = np.arange(shared[some].sum()) + np.repeat(ends[some] - start, shared[some])
+            both = np.diff(np.r_[0, np.cumsum(mark[ids[at]])][np.r_[start, len(at)]])
+            near = some[both / (size[x] + size[some] - both) >= least]
+            if len(near):
+                near = near[np.unique(label[near], return_index=True)[1]]
+                links.extend((x, z) for z in near.tolist())
+                label[np.isin(label, label[near])] = label[x]
+            y, most = y[len(some) :], 4 * most
+        mark[ids[ends[x] : ends[x + 1]]] = False
+
+    # A row's similarity to any other is at most the part of its shingles that others have.
+    rows = np.flatnonzero(shared >= least * size - 1e-6)
+    if len(rows) > CLUSTER:
+        # Each row's nearest of another component comes first, as its link may spare all other pairs of the two.
+        fps, first = np.unique(fp[rows], return_index=True)
+        first = rows[first]
+        for x, y in zip(*between(np.zeros(len(fps), np.int64), fps, other[first], label[first], 1), strict=True):
+            compare(int(first[x]), first[[y]])
+    step = max(1, CELLS // max(1, len(rows)))
+    for low in range(0, len(rows), step):
+        a, b = rows[low : low + step], rows[low:]
+        bits = np.bitwise_count(fp[a, None] ^ fp[b])
+        most = np.minimum(shared[a, None], shared[b])
+        near = (bits <= WIDE_BUDGET) & (label[a, None] != label[b]) & (np.arange(len(a))[:, None] < np.arange(len(b)))
+        near &= (np.bitwise_count(other[a, None] ^ other[b]) <= SECOND) & (most * (1 + least) >= least * (size[a, None] + size[b]) - 1e-6)
+        x, y = np.nonzero(near)
+        apart, here = fp[a[x]] ^ fp[b[y]], np.ones(len(x), bool)
+        for m in masks:
+            here &= apart & m != 0
+        x, y = x[here], y[here]
+        order = np.lexsort((bits[x, y], x))
+        x, y = a[x[order]], b[y[order]]
+        for part in np.split(np.arange(len(x)), np.flatnonzero(x[1:] != x[:-1]) + 1) if len(x) else ():
+            compare(int(x[part[0]]), y[part])
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _join_crowds(masks: np.ndarray, least: float):
+    """Rows (key, sample, fp, other, node, c, s), equal keys next to each other, to links (a, b) of nodes."""
+    masks = masks.view(np.uint64)
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sample, fp, other, node, c, s = pa.Table.from_batches(held).combine_chunks().columns[1:]
+        fp, other, node, c = (x.to_numpy() for x in (fp, other, node, c))
+        s = s.combine_chunks()
+        ends = np.r_[0, np.cumsum(pa.compute.list_value_length(s).to_numpy())].astype(np.int64)
+        values = s.flatten().to_numpy()
+        x, y = crowd_links(fp.view(np.uint64), other.view(np.uint64), c, masks[: sample[0].as_py()], values, ends, least)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and held[-1].column(0)[0].as_py() != key[a]:
+                    made = links(held)
+                    held = []
+                    if made.num_rows:
+                        yield made
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield links(held)
+
+    return run
 
 
 def wide_keys(fps: DataFrame, masks: np.ndarray, uri: str) -> DataFrame:
@@ -335,6 +432,18 @@ def wide_keys(fps: DataFrame, masks: np.ndarray, uri: str) -> DataFrame:
     return _dealt(fps.select(F.explode(names).alias("key"), "fp", *(c for c in fps.columns if c != "fp")), uri)
 
 
+def _crowd_links(rows: DataFrame, sets: DataFrame, masks: np.ndarray, least: float, uri: str) -> DataFrame:
+    """Nodes of crowds (node, fp, other, component or null) and shingles (node, s) to the links (a, b) that join their components."""
+    rows = keep(rows.select("node", "fp", "other", F.coalesce("component", "node").alias("c")), f"{uri}/of_crowds")
+    keys = F.posexplode(F.transform(F.array(*(F.lit(int(m)) for m in masks)), lambda m: F.xxhash64(m, m.bitwiseAND(F.col("fp"))))).alias("sample", "key")
+    # Groups of one component have nothing to join.
+    mixed = rows.select(keys, "c").groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    mixed = small_side(keep(mixed, f"{uri}/mixed"))
+    keyed = rows.join(sets, "node").select(keys, "fp", "other", "node", "c", "s").join(mixed, "key").select("key", "sample", "fp", "other", "node", "c", "s")
+    dealt = _dealt(keyed, f"{uri}/crowds", F.greatest(F.lit(1.0), F.size("s") / ROW_SHINGLES)).select("key", "sample", "fp", "other", "node", "c", "s")
+    return dealt.mapInArrow(_join_crowds(masks, least), "a long, b long").distinct()
+
+
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; 32 bits tell the shingles of two texts apart."""
     words = (text or "").encode().lower().split()
@@ -377,7 +486,8 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
     nearest = both.groupBy("u").agg(F.min_by("v", F.struct("bits", "v")).alias("v"))
     some = keep(of_fps(nearest).unionByName(same).distinct(), f"{uri}/nearest")
     close = pairs.where(~F.col("crowd")).select("u", "v")
-    ends = some.select(F.explode(F.array("a", "b")).alias("node")).unionByName(close.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(crowd).distinct().join(end("fp", "node"), "fp").select("node")).distinct()
+    ends = some.select(F.explode(F.array("a", "b")).alias("node")).unionByName(close.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(end("fp", "node"), "fp").select("node"))
+    ends = ends.unionByName(nodes.join(crowd, "fp").select("node")).distinct()
     asked = keep(nodes.join(ends, "node", "left_semi").select("node", "words", F.col("least").alias("doc_id")), f"{uri}/asked")
 
     def sets(ids: pa.Array, texts: pa.Array) -> pa.Array:
@@ -404,23 +514,14 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
     reach, labels = merged(true, "nearest")
     side = lambda a: labels.select(F.col("fp").alias(a), F.col("c").alias(f"c_{a}"))
     apart = close.join(side("u"), "u").join(side("v"), "v").where("c_u <> c_v").select("u", "v")
-    tested = keep(some.unionByName(of_fps(apart).join(some, ["a", "b"], "left_anti")), f"{uri}/tested")
-    more = verified(tested.join(some, ["a", "b"], "left_anti"), "more")
+    more = verified(of_fps(apart).join(some, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         true = keep(true.unionByName(more), f"{uri}/links")
-        reach, labels = merged(true, "all")
-    # Between the components of crowds, only verified links having merged them: until a round brings no new link.
-    turn = 0
-    while not crowd.isEmpty():
-        turn += 1
-        dealt = wide_keys(crowd.join(labels, "fp"), masks, f"{uri}/{turn}")
-        near = keep(dealt.mapInArrow(_join_between, "u long, v long").distinct(), f"{uri}/near-{turn}")
-        more = keep(of_fps(near).distinct().join(tested, ["a", "b"], "left_anti"), f"{uri}/between-{turn}")
-        new = verified(more, f"true-{turn}")
-        if new.isEmpty():
-            break
-        tested, true = keep(tested.unionByName(more), f"{uri}/tested-{turn}"), keep(true.unionByName(new), f"{uri}/links-{turn}")
-        reach, labels = merged(true, f"{turn}")
+        reach, _ = merged(true, "all")
+    if not crowd.isEmpty():
+        new = keep(_crowd_links(nodes.join(crowd, "fp").join(reach, "node", "left"), found, masks, least, uri), f"{uri}/between")
+        if not new.isEmpty():
+            reach, _ = merged(true.unionByName(new), "crowds")
     of = nodes.join(reach, "node", "left").select("fp", "words", "least", F.coalesce("component", "node").alias("c"))
     ids = of.groupBy("c").agg(F.min("least").alias("component_id"))
     return marked.join(of.join(ids, "c").select("fp", "words", "component_id"), ["fp", "words"]).select("doc_id", "component_id")

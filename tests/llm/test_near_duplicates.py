@@ -136,6 +136,71 @@ def test_between_gives_the_nearest_of_the_nearest_components(seed):
             assert sorted(found[a]) == sorted(set(want)) and np.sum(x == a) == len(want)
 
 
+def candidates(texts):
+    """Pairs within the budgets that share a sample of bits, which are all that the stage may compare."""
+    fp, other = np.array([simhash.two_fingerprints(" ".join(t), 5) for t in texts], np.uint64).T
+    masks = simhash.bit_samples(len(set(fp.tolist()))).view(np.uint64)
+    apart = fp[:, None] ^ fp
+    met = np.zeros(apart.shape, bool)
+    for m in masks:
+        met |= apart & m == 0
+    return met & (np.bitwise_count(apart) <= simhash.WIDE_BUDGET) & (np.bitwise_count(other[:, None] ^ other) <= simhash.SECOND)
+
+
+@pytest.mark.parametrize(("group", "cells"), [(20_000, 1 << 21), (300, 1000)])
+def test_no_candidate_of_a_crowd_is_given_up(spark, monkeypatch, group, cells):
+    """700 variants that are near in bits and mostly under 0.8, and pairs among them that are just over: every link joins."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "CELLS", cells, raising=False)
+    monkeypatch.setattr(simhash, "VALUES", cells, raising=False)
+    rnd = random.Random(8)
+    base = words_of(rnd, 400)
+    texts = []
+    for _ in range(600):
+        w = list(base)
+        for k in range(7):
+            w[57 * k + rnd.randrange(50)] = f"new{rnd.random()}"
+        texts.append(w)
+    for origin in texts[:100]:
+        w = list(origin)
+        for k in range(8):
+            w[50 * k + rnd.randrange(40)] = f"new{rnd.random()}"
+        texts.append(w)
+    rnd.shuffle(texts)
+    sets, near = [shingles(t) for t in texts], candidates(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if near[i, j] and similarity(sets[i], sets[j]) >= 0.8]
+    label = simhash.least_labels(len(texts), *np.array(links).T, np.arange(len(texts)))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in simhash.similar(df, shared(spark)).collect()}
+    print(f"{near.sum() // 2} candidates, {len(links)} links, {len(set(label.tolist()))} components, {len(set(found.values()))} found")
+    assert near.sum() > 20_000 and len(set(label.tolist())) > 50 and found == dict(enumerate(label.tolist()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_of_one_crowd_join_what_all_pairs_join(seed):
+    """A group of fingerprints around one with random sets, against all pairs of it, with pairs of earlier samples left out."""
+    rnd = np.random.default_rng(seed)
+    n, least = 150, 0.8
+    fp, other = (np.array([sum(1 << b for b in rnd.choice(64, 6, replace=False).tolist()) for _ in range(n)], np.uint64) for _ in range(2))
+    origins = [rnd.choice(100_000, 40, replace=False) for _ in range(30)]
+    sets = [np.unique(np.r_[o[rnd.random(40) < 0.95], rnd.choice(100_000, rnd.integers(3))]).astype(np.int32) for o in (origins[k] for k in rnd.integers(0, 30, n))]
+    label = rnd.integers(0, 100, n)
+    masks = np.array([0b1111 << 20, 0b1111 << 40], np.uint64)
+    ends = np.r_[0, np.cumsum([len(x) for x in sets])]
+    x, y = simhash.crowd_links(fp, other, label, masks, np.concatenate(sets), ends, least)
+    apart = fp[:, None] ^ fp
+    near = (np.bitwise_count(apart) <= simhash.WIDE_BUDGET) & (np.bitwise_count(other[:, None] ^ other) <= simhash.SECOND)
+    near &= (apart & masks[0] != 0) & (apart & masks[1] != 0)
+    score = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets])
+    start = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
+    i, j = np.nonzero(near & (score >= least))
+    assert (score[x, y] >= least).all() and len(i) > 20
+    # Nearest first may link pairs that earlier samples hold as well; nothing else is joined beside what all pairs join.
+    every = np.nonzero((np.bitwise_count(apart) <= simhash.WIDE_BUDGET) & (np.bitwise_count(other[:, None] ^ other) <= simhash.SECOND) & (score >= least))
+    mine, wide = simhash.least_labels(n, x, y, start), simhash.least_labels(n, *every, start)
+    assert (mine[i] == mine[j]).all() and (wide == wide[mine]).all()
+
+
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_components_of_chains_and_stars(spark, monkeypatch, few):
     from frameloom.llm import components as C
