@@ -17,12 +17,12 @@ For stages on word shingles similar() links texts by their Jaccard similarity ov
 STAGE_SHINGLE words instead. Such texts differ in about 10 of 64 bits at a similarity of 0.8, which no choice of whole bands
 survives, so the groups are named by samples of bits: about log2 of the number of fingerprints less 3 bits
 a sample, and so many samples that a pair with NEAR_BITS differing bits shares one with 95 %. The trie join
-with WIDE_BUDGET bits gives the clusters of each group, and the similarity of texts decides: all pairs of a cluster
-within the budget are candidates. Pairs of a crowd (more than CLUSTER rows) never leave their group's task: it gets the shingles of
+with WIDE_BUDGET bits gives the clusters of each group, and the similarity of texts decides. Only a row's nearest leaves the group as a pair;
+of other pairs only the rows' clusters do, one row for each text and sample. Where the links of the nearest leave a cluster in parts, a task gets the shingles of
 its rows and compares each pair within the budget whose ends no verified link has joined yet, in the first of the samples that the two share,
 and gives only the links that join components. A second fingerprint, by other hashes, tells
 pairs that are near by chance, whose number would grow faster than the texts'. So no pair is given up because
-candidates that fail would connect it, or because others are nearer.
+candidates that fail would connect it, or because others are nearer, and rows grow with the texts, not with the pairs of a cluster.
 
 Null and empty texts have fingerprint 0 and link like any other. A text with fewer words than a
 shingle has is one shingle. Repeated rows share fingerprint and component; null ids count for
@@ -50,7 +50,7 @@ BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 GROUP = 20_000
 #: Rows joined at a time, and pairs of nodes held at a time.
 ROWS, PAIRS = 30_000, 200_000
-#: Rows of a cluster whose pairs are candidates of their own; larger ones are crowds.
+#: Rows on either side of a row that its nearest is looked for among; clusters of more rows have nearest pairs of parts compared first.
 CLUSTER = 48
 #: Shingles that count as a row where crowded groups are cut into blocks; pairs of fingerprints, and shingles, looked at at a time.
 ROW_SHINGLES, CELLS, VALUES = 500, 1 << 21, 1 << 21
@@ -85,9 +85,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def two_fingerprints(text: str | None, shingle: int) -> tuple[int, int]:
     """The fingerprint, and one of the same shingles by other hashes: texts that are near by chance in one are not so in the other."""
     h = _hashes(text, shingle)
+    return _majority(h), _majority(_second_hash(h))
+
+
+def _second_hash(h: np.ndarray) -> np.ndarray:
     other = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
     other = (other ^ other >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return _majority(h), _majority(other ^ other >> np.uint64(32))
+    return other ^ other >> np.uint64(32)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp") -> DataFrame:
@@ -201,21 +205,21 @@ def links(fps: DataFrame, uri: str) -> DataFrame:
     return _dealt(fps.select(F.explode(F.array(*names)).alias("key"), "fp"), uri).mapInArrow(_join_groups(trie_join), "u long, v long")
 
 
-def _dealt(keyed: DataFrame, uri: str, weight: F.Column | None = None) -> DataFrame:
+def _dealt(keyed: DataFrame, uri: str, weight: F.Column | None = None, by: str = "fp") -> DataFrame:
     """Rows (key, fp) with the rows of a key next to each other; crowded keys as pairs of blocks, each pair a key of its own.
 
-    A row counts as weight rows, if that is given.
+    A row counts as weight rows, if that is given. Blocks are cut by the column by.
     """
     # Crowded keys are told by every rate-th fingerprint: one with over GROUP rows has 300 in it or so, far from half of that. Both ways are
     # exact, whatever the estimate: a key is left as it is, or cut into two blocks or more, of which each two meet.
     rate = max(1, GROUP // 300)
-    some = keyed.where(F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(rate)) == 0) if rate > 1 else keyed
+    some = keyed.where(F.pmod(F.xxhash64(F.lit(SEED), by), F.lit(rate)) == 0) if rate > 1 else keyed
     large = some.groupBy("key").agg(((F.count("*") if weight is None else F.sum(weight)) * rate).alias("n")).where(F.col("n") > (GROUP if rate == 1 else GROUP // 2))
     large = keep(large, f"{uri}/large")
     if not large.isEmpty():
         joined = keyed.join(large, "key", "left")
         blocks = F.greatest(F.lit(2), F.ceil(F.col("n") / GROUP)).cast("int")
-        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+        own = F.pmod(F.xxhash64(by), blocks).cast("int")
         others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != own)
         split = F.transform(others, lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
         keyed = joined.select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(split)).alias("key"), *(c for c in keyed.columns if c != "key"))
@@ -230,31 +234,30 @@ def bit_samples(n: int) -> np.ndarray:
     return np.array([sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(count)], np.uint64).view(np.int64)
 
 
-def near_pairs(group: np.ndarray, fp: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row numbers) within WIDE_BUDGET bits of rows sorted by group and fp, whether they are of a crowd, and the rows of crowds.
+def clusters(group: np.ndarray, fp: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by group and fp those that links within WIDE_BUDGET bits connect: the row, its cluster, its nearest row (-1: none) and the bits that differ.
 
-    Rows that links within the budget connect are a cluster. Its pairs are all compared, unless it is a crowd
-    of more than CLUSTER rows: then each row has only the nearest of the CLUSTER rows that follow it.
+    A cluster is named by its fingerprints, so one that several samples of bits give has one name. The nearest row is
+    that of the CLUSTER rows before and after in the cluster.
     """
     label = least_labels(len(fp), *trie_join(group, fp, WIDE_BUDGET, other), np.arange(len(fp)))
     order = np.argsort(label, kind="stable")
-    first = np.flatnonzero(np.r_[True, label[order[1:]] != label[order[:-1]]]) if len(order) else order
+    order = order[np.bincount(label, minlength=len(fp))[label[order]] > 1]
+    if not len(order):
+        return order, np.empty(0, np.int64), order, order
+    first = np.flatnonzero(np.r_[True, label[order[1:]] != label[order[:-1]]])
     sizes = np.diff(np.r_[first, len(order)])
-    size, place = np.repeat(sizes, sizes), np.arange(len(order)) - np.repeat(first, sizes)
-    found, nearest, partner = [], np.full(len(order), WIDE_BUDGET + 1), np.zeros(len(order), np.int64)
-    for step in range(1, min(CLUSTER, int(sizes.max(initial=1)) - 1) + 1):
-        at = np.flatnonzero(place + step < size)
+    left = np.repeat(first + sizes, sizes) - np.arange(len(order))
+    nearest, partner = np.full(len(order), WIDE_BUDGET + 1), np.full(len(order), -1)
+    for step in range(1, min(CLUSTER, int(sizes.max()) - 1) + 1):
+        at = np.flatnonzero(left > step)
         x, y = order[at], order[at + step]
         bits = np.where(_near(fp, other, x, y, WIDE_BUDGET), np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64), WIDE_BUDGET + 1)
-        small = size[at] <= CLUSTER
-        hit = small & (bits <= WIDE_BUDGET)
-        found.append((x[hit], y[hit]))
-        closer = ~small & (bits < nearest[at])
-        nearest[at[closer]], partner[at[closer]] = bits[closer], y[closer]
-    has = np.flatnonzero(nearest <= WIDE_BUDGET)
-    found.append((order[has], partner[has]))
-    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-    return x, y, np.arange(len(x)) >= len(x) - len(has), order[size > CLUSTER]
+        for here, there in ((at, at + step), (at + step, at)):
+            closer = bits < nearest[here]
+            nearest[here[closer]], partner[here[closer]] = bits[closer], order[there[closer]]
+    names = np.add.reduceat(_second_hash(fp[order]), first)
+    return order, np.repeat(names, sizes).view(np.int64), partner, nearest
 
 
 def between(group: np.ndarray, fp: np.ndarray, other: np.ndarray, component: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,19 +320,16 @@ def _nearest(found: list[tuple[np.ndarray, np.ndarray]], fp: np.ndarray, compone
 
 
 def _join_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, other) to candidate pairs (u, v) with their differing bits and whether they are of a crowd, and rows of crowds (u alone)."""
+    """Rows (key, fp, other) to rows of clusters: the cluster, u, the nearest v or null, and the bits between."""
     for k, f, g in _whole_groups(batches):
-        x, y, of_crowd, crowd = near_pairs(k, f.view(np.uint64), g.view(np.uint64))
-        crowd = np.unique(f[crowd])
-        u, v = np.r_[f[x], crowd], np.r_[f[y], np.zeros(len(crowd), np.int64)]
-        pair = np.arange(len(u)) < len(x)
-        bits = np.bitwise_count((u ^ v).view(np.uint64)).astype(np.int32)
-        columns = [pa.array(u), pa.array(v, mask=~pair), pa.array(bits, mask=~pair), pa.array(np.r_[of_crowd, np.ones(len(crowd), bool)])]
-        yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "bits", "crowd"])
+        row, cluster, partner, bits = clusters(k, f.view(np.uint64), g.view(np.uint64))
+        alone = partner < 0
+        columns = [pa.array(cluster), pa.array(f[row]), pa.array(f[partner], mask=alone), pa.array(bits.astype(np.int32), mask=alone)]
+        yield pa.RecordBatch.from_arrays(columns, names=["cluster", "u", "v", "bits"])
 
 
 def crowd_links(fp: np.ndarray, other: np.ndarray, label: np.ndarray, masks: np.ndarray, values: np.ndarray, ends: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row numbers) of one group with a similarity of least or more that join what is joined by all such pairs within the budget.
+    """Pairs (row numbers) of one cluster with a similarity of least or more that join what is joined by all such pairs within the budget.
 
     Row k has the sorted distinct shingles values[ends[k] : ends[k + 1]]; rows of one label are joined already. Pairs that agree in the
     bits of one of masks, those of earlier samples, meet there and are left out here.
@@ -341,7 +341,7 @@ def crowd_links(fp: np.ndarray, other: np.ndarray, label: np.ndarray, masks: np.
         return (np.empty(0, np.int64),) * 2
     size = np.diff(ends)
     _, ids, counts = np.unique(values, return_inverse=True, return_counts=True)
-    # Shingles that no other row of the group has are counted but not kept.
+    # Shingles that no other row of the cluster has are counted but not kept.
     held = counts[ids] > 1
     before = np.r_[0, np.cumsum(held)]
     ids, ends = ids[held], before[ends]
@@ -393,17 +393,26 @@ def crowd_links(fp: np.ndarray, other: np.ndarray, label: np.ndarray, masks: np.
     return found[:, 0], found[:, 1]
 
 
-def _join_crowds(masks: np.ndarray, least: float):
-    """Rows (key, sample, fp, other, node, c, s), equal keys next to each other, to links (a, b) of nodes."""
+def first_sample(fp: np.ndarray, masks: np.ndarray) -> int:
+    """The first of masks in whose bits all fingerprints agree (0: in none).
+
+    A pair meets first in the first sample that it agrees in. All of its cluster there agree in that one, and in none before.
+    """
+    return int(np.argmax(masks & np.bitwise_or.reduce(fp ^ fp[0]) == 0))
+
+
+def _join_clusters(masks: np.ndarray, least: float):
+    """Rows (key, fp, other, node, c, s), equal keys next to each other, to links (a, b) of nodes."""
     masks = masks.view(np.uint64)
 
     def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sample, fp, other, node, c, s = pa.Table.from_batches(held).combine_chunks().columns[1:]
+        fp, other, node, c, s = pa.Table.from_batches(held).combine_chunks().columns[1:]
         fp, other, node, c = (x.to_numpy() for x in (fp, other, node, c))
         s = s.combine_chunks()
         ends = np.r_[0, np.cumsum(pa.compute.list_value_length(s).to_numpy())].astype(np.int64)
         values = s.flatten().to_numpy()
-        x, y = crowd_links(fp.view(np.uint64), other.view(np.uint64), c, masks[: sample[0].as_py()], values, ends, least)
+        fp, other = fp.view(np.uint64), other.view(np.uint64)
+        x, y = crowd_links(fp, other, c, masks[: first_sample(fp, masks)], values, ends, least)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,16 +441,20 @@ def wide_keys(fps: DataFrame, masks: np.ndarray, uri: str) -> DataFrame:
     return _dealt(fps.select(F.explode(names).alias("key"), "fp", *(c for c in fps.columns if c != "fp")), uri)
 
 
-def _crowd_links(rows: DataFrame, sets: DataFrame, masks: np.ndarray, least: float, uri: str) -> DataFrame:
-    """Nodes of crowds (node, fp, other, component or null) and shingles (node, s) to the links (a, b) that join their components."""
-    rows = keep(rows.select("node", "fp", "other", F.coalesce("component", "node").alias("c")), f"{uri}/of_crowds")
-    keys = F.posexplode(F.transform(F.array(*(F.lit(int(m)) for m in masks)), lambda m: F.xxhash64(m, m.bitwiseAND(F.col("fp"))))).alias("sample", "key")
-    # Groups of one component have nothing to join.
-    mixed = rows.select(keys, "c").groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+def _cluster_links(members: DataFrame, nodes: DataFrame, tried: DataFrame, sets: DataFrame, masks: np.ndarray, least: float, uri: str) -> DataFrame:
+    """Rows of clusters (cluster, fp), nodes (node, fp, other, component or null) and shingles (node, s) to the links (a, b) that join components.
+
+    Pairs (a, b) of tried are known: clusters of such a pair alone are left out, as are clusters of one component.
+    """
+    nodes = nodes.select("node", "fp", "other", F.coalesce("component", "node").alias("c"))
+    rows = keep(members.join(nodes, "fp"), f"{uri}/of_clusters")
+    ends = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("b"), (F.min("c") != F.max("c")).alias("mixed"))
+    mixed = ends.where("mixed").select("cluster", F.when(F.col("n") == 2, F.col("low")).alias("a"), "b").join(tried, ["a", "b"], "left_anti").select("cluster")
     mixed = small_side(keep(mixed, f"{uri}/mixed"))
-    keyed = rows.join(sets, "node").select(keys, "fp", "other", "node", "c", "s").join(mixed, "key").select("key", "sample", "fp", "other", "node", "c", "s")
-    dealt = _dealt(keyed, f"{uri}/crowds", F.greatest(F.lit(1.0), F.size("s") / ROW_SHINGLES)).select("key", "sample", "fp", "other", "node", "c", "s")
-    return dealt.mapInArrow(_join_crowds(masks, least), "a long, b long").distinct()
+    columns = ["key", "fp", "other", "node", "c", "s"]
+    keyed = rows.join(mixed, "cluster").join(sets, "node").withColumnRenamed("cluster", "key").select(columns)
+    dealt = _dealt(keyed, f"{uri}/crowds", F.greatest(F.lit(1.0), F.size("s") / ROW_SHINGLES), "node").select(columns)
+    return dealt.mapInArrow(_join_clusters(masks, least), "a long, b long").distinct()
 
 
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -474,21 +487,18 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
     nodes = keep(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("least"), F.min("other").alias("other")).withColumn("node", F.xxhash64("fp", "words")), f"{uri}/nodes")
     first = keep(nodes.groupBy("fp").agg(F.min_by(F.struct("node", "other"), F.struct("least", "node")).alias("n")).select("fp", "n.node", "n.other"), f"{uri}/first")
     masks = bit_samples(first.count())
-    searched = keep(wide_keys(first.select("fp", "other"), masks, uri).mapInArrow(_join_wide, "u long, v long, bits int, crowd boolean"), f"{uri}/searched")
-    crowd = keep(searched.where(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct(), f"{uri}/crowd")
+    searched = wide_keys(first.select("fp", "other"), masks, uri).mapInArrow(_join_wide, "cluster long, u long, v long, bits int")
+    searched = keep(searched, f"{uri}/searched")
     end = lambda a, b: first.select(F.col("fp").alias(a), F.col("node").alias(b))
     of_fps = lambda links: links.join(end("u", "a"), "u").join(end("v", "b"), "v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    same = nodes.select("fp", F.col("node").alias("b")).join(end("fp", "a"), "fp").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = searched.where(F.col("v").isNotNull()).groupBy("u", "v").agg(F.min("bits").alias("bits"), F.bool_and("crowd").alias("crowd"))
-    pairs = keep(pairs, f"{uri}/candidates")
-    # Each one's nearest first; other pairs only where the links of these leave their ends apart.
-    both = pairs.select("u", "v", "bits").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "bits"))
-    nearest = both.groupBy("u").agg(F.min_by("v", F.struct("bits", "v")).alias("v"))
-    some = keep(of_fps(nearest).unionByName(same).distinct(), f"{uri}/nearest")
-    close = pairs.where(~F.col("crowd")).select("u", "v")
-    ends = some.select(F.explode(F.array("a", "b")).alias("node")).unionByName(close.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(end("fp", "node"), "fp").select("node"))
-    ends = ends.unionByName(nodes.join(crowd, "fp").select("node")).distinct()
-    asked = keep(nodes.join(ends, "node", "left_semi").select("node", "words", F.col("least").alias("doc_id")), f"{uri}/asked")
+    same = nodes.select("fp", F.col("node").alias("b")).join(end("fp", "a"), "fp").where("a <> b").select("fp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Each one's nearest first; clusters are compared only where the links of these leave them in parts. Contents of one fingerprint are a cluster too.
+    nearest = searched.where(F.col("v").isNotNull()).groupBy("u").agg(F.min_by("v", F.struct("bits", "v")).alias("v"))
+    some = keep(of_fps(nearest).unionByName(same.select("a", "b")).distinct(), f"{uri}/nearest")
+    members = searched.select("cluster", F.col("u").alias("fp")).unionByName(same.select(F.xxhash64("fp").alias("cluster"), "fp"))
+    members = keep(members.distinct(), f"{uri}/members")
+    near = nodes.join(members.select("fp").distinct(), "fp", "left_semi")
+    asked = keep(near.select("node", "words", F.col("least").alias("doc_id")), f"{uri}/asked")
 
     def sets(ids: pa.Array, texts: pa.Array) -> pa.Array:
         out = []
@@ -500,28 +510,17 @@ def similar(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "
     found = plain.join(small_side(asked), "doc_id").select("node", F.arrow_udf(sets, "array<int>").asNondeterministic()("words", "text").alias("s"))
     found = keep(found.where(F.col("s").isNotNull()).dropDuplicates(["node"]), f"{uri}/sets")
 
-    def verified(asked: DataFrame, name: str) -> DataFrame:
-        side = lambda a: found.select(F.col("node").alias(a), F.col("s").alias(f"s_{a}"))
-        score = F.arrow_udf(_jaccard, "double").asNondeterministic()("s_a", "s_b")
-        return keep(asked.join(side("a"), "a").join(side("b"), "b").withColumn("score", score).where(F.col("score") >= least).select("a", "b"), f"{uri}/{name}")
-
-    def merged(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        reach = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{uri}/{name}")
-        labels = first.join(reach, "node", "left").select("fp", "other", F.coalesce("component", "node").alias("c"))
-        return reach, keep(labels, f"{uri}/labels-{name}")
-
-    true = verified(some, "true")
-    reach, labels = merged(true, "nearest")
-    side = lambda a: labels.select(F.col("fp").alias(a), F.col("c").alias(f"c_{a}"))
-    apart = close.join(side("u"), "u").join(side("v"), "v").where("c_u <> c_v").select("u", "v")
-    more = verified(of_fps(apart).join(some, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        true = keep(true.unionByName(more), f"{uri}/links")
-        reach, _ = merged(true, "all")
-    if not crowd.isEmpty():
-        new = keep(_crowd_links(nodes.join(crowd, "fp").join(reach, "node", "left"), found, masks, least, uri), f"{uri}/between")
-        if not new.isEmpty():
-            reach, _ = merged(true.unionByName(new), "crowds")
+    def merged(links: DataFrame, name: str) -> DataFrame:
+        return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{uri}/{name}")
+
+    side = lambda a: found.select(F.col("node").alias(a), F.col("s").alias(f"s_{a}"))
+    score = F.arrow_udf(_jaccard, "double").asNondeterministic()("s_a", "s_b")
+    true = some.join(side("a"), "a").join(side("b"), "b").withColumn("score", score).where(F.col("score") >= least).select("a", "b")
+    true = keep(true, f"{uri}/true")
+    reach = merged(true, "by_nearest")
+    new = keep(_cluster_links(members, near.join(reach, "node", "left"), some, found, masks, least, uri), f"{uri}/between")
+    if not new.isEmpty():
+        reach = merged(true.unionByName(new), "all")
     of = nodes.join(reach, "node", "left").select("fp", "words", "least", F.coalesce("component", "node").alias("c"))
     ids = of.groupBy("c").agg(F.min("least").alias("component_id"))
     return marked.join(of.join(ids, "c").select("fp", "words", "component_id"), ["fp", "words"]).select("doc_id", "component_id")

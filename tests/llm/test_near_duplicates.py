@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from frameloom.llm import common, simhash
@@ -216,3 +217,45 @@ def test_components_of_chains_and_stars(spark, monkeypatch, few):
             label[a] = label[b] = min(label[a], label[b])
     assert found == {x: c for x, c in label.items() if x != c}
     assert C.components(spark.createDataFrame([], "u long, v long"), shared(spark)).isEmpty()
+
+
+def test_rows_of_a_cluster_grow_with_its_texts(spark):
+    """40 fingerprints within few bits, in two groups alike: a row each leaves each group, not a row for each pair."""
+    rnd = random.Random(11)
+    fp = np.array(sorted({sum(1 << b for b in rnd.sample(range(64), 3)) for _ in range(40)}), np.uint64).view(np.int64)
+    n = len(fp)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.repeat([1, 2], n)), pa.array(np.r_[fp, fp]), pa.array(np.r_[fp, fp])], names=["key", "fp", "other"])
+    rows = pa.Table.from_batches(simhash._join_wide([batch])).to_pylist()
+    assert len(rows) == 2 * n and len({r["cluster"] for r in rows}) == 1 and {r["u"] for r in rows} == set(fp.tolist())
+    for r in rows:
+        assert r["bits"] == bin((r["u"] ^ r["v"]) % (1 << 64)).count("1") == min(bin((r["u"] ^ x) % (1 << 64)).count("1") for x in fp.tolist() if x != r["u"])
+
+
+def test_no_link_of_small_clusters_is_given_up(spark):
+    """40 groups of 20 variants that are mostly under 0.8 and some just over: every candidate link joins."""
+    rnd = random.Random(12)
+    texts = []
+    for _ in range(40):
+        base = words_of(rnd, 300)
+        for k in range(20):
+            w = list(texts[-1]) if k % 4 == 3 else list(base)
+            for j in range(6):
+                w[50 * j + rnd.randrange(40)] = f"new{rnd.random()}"
+            texts.append(w)
+    sets, near = [shingles(t) for t in texts], candidates(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if near[i, j] and similarity(sets[i], sets[j]) >= 0.8]
+    label = simhash.least_labels(len(texts), *np.array(links).T, np.arange(len(texts)))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in simhash.similar(df, shared(spark)).collect()}
+    print(f"{near.sum() // 2} candidates, {len(links)} links, {len(set(label.tolist()))} components, {len(set(found.values()))} found")
+    assert near.sum() > 4000 and found == dict(enumerate(label.tolist()))
+
+
+def test_texts_of_one_fingerprint_are_all_compared(spark):
+    """Three contents have the same fingerprint; the last two are alike, and only they. A pair that was tried is left out."""
+    nodes = spark.createDataFrame([(1, 5, 5, None), (2, 5, 5, None), (3, 5, 5, None), (4, 9, 9, None), (6, 8, 8, None)], "node long, fp long, other long, component long")
+    members = spark.createDataFrame([(70, 5), (71, 9), (71, 8)], "cluster long, fp long")
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [5, 6, 7]), (3, [5, 6, 7]), (4, [8, 9]), (6, [8, 9])], "node long, s array<int>")
+    tried = spark.createDataFrame([(4, 6), (1, 2), (1, 3)], "a long, b long")
+    found = simhash._cluster_links(members, nodes, tried, sets, simhash.bit_samples(100), 0.8, shared(spark)).collect()
+    assert [(r.a, r.b) for r in found] == [(2, 3)]
