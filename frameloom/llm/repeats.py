@@ -11,8 +11,10 @@ the least hash among those inside its first LENGTH bytes, so equal suffixes have
 equal places. The steps, each a Spark job whose result is a table in the shared folder:
 
 1. documents are written as chunk files, text and all, of at most CHUNK_BYTES of text or one document each;
-2. each chunk gives the sorted hashes of its anchors, dealt by hash; a task per range of hashes
-   answers which of them other chunks have too;
+2. each chunk gives the sorted hashes of its anchors and of the HALF bytes before and after each, dealt by the anchor's hash; a
+   task per range of hashes answers which of them other chunks have with the same bytes before or after. Of the
+   LENGTH - GRAM bytes that equal suffixes have around an anchor, HALF at least stand on one side of it, so no others can have an equal;
+   anchors that repeat by chance, whose number grows faster than the texts', end here;
 3. each chunk gives the bytes around its repeated anchors (a span, up to 84 bytes, for all suffixes
    of an anchor), equal spans of a chunk once, for their smallest id, dealt by the anchor's hash;
    an anchor with very many spans is dealt by its suffixes' own hashes instead, so that no task
@@ -49,8 +51,9 @@ LENGTH, GRAM = 50, 16
 CHUNK_BYTES, CHUNK_ROWS, BLOCK = 6 << 20, 4000, 1 << 19
 #: Anchors of a range of hashes in step 2 and of a share in step 4, about.
 RANGE, SHARE = 500_000, 60_000
-#: Bits of a hash that step 2 leaves out; two anchors taken for one only give spans that have no equal.
-SPARED = np.uint64(8)
+#: Bytes on one side of an anchor that step 2 compares, and the bits of a key there: 32 of the anchor's hash, then those of the bytes after and
+#: before (0: not in the span). Two anchors taken for one only give spans that have no equal.
+HALF, AFTER, BEFORE = (LENGTH - GRAM + 1) // 2, np.uint64(16), np.uint64(15)
 #: An anchor with so many spans, each chunk's different ones counted, is frequent.
 FREQUENT = 2000
 NO_ID = (1 << 63) - 1
@@ -89,11 +92,53 @@ def span_hash(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return _mix(_mix(window_hash(data, first), window_hash(data, first + size - LENGTH)), size.astype(np.uint64))
 
 
-def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that end at ends: anchor hashes, and the first and last start of the suffixes of each."""
+def side_hash(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the HALF bytes from each start."""
+    w, h = _words(data), np.zeros(len(starts), np.uint64)
+    for at in (*range(0, HALF - 7, 8), HALF - 8):
+        h = _mix(h + w[starts + at], np.uint64(at))
+    return h
+
+
+def side_keys(data: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys of anchors with these hashes at these places: their hash, and those of the bytes after and before as far as the span holds them."""
+    def part(starts: np.ndarray, inside: np.ndarray, bits: np.uint64) -> np.ndarray:
+        found = np.zeros(len(starts), np.uint64)
+        found[inside] = np.maximum(side_hash(data, starts[inside]) >> np.uint64(64) - bits, np.uint64(1))
+        return found
+
+    after = part(place + GRAM, last + LENGTH >= place + GRAM + HALF, AFTER)
+    before = part(place - HALF, place - first >= HALF, BEFORE)
+    return (h >> np.uint64(32) << AFTER | after) << BEFORE | before
+
+
+def _sides(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys the anchor's hash; with the bytes after, and with those before; and which of the two there are, as two rows."""
+    h, before = keys >> AFTER + BEFORE, keys & (np.uint64(1) << BEFORE) - np.uint64(1)
+    after = keys >> BEFORE
+    return h, after, h << BEFORE | before, np.stack([after & (np.uint64(1) << AFTER) - np.uint64(1) > 0, before > 0])
+
+
+def _met(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which keys share their anchor, and the bytes on a side of it, with one of another place; each is at places from low to high."""
+    _, *sides, there = _sides(keys)
+    met = np.zeros(len(keys), bool)
+    for side, held in zip(sides, there, strict=True):
+        some = np.flatnonzero(held)
+        some = some[np.argsort(side[some])]
+        if not len(some):
+            continue
+        new = np.flatnonzero(np.r_[True, side[some[1:]] != side[some[:-1]]])
+        apart = np.minimum.reduceat(low[some], new) != np.maximum.reduceat(high[some], new)
+        met[some] |= np.repeat(apart, np.diff(np.r_[new, len(some)]))
+    return met
+
+
+def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that end at ends: anchor hashes, the first and last start of the suffixes of each, and its place."""
     n = len(data)
     if n < LENGTH:
-        return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
     w = _words(data)
     h = _mix(w[: n - GRAM + 1], w[8 : n - GRAM + 9])
     bits = np.uint64(max(1, int(n).bit_length()))
@@ -115,7 +160,7 @@ def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.empty(0, np.int64)
     last = np.r_[new[1:] - 1, len(at) - 1] if len(at) else new
     # Anchors have small hashes, being the least; mixed once more, the hashes deal them out evenly.
-    return _mix(h[place[new]], np.uint64(LENGTH)), at[new], at[last]
+    return _mix(h[place[new]], np.uint64(LENGTH)), at[new], at[last], place[new]
 
 
 class Chunk:
@@ -132,14 +177,15 @@ class Chunk:
         self.ids = np.array([NO_ID if x is None else x for x in self.table.column("__id").to_pylist()], np.int64)
         if not anchors:
             return
-        found, row = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))], 0
+        found, row = [(np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)], 0
         while row < len(texts):
             low = int(self.starts[row])
             after = max(row + 1, int(np.searchsorted(self.ends, low + BLOCK, "right")))
-            h, a, b = _anchors(self.data[low : int(self.ends[after - 1])], self.ends[row:after] - low)
-            found.append((h, a + low, b + low))
+            h, *places = _anchors(self.data[low : int(self.ends[after - 1])], self.ends[row:after] - low)
+            found.append((h, *(x + low for x in places)))
             row = after
-        self.h, self.a, self.b = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.h, self.a, self.b, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.keys = side_keys(self.data, self.h, self.a, self.b, place)
         self.row = np.searchsorted(self.ends, self.a, "right")
 
 
@@ -225,10 +271,11 @@ def _give_hashes(uri: str, ranges: int, most: int):
             for at in batch.column(0).to_pylist():
                 give_back()
                 chunk = Chunk(uri, _chunk_at(at, most))
-                # Of each anchor the hash and how many different spans it has here.
+                # Of each key its number and how many different spans it has here; equal spans have one key.
                 _, first = np.unique(_mix(chunk.h, span_hash(chunk.data, chunk.a, chunk.b - chunk.a + LENGTH)), return_index=True)
-                h, n = np.unique(chunk.h[first] >> SPARED, return_counts=True)
-                yield from _dealt(_deal(h << SPARED, ranges), [h.view(np.int64), n, np.full(len(h), at)], wide).to_batches()
+                keys, n = np.unique(chunk.keys[first], return_counts=True)
+                h = keys >> AFTER + BEFORE << np.uint64(32)
+                yield from _dealt(_deal(h, ranges), [keys.view(np.int64), n, np.arange(len(keys)), np.full(len(keys), at)], wide).to_batches()
 
     return run
 
@@ -237,14 +284,15 @@ def _answer_hashes(targets: int):
     wide = deal.width(targets)
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        """For chunks: 1 for an anchor that another chunk has too, 2 for a frequent one."""
+        """For chunks: 1 for a key that meets one of another chunk, 2 if its anchor is frequent."""
         give_back()
-        h, n, at = _entries(group, 3)
-        _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
-        many = np.bincount(which, n) >= FREQUENT
-        mark = ((counts >= 2).astype(np.int64) + ((counts >= 2) & many))[which]
-        some = mark > 0
-        return _dealt(at[some], [h[some], mark[some]], wide)
+        keys, n, number, at = _entries(group, 4)
+        keys = keys.view(np.uint64)
+        some = np.flatnonzero(_met(keys, at, at))
+        _, which = np.unique(_sides(keys)[0], return_inverse=True)
+        many = np.bincount(which, n)[which[some]] >= FREQUENT
+        some, many = some[order := np.lexsort((number[some], at[some]))], many[order]
+        return _dealt(at[some], [number[some], 1 + many.astype(np.int64)], wide)
 
     return run
 
@@ -259,19 +307,17 @@ def _give_spans(uri: str, shares: int, most: int):
         give_back()
         c = _chunk_at(key[0].as_py(), most)
         chunk = Chunk(uri, c)
-        unique, which = np.unique(chunk.h, return_inverse=True)
-        repeated, given = _entries(group, 2)
-        marks = np.zeros(len(unique), np.uint8)
-        if len(repeated):
-            order = np.argsort(repeated)
-            repeated, given = repeated[order], given[order]
-            own = (unique >> SPARED).view(np.int64)
-            at = np.minimum(np.searchsorted(repeated, own), len(repeated) - 1)
-            marks = np.where(repeated[at] == own, given[at], 0).astype(np.uint8)
-        # Anchors of two documents of this chunk repeat as well.
-        pair = np.unique(which.astype(np.int64) * (len(chunk.ids) + 1) + chunk.row) // (len(chunk.ids) + 1)
-        many = np.bincount(pair, minlength=len(unique)) > 1 if len(unique) else np.empty(0, bool)
-        mark = np.maximum(marks, many.astype(np.uint8))[which] if len(unique) else np.empty(0, np.uint8)
+        keys, at, which = np.unique(chunk.keys, return_index=True, return_inverse=True)
+        number, given = _entries(group, 2)
+        marks = np.zeros(len(keys), np.uint8)
+        marks[number] = given
+        # Keys of two documents of this chunk meet as well. An anchor is frequent for all its keys here or for none, as these may meet.
+        last = np.empty(len(keys), np.int64)
+        last[which] = np.arange(len(which))
+        needed = (marks > 0) | _met(keys, chunk.row[at], chunk.row[last])
+        _, anchor = np.unique(_sides(keys)[0], return_inverse=True)
+        frequent = (np.bincount(anchor, marks == 2) > 0)[anchor]
+        mark = (needed * (1 + frequent))[which]
         some, often = np.flatnonzero(mark == 1), np.flatnonzero(mark == 2)
         # Suffixes of frequent anchors are spans of their own.
         count = chunk.b[often] - chunk.a[often] + 1

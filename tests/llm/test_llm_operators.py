@@ -404,6 +404,44 @@ def test_repeats_against_brute_force(spark, frame, docs, monkeypatch, frequent,
     assert set(frame.columns) <= set(out.columns) and out.where("text is null").count() == 2
 
 
+def texts_with_a_phrase(seed, shared_parts):
+    """Random texts with a phrase of 24 bytes in each, and passages of 50 to 90 bytes that pairs of them share, some at an end."""
+    rnd = random.Random(seed)
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = [[some(rnd.randrange(0, 200)), " and so on and so forth, ", some(rnd.randrange(0, 200))] for _ in range(300)]
+    for _ in range(shared_parts):
+        passage = some(rnd.randrange(50, 91))
+        for t in rnd.sample(texts, 2):
+            t.insert(rnd.randrange(4), passage)
+    return ["".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_anchors_of_equal_strings_meet_on_a_side(seed):
+    data = [t.encode() for t in texts_with_a_phrase(seed, 40)]
+    joined, ends = np.frombuffer(b"".join(data) + bytes(repeats.WIDE), np.uint8), np.cumsum([len(t) for t in data])
+    h, a, b, place = repeats._anchors(joined[: ends[-1]], ends)
+    row = np.searchsorted(ends, a, "right")
+    met = repeats._met(repeats.side_keys(joined, h, a, b, place), row, row)
+    holders = collections.defaultdict(set)
+    windows = [(k, s, joined[s : s + 50].tobytes()) for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) for s in range(x, y + 1)]
+    for k, _, w in windows:
+        holders[w].add(row[k])
+    needed = {k for k, _, w in windows if len(holders[w]) > 1}
+    assert len(needed) > 60 and met[list(needed)].all() and met.sum() < 1.3 * len(needed)
+
+
+def test_anchors_that_repeat_by_chance_send_no_spans(spark, monkeypatch):
+    texts = texts_with_a_phrase(9, 0)
+    monkeypatch.setattr(repeats, "CHUNK_ROWS", 20)
+    uri = shared(spark)
+    docs = list(enumerate(texts))
+    out = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), uri)
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()) == brute_repeats(docs)
+    # 300 anchors; a few pairs share the few bits of a side's hash.
+    assert (spark.read.parquet(f"{uri}/marks").agg({"entries": "sum"}).first()[0] or 0) < 20
+
+
 def test_repeats_of_nothing(spark, empty):
     assert repeats.remove_repeats(empty, shared(spark)).count() == 0
 
