@@ -15,6 +15,7 @@ from frameloom.operators import assignment as A
 from frameloom.operators import selection as Q
 from frameloom.operators import sequences as S
 from frameloom.operators import vectors as V
+from frameloom.plans.registry import QUERIES
 
 # ---- rounding ---------------------------------------------------------------------------------------
 
@@ -248,6 +249,32 @@ def test_ranks_tie_at_twelve_places(spark):
     assert [r.vec_id for r in V.rank_per_query(scored).orderBy("rank").collect()] == [9, 3, 4, 5, 1]
 
 
+def test_all_scores_by_blocks(spark, monkeypatch):
+    """The pairs and scores of ``scores``, with zero vectors, null components, other lengths, a null id and vectors that are null or empty."""
+    rng = np.random.default_rng(8)
+    v = [x.tolist() for x in rng.normal(size=(150, 5))] + [[0.0] * 5, [1.0, None, 2.0, 0.0, 1.0], None, [], [1.0, 2.0], [3.0, 4.0]]
+    rows = spark.createDataFrame([*enumerate(v), (None, [1.0] * 5)], "vec_id long, v array<float>").repartition(3)
+    queries = rows.where("vec_id % 3 = 0 or vec_id in (150, 151, 154)").select(F.col("vec_id").alias("query_id"), F.col("v").cast("array<double>").alias("q"))
+    known = rows.where("vec_id is not null")
+    want = sorted(map(tuple, V.scores(queries, known).collect()))
+    monkeypatch.setattr(V, "ROWS", 40)
+    monkeypatch.setattr(V, "ASKED", 15)
+    found = [tuple(r) for r in V.all_scores(queries, rows).collect()]
+    assert sorted(r for r in found if r[1] is not None) == want and (150, 0, float("-inf")) in want and (154, 155, pytest.approx(11 / 125**0.5)) in want
+    assert sum(r[1] is None for r in found) == len({r[0] for r in found if r[1] is not None} - {154})
+    assert V.all_scores(queries, rows.where("false")).count() == V.all_scores(queries.where("false"), rows).count() == 0
+
+
+def test_cosine_scores_take_little_space(spark, tmp_path):
+    """A row of the written result takes under seven bytes; in the order of ids its score alone takes eight."""
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(rng.normal(size=(8000, 64)))], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    QUERIES["cosine_scores"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 400 * 8000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 7 * 400 * 8000
+
+
 def test_the_metric_index_spares_most_pairs_of_clusters(spark, monkeypatch):
     """Rows that meet in a cell, of all pairs: at 0.85 in 60 clusters under a tenth."""
     monkeypatch.setattr(V, "ROWS", 50)
