@@ -109,7 +109,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).withColumn("score", F.round("score", 6))
+    """Pairs by their score as it is returned: what six places round up to the threshold is in."""
+    pairs = V.near_dup_pairs(_rows(spark, d), "label", NEAR - 1e-6)
+    return pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= NEAR)
 
 
 def diversity_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -244,6 +244,14 @@ def test_near_pairs_with_tasks_of_their_own(spark):
     assert found == want and want
 
 
+def test_near_pairs_are_taken_by_their_rounded_score(spark, tmp_path):
+    """Scores of 0.2999996 and 0.2999994 to the first row: only the first rounds to the threshold."""
+    v = [[1.0, 0.0], *([c, (1 - c * c) ** 0.5] for c in (0.2999996, 0.2999994))]
+    spark.createDataFrame([(i, x, 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted((r.a, r.b, r.score) for r in QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect()) == [(0, 1, 0.3), (1, 2, 1.0)]
+    assert QUERIES["diversity_metrics"](spark, str(tmp_path)).first().pairs == 1
+
+
 def test_ranks_tie_at_twelve_places(spark):
     scored = spark.createDataFrame([(1, 5, 0.5 + 1e-15), (1, 3, 0.5), (1, 4, 0.5 - 1e-15), (1, 9, 0.6), (1, 1, 0.5 - 1e-9)], "query_id long, vec_id long, score double")
     assert [r.vec_id for r in V.rank_per_query(scored).orderBy("rank").collect()] == [9, 3, 4, 5, 1]
