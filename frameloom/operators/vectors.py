@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 ROWS, QUERIES = 4096, 512
 #: Query rows of a block where all of its scores are returned, and rows of a batch of them.
 ASKED, BATCH = 4096, 1 << 18
+#: Pairs that a task ranks at once.
+RANKED = 1 << 24
 #: Pivots of a metric index at most, parts that a block's visitors are spread over, and what bounds leave to rounding.
 PIVOTS, PARTS, SLACK = 256, 4, 1e-9
 #: Pairs of near rows that are few enough for a fold.
@@ -113,6 +115,27 @@ def scores(queries: DataFrame, assets: DataFrame, k: int | None = None, least: f
     return out.withColumnRenamed("key", on) if on else out.drop("key")
 
 
+def _cosines(q: np.ndarray, v: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Cosines of all rows of q and v, whose norms are ``wide``; minus infinity for a zero vector."""
+    size = _norms(q)[:, None] * wide[None, :]
+    return np.where(size > 0, np.einsum("ik,jk->ij", q, v) / np.where(size > 0, size, 1.0), -np.inf)
+
+
+def _by_score(score: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of a matrix of cosines, flat, by the cosine to six places, in batches; NaN, which leaves a pair out, is left out."""
+    keys = np.empty(score.shape, np.int64)
+    rows = max(1, BATCH // max(1, score.shape[1]))
+    for at in range(0, len(score), rows):
+        part = score[at : at + rows]
+        # The score to six places, then the pair; NaN goes last.
+        places = np.rint(np.where(np.isnan(part), 3.0, np.clip(part, -2.0, 2.0)) * 1e6).astype(np.int64)
+        keys[at : at + rows] = (places << 32) | np.arange(at * part.shape[1], at * part.shape[1] + part.size).reshape(part.shape)
+    keys = keys.ravel()
+    keys.sort()
+    for at in range(0, int(np.searchsorted(keys, 3_000_000 << 32)), BATCH):
+        yield keys[at : min(at + BATCH, np.searchsorted(keys, 3_000_000 << 32))] & 0xFFFFFFFF
+
+
 def all_scores(queries: DataFrame, assets: DataFrame) -> DataFrame:
     """Cosine of every query (query_id, q) with every asset (vec_id, v) of the same length: a row a pair, the same scores as ``scores`` has.
 
@@ -131,26 +154,60 @@ def all_scores(queries: DataFrame, assets: DataFrame) -> DataFrame:
         order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
         of_query, of_asset = order[asked[order]], order[~asked[order]]
         q_ids, q, ids, v = ids.take(pa.array(of_query)), vectors[of_query], ids.take(pa.array(of_asset)), vectors[of_asset]
-        score, keys, wide = np.empty((len(q), len(v))), np.empty((len(q), len(v)), np.int64), _norms(v)
+        score, wide = np.empty((len(q), len(v))), _norms(v)
         for at in range(0, len(q), QUERIES):
-            some = q[at : at + QUERIES]
-            size = _norms(some)[:, None] * wide[None, :]
-            part = np.where(size > 0, np.einsum("ik,jk->ij", some, v) / np.where(size > 0, size, 1.0), -np.inf)
-            score[at : at + QUERIES] = part
-            # The score to six places, then the pair; NaN, which leaves a pair out, goes last.
-            places = np.rint(np.where(np.isnan(part), 3.0, np.clip(part, -2.0, 2.0)) * 1e6).astype(np.int64)
-            keys[at : at + QUERIES] = (places << 32) | np.arange(at * len(v), at * len(v) + part.size).reshape(part.shape)
-        score, keys = score.ravel(), keys.ravel()
-        keys.sort()
-        for at in range(0, int(np.searchsorted(keys, 3_000_000 << 32)), BATCH):
-            pair = keys[at : at + BATCH] & 0xFFFFFFFF
-            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(pair // len(v))), ids.take(pa.array(pair % len(v))), pa.array(score[pair])], names=["query_id", "vec_id", "score"])
+            score[at : at + QUERIES] = _cosines(q[at : at + QUERIES], v, wide)
+        for pair in _by_score(score):
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(pair // len(v))), ids.take(pa.array(pair % len(v))), pa.array(score.ravel()[pair])], names=["query_id", "vec_id", "score"])
 
     # A number keeps small input from being put into one task: its pairs are many.
     number = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return both.repartition(number, *by).groupBy(*by).applyInArrow(run, "query_id long, vec_id long, score double")
 
 
+def all_ranks(queries: DataFrame, assets: DataFrame) -> DataFrame:
+    """All rows of ``all_scores`` with their rank for the query, as ``rank_per_query`` gives it to all of them.
+
+    A task has as many queries as make about RANKED pairs, and every asset of their length, so vectors are sent to it and no pair is: what is
+    sent grows with queries times the square of the assets, by RANKED, which is under two bytes a pair up to some 100,000 assets. It holds a
+    score, a rank and a sort key for each of its pairs, about 400 MB, beside the assets. Its pairs come by score, as those of ``all_scores``.
+    """
+    asked = queries.where(F.size("q") > 0).select(F.size("q").alias("n"), F.lit(True).alias("asked"), F.col("query_id").alias("id"), F.col("q").alias("v"))
+    rows = assets.where(F.size("v") > 0).select(F.size("v").alias("n"), F.lit(False).alias("asked"), F.col("vec_id").alias("id"), "v")
+    sizes = asked.groupBy("n").agg(F.count("*").alias("queries")).join(rows.groupBy("n").agg(F.count("*").alias("assets")), "n")
+    parts = F.broadcast(sizes.select("n", F.ceil(F.col("queries") * F.col("assets") / RANKED).alias("parts")))  # a row a length
+    # A query's rows meet in one part, also where an id repeats.
+    right = asked.join(parts, "n").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    left = rows.join(parts, "n").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    both = left.drop("parts").unionByName(right.drop("parts"))
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(list(batches)).sort_by("id")  # null ids last
+        asked, ids = block.column("asked").to_numpy(), block.column("id").combine_chunks().cast(pa.int64())
+        vectors = block.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), key[0].as_py())
+        q_ids, ids = ids.filter(pa.array(asked)), ids.filter(pa.array(~asked))
+        q, v = vectors[asked].astype(np.float64), vectors[~asked]
+        if not len(q):
+            return
+        score, rank = np.empty((len(q), len(v))), np.empty((len(q), len(v)), np.int32)
+        for at in range(0, len(v), ROWS):
+            some = v[at : at + ROWS].astype(np.float64)
+            score[:, at : at + ROWS] = _cosines(q, some, _norms(some))
+        starts = np.flatnonzero(np.append(True, np.diff(q_ids.fill_null(-1).to_numpy()) != 0))
+        for i, end in zip(starts, [*starts[1:], len(q)], strict=True):
+            own = score[i:end].T.ravel()  # by id; equal places keep that order
+            tied = np.copysign(np.floor(np.abs(np.clip(own, -2.0, 2.0)) * 1e12 + 0.5), own)
+            place = np.empty(len(own), np.int32)
+            place[np.argsort(-tied, kind="stable")] = np.arange(1, len(own) + 1, dtype=np.int32)
+            rank[i:end] = place.reshape(len(v), end - i).T
+        del vectors, v, block
+        for pair in _by_score(score):
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(pair // len(ids))), ids.take(pa.array(pair % len(ids))), pa.array(score.ravel()[pair]), pa.array(rank.ravel()[pair])], names=["query_id", "vec_id", "score", "rank"])
+
+    number = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(number, "n", "part").groupBy("n", "part").applyInArrow(run, "query_id long, vec_id long, score double, rank int")
+
+
 def rank_per_query(scored: DataFrame, k: int | None = None) -> DataFrame:
     """Rows with their rank for the query, from 1; scores equal to 12 places tie, and ties go to the smaller id. All of them, or the first k."""
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")))

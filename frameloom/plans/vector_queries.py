@@ -18,33 +18,32 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), "label")
 
 
-def _scored(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
-    """Scores of the stated queries, the rows whose id is divisible by 20, with all rows."""
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stated queries, the rows whose id is divisible by 20, and all rows."""
     rows = _rows(spark, d)
-    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return V.scores(queries, rows.select("vec_id", "v"), k)
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows.select("vec_id", "v")
+
+
+def _scored(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return V.scores(*_asked(spark, d), k)
 
 
 SCORED = "scored as (select q.vec_id query_id, a.vec_id, list_cosine_similarity(q.embedding::double[], a.embedding::double[]) score from embeddings q, embeddings a where q.vec_id % 20 = 0)"
 RANKED = "ranked as (select *, (row_number() over (partition by query_id order by round(score, 12) desc, vec_id))::int as rank from scored)"
 
 
-def _ranked(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+def _ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
     return V.rank_per_query(_scored(spark, d, k), k).withColumn("score", F.round("score", 6))
 
 
 def _relevance(spark: SparkSession, d: str) -> DataFrame:
     """Each clip's largest score: a maximum in each block, then over blocks."""
-    rows = _rows(spark, d)
-    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return V.scores(queries, rows.select("vec_id", "v"), maximum="vec_id").groupBy("vec_id").agg(F.max("score").alias("relevance"))
+    return V.scores(*_asked(spark, d), maximum="vec_id").groupBy("vec_id").agg(F.max("score").alias("relevance"))
 
 
 def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of queries and rows, those of a block by their score, as equal scores beside each other take less space."""
-    rows = _rows(spark, d)
-    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return V.all_scores(queries, rows.select("vec_id", "v")).withColumn("score", F.round("score", 6))
+    return V.all_scores(*_asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def topk_per_query(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +51,8 @@ def topk_per_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_per_query(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d)
+    """All pairs with their ranks: the vectors go to the tasks that rank, not the pairs."""
+    return V.all_ranks(*_asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.numbers import round_binary
@@ -273,6 +274,25 @@ def test_all_scores_by_blocks(spark, monkeypatch):
     assert V.all_scores(queries, rows.where("false")).count() == V.all_scores(queries.where("false"), rows).count() == 0
 
 
+def test_all_ranks_in_tasks_of_their_own(spark, monkeypatch, tmp_path):
+    """The ranks of a window over ``all_scores``, with ties, a repeated id, zero vectors, null components, other lengths and null ids; no pair is shuffled."""
+    rng = np.random.default_rng(8)
+    v = [x.tolist() for x in rng.normal(size=(90, 5))] + [[0.0] * 5, [1.0, None, 2.0, 0.0, 1.0], None, [], [1.0, 2.0], [3.0, 4.0]]
+    rows = spark.createDataFrame([*enumerate(v), *((i + 200, v[i]) for i in range(30)), (3, [1.0] * 5), (None, [1.0] * 5)], "vec_id long, v array<float>").repartition(3)
+    queries = rows.where("vec_id % 3 = 0 or vec_id in (90, 91, 94)").select(F.col("vec_id").alias("query_id"), "v").withColumnRenamed("v", "q")
+    order = [F.desc(F.round("score", 12)), F.col("vec_id").asc_nulls_last()]
+    want = V.all_scores(queries, rows).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    want = sorted(((r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in want.collect()), key=repr)
+    for ranked in (700, 1, 1 << 24):
+        monkeypatch.setattr(V, "RANKED", ranked)
+        found = sorted(((r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in V.all_ranks(queries, rows).collect()), key=repr)
+        assert found == want and len({r[0] for r in found}) > 40
+    assert V.all_ranks(queries, rows.where("false")).count() == V.all_ranks(queries.where("false"), rows).count() == 0
+    spark.createDataFrame([(i, x, 0) for i, x in enumerate(v[:40])], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    plan = QUERIES["rank_per_query"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+
+
 def test_cosine_scores_take_little_space(spark, tmp_path):
     """A row of the written result takes under seven bytes; in the order of ids its score alone takes eight."""
     rng = np.random.default_rng(9)
