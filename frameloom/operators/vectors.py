@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ ROWS, QUERIES = 4096, 512
 ASKED, BATCH = 4096, 1 << 18
 #: Pairs that a task ranks at once.
 RANKED = 1 << 24
-#: Pivots of a metric index at most, parts that a block's visitors are spread over, and what bounds leave to rounding.
+#: Pivots of a metric index at most, blocks' rows that meet a block in one task, and what bounds leave to rounding.
 PIVOTS, PARTS, SLACK = 256, 4, 1e-9
 #: Pairs of near rows that are few enough for a fold.
 FOLD = 500_000
@@ -234,41 +235,69 @@ def whiten(rows: DataFrame, group: str, keep_zero: bool = True) -> DataFrame:
     return (out if keep_zero else out.where(F.col("n") > 0)).drop("n")
 
 
-def pivots_of(rows: DataFrame, most: int) -> np.ndarray:
+def pivots_of(rows: DataFrame, most: int, group: str | None = None, reach: float = 0.0) -> np.ndarray:
     """At most so many unit vectors, one for about ROWS rows, to every task: of eight times as many rows, taken by the hash of
-    their ids, those that lie farthest from each other, so that clusters have one each. Bounded, whatever the table's size."""
-    n = min(most, max(1, rows.count() // ROWS))
+    their ids, those that lie farthest from each other, so that clusters have one each. Bounded, whatever the table's size.
+
+    With ``group`` there are fewer, but one for ROWS rows of the largest group, where that many spare nothing: where rows would visit more cells
+    within ``reach`` than blocks of ROWS rows without any index have others to meet.
+    """
+    if group is None:
+        n = few = min(most, max(1, rows.count() // ROWS))
+    else:
+        counted = rows.groupBy(group).count().agg(F.sum("count").alias("all"), F.max("count").alias("largest")).first()
+        n, few = (min(most, max(1, (x or 0) // ROWS)) for x in (counted["all"], counted["largest"]))
     some = rows.where(F.size("v") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * n).select("v").collect()
     if not some:
         return np.empty((0, 0))
     length = max(len(r["v"]) for r in some)
     unit = _unit(np.array([r["v"] for r in some if len(r["v"]) == length], np.float64))
-    return unit[maxmin_order(unit, n)]
-
-
-def metric_cells(rows: DataFrame, group: str, pivots: np.ndarray, reach: float) -> DataFrame:
-    """Rows (group, cell, home, far, vec_id, u): each unit vector in the cell of its nearest pivot, its home, and as a visitor in those later
-    cells where a row of that home can lie within ``reach``: not farther from the pivot than its own by more than twice the reach."""
+    picked = unit[maxmin_order(unit, n)]
+    n = len(picked)
+    while n > few and _cells_of(unit, picked[:n], reach)[2].sum(axis=1).mean() > 1 + few / 2:
+        n = max(few, n // 2)
+    return picked[:n]
+
+
+def _cells_of(unit: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of unit vectors to the pivots, the nearest pivot of each, and the cells that each is in: its home and those later that it visits."""
+    far = np.sqrt(np.maximum(2 - 2 * np.einsum("ik,jk->ij", unit, pivots), 0))
+    home, every = far.argmin(axis=1), np.arange(len(unit))
+    visits = (far <= far[every, home][:, None] + 2 * reach + SLACK) & (np.arange(len(pivots))[None, :] > home[:, None])
+    visits[every, home] = True
+    return far, home, visits
+
+
+def metric_cells(rows: DataFrame, group: str, pivots: np.ndarray, reach: float, vectors: bool = True) -> DataFrame:
+    """Rows (group, cell, home, far, vec_id, v): each vector in the cell of its nearest pivot, its home, and as a visitor in those later
+    cells where a row of that home can lie within ``reach``: not farther from the pivot than its own by more than twice the reach. Distances are
+    those of unit vectors; v is as it came, floats in four bytes, or is left out. Without reach (below zero) there are no visitors."""
     pivots = _unit(pivots)
+    length = pivots.shape[1]
     kind = rows.schema[group].dataType.simpleString()
+    list_kind = "array<float>" if rows.schema["v"].dataType.simpleString() == "array<float>" else "array<double>"
 
     def run(batches):
         for batch in batches:
-            v = [x for x in batch.column("v").to_pylist()]
-            usable = [i for i, x in enumerate(v) if x and len(x) == pivots.shape[1] and any(x)]
-            if not usable:
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("v")), length), False)) if length else batch.slice(0, 0)
+            v = _flat(batch.column("v"), length)
+            at = np.flatnonzero((v != 0).any(axis=1))
+            if not len(at):
                 continue
-            u = _unit(np.array([v[i] for i in usable], np.float64))
-            far = np.sqrt(np.maximum(2 - 2 * np.einsum("ik,jk->ij", u, pivots), 0))
-            home = far.argmin(axis=1)
-            own = far[np.arange(len(u)), home]
-            visits = (far <= own[:, None] + 2 * reach + SLACK) & (np.arange(len(pivots))[None, :] > home[:, None])
-            visits[np.arange(len(u)), home] = True
+            far, home, visits = _cells_of(_unit(v[at]), pivots, reach)
             row, cell = np.nonzero(visits)
-            at = pa.array(np.array(usable)[row])
-            yield pa.RecordBatch.from_arrays([batch.column(group).take(at), pa.array(cell), pa.array(cell == home[row]), pa.array(far[row, cell]), batch.column("vec_id").take(at), pa.array(list(u[row]), pa.list_(pa.float64()))], names=[group, "cell", "home", "far", "vec_id", "u"])
+            out = batch.take(pa.array(at[row]))
+            made = {group: out.column(group), "cell": pa.array(cell), "home": pa.array(cell == home[row]), "far": pa.array(far[row, cell]), "vec_id": out.column("vec_id")}
+            yield pa.RecordBatch.from_pydict(made | ({"v": out.column("v")} if vectors else {}))
+
+    asked = rows.select(group, F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast(list_kind).alias("v"))
+    return asked.mapInArrow(run, f"{group} {kind}, cell long, home boolean, far double, vec_id long" + (f", v {list_kind}" if vectors else ""))
 
-    return rows.select(group, F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"{group} {kind}, cell long, home boolean, far double, vec_id long, u array<double>")
+
+def _flat(column: pa.Array | pa.ChunkedArray, length: int) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), length)
 
 
 def near_dup_pairs(rows: DataFrame, group: str, least: float, pivots: int = PIVOTS) -> DataFrame:
@@ -276,31 +305,36 @@ def near_dup_pairs(rows: DataFrame, group: str, least: float, pivots: int = PIVO
 
     Unit vectors lie within sqrt(2 - 2 least) of each other. A row meets the rows of its own cell, and those of the later cells that
     the triangle inequality leaves: by its distances to the pivots, and by the farthest home row of the cell. Cells are cut into
-    blocks of about ROWS rows, a task a pair of blocks, so no cell is one task. Zero vectors and those of another length pair with none.
+    blocks of about ROWS rows, and those that meet them into parts of about PARTS times as many, a task a block and a part, so no cell is one
+    task. A vector is sent once for each cell and block that it meets, as it came. Zero vectors and those of another length pair with none.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    placed = metric_cells(rows, group, pivots_of(rows, pivots), reach)
-    sizes = placed.where("home").groupBy(group, "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / ROWS).alias("blocks"))
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
-    reached = placed.join(sizes, [group, "cell"]).where(F.col("home") | (F.col("far") <= F.col("radius") + reach + SLACK)).withColumn("own", F.when(F.col("home"), block).otherwise(-1))
+    centres = pivots_of(rows, pivots, group, reach)
+    counted = metric_cells(rows, group, centres, reach, vectors=False)
+    sizes = counted.groupBy(group, "cell").agg(F.max(F.when(F.col("home"), F.col("far"))).alias("radius"), F.ceil(F.count_if("home") / ROWS).alias("blocks"), F.ceil(F.count("*") / (PARTS * ROWS)).alias("parts"))
+    sizes = _cut(sizes.where("blocks > 0"))  # a row a cell
+    if sizes.count() <= SMALL_STATE:
+        sizes = F.broadcast(sizes)  # else the vectors would be shuffled once more
+    own = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
+    homes = metric_cells(rows, group, centres, -1.0).join(sizes, [group, "cell"]).withColumn("block", own)
+    reached = metric_cells(rows, group, centres, reach).join(sizes, [group, "cell"]).where(F.col("home") | (F.col("far") <= F.col("radius") + reach + SLACK))
     # A home row is compared with its block and later ones, a visitor with every block.
-    asked = reached.withColumn("block", F.explode(F.sequence(F.greatest("own", F.lit(0)), F.col("blocks") - 1)))
+    asked = reached.withColumn("own", F.when(F.col("home"), own).otherwise(-1)).withColumn("block", F.explode(F.sequence(F.greatest("own", F.lit(0)), F.col("blocks") - 1)))
     # Both sides' keys must be of one type: an int and a long of the same value are dealt to different tasks.
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(PARTS)).cast("long")
-    left = reached.where("home").withColumn("block", F.col("own")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    left = homes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     by = [group, "cell", "block", "part"]
-    left = left.select(*by, "vec_id", "u")
-    right = asked.withColumn("part", part).select(*(F.col(c).alias(f"other_{c}") for c in (*by, "own", "vec_id", "u")))
-    kind = rows.schema[group].dataType.simpleString()
+    left = left.select(*by, "vec_id", "v")
+    right = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts"))).select(*(F.col(c).alias(f"other_{c}") for c in (*by, "own", "vec_id", "v")))
+    kind, length = rows.schema[group].dataType.simpleString(), centres.shape[1]
 
     def run(key: tuple, homes: pa.Table, others: pa.Table) -> pa.Table:
         found = []
         x, own = others.column("other_vec_id").to_numpy(), others.column("other_own").to_numpy()
         y = homes.column("vec_id").to_numpy()
         if len(x) and len(y):
-            u = _matrix(homes.column("u"))
+            u = _unit(_flat(homes.column("v"), length))
             for at in range(0, len(x), QUERIES):
-                score = np.einsum("ik,jk->ij", _matrix(others.column("other_u").slice(at, QUERIES)), u)
+                score = np.einsum("ik,jk->ij", _unit(_flat(others.column("other_v").slice(at, QUERIES), length)), u)
                 same = own[at : at + QUERIES, None] == key[2].as_py()
                 i, j = np.nonzero((score >= least) & (~same | (x[at : at + QUERIES, None] < y[None, :])))
                 found.append((np.minimum(x[at + i], y[j]), np.maximum(x[at + i], y[j]), score[i, j]))

@@ -253,6 +253,27 @@ def test_near_pairs_are_taken_by_their_rounded_score(spark, tmp_path):
     assert QUERIES["diversity_metrics"](spark, str(tmp_path)).first().pairs == 1
 
 
+def shuffled(spark, run):
+    """Bytes that a call shuffles, and what it returns."""
+    every = lambda: sum(x.totalShuffleWrite() for x in map(store.apply, range(store.size())))
+    store = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    before, out = every(), run()
+    store = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return every() - before, out
+
+
+def test_near_pairs_send_vectors_to_few_cells(spark, monkeypatch):
+    """Where an index spares nothing, a vector goes to about as many cells as its group has blocks, and not to half of all."""
+    monkeypatch.setattr(V, "ROWS", 200)
+    v = np.random.default_rng(11).normal(size=(8000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i % 10, i, x.tolist()) for i, x in enumerate(v)], "g int, vec_id long, v array<float>").repartition(4)
+    sent, found = shuffled(spark, lambda: V.near_dup_pairs(df, "g", 0.6).collect())
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    assert {(r.a, r.b) for r in found} == {(g + 10 * a, g + 10 * b) for g in range(10) for a, b in zip(*np.nonzero(np.triu(unit[g::10] @ unit[g::10].T >= 0.6, 1)), strict=True)}
+    print(f"{sent} bytes shuffled, {v.nbytes} of vectors")
+    assert sent < 12 * v.nbytes
+
+
 def test_ranks_tie_at_twelve_places(spark):
     scored = spark.createDataFrame([(1, 5, 0.5 + 1e-15), (1, 3, 0.5), (1, 4, 0.5 - 1e-15), (1, 9, 0.6), (1, 1, 0.5 - 1e-9)], "query_id long, vec_id long, score double")
     assert [r.vec_id for r in V.rank_per_query(scored).orderBy("rank").collect()] == [9, 3, 4, 5, 1]
