@@ -5,6 +5,7 @@ Sums over components run in array order, so a score does not depend on where a r
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,8 @@ RANKED = 1 << 24
 PIVOTS, PARTS, SLACK = 256, 4, 1e-9
 #: Pairs of near rows that are few enough for a fold.
 FOLD = 500_000
+#: Rows of each group that are settled first, and their near pairs that are written at most.
+FIRST, MOST_PAIRS = 1024, 20_000_000
 #: Blocks whose state is small enough to be sent to every task.
 SMALL_STATE = 100_000
 
@@ -486,15 +489,74 @@ def diverse_selection(rows: DataFrame, group: str, window: int, k: int) -> DataF
     return rows.select(group, "vec_id", "v", "relevance").groupBy(group).applyInPandas(fold, f"{group} {kind}, pick long, vec_id long")
 
 
+def near_any(rows: DataFrame, chosen: DataFrame, group: str, least: float) -> DataFrame:
+    """(group, vec_id) of the rows that have a cosine of at least ``least`` to one of the chosen rows of their group, once for 4096 of these at most."""
+    left, right, by = _blocks(chosen.select(group, F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows.select(group, "vec_id", "v"), group, ASKED)
+    kind = rows.schema[group].dataType.simpleString()
+
+    def run(key: tuple, block: pa.Table, some: pa.Table) -> pa.Table:
+        near = np.zeros(len(block), bool)
+        if len(block) and len(some):
+            q = _unit(_flat(some.column("q"), key[0].as_py()))
+            for at in range(0, len(block), QUERIES):
+                near[at : at + QUERIES] = (np.einsum("ik,jk->ij", _unit(_flat(block.column("v").slice(at, QUERIES), key[0].as_py())), q) >= least).any(axis=1)
+        found = block.filter(pa.array(near))
+        return pa.table([found.column("key"), found.column("vec_id").cast(pa.int64())], names=[group, "vec_id"])
+
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, f"{group} {kind}, vec_id long")
+
+
 def kept_redundancy(rows: DataFrame, group: str, least: float) -> DataFrame:
     """Per group how many rows are near an earlier kept row, and how many are kept.
 
+    The first rows of each group are settled by their near pairs; what they keep puts out its later neighbours, of which no pair is made, and
+    so on with what is left. The first rows are FIRST at most, more where rows have few pairs, and fewer where they have over MOST_PAIRS, so what
+    is written is bounded by these and by what is left undecided, and is not all pairs. Zero vectors and those of another length are kept.
+    """
+    length = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    usable = F.coalesce((F.size("v") == length) & F.exists("v", lambda x: F.coalesce(x != 0, F.lit(True))) & F.col(group).isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
+    sizes = rows.groupBy(group).agg(F.count_if(usable).alias("n"), F.count_if(~usable).alias("apart"))
+    todo, most, done = rows.where(usable).select(group, F.col("vec_id").cast("long").alias("vec_id"), "v"), FIRST, []
+    while True:
+        # The id up to which a half, a quarter and so on of a group's rows lie.
+        marks = F.percentile_approx("vec_id", [2.0**-i for i in range(31)], 10_000)
+        counted = _cut(todo.groupBy(group).agg(F.count("*").alias("rows"), marks.alias("marks")))
+        again = True
+        while again:
+            n = F.least("rows", F.lit(most)).cast("double")
+            some = counted.agg(F.max("rows").alias("largest"), F.sum(n * (n - 1) / 2).alias("pairs")).first()
+            last = (some["largest"] or 0) <= most
+            halved = F.least(F.greatest(F.ceil(F.log2(F.col("rows") / most)), F.lit(0)), F.lit(30)).cast("int")
+            until = counted.select(group, F.get("marks", halved).alias("until"))
+            first = _cut(todo if last else todo.join(until, group).where("vec_id <= until").drop("until"))
+            pairs = near_dup_pairs(first, group, least)
+            again = (some["pairs"] or 0) > MOST_PAIRS and most > 1 and pairs.count() > MOST_PAIRS
+            most = max(1, most // 4) if again else most
+        pairs = _cut(pairs)
+        made = pairs.count()
+        settled = _settled(first, pairs, group)
+        kept = _cut(first.join(settled.where("kept").select(group, "vec_id").distinct(), [group, "vec_id"], "left_semi"))
+        done.append(kept.groupBy(group).agg(F.count("*").alias("kept")))
+        if last:
+            break
+        rest = todo.join(until, group).where("vec_id > until").drop("until")
+        todo = _cut(rest.join(near_any(rest, kept, group, least).distinct(), [group, "vec_id"], "left_anti"))
+        most *= 4 if made * 16 <= MOST_PAIRS else 2 if made * 4 <= MOST_PAIRS else 1
+    all_kept = functools.reduce(DataFrame.unionByName, done).groupBy(group).agg(F.sum("kept").alias("kept"))
+    kept = F.coalesce("kept", F.lit(0))
+    return sizes.join(all_kept, group, "left").select(group, (F.col("n") - kept).alias("redundant"), (F.col("apart") + kept).alias("kept"))
+
+
+def _settled(rows: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
+    """Rows (group, vec_id, kept) of rows with all their near pairs.
+
     Rows without an undecided or kept earlier neighbour are kept, their later neighbours go, and so on in rounds over the near pairs.
     A long chain of rows would take a round a row: when at most FOLD pairs are left undecided, a fold per group ends it.
     """
-    pairs = _cut(near_dup_pairs(rows, group, least))
-    state = _cut(rows.select(group, "vec_id", F.lit(None).cast("boolean").alias("kept")))
+    state = rows.select(group, "vec_id", F.lit(None).cast("boolean").alias("kept"))
     while True:
+        if pairs.count() <= FOLD:
+            break
         # Pairs of a row that is gone, and of a decided later row, decide nothing more.
         of = lambda a: state.select(group, F.col("vec_id").alias(a), F.col("kept").alias(f"kept_{a}"))
         pairs = _cut(pairs.select(group, "a", "b").join(of("a"), [group, "a"]).join(of("b"), [group, "b"]).where("kept_b is null and coalesce(kept_a, true)"))
@@ -513,5 +575,4 @@ def kept_redundancy(rows: DataFrame, group: str, least: float) -> DataFrame:
 
     kind = rows.schema[group].dataType.simpleString()
     gone = pairs.groupBy(group).applyInPandas(fold, f"{group} {kind}, vec_id long").withColumn("gone", F.lit(True))
-    kept = F.coalesce("kept", F.col("gone").isNull())
-    return state.join(gone, [group, "vec_id"], "left").groupBy(group).agg(F.count_if(~kept).alias("redundant"), F.count_if(kept).alias("kept"))
+    return state.join(gone, [group, "vec_id"], "left").select(group, "vec_id", F.coalesce("kept", F.col("gone").isNull()).alias("kept"))

@@ -354,6 +354,30 @@ def test_long_chains_of_near_rows_end(spark, monkeypatch):
         assert (r.redundant, r.kept) == (near, len(kept))
 
 
+@pytest.mark.parametrize(("first", "pairs"), [(30, 10**6), (60, 400)])
+def test_redundancy_without_all_pairs(spark, monkeypatch, first, pairs):
+    """Groups are settled by their first rows and what these keep: the same counts as row by row, and near pairs of few rows at a time."""
+    monkeypatch.setattr(V, "FIRST", first, raising=False)
+    monkeypatch.setattr(V, "MOST_PAIRS", pairs, raising=False)
+    rng = np.random.default_rng(first)
+    centres = rng.normal(size=(9, 6))
+    data = {g: np.concatenate([centres[rng.integers(0, 9, n)] + rng.normal(size=(n, 6)) * 0.3, np.zeros((2, 6))]) for g, n in ((0, 400), (1, 90), (2, 1))}
+    rows = [(g, int(i * 7 + g), x.tolist()) for g, v in data.items() for i, x in enumerate(v)] + [(1, 5000, None), (1, 5001, [1.0]), (4, 5002, None)]
+    df = spark.createDataFrame(rows, "g int, vec_id long, v array<double>").repartition(3)
+    seen, whole = [], V.near_dup_pairs
+    monkeypatch.setattr(V, "near_dup_pairs", lambda some, *args: seen.append(some.count()) or whole(some, *args))
+    found = {r.g: (r.redundant, r.kept) for r in V.kept_redundancy(df, "g", 0.6).collect()}
+    want = {4: (0, 1)}
+    for g, v in data.items():
+        kept, near = [], 0
+        for x in v:
+            hit = any(x @ k >= 0.6 * np.linalg.norm(x) * np.linalg.norm(k) for k in kept) if x.any() else False
+            near += hit
+            kept += [] if hit or not x.any() else [x]
+        want[g] = (near, len(v) - near + 2 * (g == 1))
+    assert found == want and max(seen) < 250 and len(seen) > 1
+
+
 @pytest.mark.parametrize(("rows", "pivots", "medoid", "stop"), [(4096, 256, False, None), (9, 40, False, None), (9, 40, True, 0.6), (5, 1, True, None)])
 def test_max_min_picks_by_blocks(spark, monkeypatch, rows, pivots, medoid, stop):
     monkeypatch.setattr(V, "ROWS", rows)
