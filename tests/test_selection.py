@@ -378,6 +378,14 @@ def test_redundancy_without_all_pairs(spark, monkeypatch, first, pairs):
     assert found == want and max(seen) < 250 and len(seen) > 1
 
 
+def test_rounds_forget_the_estimates_of_their_plans(spark):
+    """Joins multiply the estimated sizes of their sides; over rounds the digits of a checkpoint's estimate grew to millions."""
+    df = spark.range(20).withColumn("x", F.col("id") * 2)
+    for _ in range(4):
+        df = V._written(df.join(df.select("id", F.col("x").alias("y")), "id").select("id", "x"))
+    assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 8 and df.count() == 20
+
+
 @pytest.mark.parametrize(("rows", "pivots", "medoid", "stop"), [(4096, 256, False, None), (9, 40, False, None), (9, 40, True, 0.6), (5, 1, True, None)])
 def test_max_min_picks_by_blocks(spark, monkeypatch, rows, pivots, medoid, stop):
     monkeypatch.setattr(V, "ROWS", rows)
